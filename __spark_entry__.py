@@ -263,11 +263,10 @@ def envelope_quarantine(spark, sf_dir):
     record = F.array(F.struct(F.struct(data.alias("data")).alias("kinesis"))).alias("Records")
     events = event_records(spark, sf_dir).select(F.to_json(F.struct(record)).alias("value"))
     decoded = tl.decode_envelope(events, EVENT_SCHEMA, ["event_id"])
-    good = tl.good_records(decoded).groupBy(F.col("event_type").alias("found"))
-    bad = tl.bad_records(decoded).groupBy(F.concat(F.lit("bad "), "_bad_record").alias("found"))
-    return (
-        good.agg(F.count(F.lit(1)).alias("records"), F.sum("event_id").alias("id_sum"))
-        .unionByName(bad.agg(F.count(F.lit(1)).alias("records"), F.lit(None).cast("bigint").alias("id_sum")))
+    found = F.coalesce(F.concat(F.lit("bad "), "_bad_record"), "event_type").alias("found")
+    return decoded.groupBy(found).agg(
+        F.count(F.lit(1)).alias("records"),
+        F.sum(F.when(F.col("_bad_record").isNull(), F.col("event_id"))).alias("id_sum"),
     )
 
 

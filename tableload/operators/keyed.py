@@ -111,7 +111,7 @@ def dedupe_batch(
     return kept if parallelism is None else kept.repartition(parallelism, *key)
 
 
-def _like(df: DataFrame, target: DataFrame) -> DataFrame:
+def like(df: DataFrame, target: DataFrame) -> DataFrame:
     """The rows of ``df`` with the columns and types of ``target``."""
     return df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in target.schema])
 
@@ -139,29 +139,41 @@ def upsert(
     """
     if set(batch.columns) != set(target.columns):
         raise ValueError(f"batch columns {batch.columns} differ from target columns {target.columns}")
-    staged = stage(dedupe_batch(_like(batch, target), key, order, parallelism), "batch", key)
-    return _upsert_staged(target, staged, key, order, keep_latest, staged.fits(max_broadcast_bytes))
+    staged = stage(dedupe_batch(like(batch, target), key, order, parallelism), "batch", key)
+    kept, changed = upsert_parts(target, staged, key, order, keep_latest, staged.fits(max_broadcast_bytes))
+    return changed if kept is None else kept.unionByName(changed)
 
 
-def _upsert_staged(
+def upsert_parts(
     target: DataFrame, staged: Staged, key: Sequence[str], order: Sequence[str], keep_latest: bool, small: bool
-) -> DataFrame:
-    key = list(key)
-    incoming = staged.rows
+) -> tuple[DataFrame | None, DataFrame]:
+    """The result of an upsert in two parts: stored rows as they are, and rows of the batch's keys.
+
+    With a small batch the first part comes straight from the scan and the second is no larger than the batch.
+    """
+    key, columns = list(key), target.columns
+    if keep_latest and not small:
+        return None, _newer_of_each(target, staged.rows, key, order)
     keys = _small_or_shuffled(staged.rows.select(*key), small)
+    untouched = target.join(keys, key, "left_anti").select(*columns)
     if not keep_latest:
-        return target.join(keys, key, "left_anti").select(*target.columns).unionByName(incoming)
+        return untouched, staged.rows
+    touched = target.join(keys, key, "left_semi").select(*columns)
+    both = touched.withColumn(_INCOMING, F.lit(0)).unionByName(staged.rows.withColumn(_INCOMING, F.lit(1)))
+    return untouched, _latest(both, key, [*order, _INCOMING]).drop(_INCOMING)
+
 
-    def newest(stored: DataFrame) -> DataFrame:
-        both = stored.withColumn(_INCOMING, F.lit(0)).unionByName(incoming.withColumn(_INCOMING, F.lit(1)))
-        return _latest(both, key, [*order, _INCOMING]).drop(_INCOMING)
+def _newer_of_each(target: DataFrame, batch: DataFrame, key: list[str], order: Sequence[str]) -> DataFrame:
+    """All rows of two tables with one row per key, the newer one where both have it: one shuffle and sort of each."""
+    stored = target.select(*key, F.struct(*target.columns).alias("_stored"))
+    incoming = batch.select(*key, F.struct(*target.columns).alias(_INCOMING))
 
-    if not small:
-        return newest(target)
-    # Only the stored rows that the batch touches take part in the comparison and its shuffle.
-    untouched = target.join(keys, key, "left_anti").select(*target.columns)
-    touched = target.join(keys, key, "left_semi").select(*target.columns)
-    return untouched.unionByName(newest(touched))
+    def rank(side: str) -> Column:
+        return F.struct(*[F.col(f"{side}.`{c}`").alias(c) for c in order])
+
+    stored_wins = F.col(_INCOMING).isNull() | (F.col("_stored").isNotNull() & (rank("_stored") > rank(_INCOMING)))
+    winner = F.when(stored_wins, F.col("_stored")).otherwise(F.col(_INCOMING)).alias("_winner")
+    return stored.join(incoming.hint("merge"), key, "full_outer").select(winner).select("_winner.*")
 
 
 def bulk_load(
@@ -182,40 +194,42 @@ def merge_into(
     """The target after a merge: matched rows get ``update_columns`` from the source, unmatched source rows are added.
 
     All target rows of a matched key are updated, their other columns and all unmatched rows stay. A null key matches
-    nothing. The job fails when several source rows match the same target row.
+    nothing. Several source rows that match the same target row are an error.
 
-    Both parts are joins in which a frequent key of the target is harmless: the source has one row per key by then, so
-    no pairs multiply; a shuffled left join lets the adaptive planner split the frequent key; and the keys looked up
-    for the insert are made distinct before they are shuffled.
+    A small source is broadcast and the target not shuffled. Otherwise both sides of the update are plain shuffled
+    tables, in which the adaptive planner can split a frequent target key; and the keys looked up for the insert are
+    reduced to distinct ones by the tasks that read them.
     """
     on = list(on)
-    staged = stage(_like(source, target), "source", target.columns)
+    staged = stage(like(source, target), "source", target.columns)
     small = staged.fits(max_broadcast_bytes)
-    present = F.lit(True)
+    has_key = F.lit(True)
     for name in on:
-        present = present & F.col(name).isNotNull()
-
-    updates = (
-        staged.rows.where(present)
-        .groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_matches"), F.first(F.struct(*update_columns)).alias("_new"))
-    )
-    ambiguous = F.raise_error(F.lit(f"several source rows match a target row on {', '.join(on)}"))
-    matched = F.col("_matches").isNotNull()
-    merged = (
-        target.join(_small_or_shuffled(updates, small), on, "left")
-        .where(F.when(F.coalesce(F.col("_matches"), F.lit(0)) > 1, ambiguous).otherwise(F.lit(True)))
-        .select(
-            *[
-                F.when(matched, F.col(f"_new.`{c}`")).otherwise(F.col(c)).alias(c) if c in update_columns else F.col(c)
-                for c in target.columns
-            ]
-        )
+        has_key = has_key & F.col(name).isNotNull()
+    keyed = staged.rows.where(has_key)
+    _refuse_several_matches(target, keyed, on)
+
+    updates = keyed.select(*on, F.struct(*update_columns).alias("_new"))
+    matched = F.col("_new").isNotNull()
+    merged = target.join(_small_or_shuffled(updates, small), on, "left").select(
+        *[
+            F.when(matched, F.col(f"_new.`{c}`")).otherwise(F.col(c)).alias(c) if c in update_columns else F.col(c)
+            for c in target.columns
+        ]
     )
     if not insert:
         return merged
-    stored_keys = target.select(*on)
     if small:
-        stored_keys = stored_keys.join(F.broadcast(staged.rows.select(*on)), on, "left_semi")
-    added = staged.rows.join(_small_or_shuffled(stored_keys.distinct(), small), on, "left_anti")
-    return merged.unionByName(added)
+        known = target.select(*on).join(F.broadcast(keyed.select(*on)), on, "left_semi").distinct()
+        return merged.unionByName(staged.rows.join(F.broadcast(known), on, "left_anti").select(*target.columns))
+    # Staged, the known keys are a plain table as well, and broadcast when they turn out few.
+    known = stage(target.select(*on).distinct().join(keyed.select(*on).hint("merge"), on, "left_semi"), "known", on)
+    added = keyed.join(_small_or_shuffled(known.rows, known.fits(max_broadcast_bytes)), on, "left_anti")
+    return merged.unionByName(added.select(*target.columns)).unionByName(staged.rows.where(~has_key))
+
+
+def _refuse_several_matches(target: DataFrame, keyed: DataFrame, on: list[str]) -> None:
+    """Fail when a key that the source has several times is in the target, which is only read if there is such a key."""
+    repeated = keyed.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*on)
+    if not repeated.isEmpty() and not target.select(*on).join(repeated, on, "left_semi").isEmpty():
+        raise ValueError(f"several source rows match a target row on {', '.join(on)}")

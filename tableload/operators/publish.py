@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from tableload.operators.keyed import MAX_BROADCAST_BYTES, _like, _upsert_staged, dedupe_batch, stage
-from tableload.operators.writes import overwrite, overwrite_partitions
+from tableload.operators.keyed import MAX_BROADCAST_BYTES, dedupe_batch, like, stage, upsert_parts
+from tableload.operators.writes import overwrite, overwrite_partitions, spread_by
 from tableload.workspace import exists, remove, subfolders
 
 # Touched partitions up to which the scan of the target is pruned by a list of their values.
@@ -75,8 +75,8 @@ def upsert_snapshot(
         publish_snapshot(dedupe_batch(batch, key, order, parallelism), path, number)
         return
     staged = stage(dedupe_batch(batch, key, order, parallelism), "batch", key)
-    small = staged.fits(max_broadcast_bytes)
-    publish_snapshot(_upsert_staged(target, staged, key, order, keep_latest, small), path, number)
+    kept, changed = upsert_parts(target, staged, key, order, keep_latest, staged.fits(max_broadcast_bytes))
+    publish_snapshot(changed if kept is None else kept.unionByName(changed), path, number)
     remove(spark, staged.path)
 
 
@@ -131,8 +131,12 @@ def upsert_partitions(
             stored = stored.where(_in_partitions(partition_by, listed))
         else:
             stored = stored.join(touched, list(partition_by), "left_semi").select(*batch.columns)
-        merged = _upsert_staged(
-            _like(stored, batch), staged, identity, order, keep_latest, staged.fits(max_broadcast_bytes)
-        )
-        overwrite_partitions(merged, path, partition_by)
+        small = staged.fits(max_broadcast_bytes)
+        kept, changed = upsert_parts(like(stored, batch), staged, identity, order, keep_latest, small)
+        if small:
+            # The stored rows are written by the tasks that scan them; only the batch moves to its partitions.
+            merged = kept.unionByName(spread_by(changed, partition_by))
+        else:
+            merged = spread_by(changed if kept is None else kept.unionByName(changed), partition_by)
+        overwrite_partitions(merged, path, partition_by, spread=False)
     remove(spark, staged.path)

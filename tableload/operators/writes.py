@@ -40,14 +40,16 @@ def create(df: DataFrame, path: str, format: str = "parquet", partition_by: Sequ
 
 
 def overwrite_partitions(
-    df: DataFrame, path: str, partition_by: Sequence[str], format: str = "parquet", **options
+    df: DataFrame, path: str, partition_by: Sequence[str], format: str = "parquet", spread: bool = True, **options
 ) -> None:
     """Replace the partitions that ``df`` has rows for and leave all others.
 
-    The new files are moved in when the job is done, so ``df`` may read from ``path`` itself.
+    The new files are moved in when the job is done, so ``df`` may read from ``path`` itself. ``spread=False`` writes
+    the rows where they are, for those that already lie together by partition.
     """
     options = {"partitionOverwriteMode": "dynamic", **options}
-    _writer(spread_by(df, partition_by), "overwrite", format, partition_by, options).save(path)
+    df = spread_by(df, partition_by) if spread else df
+    _writer(df, "overwrite", format, partition_by, options).save(path)
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", header: bool = True, mode: str = "errorifexists", **options) -> None:

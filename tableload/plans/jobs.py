@@ -49,14 +49,15 @@ def load_csv_by_key(
 ) -> None:
     """Scan a CSV, stamp it and upsert it by key; ``replace`` empties the table first.
 
-    All rows of a load have the same stamp, so ``tiebreak`` columns decide between rows of one key. Without
-    ``partition_by`` the table is a series of snapshots; passing its ``number`` makes a load repeatable.
+    All rows of a load have the same stamp, so ``tiebreak`` columns decide between rows of one key. In a table with
+    ``partition_by`` a row is identified by partition and key; without, the table is a series of snapshots, and passing
+    its ``number`` makes a load repeatable.
     """
     rows = stamp_load_time(scan_csv(spark, source, sep, schema))
     order = [LOAD_COLUMN, *tiebreak]
     if partition_by:
         if replace:
-            bulk_load(rows, target, key, order, parallelism, partition_by=partition_by)
+            bulk_load(rows, target, [*partition_by, *key], order, parallelism, partition_by=partition_by)
         else:
             upsert_partitions(rows, target, key, order, partition_by, parallelism=parallelism)
         return

@@ -27,6 +27,8 @@ from pyspark.sql.types import (
     VarcharType,
 )
 
+from tableload.workspace import first_file
+
 # What a catalog type without parameters stands for.
 BARE_TYPES = {
     "decimal": DecimalType(),
@@ -75,15 +77,16 @@ def scan_parquet(
 ) -> DataFrame:
     """Read Parquet with a declared schema: other columns are not read, absent ones come back null.
 
-    ``check_types`` compares the schema with one file footer and names the columns that cannot be read as declared,
-    instead of failing in a task.
+    ``check_types`` compares the schema with the footer of one file and names the columns that cannot be read as
+    declared, instead of failing in a task.
     """
     if schema is None:
         return spark.read.parquet(path)
     if not schema.fields:
         raise ValueError("a schema without columns reads nothing")
-    if check_types:
-        stored = {f.name.lower(): f.dataType for f in spark.read.parquet(path).schema}
+    file = first_file(spark, path) if check_types else None
+    if file is not None:
+        stored = {f.name.lower(): f.dataType for f in spark.read.parquet(file).schema}
         clashes = [
             f"{f.name}: stored {stored[f.name.lower()].simpleString()}, declared {f.dataType.simpleString()}"
             for f in schema

@@ -47,22 +47,25 @@ def stream_upsert(
     Bad records go to one folder per batch below ``quarantine``; without it the first one fails the query.
     """
     def load(batch: DataFrame, batch_id: int) -> None:
-        decoded = decode_envelope(batch, schema, required=key).persist()
+        decoded = decode_envelope(batch, schema, required=key)
+        if quarantine is None:
+            upsert(only_good_records(decoded), batch_id)
+            return
+        decoded.persist()
         try:
-            if quarantine is not None:
-                overwrite(bad_records(decoded), f"{quarantine}/batch={batch_id}")
-                rows = good_records(decoded)
-            else:
-                rows = only_good_records(decoded)
-            if stamp is not None:
-                rows = stamp_load_time(rows, stamp)
-            if partition_by:
-                upsert_partitions(rows, target, key, order, partition_by, keep_latest)
-            else:
-                upsert_snapshot(rows, target, batch_id, key, order, keep_latest)
+            overwrite(bad_records(decoded), f"{quarantine}/batch={batch_id}")
+            upsert(good_records(decoded), batch_id)
         finally:
             decoded.unpersist()
 
+    def upsert(rows: DataFrame, batch_id: int) -> None:
+        if stamp is not None:
+            rows = stamp_load_time(rows, stamp)
+        if partition_by:
+            upsert_partitions(rows, target, key, order, partition_by, keep_latest)
+        else:
+            upsert_snapshot(rows, target, batch_id, key, order, keep_latest)
+
     trigger = trigger or {"availableNow": True}
     return (
         envelopes.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(**trigger).start()

@@ -14,13 +14,13 @@ def scratch_root(spark: SparkSession) -> str:
     A local session without the setting gets a fresh temporary folder; a cluster without it is refused, since a
     machine-local folder is not visible to the other executors.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="tableload-")
-    spark.conf.set("spark.checkpoint.dir", root)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="tableload-")
+        context.setCheckpointDir(root)
     return root
 
 
@@ -47,6 +47,19 @@ def subfolders(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(hadoop_path) if s.isDirectory())
 
 
+def first_file(spark: SparkSession, path: str) -> str | None:
+    """Some data file at or below ``path``, found without listing the rest."""
+    fs, hadoop_path = _hadoop(spark, path)
+    if not fs.exists(hadoop_path):
+        return None
+    files = fs.listFiles(hadoop_path, True)
+    while files.hasNext():
+        file = files.next().getPath()
+        if not file.getName().startswith(("_", ".")):
+            return file.toString()
+    return None
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder this library wrote; nothing happens when it is gone already."""
     fs, hadoop_path = _hadoop(spark, path)

@@ -1,6 +1,7 @@
 """Every registered query against its SQL, run by DuckDB on the same tables."""
 
 import math
+import os
 from datetime import date, datetime
 from decimal import Decimal
 from pathlib import Path
@@ -10,7 +11,7 @@ import pytest
 
 import __spark_entry__ as registry
 
-SF_DIR = "/root/testdata/sf0.001"
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def _plain(value):

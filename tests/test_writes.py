@@ -1,0 +1,141 @@
+import glob
+
+import pytest
+from pyspark.sql import functions as F
+
+import tableload as tl
+from tableload.workspace import scratch_path, scratch_root
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def test_append_overwrite_create(spark, tmp_path):
+    path, one, two = str(tmp_path / "t"), spark.range(3), spark.range(3, 5)
+    tl.create(one, path)
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        tl.create(two, path)
+    tl.append(two, path)
+    assert rows(spark.read.parquet(path)) == [(i,) for i in range(5)]
+    tl.overwrite(two, path)
+    assert rows(spark.read.parquet(path)) == [(3,), (4,)]
+
+
+def test_csv_export(spark, tmp_path):
+    df = spark.createDataFrame([("a;b", 'say "x"'), (None, "line")], "k string, v string")
+    tl.write_csv(df, str(tmp_path / "c"), sep=";")
+    assert rows(tl.scan_csv(spark, str(tmp_path / "c"), sep=";").na.fill("-")) == [("-", "line"), ("a;b", 'say "x"')]
+
+
+def test_single_csv(spark, tmp_path):
+    path = str(tmp_path / "report")
+    for _ in range(2):
+        tl.write_single_csv(spark.range(10, numPartitions=5), path, max_rows=10)
+    files = glob.glob(f"{path}/part-*")
+    assert len(files) == 1 and len(open(files[0]).read().splitlines()) == 10
+    with pytest.raises(Exception, match="limited to 9 rows"):
+        tl.write_single_csv(spark.range(10, numPartitions=5), path, max_rows=9)
+
+
+def test_only_touched_partitions_are_replaced(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.range(100).select("id", (F.col("id") % 4).cast("int").alias("p"))
+    tl.append(df, path, partition_by=["p"])
+    untouched = set(glob.glob(f"{path}/p=0/*.parquet"))
+    stored = tl.scan_parquet(spark, path, df.schema)
+    tl.overwrite_partitions(stored.where("p = 1 AND id < 50"), path, ["p"])
+    assert set(glob.glob(f"{path}/p=0/*.parquet")) == untouched
+    assert stored.sparkSession.read.parquet(path).groupBy("p").count().orderBy("p").collect()[1]["count"] == 13
+    assert spark.read.parquet(path).count() == 88
+
+
+def test_a_partitioned_write_makes_few_files(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.range(1_000, numPartitions=4).select("id", (F.col("id") % 5).alias("p"))
+    tl.append(df, path, partition_by=["p"])
+    assert len(glob.glob(f"{path}/p=*/*.parquet")) == 5
+
+
+def test_a_frequent_partition_value_is_split(spark):
+    """A value with most of the rows is written by several tasks, not gathered in one."""
+    from tableload.operators.writes import spread_by
+
+    df = spark.range(200_000, numPartitions=4).select(F.uuid().alias("text"), F.expr("if(id % 20 = 0, id % 7, 99)").alias("p"))
+    settings = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "1MB"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        tasks = spread_by(df, ["p"]).groupBy(F.spark_partition_id()).agg(F.max("text"), F.count_if(F.col("p") == 99).alias("n"))
+        assert len([t for t in tasks.collect() if t.n > 0]) > 1
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+
+
+def test_sql_tables(spark, tmp_path):
+    spark.sql("CREATE DATABASE IF NOT EXISTS tests")
+    schema = spark.createDataFrame([], "a string, `b c` string, p int").schema
+    location = str(tmp_path / "t")
+    for _ in range(2):
+        tl.create_table(spark, "tests.t1", schema, location, ["p"], {"kind": "it's mine"})
+    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+        tl.create_table(spark, "tests.t1", schema, location, ["p"], if_not_exists=False)
+    df = spark.createDataFrame([("x", "y", 1)], schema)
+    tl.insert_all(df, "tests.t1")
+    tl.insert_by_name(df.select("p", "b c", "a"), "tests.t1")
+    tl.insert_by_name(df, "tests.t1", ["a", "p"])
+    assert rows(tl.scan_table(spark, "tests.t1").na.fill("-")) == [("x", "-", 1), ("x", "y", 1), ("x", "y", 1)]
+    assert glob.glob(f"{location}/p=1/*.parquet")
+    assert tl.scan_catalog_table(spark, "tests", "t1").count() == 3
+    spark.sql("DROP TABLE tests.t1")
+
+
+def test_positional_insert_ignores_names(spark, tmp_path):
+    spark.sql("CREATE DATABASE IF NOT EXISTS tests")
+    df = spark.createDataFrame([("x", "y")], "a string, b string")
+    tl.create_table(spark, "tests.t2", df.schema, str(tmp_path / "t"))
+    tl.insert_all(df.select("b", "a"), "tests.t2")
+    assert rows(tl.scan_table(spark, "tests.t2")) == [("y", "x")]
+    spark.sql("DROP TABLE tests.t2")
+
+
+def test_warehouse_connector_gets_its_options(spark, tmp_path):
+    tl.load_warehouse(spark.range(3), "T", format="parquet", connector_options={"path": str(tmp_path / "w")})
+    assert spark.read.parquet(str(tmp_path / "w")).count() == 3
+
+
+def test_observed_counts_need_no_second_scan(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "k int, v string")
+    counted, found = tl.observe_counts(df, ["v"])
+    tl.append(counted, str(tmp_path / "t"))
+    assert found.get == {"rows": 2, "v": 1}
+
+
+def test_scratch_root(spark):
+    root = spark.conf.get("spark.checkpoint.dir")
+    assert scratch_root(spark) == root
+    assert scratch_path(spark, "x").startswith(root) and scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_scratch_root_is_made_up_for_local_sessions_only():
+    class Session:
+        """A session without the setting."""
+
+        def __init__(self, master):
+            self.master, self.folder = master, None
+            self.conf, self.sparkContext = self, self
+
+        def get(self, key, default):
+            return default
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, folder):
+            self.folder = folder
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_root(Session("yarn"))
+    local = Session("local[4]")
+    assert scratch_root(local) == scratch_root(local) == local.folder
