@@ -406,9 +406,9 @@ def upsert_with(**options) -> Query:
 def upsert_snapshots(spark, sf_dir):
     """Two loads into a published table, the second one repeated as after a lost driver."""
     path = tl.scratch_path(spark, "table")
-    tl.upsert_snapshot(order_postings(spark, sf_dir), path, 0, POSTING_KEY, POSTING_ORDER)
+    tl.upsert_snapshot(order_postings(spark, sf_dir), path, POSTING_KEY, POSTING_ORDER)
     for _ in range(2):
-        tl.upsert_snapshot(line_postings(spark, sf_dir), path, 1, POSTING_KEY, POSTING_ORDER)
+        tl.upsert_snapshot(line_postings(spark, sf_dir), path, POSTING_KEY, POSTING_ORDER)
     return shown(tl.read_snapshot(spark, path))
 
 
@@ -551,10 +551,10 @@ def stream_append(spark, sf_dir):
 def entry(spark: SparkSession) -> DataFrame:
     """Semicolon CSV of postings -> scan -> load stamp -> upsert by key into a published table."""
     source, target = tl.scratch_path(spark, "postings-csv"), tl.scratch_path(spark, "table")
-    tl.upsert_snapshot(tl.stamp_load_time(order_postings(spark, SMOKE_DIR)), target, 0, POSTING_KEY, POSTING_ORDER)
+    tl.upsert_snapshot(tl.stamp_load_time(order_postings(spark, SMOKE_DIR)), target, POSTING_KEY, POSTING_ORDER)
     tl.write_csv(line_postings(spark, SMOKE_DIR), source, sep=";")
     batch = tl.stamp_load_time(tl.scan_csv(spark, source, sep=";", schema=line_postings(spark, SMOKE_DIR).schema))
-    tl.upsert_snapshot(batch, target, 1, POSTING_KEY, POSTING_ORDER)
+    tl.upsert_snapshot(batch, target, POSTING_KEY, POSTING_ORDER)
     return tl.read_snapshot(spark, target)
 
 

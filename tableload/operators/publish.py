@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType, StructType
 
 from tableload.operators.keyed import MAX_BROADCAST_BYTES, dedupe_batch, like, stage, upsert_parts
 from tableload.operators.writes import overwrite, overwrite_partitions, spread_by
-from tableload.workspace import exists, remove, subfolders
+from tableload.workspace import exists, first_file, remove, subfolders
 
 # Touched partitions up to which the scan of the target is pruned by a list of their values.
 MAX_LISTED_PARTITIONS = 2_000
@@ -26,57 +26,58 @@ def snapshots(spark: SparkSession, path: str) -> list[int]:
     return sorted(n for n in numbers if exists(spark, f"{path}/{_SNAPSHOT}{n}/_SUCCESS"))
 
 
-def read_snapshot(
-    spark: SparkSession, path: str, schema: StructType | None = None, before: int | None = None
-) -> DataFrame | None:
-    """The newest complete snapshot (older than ``before``); None when there is none."""
-    numbers = [n for n in snapshots(spark, path) if before is None or n < before]
-    if not numbers:
-        return None
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(f"{path}/{_SNAPSHOT}{numbers[-1]}")
-
-
-def next_snapshot(spark: SparkSession, path: str) -> int:
-    """The number after the newest complete snapshot; 0 for a new table."""
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest complete snapshot; None when there is none."""
     numbers = snapshots(spark, path)
-    return numbers[-1] + 1 if numbers else 0
+    return spark.read.parquet(f"{path}/{_SNAPSHOT}{numbers[-1]}") if numbers else None
 
 
-def publish_snapshot(df: DataFrame, path: str, number: int, keep: int = 2) -> None:
-    """Write ``df`` as snapshot ``number`` and remove all but the newest ``keep`` up to it.
+def publish_snapshot(df: DataFrame, path: str, keep: int = 2) -> int:
+    """Write ``df`` as the next snapshot, remove all but the newest ``keep``, and return its number.
 
-    Readers see it once its job is complete. Writing the same number again replaces it, so a replayed batch is harmless
-    as long as the snapshot before it is kept.
+    Readers see it once its job is complete; what a failed job left behind is replaced by the next one. Older snapshots
+    are kept for readers that have started on them.
     """
     spark = df.sparkSession
+    numbers = snapshots(spark, path)
+    number = numbers[-1] + 1 if numbers else 0
     overwrite(df, f"{path}/{_SNAPSHOT}{number}")
-    for old in [n for n in snapshots(spark, path) if n <= number][: -max(keep, 1)]:
+    for old in [*numbers, number][: -max(keep, 1)]:
         remove(spark, f"{path}/{_SNAPSHOT}{old}")
+    return number
+
+
+def _with_columns_of(df: DataFrame, other: DataFrame) -> DataFrame:
+    """``df`` with those columns of ``other`` that it lacks, as nulls."""
+    missing = [f for f in other.schema if f.name not in df.columns]
+    return df.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in missing])
 
 
 def upsert_snapshot(
     batch: DataFrame,
     path: str,
-    number: int,
     key: Sequence[str],
     order: Sequence[str],
     keep_latest: bool = False,
     parallelism: int | None = None,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> None:
-    """Upsert a batch into the newest snapshot before ``number`` and publish the result as ``number``.
+    """Upsert a batch into the newest snapshot and publish the result as the next one.
 
-    Every call writes the whole table; for large tables use ``upsert_partitions``.
+    Repeating a batch, as after a lost driver, leaves the same rows. A column that only the batch or only the table has
+    is kept, and null in the rows of the other. Every call writes the whole table; for large tables use
+    ``upsert_partitions``. One writer at a time per table.
     """
     spark = batch.sparkSession
-    target = read_snapshot(spark, path, batch.schema, before=number)
+    target = read_snapshot(spark, path)
     if target is None:
-        publish_snapshot(dedupe_batch(batch, key, order, parallelism), path, number)
+        publish_snapshot(dedupe_batch(batch, key, order, parallelism), path)
         return
+    target = _with_columns_of(target, batch)
+    batch = like(_with_columns_of(batch, target), target)
     staged = stage(dedupe_batch(batch, key, order, parallelism), "batch", key)
     kept, changed = upsert_parts(target, staged, key, order, keep_latest, staged.fits(max_broadcast_bytes))
-    publish_snapshot(changed if kept is None else kept.unionByName(changed), path, number)
+    publish_snapshot(changed if kept is None else kept.unionByName(changed), path)
     remove(spark, staged.path)
 
 
@@ -113,26 +114,33 @@ def upsert_partitions(
     """Upsert a batch into a partitioned Parquet table, reading and rewriting only the partitions it touches.
 
     A row is identified by its partition and key together: the partition columns have to follow from the key, or be
-    part of it. The rewritten partitions are swapped in at the end of the job, and repeating a batch changes nothing.
-    One writer at a time per table.
+    part of it. The batch has the columns of the table. Repeating a batch leaves the same rows.
+
+    The rewritten partitions are moved in when the job is done, so lost executors do no harm; a driver lost during the
+    moves can leave partitions in the table's staging folder. One writer at a time per table.
     """
     spark = batch.sparkSession
     identity = list(dict.fromkeys([*partition_by, *key]))
-    latest = dedupe_batch(_no_empty_text(batch, partition_by), identity, order, parallelism)
-    if not exists(spark, path):
-        overwrite(latest, path, partition_by=partition_by)
+    batch = _no_empty_text(batch, partition_by)
+    file = first_file(spark, path)
+    if file is None:
+        overwrite(dedupe_batch(batch, identity, order, parallelism), path, partition_by=partition_by)
         return
-    staged = stage(latest, "batch", identity)
+    in_files = spark.read.parquet(file).schema
+    schema = StructType([*in_files.fields, *[batch.schema[c] for c in partition_by]])
+    if set(schema.names) != set(batch.columns):
+        raise ValueError(f"batch columns {batch.columns} differ from the table's {schema.names}")
+    stored = spark.read.schema(schema).parquet(path)
+    staged = stage(dedupe_batch(like(batch, stored), identity, order, parallelism), "batch", identity)
     touched = staged.rows.select(*partition_by).distinct()
     listed = touched.limit(MAX_LISTED_PARTITIONS + 1).collect()
     if listed:
-        stored = spark.read.schema(batch.schema).parquet(path)
         if len(listed) <= MAX_LISTED_PARTITIONS:
             stored = stored.where(_in_partitions(partition_by, listed))
         else:
-            stored = stored.join(touched, list(partition_by), "left_semi").select(*batch.columns)
+            stored = stored.join(touched, list(partition_by), "left_semi").select(*schema.names)
         small = staged.fits(max_broadcast_bytes)
-        kept, changed = upsert_parts(like(stored, batch), staged, identity, order, keep_latest, small)
+        kept, changed = upsert_parts(stored, staged, identity, order, keep_latest, small)
         if small:
             # The stored rows are written by the tasks that scan them; only the batch moves to its partitions.
             merged = kept.unionByName(spread_by(changed, partition_by))

@@ -7,6 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, DataFrameWriter, Observation
 from pyspark.sql import functions as F
 
+# How timestamps are written as text.
+MICROSECONDS = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
 # Rows a single-file report may have.
 MAX_REPORT_ROWS = 100_000
 
@@ -52,7 +58,11 @@ def overwrite_partitions(
     _writer(df, "overwrite", format, partition_by, options).save(path)
 
 
-def write_csv(df: DataFrame, path: str, sep: str = ",", header: bool = True, mode: str = "errorifexists", **options) -> None:
+def write_csv(
+    df: DataFrame, path: str, sep: str = ",", header: bool = True, mode: str = "errorifexists", **options
+) -> None:
+    """Write CSV; timestamps keep their microseconds, which Spark's default formats cut off."""
+    options = {**MICROSECONDS, **options}
     df.write.mode(mode).options(header=header, sep=sep, **options).csv(path)
 
 
@@ -63,7 +73,7 @@ def write_single_csv(df: DataFrame, path: str, max_rows: int = MAX_REPORT_ROWS)
     """
     too_many = F.raise_error(F.lit(f"a single-file report is limited to {max_rows} rows"))
     within = F.when(F.monotonically_increasing_id() >= max_rows, too_many).otherwise(F.lit(True))
-    df.repartition(1).where(within).write.mode("overwrite").csv(path, sep=",")
+    df.repartition(1).where(within).write.mode("overwrite").options(**MICROSECONDS).csv(path, sep=",")
 
 
 def load_warehouse(

@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 from tableload.functions.columns import LOAD_COLUMN, stamp_load_time
 from tableload.operators import writes
 from tableload.operators.keyed import bulk_load, dedupe_batch
-from tableload.operators.publish import next_snapshot, publish_snapshot, upsert_partitions, upsert_snapshot
+from tableload.operators.publish import publish_snapshot, upsert_partitions, upsert_snapshot
 from tableload.operators.quality import Check, Verification, verify, write_reports
 from tableload.operators.tables import create_table, insert_by_name
 from tableload.sources.delimited import scan_csv
@@ -41,7 +41,6 @@ def load_csv_by_key(
     key: Sequence[str],
     tiebreak: Sequence[str] = (),
     sep: str = ",",
-    number: int | None = None,
     partition_by: Sequence[str] = (),
     replace: bool = False,
     schema: StructType | None = None,
@@ -50,8 +49,7 @@ def load_csv_by_key(
     """Scan a CSV, stamp it and upsert it by key; ``replace`` empties the table first.
 
     All rows of a load have the same stamp, so ``tiebreak`` columns decide between rows of one key. In a table with
-    ``partition_by`` a row is identified by partition and key; without, the table is a series of snapshots, and passing
-    its ``number`` makes a load repeatable.
+    ``partition_by`` a row is identified by partition and key; without, the table is a series of snapshots.
     """
     rows = stamp_load_time(scan_csv(spark, source, sep, schema))
     order = [LOAD_COLUMN, *tiebreak]
@@ -60,13 +58,10 @@ def load_csv_by_key(
             bulk_load(rows, target, [*partition_by, *key], order, parallelism, partition_by=partition_by)
         else:
             upsert_partitions(rows, target, key, order, partition_by, parallelism=parallelism)
-        return
-    if number is None:
-        number = next_snapshot(spark, target)
-    if replace:
-        publish_snapshot(dedupe_batch(rows, key, order, parallelism), target, number)
+    elif replace:
+        publish_snapshot(dedupe_batch(rows, key, order, parallelism), target)
     else:
-        upsert_snapshot(rows, target, number, key, order, parallelism=parallelism)
+        upsert_snapshot(rows, target, key, order, parallelism=parallelism)
 
 
 def load_csv_to_table(
@@ -105,22 +100,20 @@ def load_events(
     key: Sequence[str],
     schema: StructType | None = None,
     tiebreak: Sequence[str] = (),
-    number: int | None = None,
     quarantine: str | None = None,
 ) -> None:
     """Decode a batch of stream events, stamp the records and upsert them by key.
 
-    Bad records go to ``quarantine``; without it the first one fails the load.
+    Bad records are added to ``quarantine``; without it the first one fails the load. Without ``schema`` the columns
+    follow the keys that occur, and join those the table has already.
     """
-    if number is None:
-        number = next_snapshot(events.sparkSession, target)
     decoded = decode_envelope(events, schema, required=key)
     if quarantine is None:
         rows = only_good_records(decoded)
     else:
-        writes.overwrite(bad_records(decoded), f"{quarantine}/batch={number}")
+        writes.append(bad_records(decoded), quarantine)
         rows = good_records(decoded)
-    upsert_snapshot(stamp_load_time(rows), target, number, key, [LOAD_COLUMN, *tiebreak])
+    upsert_snapshot(stamp_load_time(rows), target, key, [LOAD_COLUMN, *tiebreak])
 
 
 def check_quality(

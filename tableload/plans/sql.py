@@ -16,6 +16,8 @@ def sql_transform(
     Parameters are bound as ``:name``, not spliced into the text.
     """
     for name, df in (views or {}).items():
+        if df.sparkSession is not spark:
+            raise ValueError(f"{name} comes from another session; pass its .sparkSession")
         df.createOrReplaceTempView(name)
     result = None
     for statement in [statements] if isinstance(statements, str) else statements:

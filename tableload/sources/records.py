@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tableload.functions.columns import decode_base64
+from tableload.operators.writes import MICROSECONDS
 
 # Fixed value: shape of a stream event.
 ENVELOPE_DDL = "Records array<struct<kinesis:struct<data:string>>>"
@@ -125,7 +126,8 @@ def encode_envelope(df: DataFrame, records_per_event: int = 100) -> DataFrame:
 
     Rows are numbered where they are, so that no event holds more than ``records_per_event`` records.
     """
-    record = F.struct(F.struct(F.base64(F.encode(F.to_json(F.struct(*df.columns)), "UTF-8")).alias("data")).alias("kinesis"))
+    payload = F.to_json(F.struct(*df.columns), MICROSECONDS)
+    record = F.struct(F.struct(F.base64(F.encode(payload, "UTF-8")).alias("data")).alias("kinesis"))
     return (
         df.select(record.alias("_record"), F.expr(f"monotonically_increasing_id() div {int(records_per_event)}").alias("_event"))
         .groupBy("_event")

@@ -12,10 +12,13 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from tableload.functions.columns import LOAD_COLUMN, stamp_load_time
-from tableload.operators.publish import upsert_partitions, upsert_snapshot
+from tableload.operators.publish import key_bucket, upsert_partitions, upsert_snapshot
 from tableload.operators.writes import overwrite
 from tableload.sources.records import bad_records, decode_envelope, good_records, only_good_records
 
+# Partition column of a target that is divided by buckets of its key.
+BUCKET_COLUMN = "key_bucket"
+
 
 def read_envelopes(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """A stream of the event texts in the files of a folder, one event per line."""
@@ -34,14 +37,16 @@ def stream_upsert(
     checkpoint: str,
     keep_latest: bool = False,
     partition_by: Sequence[str] = (),
+    buckets: int | None = None,
     stamp: str | None = LOAD_COLUMN,
     quarantine: str | None = None,
     **trigger,
 ) -> StreamingQuery:
     """Decode, stamp and upsert each micro-batch into ``target``; starts the query.
 
-    With ``partition_by`` the target is a partitioned table of which a batch rewrites only what it touches; without, a
-    snapshot is published per batch, which suits small tables. A replayed batch leaves the same rows either way. Only
+    With ``partition_by``, or ``buckets`` of the key where no column serves, the target is a partitioned table of which
+    a batch rewrites only what it touches; without, a snapshot is published per batch, which suits small tables. A
+    replayed batch leaves the same rows either way. Only
     ``keep_latest`` makes the result independent of the order in which events arrive.
 
     Bad records go to one folder per batch below ``quarantine``; without it the first one fails the query.
@@ -49,22 +54,25 @@ def stream_upsert(
     def load(batch: DataFrame, batch_id: int) -> None:
         decoded = decode_envelope(batch, schema, required=key)
         if quarantine is None:
-            upsert(only_good_records(decoded), batch_id)
+            upsert(only_good_records(decoded))
             return
         decoded.persist()
         try:
             overwrite(bad_records(decoded), f"{quarantine}/batch={batch_id}")
-            upsert(good_records(decoded), batch_id)
+            upsert(good_records(decoded))
         finally:
             decoded.unpersist()
 
-    def upsert(rows: DataFrame, batch_id: int) -> None:
+    def upsert(rows: DataFrame) -> None:
         if stamp is not None:
             rows = stamp_load_time(rows, stamp)
-        if partition_by:
+        if buckets is not None:
+            rows = rows.withColumn(BUCKET_COLUMN, key_bucket(key, buckets))
+            upsert_partitions(rows, target, key, order, [BUCKET_COLUMN], keep_latest)
+        elif partition_by:
             upsert_partitions(rows, target, key, order, partition_by, keep_latest)
         else:
-            upsert_snapshot(rows, target, batch_id, key, order, keep_latest)
+            upsert_snapshot(rows, target, key, order, keep_latest)
 
     trigger = trigger or {"availableNow": True}
     return (

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import tableload as tl
 from tableload.operators import publish
-from tableload.operators.publish import next_snapshot, snapshots
+from tableload.operators.publish import snapshots
 
 SCHEMA = "k int, p string, v int"
 
@@ -21,23 +21,32 @@ def frame(spark, data):
 
 def test_snapshots(spark, tmp_path):
     path = str(tmp_path / "t")
-    assert tl.read_snapshot(spark, path) is None and next_snapshot(spark, path) == 0
-    tl.upsert_snapshot(frame(spark, [(1, "a", 1), (2, "a", 1)]), path, 0, ["k"], ["v"])
-    tl.upsert_snapshot(frame(spark, [(2, "b", 0), (3, "b", 1)]), path, 1, ["k"], ["v"])
+    assert tl.read_snapshot(spark, path) is None
+    tl.upsert_snapshot(frame(spark, [(1, "a", 1), (2, "a", 1)]), path, ["k"], ["v"])
     wanted = [(1, "a", 1), (2, "b", 0), (3, "b", 1)]
-    assert rows(tl.read_snapshot(spark, path)) == wanted
-    tl.upsert_snapshot(frame(spark, [(2, "b", 0), (3, "b", 1)]), path, 1, ["k"], ["v"])
-    assert rows(tl.read_snapshot(spark, path)) == wanted
-    tl.upsert_snapshot(frame(spark, [(9, "b", 0)]), path, 2, ["k"], ["v"])
-    assert snapshots(spark, path) == [1, 2] and next_snapshot(spark, path) == 3
+    for _ in range(2):
+        tl.upsert_snapshot(frame(spark, [(2, "b", 0), (3, "b", 1)]), path, ["k"], ["v"])
+        assert rows(tl.read_snapshot(spark, path)) == wanted
+    assert snapshots(spark, path) == [1, 2]
 
 
-def test_an_incomplete_snapshot_is_not_read(spark, tmp_path):
+def test_an_incomplete_snapshot_is_not_read_but_replaced(spark, tmp_path):
     path = str(tmp_path / "t")
-    tl.publish_snapshot(frame(spark, [(1, "a", 1)]), path, 0)
-    tl.publish_snapshot(frame(spark, [(2, "a", 1)]), path, 1)
+    tl.publish_snapshot(frame(spark, [(1, "a", 1)]), path)
+    tl.publish_snapshot(frame(spark, [(2, "a", 1)]), path)
     os.rename(f"{path}/snapshot=1/_SUCCESS", f"{path}/snapshot=1/_started")
     assert rows(tl.read_snapshot(spark, path)) == [(1, "a", 1)]
+    assert tl.publish_snapshot(frame(spark, [(3, "a", 1)]), path) == 1
+    assert rows(tl.read_snapshot(spark, path)) == [(3, "a", 1)]
+
+
+def test_columns_of_either_side_are_kept(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tl.upsert_snapshot(spark.sql("SELECT 1 AS k, 1 AS v, 'x' AS old"), path, ["k"], ["v"])
+    tl.upsert_snapshot(spark.sql("SELECT 2L AS k, 2 AS v, 'y' AS new"), path, ["k"], ["v"])
+    found = tl.read_snapshot(spark, path).select("k", "v", "old", "new").orderBy("k")
+    assert [tuple(r) for r in found.collect()] == [(1, 1, "x", None), (2, 2, None, "y")]
+    assert dict(found.dtypes)["k"] == "int"
 
 
 @pytest.mark.parametrize("limit", [32 << 20, 0], ids=["broadcast", "shuffled"])
@@ -85,3 +94,11 @@ def test_only_the_batch_is_shuffled_in_place(spark, tmp_path):
         tl.upsert_partitions(batch, path, ["k"], ["v"], ["bucket"])
     assert len(glob.glob(f"{path}/bucket=*/*.parquet")) <= 16
     assert spark.read.parquet(path).agg(F.count("*"), F.sum("v")).first()[:] == (40_000, 39_900 + 200)
+
+
+def test_a_partitioned_table_keeps_its_columns(spark, tmp_path):
+    path, batch = str(tmp_path / "t"), frame(spark, [(1, "a", 1)])
+    tl.upsert_partitions(batch, path, ["k"], ["v"], ["p"])
+    for other in (batch.select("k", "p", batch.v.alias("w")), batch.withColumn("w", F.lit(1))):
+        with pytest.raises(ValueError, match="differ"):
+            tl.upsert_partitions(other, path, ["k"], ["k"], ["p"])

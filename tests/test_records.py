@@ -71,6 +71,14 @@ def test_encode_is_the_inverse_and_bounds_its_events(spark):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
 
 
+def test_timestamps_keep_their_microseconds(spark, tmp_path):
+    df = spark.sql("SELECT timestamp_ntz'2024-01-02 03:04:05.678901' AS a, timestamp'2024-01-02 03:04:05.000009' AS b")
+    back = tl.only_good_records(tl.decode_envelope(tl.encode_envelope(df), df.schema))
+    assert back.first() == df.first()
+    tl.write_csv(df, str(tmp_path / "c"))
+    assert tl.scan_csv(spark, str(tmp_path / "c"), schema=df.schema).first() == df.first()
+
+
 def test_record_lists(spark):
     inferred = tl.records_to_table(spark, [{"b": "x", "a": 1}, {"a": 2, "c": True}])
     assert inferred.columns == ["a", "b", "c"]

@@ -159,5 +159,7 @@ def test_views_and_sql(spark):
         n=10,
     )
     assert sorted(r.v for r in result.collect()) == [13, 14]
+    with pytest.raises(ValueError, match="another session"):
+        tl.sql_transform(spark, "SELECT * FROM t", {"t": spark.newSession().range(3)})
     quoted = tl.sql_transform(spark, "SELECT :text AS v", text="a'; DROP TABLE t; --")
     assert quoted.first().v == "a'; DROP TABLE t; --"

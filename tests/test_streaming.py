@@ -53,6 +53,24 @@ def test_partitioned_target(spark, schema, source, tmp_path):
     ]
 
 
+def test_target_divided_by_key(spark, schema, source, tmp_path):
+    target = str(tmp_path / "t")
+    tl.stream_upsert(
+        tl.read_envelopes(spark, source, 2), target, schema, ["k"], ["v"], str(tmp_path / "c"), True, buckets=4
+    ).awaitTermination()
+    assert sorted((r.k, r.v) for r in spark.read.parquet(target).collect()) == [(k, 9) for k in range(20)]
+
+
+def test_a_stream_continues_a_loaded_table(spark, schema, source, tmp_path):
+    target = str(tmp_path / "t")
+    for k in (100, 101, 102):
+        tl.upsert_snapshot(spark.createDataFrame([(k, 1, "p")], schema), target, ["k"], ["v"])
+    tl.stream_upsert(
+        tl.read_envelopes(spark, source), target, schema, ["k"], ["v"], str(tmp_path / "c"), True, stamp=None
+    ).awaitTermination()
+    assert sorted(r.k for r in tl.read_snapshot(spark, target).collect()) == [*range(20), 100, 101, 102]
+
+
 def test_bad_records_are_kept_or_fail_the_query(spark, schema, tmp_path):
     good = tl.encode_envelope(spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], schema))
     spark.createDataFrame([("broken",)], "value string").union(good).coalesce(1).write.text(str(tmp_path / "events"))
