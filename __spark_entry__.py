@@ -360,6 +360,16 @@ def partitioned_table(spark, sf_dir):
     return tl.scan_parquet(spark, path, customers.schema).select(*customers.columns)
 
 
+def table_partitions_replaced(spark, sf_dir):
+    """The same by an insert into the table, which also has to learn of bands that only suppliers have."""
+    name = f"{new_database(spark)}.parties"
+    customers, suppliers = parties(spark, sf_dir, "customer"), parties(spark, sf_dir, "supplier")
+    tl.create_table(spark, name, customers.schema, tl.scratch_path(spark, "parties"), partition_by=["band"])
+    tl.insert_by_name(customers.hint("rebalance", "band"), name)
+    tl.replace_partitions(suppliers.hint("rebalance", "band"), name)
+    return tl.scan_table(spark, name)
+
+
 def warehouse_load(spark, sf_dir):
     database = new_database(spark)
     for name in ("supplier", "customer", "customer"):
@@ -403,6 +413,14 @@ def upsert_with(**options) -> Query:
     return query
 
 
+def upsert_bucketed_target(spark, sf_dir):
+    """A batch that is too large to broadcast, against a table stored by buckets of the key."""
+    name = f"{new_database(spark)}.postings"
+    tl.bulk_load_table(order_postings(spark, sf_dir), name, POSTING_KEY, POSTING_ORDER, buckets=8)
+    batch = line_postings(spark, sf_dir)
+    return shown(tl.upsert(spark.table(name), batch, POSTING_KEY, POSTING_ORDER, max_broadcast_bytes=0))
+
+
 def upsert_snapshots(spark, sf_dir):
     """Two loads into a published table, the second one repeated as after a lost driver."""
     path = tl.scratch_path(spark, "table")
@@ -583,6 +601,7 @@ def queries() -> dict[str, Query]:
         "create_and_insert_all": create_and_insert_all,
         "insert_by_name": insert_by_name,
         "partitioned_table": partitioned_table,
+        "table_partitions_replaced": table_partitions_replaced,
         "warehouse_load": warehouse_load,
         "observed_write_counts": observed_write_counts,
         "dedupe_batch": dedupe_batch,
@@ -592,6 +611,7 @@ def queries() -> dict[str, Query]:
         "upsert_incoming_wins_shuffled": upsert_with(max_broadcast_bytes=0),
         "upsert_keep_latest": upsert_with(keep_latest=True),
         "upsert_keep_latest_shuffled": upsert_with(keep_latest=True, max_broadcast_bytes=0),
+        "upsert_bucketed_target": upsert_bucketed_target,
         "upsert_snapshots": upsert_snapshots,
         "upsert_touched_partitions": upsert_touched_partitions,
         "commit_metadata": commit_metadata,
@@ -709,6 +729,8 @@ def oracle_sql() -> dict[str, str]:
         "FROM customer",
         "partitioned_table": f"{PARTIES} SELECT * FROM suppliers UNION ALL "
         "SELECT * FROM customers WHERE band NOT IN (SELECT band FROM suppliers)",
+        "table_partitions_replaced": f"{PARTIES} SELECT * FROM suppliers UNION ALL "
+        "SELECT * FROM customers WHERE band NOT IN (SELECT band FROM suppliers)",
         "warehouse_load": f"{PARTIES} SELECT * FROM customers",
         "observed_write_counts": "SELECT count(*) AS n_rows, count(o_custkey) AS n_cust, count(o_orderdate) AS n_date "
         "FROM orders",
@@ -719,6 +741,7 @@ def oracle_sql() -> dict[str, str]:
         "upsert_incoming_wins_shuffled": incoming_wins,
         "upsert_keep_latest": latest_of_both,
         "upsert_keep_latest_shuffled": latest_of_both,
+        "upsert_bucketed_target": incoming_wins,
         "upsert_snapshots": incoming_wins,
         "upsert_touched_partitions": latest_of_both,
         "commit_metadata": "SELECT 'c_mktsegment=' || c_mktsegment AS _partition_path, count(*) AS n_seqnos, "

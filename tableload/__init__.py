@@ -8,7 +8,7 @@ from tableload.functions.columns import (
     with_commit_metadata,
     with_file_name,
 )
-from tableload.operators.keyed import bulk_load, dedupe_batch, merge_into, upsert
+from tableload.operators.keyed import bulk_load, bulk_load_table, dedupe_batch, merge_into, upsert
 from tableload.operators.layout import file_sizes, rechunk
 from tableload.operators.publish import (
     key_bucket,
@@ -30,7 +30,7 @@ from tableload.operators.quality import (
     verify,
     write_reports,
 )
-from tableload.operators.tables import create_table, insert_all, insert_by_name
+from tableload.operators.tables import create_table, insert_all, insert_by_name, replace_partitions
 from tableload.operators.writes import (
     append,
     create,
@@ -61,6 +61,6 @@ from tableload.sources.tables import (
     scan_view,
 )
 from tableload.streaming.micro_batch import read_envelopes, stream_append, stream_upsert
-from tableload.workspace import scratch_path
+from tableload.workspace import drop_scratch, scratch_path
 
 __all__ = [name for name in dir() if not name.startswith("_")]

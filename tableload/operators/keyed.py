@@ -183,6 +183,15 @@ def bulk_load(
     overwrite(dedupe_batch(df, key, order, parallelism), path, **options)
 
 
+def bulk_load_table(df: DataFrame, table: str, key: Sequence[str], order: Sequence[str], buckets: int) -> None:
+    """Replace a catalog table by the latest row per key, divided into one sorted file per bucket of the key.
+
+    As the target of ``upsert`` or ``merge_into`` such a table is not shuffled, however large the batch is.
+    """
+    rows = dedupe_batch(df, key, order).repartition(buckets, *key)
+    rows.write.mode("overwrite").bucketBy(buckets, *key).sortBy(*key).saveAsTable(table)
+
+
 def merge_into(
     target: DataFrame,
     source: DataFrame,

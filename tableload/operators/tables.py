@@ -47,9 +47,9 @@ def create_table(
     )
 
 
-def insert_all(df: DataFrame, name: str, overwrite: bool = False) -> None:
+def insert_all(df: DataFrame, name: str) -> None:
     """Insert by position: the first column into the first column, whatever their names are."""
-    df.write.insertInto(_table(name), overwrite=overwrite)
+    df.write.insertInto(_table(name))
 
 
 def insert_by_name(df: DataFrame, name: str, columns: Sequence[str] | None = None) -> None:
@@ -58,3 +58,20 @@ def insert_by_name(df: DataFrame, name: str, columns: Sequence[str] | None = Non
     df.sparkSession.sql(
         "INSERT INTO IDENTIFIER(:name) BY NAME SELECT * FROM {rows}", args={"name": _table(name)}, rows=rows
     )
+
+
+def replace_partitions(df: DataFrame, name: str) -> None:
+    """Replace, by name, the partitions of a table that ``df`` has rows for; new ones are registered in the catalog.
+
+    Inserts take the overwrite mode from the session alone, so it is changed for the length of this call. ``df`` must
+    not read the table; ``overwrite_partitions`` on its location may.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
+    before = conf.get(key)
+    conf.set(key, "dynamic")
+    try:
+        df.sparkSession.sql(
+            "INSERT OVERWRITE IDENTIFIER(:name) BY NAME SELECT * FROM {rows}", args={"name": _table(name)}, rows=df
+        )
+    finally:
+        conf.set(key, before)

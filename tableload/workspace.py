@@ -26,7 +26,16 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path below the scratch root that nobody has used yet."""
-    return f"{scratch_root(spark).rstrip('/')}/tableload/{label}-{uuid.uuid4().hex}"
+    return f"{_own_scratch(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _own_scratch(spark: SparkSession) -> str:
+    return f"{scratch_root(spark).rstrip('/')}/tableload/{spark.sparkContext.applicationId}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this application has staged; results that are not written yet can no longer be computed."""
+    remove(spark, _own_scratch(spark))
 
 
 def _hadoop(spark: SparkSession, path: str):

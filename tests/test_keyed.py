@@ -135,6 +135,20 @@ def test_broadcast_follows_the_measured_size(spark):
     assert "SortMergeJoin" in large and "Broadcast" not in large
 
 
+@pytest.mark.parametrize("keep_latest", [False, True])
+def test_a_bucketed_target_is_not_shuffled(spark, keep_latest):
+    spark.sql("CREATE DATABASE IF NOT EXISTS tests")
+    df = spark.range(3_000).select(F.col("id").cast("int").alias("k"), F.lit(1).alias("v"), F.lit("a").alias("text"))
+    tl.bulk_load_table(df.union(df.withColumn("v", F.lit(0))), "tests.bucketed", ["k"], ["v"], buckets=4)
+    target = spark.table("tests.bucketed")
+    batch = df.where("k % 2 = 0").withColumn("v", F.lit(0)).union(df.withColumn("k", F.col("k") + 3_000))
+    result = tl.upsert(target, batch, ["k"], ["v"], keep_latest, max_broadcast_bytes=0)
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.count("Exchange") == 1
+    assert result.agg(F.count("*"), F.sum("v")).first()[:] == (6_000, 6_000 if keep_latest else 4_500)
+    spark.sql("DROP TABLE tests.bucketed")
+
+
 def merged_by_hand(target, source, insert=True):
     by_key = {}
     for row in source:

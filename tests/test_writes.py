@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import tableload as tl
-from tableload.workspace import scratch_path, scratch_root
+from tableload.workspace import exists, scratch_path, scratch_root
 
 
 def rows(df):
@@ -100,6 +100,17 @@ def test_positional_insert_ignores_names(spark, tmp_path):
     spark.sql("DROP TABLE tests.t2")
 
 
+def test_table_partitions_are_replaced_by_name(spark, tmp_path):
+    spark.sql("CREATE DATABASE IF NOT EXISTS tests")
+    df = spark.range(10).select("id", (F.col("id") % 3).cast("int").alias("p"))
+    tl.create_table(spark, "tests.t3", df.schema, str(tmp_path / "t"), ["p"])
+    tl.insert_by_name(df, "tests.t3")
+    tl.replace_partitions(spark.createDataFrame([(1, 100), (7, 101)], "p int, id bigint"), "tests.t3")
+    assert rows(tl.scan_table(spark, "tests.t3")) == sorted([(0, 0), (3, 0), (6, 0), (9, 0), (2, 2), (5, 2), (8, 2), (100, 1), (101, 7)])
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
+    spark.sql("DROP TABLE tests.t3")
+
+
 def test_warehouse_connector_gets_its_options(spark, tmp_path):
     tl.load_warehouse(spark.range(3), "T", format="parquet", connector_options={"path": str(tmp_path / "w")})
     assert spark.read.parquet(str(tmp_path / "w")).count() == 3
@@ -112,6 +123,13 @@ def test_observed_counts_need_no_second_scan(spark, tmp_path):
     assert found.get == {"rows": 2, "v": 1}
 
 
+def test_dropped_scratch(spark):
+    path = scratch_path(spark, "x")
+    spark.range(3).write.parquet(path)
+    tl.drop_scratch(spark)
+    assert not exists(spark, path)
+
+
 def test_scratch_root(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     assert scratch_root(spark) == root
