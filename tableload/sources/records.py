@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -30,15 +31,17 @@ def open_envelopes(envelopes: DataFrame, column: str = "value") -> DataFrame:
 
     An unreadable event stays as one row without payload; an event with an empty record list has no rows.
     """
-    event = F.from_json(column, ENVELOPE_DDL)
-    no_records = F.array(F.lit(None).cast("struct<kinesis:struct<data:string>>"))
+    def with_text(record: Column) -> Column:
+        data = record["kinesis"]["data"]
+        return F.struct(data.alias("data"), F.coalesce(data, F.to_json(record)).alias("text"))
+
+    records = F.transform(F.from_json(column, ENVELOPE_DDL)["Records"], with_text)
+    unreadable = F.array(F.struct(F.lit(None).cast("string").alias("data"), F.col(column).alias("text")))
+    # An outer explode: for an inner one the planner adds a filter on the list's size, which parses every event twice.
     return (
-        envelopes.select(F.col(column).alias("_event"), F.coalesce(event["Records"], no_records).alias("_records"))
-        .select("_event", F.explode("_records").alias("_record"))
-        .select(
-            decode_base64(F.col("_record.kinesis.data")).alias("_payload"),
-            F.coalesce(F.col("_record.kinesis.data"), F.col("_event")).alias("_raw"),
-        )
+        envelopes.select(F.explode_outer(F.coalesce(records, unreadable)).alias("_record"))
+        .where(F.col("_record").isNotNull())
+        .select(decode_base64(F.col("_record.data")).alias("_payload"), F.col("_record.text").alias("_raw"))
     )
 
 
@@ -124,13 +127,15 @@ def records_to_table(
 def encode_envelope(df: DataFrame, records_per_event: int = 100) -> DataFrame:
     """The inverse of ``decode_envelope``, as a producer does it: event texts in column ``value``.
 
-    Rows are numbered where they are, so that no event holds more than ``records_per_event`` records.
+    Each task packs its own rows, at most ``records_per_event`` to an event; nothing is shuffled.
     """
     payload = F.to_json(F.struct(*df.columns), MICROSECONDS)
-    record = F.struct(F.struct(F.base64(F.encode(payload, "UTF-8")).alias("data")).alias("kinesis"))
-    return (
-        df.select(record.alias("_record"), F.expr(f"monotonically_increasing_id() div {int(records_per_event)}").alias("_event"))
-        .groupBy("_event")
-        .agg(F.collect_list("_record").alias("Records"))
-        .select(F.to_json(F.struct("Records")).alias("value"))
-    )
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            records = [f'{{"kinesis":{{"data":"{data}"}}}}' for data in batch.column(0).to_pylist()]
+            events = [records[i : i + records_per_event] for i in range(0, len(records), records_per_event)]
+            yield pa.RecordBatch.from_pydict({"value": ['{"Records":[' + ",".join(e) + "]}" for e in events]})
+
+    data = F.translate(F.base64(F.encode(payload, "UTF-8")), "\r\n", "")
+    return df.select(data.alias("data")).mapInArrow(pack, "value string")
