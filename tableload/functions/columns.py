@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tableload.functions.names import col, cols
+
 # Fixed value: name of the load-time column.
 LOAD_COLUMN = "last_upd_timestamp"
 
@@ -18,7 +20,7 @@ def stamp_load_time(df: DataFrame, column: str = LOAD_COLUMN, if_absent: bool =
     """
     now = F.current_timestamp()
     if if_absent and column in df.columns:
-        now = F.coalesce(F.col(f"`{column}`").try_cast("timestamp"), now)
+        now = F.coalesce(col(column).try_cast("timestamp"), now)
     return df.withColumn(column, now)
 
 
@@ -40,7 +42,7 @@ def all_present(columns: Sequence[str], what: str = "record key") -> Column:
     """A filter condition that lets every row pass, and fails the job on a null in one of ``columns``."""
     some_null = F.lit(False)
     for name in columns:
-        some_null = some_null | F.col(name).isNull()
+        some_null = some_null | col(name).isNull()
     return F.when(some_null, F.raise_error(F.lit(f"null {what} in {', '.join(columns)}"))).otherwise(F.lit(True))
 
 
@@ -53,10 +55,10 @@ def with_commit_metadata(
     ``scan_with_file_name`` reads it from the files.
     """
     if len(key) == 1:
-        record_key = F.col(key[0]).cast("string")
+        record_key = col(key[0]).cast("string")
     else:
-        record_key = F.concat_ws(",", *[F.concat(F.lit(f"{k}:"), F.col(k).cast("string")) for k in key])
-    path = F.concat_ws("/", *[F.concat(F.lit(f"{p}="), F.col(p).cast("string")) for p in partition_by])
+        record_key = F.concat_ws(",", *[F.concat(F.lit(f"{k}:"), col(k).cast("string")) for k in key])
+    path = F.concat_ws("/", *[F.concat(F.lit(f"{p}="), col(p).cast("string")) for p in partition_by])
     seqno = F.concat_ws(
         "_",
         F.lit(str(batch_id)),
@@ -68,7 +70,7 @@ def with_commit_metadata(
         seqno.alias("_commit_seqno"),
         record_key.alias("_record_key"),
         path.alias("_partition_path"),
-        *df.columns,
+        *cols(df.columns),
     )
 
 

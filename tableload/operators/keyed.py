@@ -24,6 +24,7 @@ from pyspark.sql.types import (
 )
 
 from tableload.functions.columns import all_present
+from tableload.functions.names import col, cols, quoted
 from tableload.operators.writes import overwrite
 from tableload.workspace import scratch_path
 
@@ -38,7 +39,7 @@ def _row_bytes(schema: StructType) -> Column | None:
     size = F.lit(32 + 8 * len(schema.fields)).cast("long")
     for field in schema:
         if isinstance(field.dataType, (StringType, BinaryType)):
-            size = size + F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0)) + 8
+            size = size + F.coalesce(F.octet_length(col(field.name)), F.lit(0)) + 8
         elif isinstance(field.dataType, DecimalType):
             size = size + 16
         elif not isinstance(field.dataType, AtomicType):
@@ -63,7 +64,7 @@ def stage(df: DataFrame, label: str, measured: Sequence[str]) -> Staged:
     """Write ``df`` to the scratch folder, and measure its ``measured`` columns in the same job."""
     spark = df.sparkSession
     path, observation = scratch_path(spark, label), Observation()
-    row_bytes = _row_bytes(df.select(*measured).schema)
+    row_bytes = _row_bytes(df.select(*cols(measured)).schema)
     size = F.lit(0) if row_bytes is None else row_bytes
     overwrite(df.observe(observation, F.count(F.lit(1)).alias("rows"), F.sum(size).alias("bytes")), path)
     found = observation.get
@@ -86,15 +87,15 @@ def _latest(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFram
     order_only = [c for c in order if c not in key]
     # The row itself is the ordering value, so the aggregate carries each column once, and equal ordering values are
     # decided by the other columns and not by the order in which tasks finish.
-    row = F.struct(*[F.col(c) for c in [*order_only, *ranked]])
+    row = F.struct(*cols([*order_only, *ranked]))
     if unranked:
-        best = F.max_by(F.struct(*[F.col(c) for c in [*order_only, *rest]]), row)
+        best = F.max_by(F.struct(*cols([*order_only, *rest])), row)
     else:
         best = F.max(row)
     if not rest and not order_only:
-        return df.select(*key).distinct()
-    return df.groupBy(*key).agg(best.alias("_best")).select(
-        *[F.col(c) if c in key else F.col(f"_best.`{c}`").alias(c) for c in df.columns]
+        return df.select(*cols(key)).distinct()
+    return df.groupBy(*cols(key)).agg(best.alias("_best")).select(
+        *[col(c) if c in key else F.col(f"_best.{quoted(c)}").alias(c) for c in df.columns]
     )
 
 
@@ -108,12 +109,12 @@ def dedupe_batch(
     default the adaptive planner picks their number.
     """
     kept = _latest(df.where(all_present(key)), key, order)
-    return kept if parallelism is None else kept.repartition(parallelism, *key)
+    return kept if parallelism is None else kept.repartition(parallelism, *cols(key))
 
 
 def like(df: DataFrame, target: DataFrame) -> DataFrame:
     """The rows of ``df`` with the columns and types of ``target``."""
-    return df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in target.schema])
+    return df.select(*[col(f.name).cast(f.dataType).alias(f.name) for f in target.schema])
 
 
 def _small_or_shuffled(df: DataFrame, small: bool) -> DataFrame:
@@ -154,22 +155,22 @@ def upsert_parts(
     key, columns = list(key), target.columns
     if keep_latest and not small:
         return None, _newer_of_each(target, staged.rows, key, order)
-    keys = _small_or_shuffled(staged.rows.select(*key), small)
-    untouched = target.join(keys, key, "left_anti").select(*columns)
+    keys = _small_or_shuffled(staged.rows.select(*cols(key)), small)
+    untouched = target.join(keys, key, "left_anti").select(*cols(columns))
     if not keep_latest:
         return untouched, staged.rows
-    touched = target.join(keys, key, "left_semi").select(*columns)
+    touched = target.join(keys, key, "left_semi").select(*cols(columns))
     both = touched.withColumn(_INCOMING, F.lit(0)).unionByName(staged.rows.withColumn(_INCOMING, F.lit(1)))
     return untouched, _latest(both, key, [*order, _INCOMING]).drop(_INCOMING)
 
 
 def _newer_of_each(target: DataFrame, batch: DataFrame, key: list[str], order: Sequence[str]) -> DataFrame:
     """All rows of two tables with one row per key, the newer one where both have it: one shuffle and sort of each."""
-    stored = target.select(*key, F.struct(*target.columns).alias("_stored"))
-    incoming = batch.select(*key, F.struct(*target.columns).alias(_INCOMING))
+    stored = target.select(*cols(key), F.struct(*cols(target.columns)).alias("_stored"))
+    incoming = batch.select(*cols(key), F.struct(*cols(target.columns)).alias(_INCOMING))
 
     def rank(side: str) -> Column:
-        return F.struct(*[F.col(f"{side}.`{c}`").alias(c) for c in order])
+        return F.struct(*[F.col(f"{side}.{quoted(c)}").alias(c) for c in order])
 
     stored_wins = F.col(_INCOMING).isNull() | (F.col("_stored").isNotNull() & (rank("_stored") > rank(_INCOMING)))
     winner = F.when(stored_wins, F.col("_stored")).otherwise(F.col(_INCOMING)).alias("_winner")
@@ -188,7 +189,7 @@ def bulk_load_table(df: DataFrame, table: str, key: Sequence[str], order: Sequen
 
     As the target of ``upsert`` or ``merge_into`` such a table is not shuffled, however large the batch is.
     """
-    rows = dedupe_batch(df, key, order).repartition(buckets, *key)
+    rows = dedupe_batch(df, key, order).repartition(buckets, *cols(key))
     rows.write.mode("overwrite").bucketBy(buckets, *key).sortBy(*key).saveAsTable(table)
 
 
@@ -214,31 +215,31 @@ def merge_into(
     small = staged.fits(max_broadcast_bytes)
     has_key = F.lit(True)
     for name in on:
-        has_key = has_key & F.col(name).isNotNull()
+        has_key = has_key & col(name).isNotNull()
     keyed = staged.rows.where(has_key)
     _refuse_several_matches(target, keyed, on)
 
-    updates = keyed.select(*on, F.struct(*update_columns).alias("_new"))
+    updates = keyed.select(*cols(on), F.struct(*cols(update_columns)).alias("_new"))
     matched = F.col("_new").isNotNull()
     merged = target.join(_small_or_shuffled(updates, small), on, "left").select(
         *[
-            F.when(matched, F.col(f"_new.`{c}`")).otherwise(F.col(c)).alias(c) if c in update_columns else F.col(c)
+            F.when(matched, F.col(f"_new.{quoted(c)}")).otherwise(col(c)).alias(c) if c in update_columns else col(c)
             for c in target.columns
         ]
     )
     if not insert:
         return merged
     if small:
-        known = target.select(*on).join(F.broadcast(keyed.select(*on)), on, "left_semi").distinct()
-        return merged.unionByName(staged.rows.join(F.broadcast(known), on, "left_anti").select(*target.columns))
+        known = target.select(*cols(on)).join(F.broadcast(keyed.select(*cols(on))), on, "left_semi").distinct()
+        return merged.unionByName(staged.rows.join(F.broadcast(known), on, "left_anti").select(*cols(target.columns)))
     # Staged, the known keys are a plain table as well, and broadcast when they turn out few.
-    known = stage(target.select(*on).distinct().join(keyed.select(*on).hint("merge"), on, "left_semi"), "known", on)
+    known = stage(target.select(*cols(on)).distinct().join(keyed.select(*cols(on)).hint("merge"), on, "left_semi"), "known", on)
     added = keyed.join(_small_or_shuffled(known.rows, known.fits(max_broadcast_bytes)), on, "left_anti")
-    return merged.unionByName(added.select(*target.columns)).unionByName(staged.rows.where(~has_key))
+    return merged.unionByName(added.select(*cols(target.columns))).unionByName(staged.rows.where(~has_key))
 
 
 def _refuse_several_matches(target: DataFrame, keyed: DataFrame, on: list[str]) -> None:
     """Fail when a key that the source has several times is in the target, which is only read if there is such a key."""
-    repeated = keyed.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*on)
-    if not repeated.isEmpty() and not target.select(*on).join(repeated, on, "left_semi").isEmpty():
+    repeated = keyed.groupBy(*cols(on)).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select(*cols(on))
+    if not repeated.isEmpty() and not target.select(*cols(on)).join(repeated, on, "left_semi").isEmpty():
         raise ValueError(f"several source rows match a target row on {', '.join(on)}")

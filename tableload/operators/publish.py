@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from tableload.functions.names import col, cols
 from tableload.operators.keyed import MAX_BROADCAST_BYTES, dedupe_batch, like, stage, upsert_parts
 from tableload.operators.writes import overwrite, overwrite_partitions, spread_by
 from tableload.workspace import exists, first_file, remove, subfolders
@@ -83,13 +84,13 @@ def upsert_snapshot(
 
 def key_bucket(key: Sequence[str], buckets: int) -> Column:
     """A partition number made from the key, for keyed tables without a natural partition column."""
-    return F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+    return F.pmod(F.xxhash64(*cols(key)), F.lit(buckets)).cast("int")
 
 
 def _in_partitions(partition_by: Sequence[str], touched: list) -> Column:
     if len(partition_by) == 1:
-        return F.col(partition_by[0]).isin([row[0] for row in touched])
-    return reduce(or_, [reduce(and_, [F.col(n) == F.lit(v) for n, v in zip(partition_by, row)]) for row in touched])
+        return col(partition_by[0]).isin([row[0] for row in touched])
+    return reduce(or_, [reduce(and_, [col(n) == F.lit(v) for n, v in zip(partition_by, row)]) for row in touched])
 
 
 def _no_empty_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -97,7 +98,7 @@ def _no_empty_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     for name in columns:
         if isinstance(df.schema[name].dataType, StringType):
             empty = F.raise_error(F.lit(f"empty partition value in {name}"))
-            df = df.where(F.when(F.col(name) == "", empty).otherwise(F.lit(True)))
+            df = df.where(F.when(col(name) == "", empty).otherwise(F.lit(True)))
     return df
 
 
@@ -132,13 +133,13 @@ def upsert_partitions(
         raise ValueError(f"batch columns {batch.columns} differ from the table's {schema.names}")
     stored = spark.read.schema(schema).parquet(path)
     staged = stage(dedupe_batch(like(batch, stored), identity, order, parallelism), "batch", identity)
-    touched = staged.rows.select(*partition_by).distinct()
+    touched = staged.rows.select(*cols(partition_by)).distinct()
     listed = touched.limit(MAX_LISTED_PARTITIONS + 1).collect()
     if listed:
         if len(listed) <= MAX_LISTED_PARTITIONS:
             stored = stored.where(_in_partitions(partition_by, listed))
         else:
-            stored = stored.join(touched, list(partition_by), "left_semi").select(*schema.names)
+            stored = stored.join(touched, list(partition_by), "left_semi").select(*cols(schema.names))
         small = staged.fits(max_broadcast_bytes)
         kept, changed = upsert_parts(stored, staged, identity, order, keep_latest, small)
         if small:

@@ -14,6 +14,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tableload.functions.names import col, cols
 from tableload.operators.writes import write_single_csv
 
 # Report columns, report folders and statuses.
@@ -57,7 +58,7 @@ class Completeness:
         return (self.column,)
 
     def value(self) -> Column:
-        return F.try_divide(F.count(F.col(self.column)), F.count(F.lit(1)))
+        return F.try_divide(F.count(col(self.column)), F.count(F.lit(1)))
 
     def __str__(self) -> str:
         return f"Completeness({self.column},None)"
@@ -80,7 +81,7 @@ class ApproxCountDistinct:
         return (self.column,)
 
     def value(self) -> Column:
-        return F.approx_count_distinct(F.col(self.column), self.rsd).cast("double")
+        return F.approx_count_distinct(col(self.column), self.rsd).cast("double")
 
     def __str__(self) -> str:
         return f"ApproxCountDistinct({self.column},None)"
@@ -102,7 +103,7 @@ class Mean:
         return (self.column,)
 
     def value(self) -> Column:
-        return F.avg(F.col(self.column).try_cast("double"))
+        return F.avg(col(self.column).try_cast("double"))
 
     def __str__(self) -> str:
         return f"Mean({self.column},None)"
@@ -124,7 +125,7 @@ class NonNegative:
         return (self.column,)
 
     def value(self) -> Column:
-        number = F.coalesce(F.col(self.column).try_cast("decimal(20,10)"), F.lit(0))
+        number = F.coalesce(col(self.column).try_cast("decimal(20,10)"), F.lit(0))
         return F.try_divide(F.count_if(number >= 0), F.count(F.lit(1)))
 
     def __str__(self) -> str:
@@ -164,9 +165,9 @@ class Metric:
 
 def _uniqueness(df: DataFrame, position: int, columns: Sequence[str]) -> DataFrame:
     """One row: the share of once-only values. Tasks count their own rows per value before the shuffle."""
-    some_value = reduce(or_, [F.col(c).isNotNull() for c in columns])
-    counts = df.where(some_value).groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
-    once = F.try_divide(F.count_if(F.col("n") == 1), F.sum("n"))
+    some_value = reduce(or_, [col(c).isNotNull() for c in columns])
+    counts = df.where(some_value).groupBy(*cols(columns)).agg(F.count(F.lit(1)).alias("_rows"))
+    once = F.try_divide(F.count_if(F.col("_rows") == 1), F.sum("_rows"))
     return counts.agg(F.lit(position).alias("position"), once.alias("value"))
 
 

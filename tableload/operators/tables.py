@@ -7,14 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
+from tableload.functions.names import cols, quoted
 
 
 def _table(name: str) -> str:
     """``db.table`` with each part quoted."""
-    return ".".join(_quoted(part) for part in name.split("."))
+    return ".".join(quoted(part) for part in name.split("."))
 
 
 def create_table(
@@ -30,7 +28,7 @@ def create_table(
     """Create an external table at ``location`` (a managed one without), partitioned by columns of its schema."""
     clauses, args = [], {"name": _table(name)}
     if partition_by:
-        clauses.append(f"PARTITIONED BY ({', '.join(map(_quoted, partition_by))})")
+        clauses.append(f"PARTITIONED BY ({', '.join(map(quoted, partition_by))})")
     if location is not None:
         clauses.append("LOCATION :location")
         args["location"] = location
@@ -42,7 +40,7 @@ def create_table(
         clauses.append(f"TBLPROPERTIES ({', '.join(pairs)})")
     spark.sql(
         f"CREATE TABLE {'IF NOT EXISTS' if if_not_exists else ''} IDENTIFIER(:name) ({schema.toDDL()}) "
-        f"USING {_quoted(format)} {' '.join(clauses)}",
+        f"USING {quoted(format)} {' '.join(clauses)}",
         args=args,
     )
 
@@ -54,7 +52,7 @@ def insert_all(df: DataFrame, name: str) -> None:
 
 def insert_by_name(df: DataFrame, name: str, columns: Sequence[str] | None = None) -> None:
     """Insert ``columns`` of ``df`` (all by default) into the columns of the same names; others become null."""
-    rows = df if columns is None else df.select(*columns)
+    rows = df if columns is None else df.select(*cols(columns))
     df.sparkSession.sql(
         "INSERT INTO IDENTIFIER(:name) BY NAME SELECT * FROM {rows}", args={"name": _table(name)}, rows=rows
     )

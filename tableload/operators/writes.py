@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, DataFrameWriter, Observation
 from pyspark.sql import functions as F
 
+from tableload.functions.names import col, cols
+
 # How timestamps are written as text.
 MICROSECONDS = {
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
@@ -27,7 +29,7 @@ def spread_by(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     A rebalance lets the adaptive planner split a value that holds much of the data and merge small ones.
     """
-    return df.hint("rebalance", *columns) if columns else df
+    return df.hint("rebalance", *cols(columns)) if columns else df
 
 
 def append(df: DataFrame, path: str, format: str = "parquet", partition_by: Sequence[str] = (), **options) -> None:
@@ -101,5 +103,5 @@ def observe_counts(df: DataFrame, columns: Sequence[str] = ()) -> tuple[DataFram
     ``observation.get`` has ``rows`` and, for each of ``columns``, its number of non-null values.
     """
     observation = Observation()
-    counts = [F.count(F.col(c)).alias(c) for c in columns]
+    counts = [F.count(col(c)).alias(c) for c in columns]
     return df.observe(observation, F.count(F.lit(1)).alias("rows"), *counts), observation

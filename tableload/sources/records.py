@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tableload.functions.columns import decode_base64
+from tableload.functions.names import cols, quoted
 from tableload.operators.writes import MICROSECONDS
 
 # Fixed value: shape of a stream event.
@@ -67,9 +68,9 @@ def _parse(payloads: DataFrame, schema: StructType, required: Sequence[str]) ->
     df = payloads.select(parsed.alias("_r"), "_raw")
     bad = F.col("_r").isNull() | F.col(f"_r.{_CORRUPT}").isNotNull()
     for name in required:
-        bad = bad | F.col(f"_r.`{name}`").isNull()
+        bad = bad | F.col(f"_r.{quoted(name)}").isNull()
     return df.select(
-        *[F.col(f"_r.`{f.name}`").alias(f.name) for f in schema],
+        *[F.col(f"_r.{quoted(f.name)}").alias(f.name) for f in schema],
         F.when(bad, F.coalesce("_raw", F.lit(""))).alias(BAD_RECORD),
     )
 
@@ -129,7 +130,7 @@ def encode_envelope(df: DataFrame, records_per_event: int = 100) -> DataFrame:
 
     Each task packs its own rows, at most ``records_per_event`` to an event; nothing is shuffled.
     """
-    payload = F.to_json(F.struct(*df.columns), MICROSECONDS)
+    payload = F.to_json(F.struct(*cols(df.columns)), MICROSECONDS)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -228,3 +228,17 @@ def test_bulk_load(spark, tmp_path):
     for _ in range(2):
         tl.bulk_load(frame(spark, data), path, ["k"], ["v"])
     assert rows(spark.read.parquet(path)) == rows_of(latest(data).values())
+
+
+@BOTH
+def test_names_with_dots_and_helper_names(spark, limit):
+    """Column names of loaded files are taken as they are, also those used inside."""
+    schema = "`k.1` int, n int, `a``b` string, _rows int"
+    target = spark.createDataFrame([(1, 1, "x", 1), (2, 1, "x", 1)], schema)
+    batch = spark.createDataFrame([(2, 2, "y", 2), (3, 2, "y", 2)], schema)
+    key, options = ["k.1", "n"], {"max_broadcast_bytes": limit}
+    for keep_latest in (False, True):
+        result = tl.upsert(target, batch, ["k.1"], ["n"], keep_latest, **options)
+        assert rows(result) == [(1, 1, "x", 1), (2, 2, "y", 2), (3, 2, "y", 2)]
+    result = tl.merge_into(target, batch.withColumn("n", F.lit(1)), key, ["a`b", "_rows"], **options)
+    assert rows(result) == [(1, 1, "x", 1), (2, 1, "y", 2), (3, 1, "y", 2)]

@@ -102,3 +102,13 @@ def test_a_partitioned_table_keeps_its_columns(spark, tmp_path):
     for other in (batch.select("k", "p", batch.v.alias("w")), batch.withColumn("w", F.lit(1))):
         with pytest.raises(ValueError, match="differ"):
             tl.upsert_partitions(other, path, ["k"], ["k"], ["p"])
+
+
+def test_names_with_dots(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "`k.1` int, `p.1` string, `v.1` int")
+    for _ in range(2):
+        tl.upsert_partitions(df, str(tmp_path / "t"), ["k.1"], ["v.1"], ["p.1"])
+        tl.upsert_snapshot(df, str(tmp_path / "s"), ["k.1"], ["v.1"])
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+    assert rows(tl.read_snapshot(spark, str(tmp_path / "s"))) == rows(df)
+    assert tl.with_commit_metadata(df, ["k.1"], ["p.1"]).where("_record_key = '2'").first()._partition_path == "p.1=b"

@@ -124,3 +124,10 @@ def test_uniqueness_of_a_column_with_a_frequent_value(spark):
     df = spark.range(90_000).select(F.expr("if(id % 3 = 0, -1, id)").alias("k"))
     (metric,) = tl.run_analyzers(df, [tl.Uniqueness(("k",))])
     assert metric.value == pytest.approx(2 / 3)
+
+
+def test_names_with_dots_and_helper_names(spark):
+    df = spark.createDataFrame([(1, 1.0), (1, 2.0)], "n int, `price.eur` double")
+    check = tl.Check("Warning", "c").is_unique("n").is_unique("price.eur", "n").is_complete("price.eur")
+    result = tl.verify(df, [check.is_non_negative("price.eur")])
+    assert [r[4] for r in result.results] == ["Failure", "Success", "Success", "Success"]
