@@ -12,6 +12,7 @@ from tableload.operators.keyed import bulk_load, bulk_load_table, dedupe_batch,
 from tableload.operators.layout import file_sizes, rechunk
 from tableload.operators.publish import (
     key_bucket,
+    merge_snapshot,
     publish_snapshot,
     read_snapshot,
     upsert_partitions,

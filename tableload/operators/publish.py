@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from tableload.functions.names import col, cols
-from tableload.operators.keyed import MAX_BROADCAST_BYTES, dedupe_batch, like, stage, upsert_parts
+from tableload.operators.keyed import MAX_BROADCAST_BYTES, dedupe_batch, like, merge_into, stage, upsert_parts
 from tableload.operators.writes import overwrite, overwrite_partitions, spread_by
 from tableload.workspace import exists, first_file, remove, subfolders
 
@@ -82,6 +82,21 @@ def upsert_snapshot(
     remove(spark, staged.path)
 
 
+def merge_snapshot(
+    source: DataFrame,
+    path: str,
+    on: Sequence[str],
+    update_columns: Sequence[str],
+    insert: bool = True,
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+) -> None:
+    """Merge a source into the newest snapshot, as ``merge_into`` does, and publish the result as the next one."""
+    target = read_snapshot(source.sparkSession, path)
+    if target is None:
+        raise ValueError(f"no table to merge into at {path}")
+    publish_snapshot(merge_into(target, source, on, update_columns, insert, max_broadcast_bytes), path)
+
+
 def key_bucket(key: Sequence[str], buckets: int) -> Column:
     """A partition number made from the key, for keyed tables without a natural partition column."""
     return F.pmod(F.xxhash64(*cols(key)), F.lit(buckets)).cast("int")

@@ -87,6 +87,8 @@ def decode_envelope(
     is null. Without ``schema`` the payload keys are looked up first, in a pass of their own. Decoding is done by
     built-in expressions in the tasks that read the events; split the result with ``good_records`` and ``bad_records``.
     """
+    if schema is None and envelopes.isStreaming:
+        raise ValueError("a stream needs a schema")
     payloads = open_envelopes(envelopes, column)
     return _parse(payloads, payload_schema(payloads) if schema is None else schema, required)
 

@@ -112,3 +112,13 @@ def test_names_with_dots(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
     assert rows(tl.read_snapshot(spark, str(tmp_path / "s"))) == rows(df)
     assert tl.with_commit_metadata(df, ["k.1"], ["p.1"]).where("_record_key = '2'").first()._partition_path == "p.1=b"
+
+
+def test_merge_into_a_published_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    with pytest.raises(ValueError, match="no table"):
+        tl.merge_snapshot(frame(spark, [(1, "x", 1)]), path, ["k"], ["p"])
+    tl.publish_snapshot(frame(spark, [(1, "a", 1), (1, "b", 2), (2, "c", 3)]), path)
+    for _ in range(2):
+        tl.merge_snapshot(frame(spark, [(1, "x", 9), (3, "new", 9)]), path, ["k"], ["p"])
+        assert rows(tl.read_snapshot(spark, path)) == [(1, "x", 1), (1, "x", 2), (2, "c", 3), (3, "new", 9)]

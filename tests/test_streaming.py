@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql.types import StructType
 
 import tableload as tl
+from tableload.streaming import micro_batch
 
 ROWS = [(k, v) for k in range(20) for v in range(10)]
 
@@ -94,3 +95,50 @@ def test_append_loads_every_record_once(spark, schema, source, tmp_path):
             tl.read_envelopes(spark, source, 1), target, schema, checkpoint, partition_by=["p"]
         ).awaitTermination()
     assert sorted((r.k, r.v) for r in spark.read.parquet(target).collect()) == sorted(ROWS)
+
+
+@pytest.mark.parametrize("partitioned", [False, True], ids=["snapshot", "partitions"])
+@pytest.mark.parametrize("keep_latest", [False, True], ids=["incoming", "latest"])
+def test_a_batch_whose_commit_was_lost_is_replayed(spark, schema, source, tmp_path, monkeypatch, partitioned, keep_latest):
+    """The driver dies after the second batch is published and before the stream has recorded it."""
+    name = "upsert_partitions" if partitioned else "upsert_snapshot"
+    publish, calls = getattr(micro_batch, name), []
+
+    def dies(*args):
+        publish(*args)
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("driver lost")
+
+    def run(target, checkpoint):
+        return tl.stream_upsert(
+            tl.read_envelopes(spark, source, 1),
+            str(tmp_path / target),
+            schema,
+            ["p", "k"],
+            ["v"],
+            str(tmp_path / checkpoint),
+            keep_latest=keep_latest,
+            partition_by=["p"] if partitioned else [],
+            stamp=None,
+        )
+
+    monkeypatch.setattr(micro_batch, name, dies)
+    with pytest.raises(Exception, match="driver lost"):
+        run("t", "c").awaitTermination()
+    monkeypatch.setattr(micro_batch, name, publish)
+    run("t", "c").awaitTermination()
+    run("undisturbed", "c2").awaitTermination()
+
+    def rows(target):
+        path = str(tmp_path / target)
+        df = spark.read.parquet(path) if partitioned else tl.read_snapshot(spark, path)
+        return sorted((r.k, r.v, r.p) for r in df.collect())
+
+    assert len(calls) == 2 and len(rows("t")) == 20
+    assert rows("t") == rows("undisturbed")
+
+
+def test_a_stream_needs_a_schema(spark, source):
+    with pytest.raises(ValueError, match="schema"):
+        tl.decode_envelope(tl.read_envelopes(spark, source))
