@@ -135,7 +135,9 @@ EVENTS = """
 SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, user_id, event_type, value, props FROM events
 """
 
-LATEST_EVENTS = f"SELECT * FROM ({EVENTS}) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"
+LATEST_EVENTS = (
+    f"SELECT * FROM ({EVENTS}) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"
+)
 
 
 def event_files(spark: SparkSession, sf_dir: str, files: int = 4) -> str:

@@ -28,8 +28,9 @@ from tableload.functions.names import col, cols, quoted
 from tableload.operators.writes import overwrite
 from tableload.workspace import scratch_path
 
-# Measured size up to which one side of a join is broadcast.
-MAX_BROADCAST_BYTES = 32 << 20
+# Measured size up to which the keys of a batch are broadcast: little for a driver and each executor to hold, and much
+# less to move than a target that is worth partitioning.
+MAX_BROADCAST_BYTES = 128 << 20
 
 _INCOMING = "_incoming"
 
@@ -233,7 +234,8 @@ def merge_into(
         known = target.select(*cols(on)).join(F.broadcast(keyed.select(*cols(on))), on, "left_semi").distinct()
         return merged.unionByName(staged.rows.join(F.broadcast(known), on, "left_anti").select(*cols(target.columns)))
     # Staged, the known keys are a plain table as well, and broadcast when they turn out few.
-    known = stage(target.select(*cols(on)).distinct().join(keyed.select(*cols(on)).hint("merge"), on, "left_semi"), "known", on)
+    stored_keys = target.select(*cols(on)).distinct()
+    known = stage(stored_keys.join(keyed.select(*cols(on)).hint("merge"), on, "left_semi"), "known", on)
     added = keyed.join(_small_or_shuffled(known.rows, known.fits(max_broadcast_bytes)), on, "left_anti")
     return merged.unionByName(added.select(*cols(target.columns))).unionByName(staged.rows.where(~has_key))
 

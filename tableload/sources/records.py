@@ -140,5 +140,5 @@ def encode_envelope(df: DataFrame, records_per_event: int = 100) -> DataFrame:
             events = [records[i : i + records_per_event] for i in range(0, len(records), records_per_event)]
             yield pa.RecordBatch.from_pydict({"value": ['{"Records":[' + ",".join(e) + "]}" for e in events]})
 
-    data = F.translate(F.base64(F.encode(payload, "UTF-8")), "\r\n", "")
+    data = F.replace(F.base64(F.encode(payload, "UTF-8")), F.lit("\r\n"), F.lit(""))
     return df.select(data.alias("data")).mapInArrow(pack, "value string")

@@ -7,7 +7,7 @@ import tableload as tl
 from tableload.operators.keyed import stage
 
 SCHEMA = "k int, v int, text string"
-BOTH = pytest.mark.parametrize("limit", [32 << 20, 0], ids=["broadcast", "shuffled"])
+BOTH = pytest.mark.parametrize("limit", [128 << 20, 0], ids=["broadcast", "shuffled"])
 
 
 def rows(df):
@@ -18,6 +18,10 @@ def frame(spark, data, schema=SCHEMA):
     return spark.createDataFrame(data, schema).repartition(3)
 
 
+def numbered(spark, n):
+    return spark.range(n).select(F.col("id").cast("int").alias("k"), F.lit(1).alias("v"), F.lit("a").alias("text"))
+
+
 def random_rows(seed, n, keys):
     r = random.Random(seed)
     return [(r.randrange(keys), r.randrange(5), r.choice("abc")) for _ in range(n)]
@@ -122,7 +126,7 @@ def test_a_batch_is_computed_once(spark):
 
 
 def test_broadcast_follows_the_measured_size(spark):
-    target = spark.range(1_000).select(F.col("id").cast("int").alias("k"), F.lit(1).alias("v"), F.lit("a").alias("text"))
+    target = numbered(spark, 1_000)
     staged = stage(target, "x", ["k", "text"])
     assert staged.count == 1_000 and staged.fits(100_000) and not staged.fits(10_000)
     assert stage(spark.range(2).select(F.array("id").alias("a")), "x", ["a"]).bytes is None
@@ -138,7 +142,7 @@ def test_broadcast_follows_the_measured_size(spark):
 @pytest.mark.parametrize("keep_latest", [False, True])
 def test_a_bucketed_target_is_not_shuffled(spark, keep_latest):
     spark.sql("CREATE DATABASE IF NOT EXISTS tests")
-    df = spark.range(3_000).select(F.col("id").cast("int").alias("k"), F.lit(1).alias("v"), F.lit("a").alias("text"))
+    df = numbered(spark, 3_000)
     tl.bulk_load_table(df.union(df.withColumn("v", F.lit(0))), "tests.bucketed", ["k"], ["v"], buckets=4)
     target = spark.table("tests.bucketed")
     batch = df.where("k % 2 = 0").withColumn("v", F.lit(0)).union(df.withColumn("k", F.col("k") + 3_000))
@@ -165,7 +169,8 @@ def merged_by_hand(target, source, insert=True):
 @pytest.mark.parametrize("seed", range(3))
 def test_merge(spark, limit, seed):
     target = [*random_rows(seed, 60, 20), (None, 1, "n")]
-    source = [*latest(random_rows(seed + 50, 40, 45)).values(), (None, 2, "s"), (None, 2, "s"), (99, 1, "x"), (99, 2, "y")]
+    repeated = [(None, 2, "s"), (None, 2, "s"), (99, 1, "x"), (99, 2, "y")]
+    source = [*latest(random_rows(seed + 50, 40, 45)).values(), *repeated]
     for insert in (True, False):
         result = tl.merge_into(
             frame(spark, target), frame(spark, source), ["k"], ["text"], insert=insert, max_broadcast_bytes=limit
@@ -176,7 +181,8 @@ def test_merge(spark, limit, seed):
 @BOTH
 def test_merge_with_an_empty_source_is_the_identity(spark, limit):
     target = random_rows(1, 30, 10)
-    assert rows(tl.merge_into(frame(spark, target), frame(spark, []), ["k"], ["v"], max_broadcast_bytes=limit)) == rows_of(target)
+    result = tl.merge_into(frame(spark, target), frame(spark, []), ["k"], ["v"], max_broadcast_bytes=limit)
+    assert rows(result) == rows_of(target)
 
 
 @BOTH
@@ -187,11 +193,10 @@ def test_merge_refuses_several_matches(spark, limit):
 
 
 def test_merge_does_not_shuffle_the_target_for_a_small_source(spark, tmp_path):
-    spark.range(10_000).select(F.col("id").cast("int").alias("k"), F.lit(1).alias("v"), F.lit("a").alias("text")).write.parquet(
-        str(tmp_path / "t")
-    )
+    numbered(spark, 10_000).write.parquet(str(tmp_path / "t"))
     target = spark.read.parquet(str(tmp_path / "t"))
-    plan = tl.merge_into(target, frame(spark, [(1, 2, "b")]), ["k"], ["v"])._jdf.queryExecution().executedPlan().toString()
+    result = tl.merge_into(target, frame(spark, [(1, 2, "b")]), ["k"], ["v"])
+    plan = result._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 3
     # The second look at the target reads its key only.
     assert "ReadSchema: struct<k:int>" in plan
@@ -199,10 +204,9 @@ def test_merge_does_not_shuffle_the_target_for_a_small_source(spark, tmp_path):
 
 def test_a_frequent_merge_key_is_split(spark):
     """Shuffled, a key with most of the target is joined by several tasks."""
-    target = spark.range(300_000, numPartitions=4).select(
-        F.expr("if(id % 3 = 0, 7, id)").cast("int").alias("k"), F.col("id").cast("int").alias("v"), F.uuid().alias("text")
-    )
-    source = spark.range(0, 400_000, 2).select(F.col("id").cast("int").alias("k"), F.lit(1).alias("v"), F.lit("s").alias("text"))
+    key = F.expr("if(id % 3 = 0, 7, id)").cast("int").alias("k")
+    target = spark.range(300_000, numPartitions=4).select(key, F.lit(1).alias("v"), F.uuid().alias("text"))
+    source = numbered(spark, 400_000).where("k % 2 = 0")
     settings = {
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1MB",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",

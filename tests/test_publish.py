@@ -71,7 +71,8 @@ def test_partitions(spark, tmp_path, monkeypatch, limit, keep_latest, listed):
 
 def test_two_partition_columns_and_an_empty_batch(spark, tmp_path):
     path = str(tmp_path / "t")
-    df = spark.range(60).select("id", (F.col("id") % 3).alias("a"), F.date_add(F.lit("2024-01-01"), (F.col("id") % 2).cast("int")).alias("d"), F.lit(1).alias("v"))
+    day = F.date_add(F.lit("2024-01-01"), (F.col("id") % 2).cast("int")).alias("d")
+    df = spark.range(60).select("id", (F.col("id") % 3).alias("a"), day, F.lit(1).alias("v"))
     tl.upsert_partitions(df, path, ["id"], ["v"], ["a", "d"])
     tl.upsert_partitions(df.where("id < 10").withColumn("v", F.lit(2)), path, ["id"], ["v"], ["a", "d"])
     tl.upsert_partitions(df.where("id < 0"), path, ["id"], ["v"], ["a", "d"])
@@ -87,7 +88,8 @@ def test_partition_values_that_cannot_be_told_from_null(spark, tmp_path):
 def test_only_the_batch_is_shuffled_in_place(spark, tmp_path):
     """Stored rows are rewritten by the tasks that scan them, so the file count does not explode either."""
     path = str(tmp_path / "t")
-    df = spark.range(40_000).select(F.col("id").alias("k"), tl.key_bucket(["id"], 4).alias("bucket"), F.lit(1).alias("v"))
+    bucket = tl.key_bucket(["id"], 4).alias("bucket")
+    df = spark.range(40_000).select(F.col("id").alias("k"), bucket, F.lit(1).alias("v"))
     tl.upsert_partitions(df, path, ["k"], ["v"], ["bucket"])
     for i in range(3):
         batch = df.where("k < 100").withColumn("v", F.lit(i))

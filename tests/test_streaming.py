@@ -99,7 +99,9 @@ def test_append_loads_every_record_once(spark, schema, source, tmp_path):
 
 @pytest.mark.parametrize("partitioned", [False, True], ids=["snapshot", "partitions"])
 @pytest.mark.parametrize("keep_latest", [False, True], ids=["incoming", "latest"])
-def test_a_batch_whose_commit_was_lost_is_replayed(spark, schema, source, tmp_path, monkeypatch, partitioned, keep_latest):
+def test_a_batch_whose_commit_was_lost_is_replayed(
+    spark, schema, source, tmp_path, monkeypatch, partitioned, keep_latest
+):
     """The driver dies after the second batch is published and before the stream has recorded it."""
     name = "upsert_partitions" if partitioned else "upsert_snapshot"
     publish, calls = getattr(micro_batch, name), []
