@@ -6,14 +6,18 @@ them take whole tables; where an operator needs a stored table and a batch, two
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-import tableload as tl
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
+import tableload as tl  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 

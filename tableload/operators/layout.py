@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tableload.functions.names import cols
 from tableload.sources.delimited import split_session
 
 # Fixed value: bytes per rewritten chunk (128 MiB).
@@ -25,26 +26,33 @@ def rechunk(
     target: str,
     chunk_bytes: int = CHUNK_BYTES,
     sep: str = ",",
+    format: str = "csv",
     headroom: float = 0.05,
     splittable: bool = True,
     **options: str | bool,
 ) -> DataFrame:
     """Rewrite header CSV files as chunks of at most ``chunk_bytes``, each with the header; returns their sizes.
 
+    ``header=False`` is for CSV without one, and ``format="text"`` copies the lines of any text file as they are.
+
     Each input split of that size, less ``headroom``, becomes one chunk: rows are copied where they are read, without a
     shuffle. The headroom is for the repeated header, for quoting and for the row that crosses the end of a split; a
     chunk that is still too large fails the call. Sources that cannot be split (compressed, or with line breaks inside
-    quotes) take ``splittable=False``, which deals the rows out evenly instead.
+    quotes) take ``splittable=False``, which counts their bytes in a pass of its own and deals the rows out evenly.
     """
     split_bytes = max(1, int(chunk_bytes * (1 - headroom)))
     session = split_session(spark, split_bytes, exact=True)
-    rows = (
-        session.read.options(header=True, sep=sep, nullValue=_NO_VALUE, emptyValue="").options(**options).csv(path)
-    )
+    reading, writing = {}, {}
+    if format == "csv":
+        reading = {"header": True, "sep": sep, "nullValue": _NO_VALUE, "emptyValue": ""}
+        writing = {"header": True, "sep": sep, "nullValue": "", "emptyValue": '""'}
+    rows = session.read.format(format).options(**{**reading, **options}).load(path)
     if not splittable:
-        total = file_sizes(spark, path).agg(F.sum("length")).first()[0] or 0
+        # Counted on the rows, since a compressed file says little about their size.
+        row_bytes = sum((F.coalesce(F.octet_length(c), F.lit(0)) + 3 for c in cols(rows.columns)), F.lit(0))
+        total = rows.agg(F.sum(row_bytes)).first()[0] or 0
         rows = rows.repartition(max(1, -(-total // split_bytes)))
-    rows.write.options(header=True, sep=sep, nullValue="", emptyValue='""').options(**options).csv(target)
+    rows.write.format(format).options(**{**writing, **options}).save(target)
     sizes = file_sizes(spark, target)
     largest = sizes.agg(F.max("length")).first()[0] or 0
     if largest > chunk_bytes:

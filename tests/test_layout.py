@@ -68,5 +68,23 @@ def test_compressed_source(spark, tmp_path):
     source = tmp_path / "in.csv.gz"
     with gzip.open(source, "wt") as f:
         f.write("id\n" + "".join(f"{i}\n" for i in range(10_000)))
-    tl.rechunk(spark, str(source), str(tmp_path / "out"), 100_000, splittable=False)
+    assert source.stat().st_size < 30_000
+    assert tl.rechunk(spark, str(source), str(tmp_path / "out"), 30_000, splittable=False).count() >= 2
     assert tl.scan_csv(spark, str(tmp_path / "out")).count() == 10_000
+
+
+def test_lines_of_any_text_file(spark, tmp_path):
+    source = tmp_path / "in.dat"
+    lines = [f'line {i}, "as it" is; \\ ß' for i in range(10_000)]
+    source.write_text("\n".join(lines) + "\n", encoding="utf-8")
+    sizes = tl.rechunk(spark, str(source), str(tmp_path / "out"), 50_000, format="text")
+    assert sizes.count() > 5
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == sorted(lines)
+
+
+def test_csv_without_a_header(spark, tmp_path):
+    source = tmp_path / "in.csv"
+    source.write_text("".join(f"{i};x\n" for i in range(10_000)))
+    sizes = tl.rechunk(spark, str(source), str(tmp_path / "out"), 20_000, sep=";", header=False)
+    assert sizes.count() > 3
+    assert spark.read.csv(str(tmp_path / "out"), sep=";").count() == 10_000
