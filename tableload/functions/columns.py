@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableload.functions.names import col, cols
+from tableload.functions.names import Names, col, cols, names_of
 
 # Fixed value: name of the load-time column.
 LOAD_COLUMN = "last_upd_timestamp"
@@ -38,22 +38,23 @@ def decode_base64(data: Column | str) -> Column:
     return F.try_validate_utf8(F.try_to_binary(data, F.lit("base64")).cast("string"))
 
 
-def all_present(columns: Sequence[str], what: str = "record key") -> Column:
+def all_present(columns: Names, what: str = "record key") -> Column:
     """A filter condition that lets every row pass, and fails the job on a null in one of ``columns``."""
-    some_null = F.lit(False)
+    some_null, columns = F.lit(False), names_of(columns)
     for name in columns:
         some_null = some_null | col(name).isNull()
     return F.when(some_null, F.raise_error(F.lit(f"null {what} in {', '.join(columns)}"))).otherwise(F.lit(True))
 
 
 def with_commit_metadata(
-    df: DataFrame, key: Sequence[str], partition_by: Sequence[str] = (), batch_id: int | str = 0
+    df: DataFrame, key: Names, partition_by: Names = (), batch_id: int | str = 0
 ) -> DataFrame:
     """Add when, in which order and under which key and partition a row is committed.
 
     ``_commit_seqno`` is unique in a commit: batch, task partition and row number in it. The file name is not stored;
     ``scan_with_file_name`` reads it from the files.
     """
+    key, partition_by = names_of(key), names_of(partition_by)
     if len(key) == 1:
         record_key = col(key[0]).cast("string")
     else:

@@ -24,7 +24,7 @@ from pyspark.sql.types import (
 )
 
 from tableload.functions.columns import all_present
-from tableload.functions.names import col, cols, quoted
+from tableload.functions.names import Names, col, cols, names_of, quoted
 from tableload.operators.writes import overwrite
 from tableload.workspace import scratch_path
 
@@ -101,7 +101,7 @@ def _latest(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFram
 
 
 def dedupe_batch(
-    df: DataFrame, key: Sequence[str], order: Sequence[str], parallelism: int | None = None
+    df: DataFrame, key: Names, order: Names, parallelism: int | None = None
 ) -> DataFrame:
     """Keep, per key, the row with the greatest ``order`` columns (null is the smallest).
 
@@ -109,7 +109,7 @@ def dedupe_batch(
     columns break ties. A null key fails the job. ``parallelism`` spreads the result over that many tasks by key; by
     default the adaptive planner picks their number.
     """
-    kept = _latest(df.where(all_present(key)), key, order)
+    kept = _latest(df.where(all_present(key)), names_of(key), names_of(order))
     return kept if parallelism is None else kept.repartition(parallelism, *cols(key))
 
 
@@ -125,8 +125,8 @@ def _small_or_shuffled(df: DataFrame, small: bool) -> DataFrame:
 def upsert(
     target: DataFrame,
     batch: DataFrame,
-    key: Sequence[str],
-    order: Sequence[str],
+    key: Names,
+    order: Names,
     keep_latest: bool = False,
     parallelism: int | None = None,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
@@ -147,13 +147,13 @@ def upsert(
 
 
 def upsert_parts(
-    target: DataFrame, staged: Staged, key: Sequence[str], order: Sequence[str], keep_latest: bool, small: bool
+    target: DataFrame, staged: Staged, key: Names, order: Names, keep_latest: bool, small: bool
 ) -> tuple[DataFrame | None, DataFrame]:
     """The result of an upsert in two parts: stored rows as they are, and rows of the batch's keys.
 
     With a small batch the first part comes straight from the scan and the second is no larger than the batch.
     """
-    key, columns = list(key), target.columns
+    key, order, columns = names_of(key), names_of(order), target.columns
     if keep_latest and not small:
         return None, _newer_of_each(target, staged.rows, key, order)
     keys = _small_or_shuffled(staged.rows.select(*cols(key)), small)
@@ -179,26 +179,26 @@ def _newer_of_each(target: DataFrame, batch: DataFrame, key: list[str], order: S
 
 
 def bulk_load(
-    df: DataFrame, path: str, key: Sequence[str], order: Sequence[str], parallelism: int | None = None, **options
+    df: DataFrame, path: str, key: Names, order: Names, parallelism: int | None = None, **options
 ) -> None:
     """Replace the table at ``path`` by the latest row per key."""
     overwrite(dedupe_batch(df, key, order, parallelism), path, **options)
 
 
-def bulk_load_table(df: DataFrame, table: str, key: Sequence[str], order: Sequence[str], buckets: int) -> None:
+def bulk_load_table(df: DataFrame, table: str, key: Names, order: Names, buckets: int) -> None:
     """Replace a catalog table by the latest row per key, divided into one sorted file per bucket of the key.
 
     As the target of ``upsert`` or ``merge_into`` such a table is not shuffled, however large the batch is.
     """
     rows = dedupe_batch(df, key, order).repartition(buckets, *cols(key))
-    rows.write.mode("overwrite").bucketBy(buckets, *key).sortBy(*key).saveAsTable(table)
+    rows.write.mode("overwrite").bucketBy(buckets, *names_of(key)).sortBy(*names_of(key)).saveAsTable(table)
 
 
 def merge_into(
     target: DataFrame,
     source: DataFrame,
-    on: Sequence[str],
-    update_columns: Sequence[str],
+    on: Names,
+    update_columns: Names,
     insert: bool = True,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
@@ -211,8 +211,8 @@ def merge_into(
     tables, in which the adaptive planner can split a frequent target key; and the keys looked up for the insert are
     reduced to distinct ones by the tasks that read them.
     """
-    on = list(on)
-    staged = stage(like(source, target), "source", target.columns)
+    on, update_columns = names_of(on), names_of(update_columns)
+    staged = stage(like(source, target), "source", list(dict.fromkeys([*on, *update_columns])))
     small = staged.fits(max_broadcast_bytes)
     has_key = F.lit(True)
     for name in on:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from tableload.functions.names import col, cols
+from tableload.functions.names import Names, col, cols, names_of
 from tableload.operators.keyed import MAX_BROADCAST_BYTES, dedupe_batch, like, merge_into, stage, upsert_parts
 from tableload.operators.writes import overwrite, overwrite_partitions, spread_by
 from tableload.workspace import exists, first_file, remove, subfolders
@@ -57,8 +57,8 @@ def _with_columns_of(df: DataFrame, other: DataFrame) -> DataFrame:
 def upsert_snapshot(
     batch: DataFrame,
     path: str,
-    key: Sequence[str],
-    order: Sequence[str],
+    key: Names,
+    order: Names,
     keep_latest: bool = False,
     parallelism: int | None = None,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
@@ -85,8 +85,8 @@ def upsert_snapshot(
 def merge_snapshot(
     source: DataFrame,
     path: str,
-    on: Sequence[str],
-    update_columns: Sequence[str],
+    on: Names,
+    update_columns: Names,
     insert: bool = True,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> None:
@@ -97,7 +97,7 @@ def merge_snapshot(
     publish_snapshot(merge_into(target, source, on, update_columns, insert, max_broadcast_bytes), path)
 
 
-def key_bucket(key: Sequence[str], buckets: int) -> Column:
+def key_bucket(key: Names, buckets: int) -> Column:
     """A partition number made from the key, for keyed tables without a natural partition column."""
     return F.pmod(F.xxhash64(*cols(key)), F.lit(buckets)).cast("int")
 
@@ -120,9 +120,9 @@ def _no_empty_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def upsert_partitions(
     batch: DataFrame,
     path: str,
-    key: Sequence[str],
-    order: Sequence[str],
-    partition_by: Sequence[str],
+    key: Names,
+    order: Names,
+    partition_by: Names,
     keep_latest: bool = False,
     parallelism: int | None = None,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
@@ -136,7 +136,8 @@ def upsert_partitions(
     moves can leave partitions in the table's staging folder. One writer at a time per table.
     """
     spark = batch.sparkSession
-    identity = list(dict.fromkeys([*partition_by, *key]))
+    partition_by = names_of(partition_by)
+    identity = list(dict.fromkeys([*partition_by, *names_of(key)]))
     batch = _no_empty_text(batch, partition_by)
     file = first_file(spark, path)
     if file is None:

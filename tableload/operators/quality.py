@@ -14,7 +14,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableload.functions.names import col, cols
+from tableload.functions.names import Names, col, cols, names_of
 from tableload.operators.writes import write_single_csv
 
 # Report columns, report folders and statuses.
@@ -136,9 +136,12 @@ class NonNegative:
 class Uniqueness:
     """Share of rows whose values in ``columns`` occur once, among rows where they are not all null."""
 
-    columns: tuple[str, ...]
+    columns: Names
     name = "Uniqueness"
 
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "columns", tuple(names_of(self.columns)))
+
     @property
     def entity(self) -> str:
         return "Column" if len(self.columns) == 1 else "Multicolumn"

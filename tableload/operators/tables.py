@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from tableload.functions.names import cols, quoted
+from tableload.functions.names import Names, cols, names_of, quoted
 
 
 def _table(name: str) -> str:
@@ -20,7 +18,7 @@ def create_table(
     name: str,
     schema: StructType,
     location: str | None = None,
-    partition_by: Sequence[str] = (),
+    partition_by: Names = (),
     properties: dict[str, str] | None = None,
     format: str = "parquet",
     if_not_exists: bool = True,
@@ -28,7 +26,7 @@ def create_table(
     """Create an external table at ``location`` (a managed one without), partitioned by columns of its schema."""
     clauses, args = [], {"name": _table(name)}
     if partition_by:
-        clauses.append(f"PARTITIONED BY ({', '.join(map(quoted, partition_by))})")
+        clauses.append(f"PARTITIONED BY ({', '.join(map(quoted, names_of(partition_by)))})")
     if location is not None:
         clauses.append("LOCATION :location")
         args["location"] = location
@@ -50,7 +48,7 @@ def insert_all(df: DataFrame, name: str) -> None:
     df.write.insertInto(_table(name))
 
 
-def insert_by_name(df: DataFrame, name: str, columns: Sequence[str] | None = None) -> None:
+def insert_by_name(df: DataFrame, name: str, columns: Names | None = None) -> None:
     """Insert ``columns`` of ``df`` (all by default) into the columns of the same names; others become null."""
     rows = df if columns is None else df.select(*cols(columns))
     df.sparkSession.sql(

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, DataFrameWriter, Observation
 from pyspark.sql import functions as F
 
-from tableload.functions.names import col, cols
+from tableload.functions.names import Names, col, cols, names_of
 
 # How timestamps are written as text.
 MICROSECONDS = {
@@ -19,12 +17,12 @@ MICROSECONDS = {
 MAX_REPORT_ROWS = 100_000
 
 
-def _writer(df: DataFrame, mode: str, format: str, partition_by: Sequence[str], options: dict) -> DataFrameWriter:
+def _writer(df: DataFrame, mode: str, format: str, partition_by: Names, options: dict) -> DataFrameWriter:
     writer = df.write.mode(mode).format(format).options(**options)
-    return writer.partitionBy(*partition_by) if partition_by else writer
+    return writer.partitionBy(*names_of(partition_by)) if partition_by else writer
 
 
-def spread_by(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def spread_by(df: DataFrame, columns: Names) -> DataFrame:
     """Bring the rows of each partition value together before a partitioned write, to get few files per value.
 
     A rebalance lets the adaptive planner split a value that holds much of the data and merge small ones.
@@ -32,23 +30,23 @@ def spread_by(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.hint("rebalance", *cols(columns)) if columns else df
 
 
-def append(df: DataFrame, path: str, format: str = "parquet", partition_by: Sequence[str] = (), **options) -> None:
+def append(df: DataFrame, path: str, format: str = "parquet", partition_by: Names = (), **options) -> None:
     _writer(spread_by(df, partition_by), "append", format, partition_by, options).save(path)
 
 
-def overwrite(df: DataFrame, path: str, format: str = "parquet", partition_by: Sequence[str] = (), **options) -> None:
+def overwrite(df: DataFrame, path: str, format: str = "parquet", partition_by: Names = (), **options) -> None:
     """Replace what is at ``path``, which must not be read by ``df``."""
     options = {"partitionOverwriteMode": "static", **options}
     _writer(spread_by(df, partition_by), "overwrite", format, partition_by, options).save(path)
 
 
-def create(df: DataFrame, path: str, format: str = "parquet", partition_by: Sequence[str] = (), **options) -> None:
+def create(df: DataFrame, path: str, format: str = "parquet", partition_by: Names = (), **options) -> None:
     """Write to a new path; fails when something is there."""
     _writer(spread_by(df, partition_by), "errorifexists", format, partition_by, options).save(path)
 
 
 def overwrite_partitions(
-    df: DataFrame, path: str, partition_by: Sequence[str], format: str = "parquet", spread: bool = True, **options
+    df: DataFrame, path: str, partition_by: Names, format: str = "parquet", spread: bool = True, **options
 ) -> None:
     """Replace the partitions that ``df`` has rows for and leave all others.
 
@@ -97,11 +95,11 @@ def load_warehouse(
     df.write.format(format).mode("overwrite").saveAsTable(name)
 
 
-def observe_counts(df: DataFrame, columns: Sequence[str] = ()) -> tuple[DataFrame, Observation]:
+def observe_counts(df: DataFrame, columns: Names = ()) -> tuple[DataFrame, Observation]:
     """The same rows, and an observation of their number that is filled in by the first action on them.
 
     ``observation.get`` has ``rows`` and, for each of ``columns``, its number of non-null values.
     """
     observation = Observation()
-    counts = [F.count(col(c)).alias(c) for c in columns]
+    counts = [F.count(col(c)).alias(c) for c in names_of(columns)]
     return df.observe(observation, F.count(F.lit(1)).alias("rows"), *counts), observation

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from tableload.functions.columns import LOAD_COLUMN, stamp_load_time
+from tableload.functions.names import Names, names_of
 from tableload.operators import writes
 from tableload.operators.keyed import bulk_load, dedupe_batch
 from tableload.operators.publish import publish_snapshot, upsert_partitions, upsert_snapshot
@@ -38,10 +39,10 @@ def load_csv_by_key(
     spark: SparkSession,
     source: str,
     target: str,
-    key: Sequence[str],
-    tiebreak: Sequence[str] = (),
+    key: Names,
+    tiebreak: Names = (),
     sep: str = ",",
-    partition_by: Sequence[str] = (),
+    partition_by: Names = (),
     replace: bool = False,
     schema: StructType | None = None,
     parallelism: int | None = None,
@@ -52,10 +53,11 @@ def load_csv_by_key(
     ``partition_by`` a row is identified by partition and key; without, the table is a series of snapshots.
     """
     rows = stamp_load_time(scan_csv(spark, source, sep, schema))
-    order = [LOAD_COLUMN, *tiebreak]
+    order = [LOAD_COLUMN, *names_of(tiebreak)]
     if partition_by:
         if replace:
-            bulk_load(rows, target, [*partition_by, *key], order, parallelism, partition_by=partition_by)
+            identity = [*names_of(partition_by), *names_of(key)]
+            bulk_load(rows, target, identity, order, parallelism, partition_by=partition_by)
         else:
             upsert_partitions(rows, target, key, order, partition_by, parallelism=parallelism)
     elif replace:
@@ -70,7 +72,7 @@ def load_csv_to_table(
     table: str,
     location: str,
     sep: str = ",",
-    partition_by: Sequence[str] = (),
+    partition_by: Names = (),
     properties: dict[str, str] | None = None,
     schema: StructType | None = None,
 ) -> DataFrame:
@@ -97,9 +99,9 @@ def load_csv_to_warehouse(
 def load_events(
     events: DataFrame,
     target: str,
-    key: Sequence[str],
+    key: Names,
     schema: StructType | None = None,
-    tiebreak: Sequence[str] = (),
+    tiebreak: Names = (),
     quarantine: str | None = None,
 ) -> None:
     """Decode a batch of stream events, stamp the records and upsert them by key.
@@ -113,7 +115,7 @@ def load_events(
     else:
         writes.append(bad_records(decoded), quarantine)
         rows = good_records(decoded)
-    upsert_snapshot(stamp_load_time(rows), target, key, [LOAD_COLUMN, *tiebreak])
+    upsert_snapshot(stamp_load_time(rows), target, key, [LOAD_COLUMN, *names_of(tiebreak)])
 
 
 def check_quality(

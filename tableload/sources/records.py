@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tableload.functions.columns import decode_base64
-from tableload.functions.names import cols, quoted
+from tableload.functions.names import Names, cols, names_of, quoted
 from tableload.operators.writes import MICROSECONDS
 
 # Fixed value: shape of a stream event.
@@ -59,7 +59,7 @@ def payload_schema(payloads: DataFrame, column: str = "_payload") -> StructType:
     return StructType([StructField(name, StringType()) for name in sorted(row.key for row in keys)])
 
 
-def _parse(payloads: DataFrame, schema: StructType, required: Sequence[str]) -> DataFrame:
+def _parse(payloads: DataFrame, schema: StructType, required: Names) -> DataFrame:
     parsed = F.from_json(
         "_payload",
         StructType([*schema.fields, StructField(_CORRUPT, StringType())]),
@@ -67,7 +67,7 @@ def _parse(payloads: DataFrame, schema: StructType, required: Sequence[str]) ->
     )
     df = payloads.select(parsed.alias("_r"), "_raw")
     bad = F.col("_r").isNull() | F.col(f"_r.{_CORRUPT}").isNotNull()
-    for name in required:
+    for name in names_of(required):
         bad = bad | F.col(f"_r.{quoted(name)}").isNull()
     return df.select(
         *[F.col(f"_r.{quoted(f.name)}").alias(f.name) for f in schema],
@@ -78,7 +78,7 @@ def _parse(payloads: DataFrame, schema: StructType, required: Sequence[str]) ->
 def decode_envelope(
     envelopes: DataFrame,
     schema: StructType | None = None,
-    required: Sequence[str] = (),
+    required: Names = (),
     column: str = "value",
 ) -> DataFrame:
     """One typed row per record, plus ``_bad_record`` holding the raw text of records that cannot be used.

@@ -5,13 +5,12 @@ One query writes a table. Its checkpoint is kept per target, so Spark refuses a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from tableload.functions.columns import LOAD_COLUMN, stamp_load_time
+from tableload.functions.names import Names, names_of
 from tableload.operators.publish import key_bucket, upsert_partitions, upsert_snapshot
 from tableload.operators.writes import overwrite
 from tableload.sources.records import bad_records, decode_envelope, good_records, only_good_records
@@ -32,11 +31,11 @@ def stream_upsert(
     envelopes: DataFrame,
     target: str,
     schema: StructType,
-    key: Sequence[str],
-    order: Sequence[str],
+    key: Names,
+    order: Names,
     checkpoint: str,
     keep_latest: bool = False,
-    partition_by: Sequence[str] = (),
+    partition_by: Names = (),
     buckets: int | None = None,
     stamp: str | None = LOAD_COLUMN,
     quarantine: str | None = None,
@@ -85,8 +84,8 @@ def stream_append(
     target: str,
     schema: StructType,
     checkpoint: str,
-    required: Sequence[str] = (),
-    partition_by: Sequence[str] = (),
+    required: Names = (),
+    partition_by: Names = (),
     stamp: str | None = LOAD_COLUMN,
     format: str = "parquet",
     **trigger,
@@ -97,5 +96,5 @@ def stream_append(
         rows = stamp_load_time(rows, stamp)
     writer = rows.writeStream.format(format).option("checkpointLocation", checkpoint).option("path", target)
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
+        writer = writer.partitionBy(*names_of(partition_by))
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -246,3 +246,20 @@ def test_names_with_dots_and_helper_names(spark, limit):
         assert rows(result) == [(1, 1, "x", 1), (2, 2, "y", 2), (3, 2, "y", 2)]
     result = tl.merge_into(target, batch.withColumn("n", F.lit(1)), key, ["a`b", "_rows"], **options)
     assert rows(result) == [(1, 1, "x", 1), (2, 1, "y", 2), (3, 1, "y", 2)]
+
+
+def test_one_name_needs_no_list(spark, tmp_path):
+    schema = "code int, val int, part string"
+    target = spark.createDataFrame([(1, 1, "a"), (2, 1, "a")], schema)
+    batch = spark.createDataFrame([(2, 2, "a"), (2, 1, "a"), (3, 1, "b")], schema)
+    wanted = [(1, 1, "a"), (2, 2, "a"), (3, 1, "b")]
+    assert rows(tl.dedupe_batch(batch, "code", "val")) == wanted[1:]
+    assert rows(tl.upsert(target, batch, "code", "val")) == wanted
+    assert rows(tl.merge_into(target, batch.where("code = 3"), "code", "val")) == [*rows(target), (3, 1, "b")]
+    for df in (target, batch):
+        tl.upsert_partitions(df, str(tmp_path / "p"), "code", "val", "part")
+        tl.upsert_snapshot(df, str(tmp_path / "s"), "code", "val")
+    assert rows(spark.read.parquet(str(tmp_path / "p")).select("code", "val", "part")) == wanted
+    assert rows(tl.read_snapshot(spark, str(tmp_path / "s"))) == wanted
+    metrics = tl.run_analyzers(target, [tl.Uniqueness("code"), tl.Uniqueness(["code", "val"])])
+    assert [m.value for m in metrics] == [1, 1]
