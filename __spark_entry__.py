@@ -19,6 +19,19 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import tableload as tl  # noqa: E402
 
+try:  # the training-data operators and their pipeline may be left out
+    from tableload.llm import queries as llm  # noqa: E402
+except ModuleNotFoundError as missing:
+    if missing.name != "tableload.llm":
+        raise
+    llm = None
+try:
+    import corpus_pipeline  # noqa: E402
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "tableload.llm"):
+        raise
+    corpus_pipeline = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -583,6 +596,11 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    pipeline = {"pipeline": corpus_pipeline.run} if corpus_pipeline else {}
+    return library_queries() | (llm.queries() if llm else {}) | pipeline
+
+
+def library_queries() -> dict[str, Query]:
     return {
         "csv_scan_comma": csv_scan_comma,
         "csv_scan_semicolon": csv_scan_semicolon,
@@ -681,6 +699,11 @@ FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey)
 
 
 def oracle_sql() -> dict[str, str]:
+    pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline and corpus_pipeline.ORACLE_SQL else {}
+    return library_sql() | (llm.oracle_sql() if llm else {}) | pipeline
+
+
+def library_sql() -> dict[str, str]:
     latest_of_both = (
         f"{POSTINGS}, newest AS (SELECT * FROM (SELECT *, 0 AS incoming FROM stored UNION ALL "
         "SELECT *, 1 AS incoming FROM batch) QUALIFY row_number() OVER "

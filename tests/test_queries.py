@@ -38,13 +38,13 @@ def oracle():
 
 
 def test_every_query_has_sql():
-    assert registry.queries().keys() == registry.oracle_sql().keys()
+    assert registry.library_queries().keys() == registry.library_sql().keys()
 
 
-@pytest.mark.parametrize("name", list(registry.queries()))
+@pytest.mark.parametrize("name", list(registry.library_queries()))
 def test_query_equals_sql(spark, oracle, name):
-    found = registry.queries()[name](spark, SF_DIR)
-    wanted = oracle.execute(registry.oracle_sql()[name])
+    found = registry.library_queries()[name](spark, SF_DIR)
+    wanted = oracle.execute(registry.library_sql()[name])
     names = [d[0] for d in wanted.description]
     assert sorted(found.columns) == sorted(names)
     assert _rows(found.columns, found.collect()) == _rows(names, wanted.fetchall())
