@@ -66,10 +66,11 @@ class Texts:
         number: dict[bytes, int] = defaultdict(lambda: len(number))
         number[PAD]
         gap = [0] * (max(SPANS) - 1)
-        flat, self.starts = [], []
+        flat, self.starts, self.ends = [], [], []
         for text in texts:
             self.starts.append(len(flat))
             flat += [number[w] for w in tokens(text)] or [0]
+            self.ends.append(len(flat))  # a filter that starts at the last word reaches into the padding only
             flat += gap
         self.ids = np.array([*flat, *gap], np.int32)
         self.length = len(flat)
@@ -101,7 +102,8 @@ class Classifier:
         return out
 
     def outputs(self, texts: Texts) -> np.ndarray:
-        pooled = [np.maximum.reduceat(r, texts.starts, axis=0) for r in self.responses(texts)]
+        bounds = [place for pair in zip(texts.starts, texts.ends, strict=True) for place in pair]
+        pooled = [np.maximum.reduceat(r, bounds, axis=0)[::2] for r in self.responses(texts)]
         return np.maximum(np.concatenate(pooled, axis=1), 0) @ self.out + self.bias
 
     def language(self, texts: Texts) -> np.ndarray:
@@ -143,8 +145,8 @@ class Classifier:
             batch = Texts([texts[k] for k in some])
             label = labels[some].astype(np.float32)
             responses = self.responses(batch)
-            ends = [*batch.starts[1:], batch.length]
-            where = [np.stack([a + r[a:b].argmax(axis=0) for a, b in zip(batch.starts, ends, strict=True)]) for r in responses]
+            spans = list(zip(batch.starts, batch.ends, strict=True))
+            where = [np.stack([a + r[a:b].argmax(axis=0) for a, b in spans]) for r in responses]
             raw = [np.take_along_axis(r, w, axis=0) for r, w in zip(responses, where, strict=True)]
             pooled = np.concatenate([np.maximum(x, 0) for x in raw], axis=1)
             margin = pooled @ self.out + self.bias
