@@ -277,6 +277,8 @@ def learn_weights(rows: list, types: int, rounds: int = 60) -> np.ndarray:
             np.add.at(sums, bucket, share)
             sums += 0.01 * weights  # a bucket that no deleted token has keeps its start
             weights = sums / sums.sum(axis=1, keepdims=True)
+    if not types:
+        weights[:] = [0, 0, 1]
     # the bigram has no estimate after an unseen context
     rest = weights[0, 1:].sum()
     weights[0] = [0, weights[0, 1] / rest, weights[0, 2] / rest]

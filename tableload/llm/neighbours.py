@@ -169,11 +169,11 @@ def nearest(
     total = rows.count()
     share = int(min(1.0, sample_rows / max(1, total)) * (1 << 30)) + 1
     sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < share).limit(2 * sample_rows).select("vector").toPandas()
-    points = np.array(sample["vector"].tolist(), float).reshape(len(sample), -1)
-    width = points.shape[1] or 1
+    points = np.array(sample["vector"].tolist(), float) if len(sample) else np.empty((0, 1))
+    width = points.shape[1]
     directions = np.random.default_rng(SEED).standard_normal((width, dimensions))
     depth = max(0, math.ceil(math.log2(max(1, min(total / cell_rows, MAX_CELLS)))))
-    tree = Tree(points.reshape(-1, width) @ directions, depth)
+    tree = Tree(points @ directions, depth)
     shared = spark.sparkContext.broadcast((tree, directions))
     quantile = chi_square_quantile(confidence, dimensions)
     dealt_type = "vec_id long, vector array<double>, cell long"

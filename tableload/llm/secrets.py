@@ -38,13 +38,13 @@ KINDS = ("assign", "access", "hex", "model")
 
 #: Documents that the field is trained on at most, tokens kept on either side of a match, windows without one per document.
 SAMPLE_DOCS, AROUND, QUIET_WINDOWS = 20_000, 8, 1
-#: Training windows at most, passes over them, and the penalty on weights.
-MOST_WINDOWS, PASSES, PENALTY = 20_000, 12, 1e-4
+#: Training windows at most, passes over them and gradient steps at least, and the penalty on weights.
+MOST_WINDOWS, PASSES, STEPS, PENALTY = 20_000, 12, 800, 1e-4
 WORD_BUCKETS, SHAPES, FILES = 1 << 14, 1 << 12, 64
 CACHED = 200_000
 OUT, BEGIN, INSIDE = 0, 1, 2
 
-_TOKEN = re.compile(r"[\w+/.=-]+|[^\w\s+/.=-]+")
+_TOKEN = re.compile(r"[\w+/.-]+|=+|[^\w\s+/.=-]+")
 #: Only a run as long as asked for can be a match, so shorter ones are passed over at once.
 _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 
@@ -146,7 +146,7 @@ class Field:
         for k, (rows, _) in enumerate(windows):
             by_length.setdefault(len(rows), []).append(k)
         batches = [ks[i : i + 256] for _, ks in sorted(by_length.items()) for i in range(0, len(ks), 256)]
-        for _ in range(passes):
+        for _ in range(max(passes, -(-STEPS // max(1, len(batches))))):
             for b in rng.permutation(len(batches)):
                 rows = np.stack([windows[k][0] for k in batches[b]])
                 tags = np.stack([windows[k][1] for k in batches[b]])

@@ -1,0 +1,104 @@
+"""Packing: every token once, gapless windows, target proportions."""
+
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pandas as pd
+import public_tokenizers
+import pytest
+from edge_texts import prose
+
+from tableload.llm import packing
+from tableload.llm.token_counts import library_tokenizer
+
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def ids_of(text):
+    return [*library_tokenizer(PATH).encode(text or "", add_special_tokens=False).ids, 0]
+
+
+def whole(pieces, texts, window=1024):
+    """Check that the pieces hold every token of the texts once and that windows have no gaps; the filled windows."""
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for p in pieces:
+        by_doc[p.doc_id].append(p)
+        by_sequence[p.sequence_id].append(p)
+    assert sorted(by_doc, key=str) == sorted(set(i for i, _ in texts), key=str)
+    copies = Counter(i for i, _ in texts)
+    for i, text in texts:
+        ids = ids_of(text)
+        covered = np.zeros(len(ids), int)
+        for p in by_doc[i]:
+            assert p.doc_tokens == len(ids) and p.length > 0
+            covered[p.start : p.start + p.length] += 1
+            assert p.ids_crc32 == zlib.crc32(np.array(ids[p.start : p.start + p.length], "<u4").tobytes())
+        assert (covered == copies[i]).all()
+    sizes = {}
+    for sequence, ps in by_sequence.items():
+        end = 0
+        for p in sorted(ps, key=lambda p: p.offset):
+            assert p.offset == end
+            end += p.length
+        assert end <= window
+        sizes[sequence] = end
+    return sizes
+
+
+@pytest.mark.parametrize("shard_tokens", [10**9, 3000])
+def test_every_token_lies_in_one_piece(spark, shard_tokens):
+    texts = [(k, prose(k, 5 + 37 * k % 400)) for k in range(60)]
+    rows = [(i, t, f"s{i % 3}") for i, t in texts]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = whole(packing.pack(frame, PATH, shard_tokens=shard_tokens).collect(), texts)
+    shards = {s >> 32 for s in sizes}
+    assert len(shards) == 1 if shard_tokens == 10**9 else len(shards) > 3
+    # only the last window of a shard is not full
+    assert sum(n < 1024 for n in sizes.values()) <= len(shards)
+
+
+def test_edge_cases(edge, nothing):
+    texts = [(r.doc_id, r.text) for r in edge.collect()]
+    whole(packing.pack(edge, PATH).collect(), texts)
+    assert packing.pack(nothing, PATH).count() == 0
+
+
+def shard_of(sizes, deficits=None, number=0):
+    """One shard with documents of the given sizes by source."""
+    rows = [(k, s, n, zlib.compress(bytes(4 * n)), number) for s, ns in sizes.items() for k, n in enumerate(ns)]
+    total = sum(sum(ns) for ns in sizes.values())
+    starts = [(number, s, sum(ns) / total, (deficits or {}).get(s, 0.0)) for s, ns in sizes.items()]
+    return pd.DataFrame(rows, columns=["doc_id", "source", "n", "ids", "shard"]), pd.DataFrame(starts, columns=["shard", "source", "weight", "deficit"])
+
+
+def test_windows_keep_to_the_targets():
+    """After any number of windows, no source is further from its share than a turn and a document's head."""
+    rows, starts = shard_of({"a": [700] * 60, "b": [90] * 200, "c": [5000] * 4})
+    pieces = packing.pack_shard(rows, starts, 1024, 256)
+    weight = dict(zip(starts["source"], starts["weight"]))
+    done = Counter()
+    for _, window in list(pieces.groupby("sequence_id"))[:-8]:
+        for source, n in window.groupby("source")["length"].sum().items():
+            done[source] += n
+        total = sum(done.values())
+        for source, share in weight.items():
+            assert abs(done[source] - share * total) <= 1024
+
+
+def test_deficits_carry_into_a_shard():
+    rows, starts = shard_of({"a": [100] * 40, "b": [100] * 40}, {"a": 2000.0, "b": -2000.0})
+    first = packing.pack_shard(rows, starts, 1024, 256)
+    assert first[first["sequence_id"] == 0]["source"].eq("a").all()
+
+
+def test_carry_is_what_earlier_shards_leave(spark):
+    rows = [(0, "a", 300), (0, "b", 100), (1, "a", 100), (2, "b", 500)]
+    frame = spark.createDataFrame(rows, "shard long, source string, n long")
+    found = {(r.shard, r.source): (r.weight, r.deficit) for r in packing.carried(frame, None).collect()}
+    assert found[0, "a"] == (0.4, 0.0) and found[0, "b"] == (0.6, 0.0)
+    assert found[1, "a"] == (0.4, pytest.approx(0.4 * 400 - 300))
+    assert found[2, "b"] == (0.6, pytest.approx(0.6 * 500 - 100))
+    named = {r.source: r.weight for r in packing.carried(frame, {"a": 3, "b": 1}).collect()}
+    assert named == {"a": 0.75, "b": 0.25}

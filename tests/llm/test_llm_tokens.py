@@ -1,0 +1,113 @@
+"""BPE and token counts against the tokenizers library."""
+
+import hashlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tableload.llm import bpe, token_counts
+
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+ODD = st.text(alphabet="ab \n\t'sZé\x1c\x85\xa0 漢1½<|>😀́-_İΣſ", max_size=60)
+
+
+def library_ids(text):
+    return token_counts.library_tokenizer(BYTES).encode(text, add_special_tokens=False).ids
+
+
+def own_ids(text):
+    return np.frombuffer(bpe.ByteBpe.of(BYTES).encode([text])[0], "<u4").tolist()
+
+
+@settings(max_examples=300, deadline=None)
+@given(ODD | st.text(max_size=40))
+def test_ids_are_the_librarys(text):
+    assert own_ids(text) == library_ids(text)
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["a" * 3000, "ab " * 500, "x<|endoftext|>y <|endoftext|> z<|endoftext", " " * 70, "\n \n  \n", "don't I'LL we've 12345 ½²³"],
+)
+def test_special_long_and_spaced_texts(text):
+    assert own_ids(text) == library_ids(text)
+
+
+def test_merges_leftmost_lowest_rank_like_a_plain_loop():
+    coder = bpe.ByteBpe(BYTES)
+    rank = {(int(k) // int(coder.merges.symbols), int(k) % int(coder.merges.symbols)): int(r) for k, r in zip(coder.merges.keys, coder.merges.ranks)}
+    for text in (b"internationalisation", b"aaaaaaaaaaaaaaaaaaaaaaa", b"the then there", b"x"):
+        parts = [int(coder.byte_ids[b]) for b in text]
+        while True:
+            ranks = [rank.get(p, 10**9) for p in zip(parts, parts[1:])]
+            if not ranks or min(ranks) == 10**9:
+                break
+            at = ranks.index(min(ranks))
+            parts[at : at + 2] = [int(coder.merges.merged[min(ranks)])]
+        symbols = coder.byte_ids[np.frombuffer(text, np.uint8)]
+        assert bpe.merge_all(coder.merges, symbols, np.array([len(text)]))[0].tolist() == parts
+
+
+@settings(max_examples=100, deadline=None)
+@given(ODD)
+def test_cut_loses_nothing(text):
+    assert "".join(bpe.cut(text)) == text
+
+
+def test_caches_are_bounded_and_harmless(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED", 3)
+    coder = bpe.ByteBpe(BYTES)
+    texts = ["one two three four five", "six seven one two", "x" * 200, "one six x"]
+    for text in texts * 2:
+        assert np.frombuffer(coder.encode([text])[0], "<u4").tolist() == library_ids(text)
+    assert len(coder._pieces) + len(coder._older) < 30
+
+
+def test_round_trip_of_edge_cases(edge, nothing):
+    rows = bpe.round_trip(edge, BYTES).collect()
+    assert len(rows) == edge.count()
+    found = sorted((r.doc_id or -1, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows)
+    wanted = []
+    for r in edge.collect():
+        ids = library_ids(r.text or "")
+        digests = hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()
+        wanted.append((r.doc_id or -1, len(ids), *digests))
+    assert found == sorted(wanted)
+    assert bpe.round_trip(nothing, BYTES).count() == 0
+
+
+def test_decode_is_the_inverse(edge):
+    decoded = bpe.decode_ids(bpe.encode_ids(edge, BYTES), BYTES)
+    texts = sorted(r.text for r in decoded.collect())
+    assert texts == sorted((r.text or "") for r in edge.collect())
+
+
+def test_bytes_that_are_no_text_decode_as_in_the_library():
+    coder = bpe.ByteBpe.of(BYTES)
+    ids = np.array([coder.byte_ids[0xE6], coder.byte_ids[0x41]])
+    assert coder.decode(ids) == token_counts.library_tokenizer(BYTES).decode(ids.tolist(), skip_special_tokens=False)
+
+
+@pytest.mark.parametrize("sample_docs, entries", [(4000, 65_536), (1, 2)])
+def test_token_counts_are_the_librarys(edge, nothing, sample_docs, entries):
+    tokenizer = token_counts.library_tokenizer(WORDS)
+    rows = token_counts.token_counts(edge, WORDS, limit=10, sample_docs=sample_docs, entries=entries).collect()
+    found = sorted((r.doc_id or -1, r.n_bytes, r.n_tokens, r.over_limit) for r in rows)
+    wanted = []
+    for r in edge.collect():
+        n = len(tokenizer.encode(r.text or "", add_special_tokens=False))
+        wanted.append((r.doc_id or -1, len((r.text or "").encode()), n, n > 10))
+    assert found == sorted(wanted)
+    assert token_counts.token_counts(nothing, WORDS).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(ODD | st.text(max_size=40))
+def test_pre_token_counts_add_up(text):
+    tokenizer = token_counts.library_tokenizer(WORDS)
+    counts = token_counts.Counts(tokenizer, np.empty(0, np.uint64), np.empty(0, np.uint32))
+    assert sum(map(counts.__getitem__, token_counts.pre_tokens(text))) == len(tokenizer.encode(text, add_special_tokens=False))
