@@ -5,7 +5,8 @@ a source is served while its deficit pays for a turn, and what it gets is taken
 window. Documents are dealt to shards by hash and each shard packs its own; all tokens of a shard are packed, so the
 deficits it ends with follow from its token counts alone, and each shard starts from the exact sum of those before it.
 
-Token ids are computed once and kept, compressed, in the scratch folder; one shuffle brings them to their shards.
+Token ids are computed once, by a library that gives those of the tokenizers library (the tests hold it to that) in a
+fraction of the time, and kept, compressed, in the scratch folder; one shuffle brings them to their shards.
 
 Defined cases: a null text is the empty text, whose only token is the end id; a null source counts as the source with the
 empty name; repeated rows and ids are packed as separate documents; an empty table gives no pieces. Documents longer than
@@ -14,16 +15,18 @@ a window are cut, and every token lies in exactly one piece.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import deque
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tableload.llm.bpe import ByteBpe
+from tableload.llm.bpe import PRE_TOKEN, ByteBpe
 from tableload.llm.rows import ship, slices, written
 
 WINDOW = 1024
@@ -31,11 +34,32 @@ WINDOW = 1024
 TURN = 256
 #: Expected tokens of a shard, which one task packs.
 SHARD_TOKENS = 2_000_000
+#: Shards that one task runs through for the deficits before them.
+SHARD_BLOCK = 4_096
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+_encoders: dict[str, tiktoken.Encoding] = {}
+
+
+def encoder(vocabulary: str) -> tiktoken.Encoding:
+    """An encoder of the vocabulary file, one per Python worker: in byte-level BPE an id is also the rank of its merge."""
+    if vocabulary not in _encoders:
+        known = ByteBpe(vocabulary)
+        ranks = {b: i for i, b in enumerate(known.bytes_of) if b and b.decode("utf-8", "replace") not in known.special}
+        _encoders[vocabulary] = tiktoken.Encoding(
+            vocabulary, pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens=known.special
+        )
+    return _encoders[vocabulary]
+
+
+def ids_of(vocabulary: str, text: str) -> np.ndarray:
+    """Ids of a whole text, special strings in it included, as unsigned 32-bit integers."""
+    return encoder(vocabulary).encode_to_numpy(text, allowed_special="all", disallowed_special=())
+
+
 def tokenized(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, source_col: str, end_id: int) -> DataFrame:
-    """``doc_id, source, n, ids`` with the end id appended; ids are deflated little-endian unsigned 32-bit integers."""
+    """``doc_id, source, n, ids`` with the end id appended; ids are compressed little-endian unsigned 32-bit integers."""
     ship(docs.sparkSession)
     source = docs.select(
         F.col(f"`{id_col}`").alias("doc_id"),
@@ -45,15 +69,15 @@ def tokenized(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, sour
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        bpe = ByteBpe.of(vocabulary)
+        codec = pa.Codec("zstd", 1)
         for part in slices(batches):
-            ids = [i + end for i in bpe.encode([t or "" for t in part.column(2).to_pylist()])]
+            ids = [ids_of(vocabulary, t or "").astype("<u4").tobytes() + end for t in part.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
                     part.column(1),
                     pa.array([len(i) // 4 for i in ids], pa.int64()),
-                    pa.array([zlib.compress(i, 1) for i in ids], pa.binary()),
+                    pa.array([codec.compress(i, asbytes=True) for i in ids], pa.binary()),
                 ],
                 names=["doc_id", "source", "n", "ids"],
             )
@@ -114,23 +138,27 @@ def carried(dealt: DataFrame, targets: dict[str, float] | None) -> DataFrame:
         pairs = [F.lit(x) for kv in targets.items() for x in (kv[0], float(kv[1]))]
         known = F.create_map(*pairs)[F.col("source")]
         by_source = by_source.withColumn("weight", F.coalesce(known, F.lit(float(min(targets.values())))))
-    whole = by_source.agg(F.sum("weight").alias("all_weight"))
-    shares = by_source.join(F.broadcast(whole)).select("source", (F.col("weight") / F.col("all_weight")).alias("weight"))
-    earlier = (Window.unboundedPreceding, -1)
-    shard_totals = counts.groupBy("shard").agg(F.sum("n").alias("shard_n"))
-    # a row per shard: as many as the shuffle has tasks
-    before = shard_totals.withColumn("before", F.sum("shard_n").over(Window.orderBy("shard").rowsBetween(*earlier)))
-    own = counts.withColumn("own", F.sum("n").over(Window.partitionBy("source").orderBy("shard").rowsBetween(*earlier)))
-    return (
-        own.join(before, "shard")
-        .join(shares, "source")
-        .select(
-            "shard",
-            "source",
-            "weight",
-            (F.col("weight") * F.coalesce("before", F.lit(0)) - F.coalesce("own", F.lit(0))).alias("deficit"),
-        )
-    )
+    whole = by_source.agg(F.sum("weight")).first()[0] or 1.0
+    shares = by_source.select("source", (F.col("weight") / F.lit(whole)).alias("weight"))
+    before = earlier(counts.groupBy("shard").agg(F.sum("n").alias("n")), [], "before")
+    own = earlier(counts, ["source"], "own")
+    deficit = (F.col("weight") * F.col("before") - F.col("own")).alias("deficit")
+    return own.join(before, "shard").join(shares, "source").select("shard", "source", "weight", deficit)
+
+
+def earlier(counts: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``shard``, the keys, and under ``name`` the sum of ``n`` over all earlier shards of the same keys.
+
+    Sums within blocks of shards, and over the blocks before: no task sees more than a block, or a row per block.
+    """
+    blocked = counts.withColumn("block", F.floor(F.col("shard") / SHARD_BLOCK))
+    until = (Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*keys, "block").orderBy("shard").rowsBetween(*until)
+    blocks = blocked.groupBy(*keys, "block").agg(F.sum("n").alias("block_n"))
+    over = Window.partitionBy(*keys).orderBy("block").rowsBetween(*until)
+    blocks = blocks.withColumn("blocks_before", F.sum("block_n").over(over)).drop("block_n")
+    total = F.coalesce(F.sum("n").over(within), F.lit(0)) + F.coalesce("blocks_before", F.lit(0))
+    return blocked.join(blocks, [*keys, "block"]).select("shard", *keys, total.alias(name))
 
 
 def pack_shard(rows: pd.DataFrame, starts: pd.DataFrame, window: int, turn: int) -> pd.DataFrame:
@@ -148,35 +176,42 @@ def pack_shard(rows: pd.DataFrame, starts: pd.DataFrame, window: int, turn: int)
     done = [0] * len(rows)  # tokens of each document that are packed
     base = int(rows["shard"].iloc[0]) << 32
     pieces: list[tuple] = []
-    active, sequence, filled, raw, raw_of = sorted(queues), 0, 0, b"", -1
+    active, sequence, filled = sorted(queues), 0, 0
+    heads: dict[str, bytes] = {}  # the ids of the document that a source is at
 
     def need(source: str) -> int:
         head = queues[source][0]
         return min(turn, totals[head] - done[head])
 
+    needs = {s: need(s) for s in active}
+    pay: dict[str, float] = {}
     while active:
-        share = sum(weight[s] for s in active) or 1.0
-        pay = {s: max(weight[s] / share * window, 1e-6) for s in active}
+        if len(pay) != len(active):
+            share = sum(weight[s] for s in active) or 1.0
+            pay = {s: max(weight[s] / share * window, 1e-6) for s in active}
         # as many rounds at once as it takes until a source can be served
-        rounds = max(1, min(int(np.ceil((need(s) - deficit[s]) / pay[s])) for s in active))
-        for source in active:
-            deficit[source] += rounds * pay[source]
+        rounds = max(1, min(math.ceil((needs[s] - deficit[s]) / p) for s, p in pay.items()))
         for source in active:
+            owed = deficit[source] + rounds * pay[source]
             queue = queues[source]
-            while queue and deficit[source] >= need(source):
+            while queue and owed >= needs[source]:
                 head = queue[0]
-                start, rest = done[head], totals[head] - done[head]
-                length = min(rest, max(need(source), int(deficit[source])), window - filled)
-                if raw_of != head:
-                    raw, raw_of = zlib.decompress(ids[head]), head
-                crc = zlib.crc32(raw[4 * start : 4 * (start + length)])
-                pieces.append((doc_ids[head], start, length, crc, totals[head], base + sequence, filled, source))
-                done[head] += length
-                deficit[source] -= length
+                start, total = done[head], totals[head]
+                if source not in heads:
+                    heads[source] = pa.decompress(ids[head], 4 * total, codec="zstd", asbytes=True)
+                length = min(total - start, max(needs[source], int(owed)), window - filled)
+                crc = zlib.crc32(heads[source][4 * start : 4 * (start + length)])
+                pieces.append((doc_ids[head], start, length, crc, total, base + sequence, filled, source))
+                owed -= length
                 filled += length
+                done[head] = start + length
                 if filled == window:
                     sequence, filled = sequence + 1, 0
-                if done[head] == totals[head]:
+                if start + length == total:
                     queue.popleft()
+                    del heads[source]
+                if queue:
+                    needs[source] = need(source)
+            deficit[source] = owed
         active = [s for s in active if queues[s]]
     return pd.DataFrame(pieces, columns=names)

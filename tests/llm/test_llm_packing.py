@@ -5,8 +5,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from edge_texts import prose
 
 from tableload.llm import packing
@@ -47,6 +50,13 @@ def whole(pieces, texts, window=1024):
     return sizes
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab \n\t'sZé\x1c\x85\xa0 漢1½<|>😀́-_İΣſ", max_size=60) | st.text(max_size=40))
+def test_ids_are_the_librarys(text):
+    for whole_text in (text, text + "<|endoftext|>" + text):
+        assert [*packing.ids_of(PATH, whole_text).tolist(), 0] == ids_of(whole_text)
+
+
 @pytest.mark.parametrize("shard_tokens", [10**9, 3000])
 def test_every_token_lies_in_one_piece(spark, shard_tokens):
     texts = [(k, prose(k, 5 + 37 * k % 400)) for k in range(60)]
@@ -67,7 +77,7 @@ def test_edge_cases(edge, nothing):
 
 def shard_of(sizes, deficits=None, number=0):
     """One shard with documents of the given sizes by source."""
-    rows = [(k, s, n, zlib.compress(bytes(4 * n)), number) for s, ns in sizes.items() for k, n in enumerate(ns)]
+    rows = [(k, s, n, pa.compress(bytes(4 * n), codec="zstd", asbytes=True), number) for s, ns in sizes.items() for k, n in enumerate(ns)]
     total = sum(sum(ns) for ns in sizes.values())
     starts = [(number, s, sum(ns) / total, (deficits or {}).get(s, 0.0)) for s, ns in sizes.items()]
     return pd.DataFrame(rows, columns=["doc_id", "source", "n", "ids", "shard"]), pd.DataFrame(starts, columns=["shard", "source", "weight", "deficit"])
@@ -102,3 +112,11 @@ def test_carry_is_what_earlier_shards_leave(spark):
     assert found[2, "b"] == (0.6, pytest.approx(0.6 * 500 - 100))
     named = {r.source: r.weight for r in packing.carried(frame, {"a": 3, "b": 1}).collect()}
     assert named == {"a": 0.75, "b": 0.25}
+
+
+def test_running_sums_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_BLOCK", 3)
+    counts = spark.createDataFrame([(k, "ab"[k % 2], k) for k in range(20)], "shard long, source string, n long")
+    assert {r.shard: r.x for r in packing.earlier(counts, [], "x").collect()} == {k: sum(range(k)) for k in range(20)}
+    found = {r.shard: r.x for r in packing.earlier(counts, ["source"], "x").collect()}
+    assert found == {k: sum(range(k % 2, k, 2)) for k in range(20)}
