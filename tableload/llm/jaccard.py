@@ -40,7 +40,7 @@ SHINGLE = 5
 BAND, BLOCKS = 4, 2
 #: Documents that the order of blocks is fitted on at most, in how many of them a block counts as frequent, and how many
 #: frequent blocks are kept at most (8 bytes each). They change the order, never the result.
-SAMPLE_DOCS, FREQUENT, ORDERED = 4_096, 4, 50_000
+SAMPLE_DOCS, FREQUENT, ORDERED = 32_768, 4, 200_000
 #: Class ids that may be broadcast (8 bytes each) to pick documents; beyond, the documents are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Classes of a signature compared with each other by one task.
@@ -70,6 +70,11 @@ def folded_sketch(found: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches, one per row, folded to a length that divides theirs."""
+    return np.bitwise_xor.reduce(sketches.reshape(len(sketches), -1, words), axis=1)
+
+
 def folded_distance(a: bytes, b: bytes) -> int:
     """Hamming distance of two folded sketches, the longer folded on to the shorter one's length."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -281,18 +286,25 @@ def unconnected(chain: DataFrame, roots: DataFrame, classes: DataFrame) -> DataF
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         size, root = rows["n_shingles"].to_numpy(), rows["root"].to_numpy()
         who, own = rows["class"].to_numpy(), rows["own"].to_numpy()
-        first, second = rows["first"].iloc[0], rows["second"].iloc[0]
-        sketch = rows["sketch"].tolist()
-        xs, ys = [], []
-        right = np.flatnonzero(own == second)
-        for k in np.flatnonzero(own == first):
-            pool = right[right > k] if first == second else right
-            pool = pool[(root[pool] != root[k]) & (3 * np.maximum(size[pool], size[k]) <= 4 * np.minimum(size[pool], size[k]))]
-            for m in pool:
-                if 7 * folded_distance(sketch[k], sketch[m]) <= size[k] + size[m]:
-                    xs.append(min(who[k], who[m]))
-                    ys.append(max(who[k], who[m]))
-        return pd.DataFrame({"x": np.array(xs, np.int64), "y": np.array(ys, np.int64)})
+        left = np.flatnonzero(own == rows["first"].iloc[0])
+        right = np.flatnonzero(own == rows["second"].iloc[0])
+        words = rows["sketch"].str.len().to_numpy() // 8
+        pairs = [np.empty((2, 0), np.int64)]
+        for width in np.unique(words[left]):
+            some = left[words[left] == width]
+            mine = np.frombuffer(b"".join(rows["sketch"].iloc[some]), np.uint64).reshape(len(some), width)
+            # linked sets differ in size by a third at most, so their sketches by one fold
+            for other in {width // 2, width, 2 * width} & set(words[right].tolist()):
+                pool = right[words[right] == other]
+                theirs = np.frombuffer(b"".join(rows["sketch"].iloc[pool]), np.uint64).reshape(len(pool), other)
+                a, b = folded(mine, min(width, other)), folded(theirs, min(width, other))
+                for k, row in zip(some, a, strict=True):
+                    at = np.flatnonzero((root[pool] != root[k]) & (3 * np.maximum(size[pool], size[k]) <= 4 * np.minimum(size[pool], size[k])))
+                    distance = np.bitwise_count(b[at] ^ row).sum(axis=1, dtype=np.int64)
+                    at = pool[at[7 * distance <= size[pool[at]] + size[k]]]
+                    pairs.append(np.stack([np.minimum(who[at], who[k]), np.maximum(who[at], who[k])]))
+        found = np.unique(np.concatenate(pairs, axis=1), axis=1)
+        return pd.DataFrame({"x": found[0], "y": found[1]})
 
     found = spread.groupBy("signature", "first", "second").applyInPandas(compare, long_schema("x y"))
     return found.distinct()
