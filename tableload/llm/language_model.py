@@ -7,7 +7,8 @@ of documents deleted from the fit. Then the deleted part joins the counts.
 Documents travel once at most: a task cuts its own into chunks, kept as a table bucketed by chunk. Each chunk sends its
 distinct n-grams, hashed, sorted and divided by hash range, to the tasks that add the counts of their range up, and these
 send every chunk the totals of its own n-grams, in the same order, without the keys. The chunks meet their totals where
-they lie. No table of counts is ever whole in one place, and a frequent n-gram is one row per chunk.
+they lie. For the weights, the deleted documents of a chunk go along as places among its n-grams, so no text is read
+again for them. No table of counts is ever whole in one place, and a frequent n-gram is one row per chunk.
 
 Defined cases: a null text is the empty text, whose only token is the end; a null id belongs to the training part, as its
 remainder is null and so not 0; a context that no training text has leaves the bigram no weight; with no training tokens
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import io
 import uuid
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -30,9 +32,11 @@ from pyspark.sql import functions as F
 from tableload.llm.rows import SLICE, hashes, mix, ship, two_columns, words, written
 from tableload.workspace import scratch_path
 
-#: Text bytes of a chunk, and n-grams that one task of the counting adds up, as expected.
-CHUNK_BYTES, CHUNKS_PER_RANGE = 12_000_000, 2
-MODULUS, HELD_OUT, DELETED = 10, 0, 1
+#: Text bytes of a chunk, and hash ranges per chunk: a task of the counting adds up about as much as half a chunk has.
+CHUNK_BYTES, RANGES_PER_CHUNK = 6_000_000, 2
+MODULUS, HELD_OUT = 10, 0
+#: Documents of this remainder are deleted from the fit to learn the weights; all of them, a fiftieth of the corpus.
+DELETED_MODULUS, DELETED = 50, 1
 #: Buckets of the context's count (powers of four), and steps per octave of the estimates that EM sees.
 CONTEXT_BUCKETS, STEPS = 10, 4
 KEY_BITS = 56
@@ -135,6 +139,20 @@ def unsmall(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
 
 
+def pack_places(places: list[tuple[np.ndarray, np.ndarray]]) -> bytes:
+    """Where the tokens and the bigrams of some documents are among the keys of their chunk."""
+    lengths = [len(tokens) for tokens, _ in places]
+    return np.concatenate([[len(lengths)], lengths, *(t for t, _ in places), *(p for _, p in places)]).astype("<i4").tobytes()
+
+
+def unpack_places(raw: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
+    found = np.frombuffer(raw, "<i4")
+    lengths, flat = found[1 : 1 + found[0]], found[1 + found[0] :]
+    tokens, pairs = flat[: len(flat) // 2], flat[len(flat) // 2 :]
+    cuts = np.cumsum(lengths)[:-1]
+    return list(zip(np.split(tokens, cuts), np.split(pairs, cuts), strict=True))
+
+
 def range_bounds(ranges: int) -> np.ndarray:
     """First key of each hash range but the first."""
     return np.array([(k << KEY_BITS) // ranges for k in range(1, ranges)], np.uint64)
@@ -144,7 +162,10 @@ def range_bounds(ranges: int) -> np.ndarray:
 
 
 def sent_keys(table: DataFrame, ranges: int) -> DataFrame:
-    """``range, chunk, keys, fit, deleted``: a chunk's distinct keys of one hash range and its counts in both parts."""
+    """``range, chunk, keys, fit, deleted``: a chunk's distinct keys of one hash range and its counts in both parts.
+
+    One more row, of a range beyond the others, has the places of the chunk's deleted documents for keys.
+    """
 
     def run(batches):
         for batch in batches:
@@ -156,14 +177,20 @@ def sent_keys(table: DataFrame, ranges: int) -> DataFrame:
                     at = [p for (_, _, own), pair in zip(documents, places, strict=True) if own == part for p in pair]
                     counted[part] = np.bincount(np.concatenate(at), minlength=len(distinct)) if at else np.zeros(len(distinct))
                 cuts = np.concatenate([[0], np.searchsorted(distinct, range_bounds(ranges)), [len(distinct)]])
-                rows = [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+                rows = [
+                    (k, squeeze(distinct[a:b]), small(counted[2][a:b]), small(counted[1][a:b]))
+                    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))
+                    if b > a
+                ]
+                deleted = [pair for (_, _, own), pair in zip(documents, places, strict=True) if own == 1]
+                if deleted:
+                    rows.append((ranges + zlib.crc32(chunk.encode()) % ranges, pack_places(deleted), b"", b""))
+                columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([k for k, _, _ in rows], pa.int32()),
+                        pa.array(columns[0], pa.int32()),
                         pa.array([chunk] * len(rows), pa.string()),
-                        pa.array([squeeze(distinct[a:b]) for _, a, b in rows], pa.binary()),
-                        pa.array([small(counted[2][a:b]) for _, a, b in rows], pa.binary()),
-                        pa.array([small(counted[1][a:b]) for _, a, b in rows], pa.binary()),
+                        *(pa.array(c, pa.binary()) for c in columns[1:]),
                     ],
                     names=["range", "chunk", "keys", "fit", "deleted"],
                 )
@@ -178,6 +205,9 @@ def totals(sent: DataFrame, ranges: int) -> DataFrame:
     """
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
+        if rows["range"].iloc[0] >= ranges:  # places, which are passed on as they are
+            out = rows[["chunk", "range", "keys", "deleted"]].rename(columns={"keys": "fit"})
+            return out.assign(types=0, tokens=0, fit_tokens=0)
         keys = [unsqueeze(k) for k in rows["keys"]]
         distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         fit = np.bincount(inverse, np.concatenate([unsmall(c) for c in rows["fit"]])).astype(np.int64)
@@ -201,23 +231,26 @@ def totals(sent: DataFrame, ranges: int) -> DataFrame:
     )
 
 
-def met(table: DataFrame, summed: DataFrame, buckets: int, use, schema: str) -> DataFrame:
-    """``use(documents, places, fit, deleted)`` for every chunk and its totals, whose rows it returns as a batch.
+def parts_of(summed: DataFrame, buckets: int) -> DataFrame:
+    """``chunk, parts``: the totals of a chunk by range, and the places of its deleted documents.
 
-    The totals are dealt to as many partitions as the table of chunks has buckets, so the chunks stay where they lie.
+    Dealt to as many partitions as the table of chunks has buckets, so the chunks stay where they lie.
     """
     parts = F.sort_array(F.collect_list(F.struct("range", "fit", "deleted"))).alias("parts")
-    joined = table.join(summed.repartition(buckets, "chunk").groupBy("chunk").agg(parts), "chunk").select("payload", "parts")
+    return summed.repartition(buckets, "chunk").groupBy("chunk").agg(parts)
+
+
+def met(table: DataFrame, summed: DataFrame, buckets: int, ranges: int, use, schema: str) -> DataFrame:
+    """``use(documents, places, counts)`` for every chunk and its totals, whose rows it returns as a batch."""
+    joined = table.join(parts_of(summed, buckets), "chunk").select("payload", "parts")
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
                 documents = list(documents_of(batch.column(0)[k].as_py()))
                 _, places = chunk_keys(documents)
-                parts = batch.column(1)[k].as_py()
-                fit = np.concatenate([unsmall(p["fit"]) for p in parts])
-                deleted = np.concatenate([unsmall(p["deleted"]) for p in parts])
-                yield use(documents, places, fit, deleted)
+                parts = [p for p in batch.column(1)[k].as_py() if p["range"] < ranges]
+                yield use(documents, places, np.concatenate([unsmall(p["fit"]) + unsmall(p["deleted"]) for p in parts]))
 
     return joined.mapInArrow(run, schema)
 
@@ -235,25 +268,29 @@ def context_bucket(count: np.ndarray) -> np.ndarray:
     return np.where(count > 0, np.minimum(1 + np.log2(np.maximum(count, 1)) // 2, CONTEXT_BUCKETS), 0).astype(np.int64)
 
 
-def held_out_counts(table: DataFrame, summed: DataFrame, buckets: int, fit_tokens: int) -> list:
+def held_out_counts(summed: DataFrame, buckets: int, ranges: int, fit_tokens: int) -> list:
     """How often deleted tokens had a bucket of context and estimates: ``bucket, bigram, unigram, n``.
 
     The estimates are rounded to steps of a quarter octave, so this is a table of bounded size over all deleted tokens.
     """
-
-    def use(documents, places, fit, deleted):
-        found = []
-        for (_, _, part), (tokens, pairs) in zip(documents, places, strict=True):
-            if part != 1:
-                continue
-            contexts = context_counts(tokens, fit, int(fit[tokens[-1]]))
-            bigram = np.where(contexts > 0, fit[pairs] / np.maximum(contexts, 1), 0)
-            found.append(np.stack([context_bucket(contexts), step(bigram), step(fit[tokens] / max(1, fit_tokens))]))
-        cells, n = np.unique(np.concatenate(found, axis=1), axis=1, return_counts=True) if found else (np.empty((3, 0), int), [])
-        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cells), pa.array(n, pa.int64())], names=names)
-
     names = ["bucket", "bigram", "unigram", "n"]
-    rows = met(table, summed, buckets, use, "bucket long, bigram long, unigram long, n long")
+
+    def run(batches):
+        for batch in batches:
+            for parts in batch.column(0):
+                parts = parts.as_py()
+                fit = np.concatenate([unsmall(p["fit"]) for p in parts if p["range"] < ranges])
+                found = [np.empty((3, 0), np.int64)]
+                for part in parts:
+                    for tokens, pairs in unpack_places(part["fit"]) if part["range"] >= ranges else []:
+                        contexts = context_counts(tokens, fit, int(fit[tokens[-1]]))
+                        bigram = np.where(contexts > 0, fit[pairs] / np.maximum(contexts, 1), 0)
+                        unigram = fit[tokens] / max(1, fit_tokens)
+                        found.append(np.stack([context_bucket(contexts), step(bigram), step(unigram)]))
+                cells, n = np.unique(np.concatenate(found, axis=1), axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cells), pa.array(n, pa.int64())], names=names)
+
+    rows = parts_of(summed, buckets).select("parts").mapInArrow(run, "bucket long, bigram long, unigram long, n long")
     return rows.groupBy(*names[:3]).agg(F.sum("n").alias("n")).collect()
 
 
@@ -292,13 +329,13 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chun
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every whole text.
 
     Texts whose id has a crc32 (as text) divisible by ten are held out: nothing is learned from them. Those with a
-    remainder of one are the deleted part. ``base_score`` is a smoothed unigram score, ``score`` the model's, both log10.
+    remainder of one modulo fifty are the deleted part. ``base_score`` is a smoothed unigram score, ``score`` the model's, both log10.
     """
     spark = docs.sparkSession
     ship(spark)
     source = two_columns(docs, id_col, text_col)
-    left = F.crc32(F.col("doc_id").cast("string").cast("binary")) % MODULUS
-    part = F.when(left == HELD_OUT, 0).when(left == DELETED, 1).otherwise(2)
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    part = F.when(crc % MODULUS == HELD_OUT, 0).when(crc % DELETED_MODULUS == DELETED, 1).otherwise(2)
     source = source.withColumn("part", part)
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     expected = max(1, -(-size // chunk_bytes))
@@ -312,15 +349,15 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chun
 
 
 def _scores_of(table: DataFrame, kind: str, buckets: int, expected: int) -> DataFrame:
-    ranges = max(1, expected // CHUNKS_PER_RANGE)
+    ranges = RANGES_PER_CHUNK * expected
     summed = written(totals(sent_keys(table, ranges), ranges), "totals")
     state = summed.agg(F.sum("types"), F.sum("tokens"), F.sum("fit_tokens")).first()
     types, tokens_all, fit_tokens = (int(x or 0) for x in state)
-    weights = learn_weights(held_out_counts(table, summed, buckets, fit_tokens), types)
+    weights = learn_weights(held_out_counts(summed, buckets, ranges, fit_tokens), types)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
-    def use(documents, places, fit, deleted):
-        counts, rows = fit + deleted, []
+    def use(documents, places, counts):
+        rows = []
         for (doc_id, _, part), (tokens, pairs) in zip(documents, places, strict=True):
             c = counts[tokens]
             contexts = context_counts(tokens, counts, int(counts[tokens[-1]]))
@@ -336,4 +373,4 @@ def _scores_of(table: DataFrame, kind: str, buckets: int, expected: int) -> Data
 
     kinds = [to_arrow_type(_parse_datatype_string(kind)), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2]
     fields = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return written(met(table, summed, buckets, use, f"doc_id {kind}, {fields}"), "scores")
+    return written(met(table, summed, buckets, ranges, use, f"doc_id {kind}, {fields}"), "scores")
