@@ -11,6 +11,7 @@ from tableload.functions.columns import (
 from tableload.operators.keyed import bulk_load, bulk_load_table, dedupe_batch, merge_into, upsert
 from tableload.operators.layout import file_sizes, rechunk
 from tableload.operators.publish import (
+    drop_snapshots,
     key_bucket,
     merge_snapshot,
     publish_snapshot,
@@ -33,6 +34,7 @@ from tableload.operators.quality import (
 )
 from tableload.operators.tables import create_table, insert_all, insert_by_name, replace_partitions
 from tableload.operators.writes import (
+    Report,
     append,
     create,
     load_warehouse,

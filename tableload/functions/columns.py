@@ -12,6 +12,12 @@ from tableload.functions.names import Names, col, cols, names_of
 # Fixed value: name of the load-time column.
 LOAD_COLUMN = "last_upd_timestamp"
 
+COMMIT_COLUMNS = ("_commit_time", "_commit_seqno", "_record_key", "_partition_path")
+
+# The folder name of a null partition value, and the characters that folder names have as %XX.
+NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+ESCAPED_IN_FOLDERS = "%" + "".join(map(chr, range(1, 32))) + "\"#'*/:=?\\\x7f{[]^"
+
 
 def stamp_load_time(df: DataFrame, column: str = LOAD_COLUMN, if_absent: bool = False) -> DataFrame:
     """Set ``column`` to the query's start time, one value for all rows.
@@ -46,20 +52,30 @@ def all_present(columns: Names, what: str = "record key") -> Column:
     return F.when(some_null, F.raise_error(F.lit(f"null {what} in {', '.join(columns)}"))).otherwise(F.lit(True))
 
 
+def folder_text(value: Column) -> Column:
+    """A partition value as its folder spells it."""
+    text = value.cast("string")
+    for character in ESCAPED_IN_FOLDERS:
+        text = F.replace(text, F.lit(character), F.lit(f"%{ord(character):02X}"))
+    return F.when(value.isNull() | (text == ""), F.lit(NULL_PARTITION)).otherwise(text)
+
+
 def with_commit_metadata(
     df: DataFrame, key: Names, partition_by: Names = (), batch_id: int | str = 0
 ) -> DataFrame:
     """Add when, in which order and under which key and partition a row is committed.
 
-    ``_commit_seqno`` is unique in a commit: batch, task partition and row number in it. The file name is not stored;
-    ``scan_with_file_name`` reads it from the files.
+    ``_commit_seqno`` is unique in a commit: batch, task partition and row number in it. A null part of a key has the
+    name that a null partition value has as a folder, and the partition path is escaped as its folders are. The file
+    name is not stored; ``with_file_name`` reads it from the files.
     """
     key, partition_by = names_of(key), names_of(partition_by)
+    parts = [F.coalesce(col(k).cast("string"), F.lit(NULL_PARTITION)) for k in key]
     if len(key) == 1:
-        record_key = col(key[0]).cast("string")
+        record_key = parts[0]
     else:
-        record_key = F.concat_ws(",", *[F.concat(F.lit(f"{k}:"), col(k).cast("string")) for k in key])
-    path = F.concat_ws("/", *[F.concat(F.lit(f"{p}="), col(p).cast("string")) for p in partition_by])
+        record_key = F.concat_ws(",", *[F.concat(F.lit(f"{k}:"), part) for k, part in zip(key, parts, strict=True)])
+    path = F.concat_ws("/", *[F.concat(F.lit(f"{p}="), folder_text(col(p))) for p in partition_by])
     seqno = F.concat_ws(
         "_",
         F.lit(str(batch_id)),

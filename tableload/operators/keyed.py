@@ -23,7 +23,7 @@ from pyspark.sql.types import (
     VariantType,
 )
 
-from tableload.functions.columns import all_present
+from tableload.functions.columns import COMMIT_COLUMNS, all_present, with_commit_metadata
 from tableload.functions.names import Names, col, cols, names_of, quoted
 from tableload.operators.writes import overwrite
 from tableload.workspace import scratch_path
@@ -149,20 +149,25 @@ def upsert(
 def upsert_parts(
     target: DataFrame, staged: Staged, key: Names, order: Names, keep_latest: bool, small: bool
 ) -> tuple[DataFrame | None, DataFrame]:
-    """The result of an upsert in two parts: stored rows as they are, and rows of the batch's keys.
+    """The result of an upsert in two parts: stored rows as they are, and rows of the batch.
 
-    With a small batch the first part comes straight from the scan and the second is no larger than the batch.
+    With a small batch the first part comes straight from the scan and the second is no larger than the batch. With
+    ``keep_latest`` one scan of the target keeps the stored winners, and one of its key and order columns alone tells
+    which incoming rows lose.
     """
     key, order, columns = names_of(key), names_of(order), target.columns
     if keep_latest and not small:
         return None, _newer_of_each(target, staged.rows, key, order)
-    keys = _small_or_shuffled(staged.rows.select(*cols(key)), small)
-    untouched = target.join(keys, key, "left_anti").select(*cols(columns))
     if not keep_latest:
-        return untouched, staged.rows
-    touched = target.join(keys, key, "left_semi").select(*cols(columns))
-    both = touched.withColumn(_INCOMING, F.lit(0)).unionByName(staged.rows.withColumn(_INCOMING, F.lit(1)))
-    return untouched, _latest(both, key, [*order, _INCOMING]).drop(_INCOMING)
+        keys = _small_or_shuffled(staged.rows.select(*cols(key)), small)
+        return target.join(keys, key, "left_anti").select(*cols(columns)), staged.rows
+    rank = F.struct(*cols([c for c in order if c not in key] or key))
+    incoming = F.broadcast(staged.rows.select(*cols(key), rank.alias(_INCOMING)))
+    stored_wins = rank > F.col(_INCOMING)
+    kept = target.join(incoming, key, "left").where(F.col(_INCOMING).isNull() | stored_wins).select(*cols(columns))
+    ranked = list(dict.fromkeys([*key, *order]))
+    losers = target.select(*cols(ranked)).join(incoming, key).where(stored_wins).select(*cols(key))
+    return kept, staged.rows.join(F.broadcast(losers), key, "left_anti").select(*cols(columns))
 
 
 def _newer_of_each(target: DataFrame, batch: DataFrame, key: list[str], order: Sequence[str]) -> DataFrame:
@@ -179,10 +184,24 @@ def _newer_of_each(target: DataFrame, batch: DataFrame, key: list[str], order: S
 
 
 def bulk_load(
-    df: DataFrame, path: str, key: Names, order: Names, parallelism: int | None = None, **options
+    df: DataFrame,
+    path: str,
+    key: Names,
+    order: Names,
+    parallelism: int | None = None,
+    batch_id: int | str | None = None,
+    **options,
 ) -> None:
-    """Replace the table at ``path`` by the latest row per key."""
-    overwrite(dedupe_batch(df, key, order, parallelism), path, **options)
+    """Replace the table at ``path`` by the latest row per key; with ``batch_id`` its rows get commit columns."""
+    rows = dedupe_batch(df, key, order, parallelism)
+    overwrite(committed(rows, key, options.get("partition_by", ()), batch_id), path, **options)
+
+
+def committed(rows: DataFrame, key: Names, partition_by: Names, batch_id: int | str | None) -> DataFrame:
+    """The rows with commit columns of this batch in place of any they have; as they are without a batch id."""
+    if batch_id is None:
+        return rows
+    return with_commit_metadata(rows.drop(*COMMIT_COLUMNS), key, partition_by, batch_id)
 
 
 def bulk_load_table(df: DataFrame, table: str, key: Names, order: Names, buckets: int) -> None:
@@ -211,6 +230,13 @@ def merge_into(
     tables, in which the adaptive planner can split a frequent target key; and the keys looked up for the insert are
     reduced to distinct ones by the tasks that read them.
     """
+    return merged(target, source, on, update_columns, insert, max_broadcast_bytes)[0]
+
+
+def merged(
+    target: DataFrame, source: DataFrame, on: Names, update_columns: Names, insert: bool, max_broadcast_bytes: int
+) -> tuple[DataFrame, list[str]]:
+    """What ``merge_into`` returns, and the scratch folders it reads, for a caller that writes it and removes them."""
     on, update_columns = names_of(on), names_of(update_columns)
     staged = stage(like(source, target), "source", list(dict.fromkeys([*on, *update_columns])))
     small = staged.fits(max_broadcast_bytes)
@@ -222,22 +248,24 @@ def merge_into(
 
     updates = keyed.select(*cols(on), F.struct(*cols(update_columns)).alias("_new"))
     matched = F.col("_new").isNotNull()
-    merged = target.join(_small_or_shuffled(updates, small), on, "left").select(
+    updated = target.join(_small_or_shuffled(updates, small), on, "left").select(
         *[
             F.when(matched, F.col(f"_new.{quoted(c)}")).otherwise(col(c)).alias(c) if c in update_columns else col(c)
             for c in target.columns
         ]
     )
     if not insert:
-        return merged
+        return updated, [staged.path]
     if small:
         known = target.select(*cols(on)).join(F.broadcast(keyed.select(*cols(on))), on, "left_semi").distinct()
-        return merged.unionByName(staged.rows.join(F.broadcast(known), on, "left_anti").select(*cols(target.columns)))
+        added = staged.rows.join(F.broadcast(known), on, "left_anti").select(*cols(target.columns))
+        return updated.unionByName(added), [staged.path]
     # Staged, the known keys are a plain table as well, and broadcast when they turn out few.
     stored_keys = target.select(*cols(on)).distinct()
     known = stage(stored_keys.join(keyed.select(*cols(on)).hint("merge"), on, "left_semi"), "known", on)
     added = keyed.join(_small_or_shuffled(known.rows, known.fits(max_broadcast_bytes)), on, "left_anti")
-    return merged.unionByName(added.select(*cols(target.columns))).unionByName(staged.rows.where(~has_key))
+    added = added.select(*cols(target.columns)).unionByName(staged.rows.where(~has_key))
+    return updated.unionByName(added), [staged.path, known.path]
 
 
 def _refuse_several_matches(target: DataFrame, keyed: DataFrame, on: list[str]) -> None:

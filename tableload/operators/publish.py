@@ -3,20 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from tableload.functions.names import Names, col, cols, names_of
-from tableload.operators.keyed import MAX_BROADCAST_BYTES, dedupe_batch, like, merge_into, stage, upsert_parts
+from tableload.operators.keyed import MAX_BROADCAST_BYTES, committed, dedupe_batch, like, merged, stage, upsert_parts
+from tableload.operators.tables import add_partitions, create_table, point_table
 from tableload.operators.writes import overwrite, overwrite_partitions, spread_by
-from tableload.workspace import exists, first_file, remove, subfolders
+from tableload.workspace import exists, first_file, partition_folders, remove, subfolders
 
-# Touched partitions up to which the scan of the target is pruned by a list of their values.
-MAX_LISTED_PARTITIONS = 2_000
+# Folder of a partitioned table that holds the rewritten partitions of a call until they are moved in; hidden from scans.
+PENDING = "_pending"
 
 _SNAPSHOT = "snapshot="
 
@@ -33,21 +32,30 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(f"{path}/{_SNAPSHOT}{numbers[-1]}") if numbers else None
 
 
-def publish_snapshot(df: DataFrame, path: str, keep: int = 2) -> int:
-    """Write ``df`` as the next snapshot, remove all but the newest ``keep``, and return its number.
+def publish_snapshot(df: DataFrame, path: str, keep: int | None = None, table: str | None = None) -> int:
+    """Write ``df`` as the next snapshot and return its number.
 
     Readers see it once its job is complete; what a failed job left behind is replaced by the next one. Older snapshots
-    are kept for readers that have started on them.
+    stay for readers that have started on them, until ``drop_snapshots``; ``keep`` calls it with every publication.
+    ``table`` names a catalog table that shows the newest snapshot.
     """
     spark = df.sparkSession
     numbers = snapshots(spark, path)
     number = numbers[-1] + 1 if numbers else 0
     overwrite(df, f"{path}/{_SNAPSHOT}{number}")
-    for old in [*numbers, number][: -max(keep, 1)]:
-        remove(spark, f"{path}/{_SNAPSHOT}{old}")
+    if table is not None:
+        point_table(spark, table, df.schema, f"{path}/{_SNAPSHOT}{number}")
+    if keep is not None:
+        drop_snapshots(spark, path, keep)
     return number
 
 
+def drop_snapshots(spark: SparkSession, path: str, keep: int) -> None:
+    """Remove all but the newest ``keep`` snapshots, one at least; no reader may still be on the others."""
+    for old in snapshots(spark, path)[: -max(keep, 1)]:
+        remove(spark, f"{path}/{_SNAPSHOT}{old}")
+
+
 def _with_columns_of(df: DataFrame, other: DataFrame) -> DataFrame:
     """``df`` with those columns of ``other`` that it lacks, as nulls."""
     missing = [f for f in other.schema if f.name not in df.columns]
@@ -62,23 +70,28 @@ def upsert_snapshot(
     keep_latest: bool = False,
     parallelism: int | None = None,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+    batch_id: int | str | None = None,
+    table: str | None = None,
+    keep: int | None = None,
 ) -> None:
     """Upsert a batch into the newest snapshot and publish the result as the next one.
 
-    Repeating a batch, as after a lost driver, leaves the same rows. A column that only the batch or only the table has
-    is kept, and null in the rows of the other. Every call writes the whole table; for large tables use
-    ``upsert_partitions``. One writer at a time per table.
+    Repeating a batch, as after a lost driver, leaves the same rows, and an empty one publishes nothing. A column that
+    only the batch or only the table has is kept, and null in the rows of the other. With ``batch_id`` the batch's rows
+    carry commit columns. Every other call writes the whole table; for large tables use ``upsert_partitions``. One
+    writer at a time per table.
     """
     spark = batch.sparkSession
+    rows = committed(dedupe_batch(batch, key, order, parallelism), key, (), batch_id)
     target = read_snapshot(spark, path)
     if target is None:
-        publish_snapshot(dedupe_batch(batch, key, order, parallelism), path)
+        publish_snapshot(rows, path, keep, table)
         return
-    target = _with_columns_of(target, batch)
-    batch = like(_with_columns_of(batch, target), target)
-    staged = stage(dedupe_batch(batch, key, order, parallelism), "batch", key)
-    kept, changed = upsert_parts(target, staged, key, order, keep_latest, staged.fits(max_broadcast_bytes))
-    publish_snapshot(changed if kept is None else kept.unionByName(changed), path)
+    target = _with_columns_of(target, rows)
+    staged = stage(like(_with_columns_of(rows, target), target), "batch", key)
+    if staged.count:
+        kept, changed = upsert_parts(target, staged, key, order, keep_latest, staged.fits(max_broadcast_bytes))
+        publish_snapshot(changed if kept is None else kept.unionByName(changed), path, keep, table)
     remove(spark, staged.path)
 
 
@@ -89,12 +102,18 @@ def merge_snapshot(
     update_columns: Names,
     insert: bool = True,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+    table: str | None = None,
+    keep: int | None = None,
 ) -> None:
     """Merge a source into the newest snapshot, as ``merge_into`` does, and publish the result as the next one."""
-    target = read_snapshot(source.sparkSession, path)
+    spark = source.sparkSession
+    target = read_snapshot(spark, path)
     if target is None:
         raise ValueError(f"no table to merge into at {path}")
-    publish_snapshot(merge_into(target, source, on, update_columns, insert, max_broadcast_bytes), path)
+    rows, staged = merged(target, source, on, update_columns, insert, max_broadcast_bytes)
+    publish_snapshot(rows, path, keep, table)
+    for folder in staged:
+        remove(spark, folder)
 
 
 def key_bucket(key: Names, buckets: int) -> Column:
@@ -102,12 +121,6 @@ def key_bucket(key: Names, buckets: int) -> Column:
     return F.pmod(F.xxhash64(*cols(key)), F.lit(buckets)).cast("int")
 
 
-def _in_partitions(partition_by: Sequence[str], touched: list) -> Column:
-    if len(partition_by) == 1:
-        return col(partition_by[0]).isin([row[0] for row in touched])
-    return reduce(or_, [reduce(and_, [col(n) == F.lit(v) for n, v in zip(partition_by, row)]) for row in touched])
-
-
 def _no_empty_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Fail on empty strings in partition columns: as a folder name they cannot be told from null."""
     for name in columns:
@@ -126,42 +139,73 @@ def upsert_partitions(
     keep_latest: bool = False,
     parallelism: int | None = None,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+    batch_id: int | str | None = None,
+    table: str | None = None,
 ) -> None:
     """Upsert a batch into a partitioned Parquet table, reading and rewriting only the partitions it touches.
 
     A row is identified by its partition and key together: the partition columns have to follow from the key, or be
-    part of it. The batch has the columns of the table. Repeating a batch leaves the same rows.
+    part of it. The batch has the columns of the table. With ``batch_id`` its rows carry commit columns; ``table``
+    names a catalog table that shows the rows. Repeating a batch leaves the same rows, and an empty one writes nothing.
 
-    The rewritten partitions are moved in when the job is done, so lost executors do no harm; a driver lost during the
-    moves can leave partitions in the table's staging folder. One writer at a time per table.
+    The rewritten partitions are first written out in a hidden folder of the table and then copied in, so whatever is
+    lost, no row is: a call that finds such a folder complete finishes that copy first, and drops an incomplete one.
+    The folders of touched partitions are listed one by one, so neither the scan nor the listing sees any other. One
+    writer at a time per table.
     """
     spark = batch.sparkSession
     partition_by = names_of(partition_by)
     identity = list(dict.fromkeys([*partition_by, *names_of(key)]))
     batch = _no_empty_text(batch, partition_by)
+    rows = committed(dedupe_batch(batch, identity, order, parallelism), key, partition_by, batch_id)
     file = first_file(spark, path)
-    if file is None:
-        overwrite(dedupe_batch(batch, identity, order, parallelism), path, partition_by=partition_by)
+    if file is None and not exists(spark, f"{path}/{PENDING}/_SUCCESS"):
+        overwrite(rows, path, partition_by=partition_by)
+        if table is not None:
+            _show(spark, table, path, rows.schema, partition_by, None)
         return
-    in_files = spark.read.parquet(file).schema
-    schema = StructType([*in_files.fields, *[batch.schema[c] for c in partition_by]])
-    if set(schema.names) != set(batch.columns):
-        raise ValueError(f"batch columns {batch.columns} differ from the table's {schema.names}")
-    stored = spark.read.schema(schema).parquet(path)
-    staged = stage(dedupe_batch(like(batch, stored), identity, order, parallelism), "batch", identity)
-    touched = staged.rows.select(*cols(partition_by)).distinct()
-    listed = touched.limit(MAX_LISTED_PARTITIONS + 1).collect()
-    if listed:
-        if len(listed) <= MAX_LISTED_PARTITIONS:
-            stored = stored.where(_in_partitions(partition_by, listed))
-        else:
-            stored = stored.join(touched, list(partition_by), "left_semi").select(*cols(schema.names))
+    in_files = spark.read.parquet(file or f"{path}/{PENDING}").schema
+    stored_names = [f for f in in_files if f.name not in partition_by]
+    schema = StructType([*stored_names, *[rows.schema[c] for c in partition_by]])
+    if set(schema.names) != set(rows.columns):
+        raise ValueError(f"batch columns {rows.columns} differ from the table's {schema.names}")
+    _finish_pending(spark, path, schema, partition_by)
+    empty = spark.createDataFrame([], schema)
+    staged = stage(like(rows, empty), "batch", identity)
+    if staged.count:
+        # as many as the batch has partitions: the writer and the listing go through them in any case
+        touched = [list(r) for r in staged.rows.select(*[col(c).cast("string") for c in partition_by]).distinct().collect()]
+        folders = partition_folders(spark, path, partition_by, touched)
+        stored = spark.read.schema(schema).option("basePath", path).parquet(*folders) if folders else empty
         small = staged.fits(max_broadcast_bytes)
         kept, changed = upsert_parts(stored, staged, identity, order, keep_latest, small)
         if small:
             # The stored rows are written by the tasks that scan them; only the batch moves to its partitions.
-            merged = kept.unionByName(spread_by(changed, partition_by))
+            result = kept.unionByName(spread_by(changed, partition_by))
         else:
-            merged = spread_by(changed if kept is None else kept.unionByName(changed), partition_by)
-        overwrite_partitions(merged, path, partition_by, spread=False)
+            result = spread_by(changed if kept is None else kept.unionByName(changed), partition_by)
+        options = {"partitionOverwriteMode": "static"}
+        result.write.mode("overwrite").options(**options).partitionBy(*partition_by).parquet(f"{path}/{PENDING}")
+        _finish_pending(spark, path, schema, partition_by)
+        if table is not None:
+            _show(spark, table, path, schema, partition_by, touched)
     remove(spark, staged.path)
+
+
+def _finish_pending(spark: SparkSession, path: str, schema: StructType, partition_by: Sequence[str]) -> None:
+    """Copy the partitions that a call has left ready into the table; what is not complete is dropped."""
+    pending = f"{path}/{PENDING}"
+    if exists(spark, f"{pending}/_SUCCESS"):
+        overwrite_partitions(spark.read.schema(schema).parquet(pending), path, partition_by, spread=False)
+    remove(spark, pending)
+
+
+def _show(
+    spark: SparkSession, table: str, path: str, schema: StructType, partition_by: Sequence[str], touched: list | None
+) -> None:
+    """Let a catalog table show the partitions at ``path``; ``touched`` are those that may be new, None for all."""
+    if spark.catalog.tableExists(table):
+        add_partitions(spark, table, partition_by, touched)
+    else:
+        create_table(spark, table, schema, path, partition_by)
+        add_partitions(spark, table, partition_by, None)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableload.functions.names import Names, col, cols, names_of
-from tableload.operators.writes import write_single_csv
+from tableload.operators.writes import Report, write_single_csv
 
 # Report columns, report folders and statuses.
 METRIC_COLUMNS = "entity string, instance string, name string, value double"
@@ -125,8 +125,9 @@ class NonNegative:
         return (self.column,)
 
     def value(self) -> Column:
-        number = F.coalesce(col(self.column).try_cast("decimal(20,10)"), F.lit(0))
-        return F.try_divide(F.count_if(number >= 0), F.count(F.lit(1)))
+        # ten digits before the point fit the decimal; the sign of a larger number is right as a double
+        exact, wide = (col(self.column).try_cast(kind) for kind in ("decimal(20,10)", "double"))
+        return F.try_divide(F.count_if(F.coalesce(exact >= 0, wide >= 0, F.lit(True))), F.count(F.lit(1)))
 
     def __str__(self) -> str:
         return f"Compliance({self.instance},COALESCE(CAST({self.column} AS DECIMAL(20,10)), 0.0) >= 0,None)"
@@ -205,8 +206,12 @@ def run_analyzers(df: DataFrame, analyzers: Sequence[Analyzer]) -> list[Metric]:
 
 def metrics_table(spark: SparkSession, metrics: Sequence[Metric]) -> DataFrame:
     """Metrics that have a value, as rows ``entity, instance, name, value``."""
+    return metrics_report(metrics).table(spark)
+
+
+def metrics_report(metrics: Sequence[Metric]) -> Report:
     rows = [(m.analyzer.entity, m.analyzer.instance, m.analyzer.name, m.value) for m in metrics if m.value is not None]
-    return spark.createDataFrame(rows, METRIC_COLUMNS)
+    return Report(tuple(rows), METRIC_COLUMNS)
 
 
 @dataclass(frozen=True)
@@ -252,8 +257,11 @@ class Verification:
     results: tuple[tuple[str, str, str, str, str, str], ...]
     metrics: tuple[Metric, ...]
 
+    def check_report(self) -> Report:
+        return Report(self.results, CHECK_COLUMNS)
+
     def check_table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(list(self.results), CHECK_COLUMNS)
+        return self.check_report().table(spark)
 
     def metrics_table(self, spark: SparkSession) -> DataFrame:
         return metrics_table(spark, self.metrics)
@@ -282,5 +290,5 @@ def verify(df: DataFrame, checks: Sequence[Check]) -> Verification:
 
 def write_reports(spark: SparkSession, verification: Verification, path: str) -> None:
     """Write both tables as single CSV files below ``path``."""
-    write_single_csv(verification.check_table(spark), f"{path}/{CHECK_FOLDER}")
-    write_single_csv(verification.metrics_table(spark), f"{path}/{METRIC_FOLDER}")
+    write_single_csv(spark, verification.check_report(), f"{path}/{CHECK_FOLDER}")
+    write_single_csv(spark, metrics_report(verification.metrics), f"{path}/{METRIC_FOLDER}")

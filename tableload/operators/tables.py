@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tableload.functions.names import Names, cols, names_of, quoted
+from tableload.functions.names import Names, col, cols, names_of, quoted
+from tableload.operators.writes import overwrite_partitions
 
 
 def _table(name: str) -> str:
@@ -56,18 +60,49 @@ def insert_by_name(df: DataFrame, name: str, columns: Names | None = None) -> No
     )
 
 
+def point_table(spark: SparkSession, name: str, schema: StructType, location: str) -> None:
+    """Let an external table show the files at ``location``; one with other columns is created anew."""
+    if spark.catalog.tableExists(name):
+        if [(f.name, f.dataType) for f in spark.table(name).schema] == [(f.name, f.dataType) for f in schema]:
+            spark.sql("ALTER TABLE IDENTIFIER(:name) SET LOCATION :location", {"name": _table(name), "location": location})
+            spark.catalog.refreshTable(_table(name))
+            return
+        spark.sql("DROP TABLE IDENTIFIER(:name)", {"name": _table(name)})
+    create_table(spark, name, schema, location)
+
+
+def add_partitions(spark: SparkSession, name: str, partition_by: Sequence[str], values: list | None) -> None:
+    """Register partitions, given by their values as text, that the table's catalog entry lacks; all that lie there
+    when ``values`` is None. Null values are found by listing."""
+    if values is None or any(v is None for row in values for v in row):
+        spark.catalog.recoverPartitions(_table(name))
+    else:
+        columns = names_of(partition_by)
+        for start in range(0, len(values), 500):
+            specs, args = [], {"name": _table(name)}
+            for k, row in enumerate(values[start : start + 500]):
+                args |= {f"v{k}_{i}": v for i, v in enumerate(row)}
+                specs.append("PARTITION (" + ", ".join(f"{quoted(c)} = :v{k}_{i}" for i, c in enumerate(columns)) + ")")
+            spark.sql(f"ALTER TABLE IDENTIFIER(:name) ADD IF NOT EXISTS {' '.join(specs)}", args)
+    spark.catalog.refreshTable(_table(name))
+
+
 def replace_partitions(df: DataFrame, name: str) -> None:
     """Replace, by name, the partitions of a table that ``df`` has rows for; new ones are registered in the catalog.
 
-    Inserts take the overwrite mode from the session alone, so it is changed for the length of this call. ``df`` must
-    not read the table; ``overwrite_partitions`` on its location may.
+    The files are written to the table's location, with the mode as an option of this write alone. Columns that ``df``
+    lacks become null. ``df`` must not read the table; ``overwrite_partitions`` on its location may.
     """
-    conf, key = df.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
-    before = conf.get(key)
-    conf.set(key, "dynamic")
-    try:
-        df.sparkSession.sql(
-            "INSERT OVERWRITE IDENTIFIER(:name) BY NAME SELECT * FROM {rows}", args={"name": _table(name)}, rows=df
-        )
-    finally:
-        conf.set(key, before)
+    spark = df.sparkSession
+    described = {r.col_name: r.data_type for r in spark.sql("DESCRIBE EXTENDED IDENTIFIER(:name)", {"name": _table(name)}).collect()}
+    partition_by = [c.name for c in spark.catalog.listColumns(_table(name)) if c.isPartition]
+    schema = spark.table(_table(name)).schema
+    unknown = set(df.columns) - set(schema.names)
+    if unknown or not set(partition_by) <= set(df.columns):
+        raise ValueError(f"columns {df.columns} do not fit the table's {schema.names}")
+    rows = df.select(
+        *[(col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
+    )
+    overwrite_partitions(rows, described["Location"], partition_by, described["Provider"].lower())
+    values = [list(r) for r in rows.select(*[col(c).cast("string") for c in partition_by]).distinct().collect()]
+    add_partitions(spark, name, partition_by, values)

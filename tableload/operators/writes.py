@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, DataFrameWriter, Observation
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, DataFrameWriter, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tableload.functions.names import Names, col, cols, names_of
@@ -13,9 +15,6 @@ MICROSECONDS = {
     "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
 }
 
-# Rows a single-file report may have.
-MAX_REPORT_ROWS = 100_000
-
 
 def _writer(df: DataFrame, mode: str, format: str, partition_by: Names, options: dict) -> DataFrameWriter:
     writer = df.write.mode(mode).format(format).options(**options)
@@ -66,14 +65,24 @@ def write_csv(
     df.write.mode(mode).options(header=header, sep=sep, **options).csv(path)
 
 
-def write_single_csv(df: DataFrame, path: str, max_rows: int = MAX_REPORT_ROWS) -> None:
-    """Overwrite ``path`` with one CSV file without header, for report tables.
+@dataclass(frozen=True)
+class Report:
+    """A table whose rows the caller's own lists gave, such as one row per constraint, and which is on the driver."""
+
+    rows: tuple[tuple, ...]
+    columns: str
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(list(self.rows), self.columns)
+
+
+def write_single_csv(spark: SparkSession, report: Report, path: str) -> None:
+    """Overwrite ``path`` with one CSV file without header, from a single task.
 
-    All rows pass one task, so the job fails beyond ``max_rows``. The rows before it are still computed in parallel.
+    Only reports are taken; a DataFrame, which may be of any size, goes to ``write_csv``.
     """
-    too_many = F.raise_error(F.lit(f"a single-file report is limited to {max_rows} rows"))
-    within = F.when(F.monotonically_increasing_id() >= max_rows, too_many).otherwise(F.lit(True))
-    df.repartition(1).where(within).write.mode("overwrite").options(**MICROSECONDS).csv(path, sep=",")
+    rows = report.table(spark).repartition(1)
+    rows.write.mode("overwrite").options(**MICROSECONDS).csv(path, sep=",")
 
 
 def load_warehouse(

@@ -6,18 +6,28 @@ from collections.abc import Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tableload.functions.columns import LOAD_COLUMN, stamp_load_time
 from tableload.functions.names import Names, names_of
 from tableload.operators import writes
-from tableload.operators.keyed import bulk_load, dedupe_batch
-from tableload.operators.publish import publish_snapshot, upsert_partitions, upsert_snapshot
+from tableload.operators.keyed import bulk_load, committed, dedupe_batch, stage
+from tableload.operators.publish import key_bucket, publish_snapshot, upsert_partitions, upsert_snapshot
 from tableload.operators.quality import Check, Verification, verify, write_reports
 from tableload.operators.tables import create_table, insert_by_name
 from tableload.sources.delimited import scan_csv
-from tableload.sources.records import bad_records, decode_envelope, good_records, only_good_records
+from tableload.sources.records import (
+    BAD_RECORD,
+    PAYLOAD,
+    bad_records,
+    decode_envelope,
+    good_records,
+    only_good_records,
+)
 from tableload.sources.tables import scan, scan_catalog_entry
+from tableload.streaming.micro_batch import BATCH_COLUMN, BUCKET_COLUMN
+from tableload.workspace import remove
 
 
 def load_csv(
@@ -46,24 +56,53 @@ def load_csv_by_key(
     replace: bool = False,
     schema: StructType | None = None,
     parallelism: int | None = None,
+    buckets: int | None = None,
+    batch_id: int | str | None = None,
+    table: str | None = None,
 ) -> None:
     """Scan a CSV, stamp it and upsert it by key; ``replace`` empties the table first.
 
     All rows of a load have the same stamp, so ``tiebreak`` columns decide between rows of one key. In a table with
-    ``partition_by`` a row is identified by partition and key; without, the table is a series of snapshots.
+    ``partition_by`` a row is identified by partition and key; ``buckets`` divides one without such columns by its key.
+    Without either the table is a series of snapshots, each of which holds all of it. With ``batch_id`` the rows carry
+    commit columns, and ``table`` names a catalog table that shows them.
     """
     rows = stamp_load_time(scan_csv(spark, source, sep, schema))
     order = [LOAD_COLUMN, *names_of(tiebreak)]
-    if partition_by:
-        if replace:
-            identity = [*names_of(partition_by), *names_of(key)]
-            bulk_load(rows, target, identity, order, parallelism, partition_by=partition_by)
-        else:
-            upsert_partitions(rows, target, key, order, partition_by, parallelism=parallelism)
+    if replace and (partition_by or buckets):
+        rows, partition_by = _divided(rows, key, partition_by, buckets)
+        identity = [*partition_by, *names_of(key)]
+        bulk_load(rows, target, identity, order, parallelism, batch_id, partition_by=partition_by)
     elif replace:
-        publish_snapshot(dedupe_batch(rows, key, order, parallelism), target)
+        publish_snapshot(committed(dedupe_batch(rows, key, order, parallelism), key, (), batch_id), target, table=table)
+    else:
+        _upsert(rows, target, key, order, partition_by, buckets, parallelism, batch_id, table)
+
+
+def _divided(rows: DataFrame, key: Names, partition_by: Names, buckets: int | None) -> tuple[DataFrame, list[str]]:
+    """The rows and their partition columns; without any, a bucket of the key is one."""
+    if partition_by or buckets is None:
+        return rows, list(names_of(partition_by))
+    return rows.withColumn(BUCKET_COLUMN, key_bucket(key, buckets)), [BUCKET_COLUMN]
+
+
+def _upsert(
+    rows: DataFrame,
+    target: str,
+    key: Names,
+    order: Names,
+    partition_by: Names = (),
+    buckets: int | None = None,
+    parallelism: int | None = None,
+    batch_id: int | str | None = None,
+    table: str | None = None,
+) -> None:
+    rows, partition_by = _divided(rows, key, partition_by, buckets)
+    options = {"parallelism": parallelism, "batch_id": batch_id, "table": table}
+    if partition_by:
+        upsert_partitions(rows, target, key, order, partition_by, **options)
     else:
-        upsert_snapshot(rows, target, key, order, parallelism=parallelism)
+        upsert_snapshot(rows, target, key, order, **options)
 
 
 def load_csv_to_table(
@@ -103,19 +142,56 @@ def load_events(
     schema: StructType | None = None,
     tiebreak: Names = (),
     quarantine: str | None = None,
+    batch_id: int | str = 0,
+    partition_by: Names = (),
+    buckets: int | None = None,
+    commit: bool = False,
+    table: str | None = None,
 ) -> None:
     """Decode a batch of stream events, stamp the records and upsert them by key.
 
-    Bad records are added to ``quarantine``; without it the first one fails the load. Without ``schema`` the columns
-    follow the keys that occur, and join those the table has already.
+    Bad records go to the folder of ``batch_id`` below ``quarantine``, which a repeated load writes over; without it the
+    first one fails the load. Without ``schema`` a row has its key and tiebreak columns, as text, and the whole record
+    as the map ``payload``. ``partition_by`` and ``buckets`` are those of ``load_csv_by_key``. With ``commit`` the rows
+    carry commit columns.
     """
-    decoded = decode_envelope(events, schema, required=key)
+    staged = stage(decode_envelope(events, schema, required=key), "decoded", [BAD_RECORD])
     if quarantine is None:
-        rows = only_good_records(decoded)
+        rows = only_good_records(staged.rows)
     else:
-        writes.append(bad_records(decoded), quarantine)
-        rows = good_records(decoded)
-    upsert_snapshot(stamp_load_time(rows), target, key, [LOAD_COLUMN, *names_of(tiebreak)])
+        writes.overwrite(bad_records(staged.rows), f"{quarantine}/batch={batch_id}")
+        rows = good_records(staged.rows)
+    if schema is None:
+        named = dict.fromkeys([*names_of(key), *names_of(tiebreak), *names_of(partition_by)])
+        rows = rows.select(*[F.try_element_at(PAYLOAD, F.lit(n)).alias(n) for n in named], PAYLOAD)
+    order = [LOAD_COLUMN, *names_of(tiebreak)]
+    rows = stamp_load_time(rows)
+    _upsert(rows, target, key, order, partition_by, buckets, batch_id=batch_id if commit else None, table=table)
+    remove(events.sparkSession, staged.path)
+
+
+def append_events(
+    events: DataFrame, target: str, key: Names, schema: StructType, batch_id: int | str, quarantine: str
+) -> None:
+    """Decode a batch of stream events, stamp the records and append them, as partition ``load_batch`` of ``target``.
+
+    Frequent small batches whose keys lie all over a large table are loaded in this way and compacted now and then.
+    Repeating a batch writes it and its bad records over.
+    """
+    staged = stage(decode_envelope(events, schema, required=key), "decoded", [BAD_RECORD])
+    writes.overwrite(bad_records(staged.rows), f"{quarantine}/batch={batch_id}")
+    writes.overwrite(stamp_load_time(good_records(staged.rows)), f"{target}/{BATCH_COLUMN}={batch_id}")
+    remove(events.sparkSession, staged.path)
+
+
+def latest_events(spark: SparkSession, appended: str, key: Names, order: Names) -> DataFrame:
+    """The latest row per key of what ``append_events`` has appended."""
+    return dedupe_batch(spark.read.parquet(appended), key, [*names_of(order), BATCH_COLUMN]).drop(BATCH_COLUMN)
+
+
+def compact_events(spark: SparkSession, appended: str, target: str, key: Names, order: Names) -> None:
+    """Write the latest row per key of all appended batches over the table at ``target``."""
+    writes.overwrite(latest_events(spark, appended, key, order), target)
 
 
 def check_quality(

@@ -18,14 +18,26 @@ def scan_csv(
 ) -> DataFrame:
     """Read header CSV files; without ``schema`` every column is a string.
 
-    A schema spares the look at the first file's header. With one, the header names are checked against it
-    (``enforceSchema=False``), so files with another column order fail instead of loading into the wrong columns.
+    A schema spares the look at the first file's header. Each task checks the header of its file against the schema,
+    or against the first file's, so files with another column order fail instead of loading into the wrong columns.
     Records with line breaks inside quotes need ``multiLine=True``, which makes each file a single task.
     """
-    reader = spark.read.option("header", True).option("sep", sep).options(**options)
-    if schema is not None:
-        reader = reader.schema(schema).option("enforceSchema", False)
-    return reader.csv(path)
+    def reader():
+        return spark.read.option("header", True).option("sep", sep).options(**options)
+
+    if schema is None:
+        found = reader().csv(path)
+        if not _as_written(found.columns) or "enforceSchema" in options:
+            return found
+        schema = found.schema
+    return reader().schema(schema).options(**{"enforceSchema": False, **options}).csv(path)
+
+
+def _as_written(columns: list[str]) -> bool:
+    """Whether the reader took the names from the header as they are; it changes those that are empty or repeated."""
+    stems = [c.removesuffix(str(k)).lower() for k, c in enumerate(columns)]
+    changed = [c for k, c in enumerate(columns) if c == f"_c{k}" or (c.lower() != stems[k] and stems.count(stems[k]) > 1)]
+    return not changed
 
 
 def split_session(spark: SparkSession, max_partition_bytes: int, exact: bool = False) -> SparkSession:

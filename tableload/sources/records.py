@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import Any
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -17,11 +15,8 @@ from tableload.operators.writes import MICROSECONDS
 # Fixed value: shape of a stream event.
 ENVELOPE_DDL = "Records array<struct<kinesis:struct<data:string>>>"
 
-# Bound on a record list handed over by the driver; larger inputs come as a DataFrame.
-MAX_DRIVER_RECORDS = 100_000
-
-# Bound on the number of distinct payload keys that become columns.
-MAX_PAYLOAD_KEYS = 10_000
+# Column of records decoded without a schema: their values as text, by payload key.
+PAYLOAD = "payload"
 
 BAD_RECORD = "_bad_record"
 _CORRUPT = "_corrupt"
@@ -46,20 +41,18 @@ def open_envelopes(envelopes: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
-def payload_schema(payloads: DataFrame, column: str = "_payload") -> StructType:
-    """String columns for all keys that occur in JSON object texts, sorted by name (one pass over them)."""
-    keys = (
-        payloads.select(F.explode(F.json_object_keys(column)).alias("key"))
-        .distinct()
-        .limit(MAX_PAYLOAD_KEYS + 1)
-        .collect()
-    )
-    if len(keys) > MAX_PAYLOAD_KEYS:
-        raise ValueError(f"more than {MAX_PAYLOAD_KEYS} different payload keys; pass a schema")
-    return StructType([StructField(name, StringType()) for name in sorted(row.key for row in keys)])
+def _parse_map(payloads: DataFrame, required: Names) -> DataFrame:
+    values = F.from_json("_payload", "map<string,string>")
+    df = payloads.select(values.alias(PAYLOAD), "_raw")
+    bad = F.col(PAYLOAD).isNull()
+    for name in names_of(required):
+        bad = bad | F.try_element_at(PAYLOAD, F.lit(name)).isNull()
+    return df.select(PAYLOAD, F.when(bad, F.coalesce("_raw", F.lit(""))).alias(BAD_RECORD))
 
 
-def _parse(payloads: DataFrame, schema: StructType, required: Names) -> DataFrame:
+def _parse(payloads: DataFrame, schema: StructType | None, required: Names) -> DataFrame:
+    if schema is None:
+        return _parse_map(payloads, required)
     parsed = F.from_json(
         "_payload",
         StructType([*schema.fields, StructField(_CORRUPT, StringType())]),
@@ -84,13 +77,11 @@ def decode_envelope(
     """One typed row per record, plus ``_bad_record`` holding the raw text of records that cannot be used.
 
     A record is bad when its base64, UTF-8 or JSON is broken, a value does not fit its type, or a ``required`` column
-    is null. Without ``schema`` the payload keys are looked up first, in a pass of their own. Decoding is done by
-    built-in expressions in the tasks that read the events; split the result with ``good_records`` and ``bad_records``.
+    is null. Without ``schema`` the one column ``payload`` maps the keys of each record to their values as text.
+    Decoding is done by built-in expressions in the tasks that read the events; split the result with ``good_records``
+    and ``bad_records``.
     """
-    if schema is None and envelopes.isStreaming:
-        raise ValueError("a stream needs a schema")
-    payloads = open_envelopes(envelopes, column)
-    return _parse(payloads, payload_schema(payloads) if schema is None else schema, required)
+    return _parse(open_envelopes(envelopes, column), schema, required)
 
 
 def good_records(decoded: DataFrame) -> DataFrame:
@@ -115,30 +106,30 @@ def records_to_table(
 ) -> DataFrame:
     """Records as a table: a driver list of dicts, or a DataFrame of JSON object texts in ``column``.
 
-    The list is for one event's payload and is bounded. Keys a record lacks are null. Without ``schema`` a list is
-    inferred by Spark, and texts give string columns for all keys that occur. A text that is no such object fails the
-    job.
+    The list is for one event's payload. Keys a record lacks are null. Without ``schema`` a list is inferred by Spark,
+    and texts give one column ``payload`` that maps keys to values as text. A text that is no such object fails the job.
     """
     if not isinstance(records, DataFrame):
-        if len(records) > MAX_DRIVER_RECORDS:
-            raise ValueError(f"{len(records)} records on the driver; pass them as a DataFrame of JSON texts")
         return spark.createDataFrame(records, schema)
     payloads = records.select(F.col(column).alias("_payload"), F.col(column).alias("_raw"))
-    return only_good_records(_parse(payloads, payload_schema(payloads) if schema is None else schema, ()))
+    return only_good_records(_parse(payloads, schema, ()))
 
 
-def encode_envelope(df: DataFrame, records_per_event: int = 100) -> DataFrame:
+def encode_envelope(df: DataFrame, records_per_event: int = 1) -> DataFrame:
     """The inverse of ``decode_envelope``, as a producer does it: event texts in column ``value``.
 
-    Each task packs its own rows, at most ``records_per_event`` to an event; nothing is shuffled.
+    Each row becomes an event where it lies. With more ``records_per_event``, runs of that many rows of a task share
+    one; the encoded records are then shuffled, a run at a time.
     """
     payload = F.to_json(F.struct(*cols(df.columns)), MICROSECONDS)
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            records = [f'{{"kinesis":{{"data":"{data}"}}}}' for data in batch.column(0).to_pylist()]
-            events = [records[i : i + records_per_event] for i in range(0, len(records), records_per_event)]
-            yield pa.RecordBatch.from_pydict({"value": ['{"Records":[' + ",".join(e) + "]}" for e in events]})
-
     data = F.replace(F.base64(F.encode(payload, "UTF-8")), F.lit("\r\n"), F.lit(""))
-    return df.select(data.alias("data")).mapInArrow(pack, "value string")
+    record = F.struct(F.struct(data.alias("data")).alias("kinesis"))
+    if records_per_event == 1:
+        records = df.select(F.array(record).alias("Records"))
+    else:
+        # the id's lower bits number the rows of a task, its upper bits the tasks
+        row = F.monotonically_increasing_id()
+        number = F.struct(F.shiftright(row, 33), (row.bitwiseAND(F.lit((1 << 33) - 1)) / records_per_event).cast("long"))
+        runs = df.select(record.alias("_record"), number.alias("_run"))
+        records = runs.groupBy("_run").agg(F.collect_list("_record").alias("Records")).drop("_run")
+    return records.select(F.to_json(F.struct("Records")).alias("value"))

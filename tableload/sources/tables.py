@@ -27,6 +27,7 @@ from pyspark.sql.types import (
     VarcharType,
 )
 
+from tableload.sources.delimited import scan_csv
 from tableload.workspace import first_file
 
 # What a catalog type without parameters stands for.
@@ -50,9 +51,9 @@ _WIDENS_TO = {
 
 
 def scan(spark: SparkSession, path: str, format: str = "parquet", **options: str | bool) -> DataFrame:
-    """Read files of any format the session has a reader for; header CSV is the CSV default."""
-    if format == "csv":
-        options = {"header": True, **options}
+    """Read files of any format the session has a reader for; CSV has a header unless ``header=False`` says otherwise."""
+    if format == "csv" and str(options.get("header", True)).lower() == "true":
+        return scan_csv(spark, path, str(options.pop("sep", options.pop("delimiter", ","))), **options)
     return spark.read.format(format).options(**options).load(path)
 
 

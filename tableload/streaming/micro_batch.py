@@ -1,30 +1,47 @@
 """Streams of event envelopes loaded into tables, one micro-batch at a time.
 
-One query writes a table. Its checkpoint is kept per target, so Spark refuses a second query that shares it.
+One query writes a table. Its checkpoint lies beside the target and it is named after it, so Spark refuses a second
+query on the same target in a session; one in another session shares the checkpoint, and only one of them can commit a
+batch to it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.types import StructType
 
 from tableload.functions.columns import LOAD_COLUMN, stamp_load_time
 from tableload.functions.names import Names, names_of
+from tableload.operators.keyed import stage
 from tableload.operators.publish import key_bucket, upsert_partitions, upsert_snapshot
 from tableload.operators.writes import overwrite
-from tableload.sources.records import bad_records, decode_envelope, good_records, only_good_records
+from tableload.sources.records import BAD_RECORD, bad_records, decode_envelope, good_records, only_good_records
+from tableload.workspace import remove
 
 # Partition column of a target that is divided by buckets of its key.
 BUCKET_COLUMN = "key_bucket"
 
+# Partition column of a target that is appended to with a quarantine: the number of the micro-batch.
+BATCH_COLUMN = "load_batch"
 
-def read_envelopes(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """A stream of the event texts in the files of a folder, one event per line."""
-    reader = spark.readStream.format("text")
+
+def checkpoint_of(target: str) -> str:
+    return f"{target.rstrip('/')}.checkpoint"
+
+
+def read_envelopes(
+    spark: SparkSession, path: str | None = None, files_per_batch: int | None = None, format: str = "text", **options
+) -> DataFrame:
+    """A stream of event texts: by default from the files of a folder, one event per line.
+
+    ``format`` and ``options`` are passed on to the reader, for other stream sources; the texts are then to be brought
+    into a column by the caller, and its name given when decoding.
+    """
+    reader = spark.readStream.format(format).options(**options)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.load(path)
+    return reader.load() if path is None else reader.load(path)
 
 
 def stream_upsert(
@@ -33,68 +50,94 @@ def stream_upsert(
     schema: StructType,
     key: Names,
     order: Names,
-    checkpoint: str,
     keep_latest: bool = False,
     partition_by: Names = (),
     buckets: int | None = None,
     stamp: str | None = LOAD_COLUMN,
     quarantine: str | None = None,
+    commit: bool = False,
+    table: str | None = None,
+    keep: int | None = None,
+    column: str = "value",
     **trigger,
 ) -> StreamingQuery:
     """Decode, stamp and upsert each micro-batch into ``target``; starts the query.
 
     With ``partition_by``, or ``buckets`` of the key where no column serves, the target is a partitioned table of which
     a batch rewrites only what it touches; without, a snapshot is published per batch, which suits small tables. A
-    replayed batch leaves the same rows either way. Only
-    ``keep_latest`` makes the result independent of the order in which events arrive.
+    batch whose keys touch every partition still rewrites the table: with frequent small batches, append them and
+    compact now and then. A replayed batch leaves the same rows, and an empty one writes nothing. Only ``keep_latest``
+    makes the result independent of the order in which events arrive.
 
-    Bad records go to one folder per batch below ``quarantine``; without it the first one fails the query.
+    Bad records go to one folder per batch below ``quarantine``; without it the first one fails the query. With
+    ``commit`` rows carry commit columns; ``table`` names a catalog table that shows the target, and ``keep`` bounds
+    the snapshots that stay.
     """
     def load(batch: DataFrame, batch_id: int) -> None:
-        decoded = decode_envelope(batch, schema, required=key)
+        decoded = decode_envelope(batch, schema, required=key, column=column)
         if quarantine is None:
-            upsert(only_good_records(decoded))
+            upsert(only_good_records(decoded), batch_id)
             return
-        decoded.persist()
-        try:
-            overwrite(bad_records(decoded), f"{quarantine}/batch={batch_id}")
-            upsert(good_records(decoded))
-        finally:
-            decoded.unpersist()
-
-    def upsert(rows: DataFrame) -> None:
+        staged = stage(decoded, "decoded", [BAD_RECORD])
+        overwrite(bad_records(staged.rows), f"{quarantine}/batch={batch_id}")
+        upsert(good_records(staged.rows), batch_id)
+        remove(batch.sparkSession, staged.path)
+
+    def upsert(rows: DataFrame, batch_id: int) -> None:
         if stamp is not None:
             rows = stamp_load_time(rows, stamp)
+        options = {"keep_latest": keep_latest, "batch_id": batch_id if commit else None, "table": table}
         if buckets is not None:
             rows = rows.withColumn(BUCKET_COLUMN, key_bucket(key, buckets))
-            upsert_partitions(rows, target, key, order, [BUCKET_COLUMN], keep_latest)
+            upsert_partitions(rows, target, key, order, [BUCKET_COLUMN], **options)
         elif partition_by:
-            upsert_partitions(rows, target, key, order, partition_by, keep_latest)
+            upsert_partitions(rows, target, key, order, partition_by, **options)
         else:
-            upsert_snapshot(rows, target, key, order, keep_latest)
+            upsert_snapshot(rows, target, key, order, keep=keep, **options)
 
-    trigger = trigger or {"availableNow": True}
-    return (
-        envelopes.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(**trigger).start()
-    )
+    return _start(envelopes.writeStream.foreachBatch(load), target, trigger)
 
 
 def stream_append(
     envelopes: DataFrame,
     target: str,
     schema: StructType,
-    checkpoint: str,
     required: Names = (),
     partition_by: Names = (),
     stamp: str | None = LOAD_COLUMN,
     format: str = "parquet",
+    quarantine: str | None = None,
+    column: str = "value",
     **trigger,
 ) -> StreamingQuery:
-    """Decode, stamp and append every record once, through the file sink's commit log; starts the query."""
-    rows = only_good_records(decode_envelope(envelopes, schema, required))
-    if stamp is not None:
-        rows = stamp_load_time(rows, stamp)
-    writer = rows.writeStream.format(format).option("checkpointLocation", checkpoint).option("path", target)
-    if partition_by:
-        writer = writer.partitionBy(*names_of(partition_by))
+    """Decode, stamp and append every record once; starts the query.
+
+    Without ``quarantine`` this is the file sink with its commit log, and the first bad record fails the query. With
+    it, the bad records of a batch go to a folder of their own below ``quarantine``, and the good ones to a partition
+    ``load_batch`` of the target; a replayed batch writes both over.
+    """
+    def shaped(rows: DataFrame) -> DataFrame:
+        return rows if stamp is None else stamp_load_time(rows, stamp)
+
+    if quarantine is not None:
+
+        def load(batch: DataFrame, batch_id: int) -> None:
+            staged = stage(decode_envelope(batch, schema, required, column), "decoded", [BAD_RECORD])
+            overwrite(bad_records(staged.rows), f"{quarantine}/batch={batch_id}")
+            rows = shaped(good_records(staged.rows))
+            overwrite(rows, f"{target}/{BATCH_COLUMN}={batch_id}", format, partition_by)
+            remove(batch.sparkSession, staged.path)
+
+        writer = envelopes.writeStream.foreachBatch(load)
+    else:
+        rows = shaped(only_good_records(decode_envelope(envelopes, schema, required, column)))
+        writer = rows.writeStream.format(format).option("path", target)
+        if partition_by:
+            writer = writer.partitionBy(*names_of(partition_by))
+    return _start(writer, target, trigger)
+
+
+def _start(writer: DataStreamWriter, target: str, trigger: dict) -> StreamingQuery:
+    checkpoint = checkpoint_of(target)
+    writer = writer.queryName(checkpoint).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -56,19 +56,44 @@ def subfolders(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(hadoop_path) if s.isDirectory())
 
 
+def _hidden(name: str) -> bool:
+    """Whether scans skip a file or folder of this name; a partition column may begin with an underscore."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name)
+
+
 def first_file(spark: SparkSession, path: str) -> str | None:
-    """Some data file at or below ``path``, found without listing the rest."""
+    """Some data file at or below ``path``, found without listing the rest; hidden folders hold none."""
     fs, hadoop_path = _hadoop(spark, path)
     if not fs.exists(hadoop_path):
         return None
-    files = fs.listFiles(hadoop_path, True)
-    while files.hasNext():
-        file = files.next().getPath()
-        if not file.getName().startswith(("_", ".")):
-            return file.toString()
+    open_folders = [fs.listStatusIterator(hadoop_path)]
+    while open_folders:
+        if not open_folders[-1].hasNext():
+            open_folders.pop()
+            continue
+        status = open_folders[-1].next()
+        if _hidden(status.getPath().getName()):
+            continue
+        if not status.isDirectory():
+            return status.getPath().toString()
+        open_folders.append(fs.listStatusIterator(status.getPath()))
     return None
 
 
+def partition_folders(spark: SparkSession, path: str, columns: list[str], values: list) -> list[str]:
+    """The folders below ``path`` of partitions given by their column values as text, those that exist."""
+    name_of = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+    folders = [f"{path}/" + "/".join(name_of(c, v) for c, v in zip(columns, row, strict=True)) for row in values]
+    return [folder for folder in folders if exists(spark, folder)]
+
+
+def move(spark: SparkSession, path: str, target: str) -> None:
+    """Rename a folder this library wrote; the target, on the same file system, must not exist."""
+    fs, hadoop_path = _hadoop(spark, path)
+    if exists(spark, target) or not fs.rename(hadoop_path, _hadoop(spark, target)[1]):
+        raise FileExistsError(f"{path} cannot be moved to {target}")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder this library wrote; nothing happens when it is gone already."""
     fs, hadoop_path = _hadoop(spark, path)

@@ -71,7 +71,8 @@ def test_load_events(spark, tmp_path):
     target = str(tmp_path / "t")
     jobs.load_events(events({"id": "1", "n": "a"}, {"id": "2", "n": "b"}), target, ["id"])
     jobs.load_events(events({"id": "2", "n": "c"}, {"n": "lost"}), target, ["id"], quarantine=str(tmp_path / "bad"))
-    assert rows(tl.read_snapshot(spark, target), "id", "n") == [("1", "a"), ("2", "c")]
+    assert rows(tl.read_snapshot(spark, target).selectExpr("id", "payload['n'] AS n"), "id", "n") == [("1", "a"), ("2", "c")]
+    jobs.load_events(events({"id": "2", "n": "c"}, {"n": "lost"}), target, ["id"], quarantine=str(tmp_path / "bad"))
     assert spark.read.parquet(str(tmp_path / "bad")).count() == 1
     with pytest.raises(Exception, match="cannot be decoded"):
         jobs.load_events(events({"n": "lost"}, {"id": "1", "n": "x"}), target, ["id"])

@@ -62,6 +62,16 @@ def test_rechunk_of_a_file_that_cannot_be_split(spark, tmp_path):
 def test_too_little_headroom_is_reported(spark, tmp_path, big):
     with pytest.raises(ValueError, match="headroom"):
         tl.rechunk(spark, big, str(tmp_path / "chunks"), chunk_bytes=2_000, headroom=0)
+    assert not glob.glob(str(tmp_path / "chunks*"))
+    assert tl.rechunk(spark, big, str(tmp_path / "chunks"), chunk_bytes=100_000).count() > 1
+
+
+def test_a_row_longer_than_a_chunk_has_one_of_its_own(spark, tmp_path):
+    source = tmp_path / "in.csv"
+    source.write_text("id,v\n" + "".join(f"{i},{'x' * (30_000 if i == 500 else 20)}\n" for i in range(2_000)))
+    sizes = tl.rechunk(spark, str(source), str(tmp_path / "out"), 10_000, headroom=0.2)
+    assert [r.length > 10_000 for r in sizes.collect()].count(True) == 1
+    assert rows(tl.scan_csv(spark, str(tmp_path / "out"))) == rows(tl.scan_csv(spark, str(source)))
 
 
 def test_compressed_source(spark, tmp_path):

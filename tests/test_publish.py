@@ -1,5 +1,6 @@
 import glob
 import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,7 +28,13 @@ def test_snapshots(spark, tmp_path):
     for _ in range(2):
         tl.upsert_snapshot(frame(spark, [(2, "b", 0), (3, "b", 1)]), path, ["k"], ["v"])
         assert rows(tl.read_snapshot(spark, path)) == wanted
+    assert snapshots(spark, path) == [0, 1, 2]
+    tl.upsert_snapshot(frame(spark, []), path, ["k"], ["v"])
+    assert snapshots(spark, path) == [0, 1, 2]
+    tl.drop_snapshots(spark, path, 2)
     assert snapshots(spark, path) == [1, 2]
+    tl.upsert_snapshot(frame(spark, [(4, "b", 0)]), path, ["k"], ["v"], keep=1)
+    assert snapshots(spark, path) == [3]
 
 
 def test_an_incomplete_snapshot_is_not_read_but_replaced(spark, tmp_path):
@@ -51,9 +58,7 @@ def test_columns_of_either_side_are_kept(spark, tmp_path):
 
 @pytest.mark.parametrize("limit", [32 << 20, 0], ids=["broadcast", "shuffled"])
 @pytest.mark.parametrize("keep_latest", [False, True])
-@pytest.mark.parametrize("listed", [2_000, 1], ids=["listed", "joined"])
-def test_partitions(spark, tmp_path, monkeypatch, limit, keep_latest, listed):
-    monkeypatch.setattr(publish, "MAX_LISTED_PARTITIONS", listed)
+def test_partitions(spark, tmp_path, limit, keep_latest):
     path = str(tmp_path / "t")
     options = {"keep_latest": keep_latest, "max_broadcast_bytes": limit}
     first = [(k, p, 5) for p in ("a", "b", "c", "it's") for k in range(20)]
@@ -124,3 +129,86 @@ def test_merge_into_a_published_table(spark, tmp_path):
     for _ in range(2):
         tl.merge_snapshot(frame(spark, [(1, "x", 9), (3, "new", 9)]), path, ["k"], ["p"])
         assert rows(tl.read_snapshot(spark, path)) == [(1, "x", 1), (1, "x", 2), (2, "c", 3), (3, "new", 9)]
+
+
+@pytest.mark.parametrize("moved", ["before", "between"])
+def test_a_driver_lost_while_publishing_loses_no_row(spark, tmp_path, monkeypatch, moved):
+    """The partitions are ready; the driver dies before they are copied in, or with the old one deleted."""
+    path = str(tmp_path / "t")
+    tl.upsert_partitions(frame(spark, [(k, p, 1) for p in "ab" for k in range(10)]), path, ["k"], ["v"], ["p"])
+    batch = frame(spark, [(3, "a", 2), (10, "a", 2)])
+
+    def dies(*args, **options):
+        if moved == "between":
+            shutil.rmtree(f"{path}/p=a")
+        raise RuntimeError("driver lost")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(publish, "overwrite_partitions", dies)
+        with pytest.raises(RuntimeError, match="driver lost"):
+            tl.upsert_partitions(batch, path, ["k"], ["v"], ["p"])
+    tl.upsert_partitions(batch, path, ["k"], ["v"], ["p"])
+    wanted = {(k, p): 1 for p in "ab" for k in range(10)} | {(3, "a"): 2, (10, "a"): 2}
+    assert rows(spark.read.parquet(path).select("k", "p", "v")) == sorted((k, p, v) for (k, p), v in wanted.items())
+    assert not os.path.exists(f"{path}/{publish.PENDING}")
+
+
+def test_incomplete_pending_partitions_are_dropped(spark, tmp_path):
+    path, batch = str(tmp_path / "t"), frame(spark, [(1, "a", 1)])
+    tl.upsert_partitions(batch, path, ["k"], ["v"], ["p"])
+    frame(spark, [(9, "a", 9)]).write.partitionBy("p").parquet(f"{path}/{publish.PENDING}")
+    os.remove(f"{path}/{publish.PENDING}/_SUCCESS")
+    tl.upsert_partitions(batch, path, ["k"], ["v"], ["p"])
+    assert rows(spark.read.parquet(path)) == [(1, 1, "a")]
+
+
+def test_rubbish_of_a_first_load_that_died(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for folder in ("_temporary/0/task_1/p=a", ".spark-staging-1/p=a"):
+        os.makedirs(f"{path}/{folder}")
+        with open(f"{path}/{folder}/part-00000.parquet", "w") as file:
+            file.write("PAR1")
+    for _ in range(2):
+        tl.upsert_partitions(frame(spark, [(1, "a", 1)]), path, ["k"], ["v"], ["p"])
+    assert rows(spark.read.parquet(path)) == [(1, 1, "a")]
+
+
+def test_many_touched_partitions(spark, tmp_path, monkeypatch):
+    """Three thousand partitions of two columns: no filter grows with them, and no other folder is scanned."""
+    path = str(tmp_path / "t")
+    df = spark.range(3_100, numPartitions=1).select(F.col("id").alias("k"), (F.col("id") % 50).alias("a"), (F.col("id") / 50).cast("int").alias("b"), F.lit(1).alias("v"))
+    tl.upsert_partitions(df, path, ["k"], ["v"], ["a", "b"])
+    scanned, parts = [], publish.upsert_parts
+    monkeypatch.setattr(publish, "upsert_parts", lambda stored, *args: scanned.append(stored.inputFiles()) or parts(stored, *args))
+    tl.upsert_partitions(df.where("k < 3000").withColumn("v", F.lit(2)), path, ["k"], ["v"], ["a", "b"])
+    assert spark.read.parquet(path).agg(F.count("*"), F.sum("v")).first()[:] == (3_100, 6_100)
+    assert len(scanned[0]) == 3_000
+    tl.upsert_partitions(df.where("k = 7").withColumn("v", F.lit(5)), path, ["k"], ["v"], ["a", "b"])
+    assert len(scanned[1]) == 1 and "/a=7/b=0/" in scanned[1][0]
+
+
+def test_commit_columns_and_a_table_by_name(spark, tmp_path):
+    spark.sql("CREATE DATABASE IF NOT EXISTS tests")
+    for name, options in (("keyed", {}), ("keyed_parts", {"partition_by": ["p"]})):
+        upsert = tl.upsert_partitions if options else tl.upsert_snapshot
+        for batch_id, data in enumerate([[(1, "a", 1), (2, "b/c", 1)], [(2, "b/c", 2), (3, "new", 2)]]):
+            upsert(frame(spark, data), str(tmp_path / name), ["k"], ["v"], **options, batch_id=batch_id, table=f"tests.{name}")
+        found = spark.table(f"tests.{name}").orderBy("k").collect()
+        assert [(r.k, r.p, r.v, r._record_key, r._commit_seqno.split("_")[0]) for r in found] == [
+            (1, "a", 1, "1", "0"),
+            (2, "b/c", 2, "2", "1"),
+            (3, "new", 2, "3", "1"),
+        ]
+        if options:
+            assert [r._partition_path for r in found] == ["p=a", "p=b%2Fc", "p=new"]
+        spark.sql(f"DROP TABLE tests.{name}")
+
+
+def test_merging_leaves_no_scratch(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tl.publish_snapshot(frame(spark, [(1, "a", 1)]), path)
+    scratch = tl.scratch_path(spark, "x").rpartition("/")[0]
+    before = set(os.listdir(scratch)) if os.path.exists(scratch) else set()
+    for limit in (0, 1 << 20):
+        tl.merge_snapshot(frame(spark, [(1, "x", 9), (2, "n", 9)]), path, ["k"], ["p"], max_broadcast_bytes=limit)
+    assert set(os.listdir(scratch)) <= before

@@ -132,3 +132,8 @@ def test_names_with_dots_and_helper_names(spark):
     check = tl.Check("Warning", "c").is_unique("n").is_unique("price.eur", "n").is_complete("price.eur")
     result = tl.verify(df, [check.is_non_negative("price.eur")])
     assert [r[4] for r in result.results] == ["Failure", "Success", "Success", "Success"]
+
+
+def test_large_numbers_keep_their_sign(spark):
+    df = spark.createDataFrame([("-20000000000",), ("20000000000",), ("-1e300",), ("x",), (None,), ("-0.5",)], "v string")
+    assert tl.run_analyzers(df, [tl.NonNegative("v")])[0].value == 0.5

@@ -169,3 +169,26 @@ def test_views_and_sql(spark):
         tl.sql_transform(spark, "SELECT * FROM t", {"t": spark.newSession().range(3)})
     quoted = tl.sql_transform(spark, "SELECT :text AS v", text="a'; DROP TABLE t; --")
     assert quoted.first().v == "a'; DROP TABLE t; --"
+
+
+def test_files_with_their_columns_in_another_order_fail(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "in/b.csv").write_text("b,a\n3,4\n")
+    for scan in (tl.scan_csv, tl.scan_large_csv, lambda s, p: tl.scan(s, p, "csv")):
+        with pytest.raises(Exception, match="(?i)header"):
+            scan(spark, str(tmp_path / "in")).collect()
+
+
+def test_repeated_and_empty_column_names_are_still_read(spark, tmp_path):
+    (tmp_path / "in.csv").write_text("a,a,,b1\n1,2,3,4\n")
+    found = tl.scan_csv(spark, str(tmp_path / "in.csv"))
+    assert [tuple(r) for r in found.collect()] == [("1", "2", "3", "4")]
+
+
+def test_sql_leaves_the_callers_views_alone(spark):
+    spark.range(3).createOrReplaceTempView("mine")
+    result = tl.sql_transform(spark, "SELECT * FROM mine, other", {"mine": spark.range(9), "other": spark.range(2)})
+    assert result.count() == 18 and spark.table("mine").count() == 3
+    assert not spark.catalog.tableExists("other")
+    spark.catalog.dropTempView("mine")

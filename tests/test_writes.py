@@ -31,11 +31,9 @@ def test_csv_export(spark, tmp_path):
 def test_single_csv(spark, tmp_path):
     path = str(tmp_path / "report")
     for _ in range(2):
-        tl.write_single_csv(spark.range(10, numPartitions=5), path, max_rows=10)
+        tl.write_single_csv(spark, tl.Report(tuple((i, f"r{i}") for i in range(10)), "id int, name string"), path)
     files = glob.glob(f"{path}/part-*")
     assert len(files) == 1 and len(open(files[0]).read().splitlines()) == 10
-    with pytest.raises(Exception, match="limited to 9 rows"):
-        tl.write_single_csv(spark.range(10, numPartitions=5), path, max_rows=9)
 
 
 def test_only_touched_partitions_are_replaced(spark, tmp_path):
