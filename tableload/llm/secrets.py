@@ -7,9 +7,9 @@ best path over the text, by Viterbi, gives further spans. It is trained on a bou
 matches are its labels, by gradient steps on the log-likelihood; so it finds what stands and looks like a secret but has
 another name or form. Its spans that touch none of the patterns' are added under the kind ``model``.
 
-Most tokens lie so clearly outside that no path through another tag could win, whatever its neighbours: where the margin
-exceeds twice the spread of the transition weights, the tag is fixed, and Viterbi runs between such tokens. That is exact.
-Texts are scanned whole where they lie; nothing is shuffled.
+Most tokens lie so clearly outside that no path through another tag could win: where outside is better by more than the
+neighbours' tags, whatever they may still be, can make up for, the tag is fixed. That bounds the neighbours anew, and after
+some rounds of it Viterbi runs over what is left between fixed tokens. All of this is exact. Texts are scanned whole where they lie; nothing is shuffled.
 
 Defined cases: a null text is the empty text, with no spans; a match below its kind's length is dropped after matching;
 repeated rows and ids stay separate rows; without a sample, or without any match in it, only the patterns find spans.
@@ -18,6 +18,7 @@ Spans are in code points, their end exclusive.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -88,19 +89,23 @@ class Tokens(dict):
 _tokens = Tokens()
 
 
+#: One letter per kind of character: hexadecimal and other lower-case letters, capitals, digits, signs.
+_KIND = "".join(
+    "h" if "a" <= c <= "f" else "l" if "g" <= c <= "z" else "U" if "A" <= c <= "Z" else "9" if "0" <= c <= "9" else "s"
+    for c in map(chr, range(128))
+)
+_BEYOND = re.compile(r"[^\x00-\x7f]")
+_RUNS = re.compile(r"9+|U+|[^9U]+")
+
+
 def shape(token: str) -> int:
     """Which kinds of characters a token has, its length and how often letters and digits alternate, as one number."""
-    kinds = [
-        any("a" <= c <= "f" for c in token),
-        any("g" <= c <= "z" for c in token),
-        any("A" <= c <= "Z" for c in token),
-        any("0" <= c <= "9" for c in token),
-        any(not c.isalnum() for c in token),
-        any(c > "\x7f" for c in token),
-    ]
-    turns = sum((a.isdigit() != b.isdigit()) or (a.isupper() != b.isupper()) for a, b in zip(token, token[1:], strict=False))
-    size = int(np.searchsorted([3, 5, 8, 12, 16, 20, 24, 32], len(token)))
-    return sum(k << i for i, k in enumerate(kinds)) + 64 * (min(3, turns.bit_length()) + 4 * min(size, 7)) + 2048 * (size == 8)
+    ascii_only = token.isascii()
+    kinds = (token if ascii_only else _BEYOND.sub("", token)).translate(_KIND)
+    bits = sum(1 << k for k, c in enumerate("hlU9s") if c in kinds) + 32 * (not ascii_only)
+    turns = min(3, max(0, len(_RUNS.findall(kinds)) - 1).bit_length())
+    size = bisect.bisect_left((3, 5, 8, 12, 16, 20, 24, 32), len(token))
+    return bits + 64 * (turns + 4 * min(size, 7)) + 2048 * (size == 8)
 
 
 def features(codes: np.ndarray) -> np.ndarray:
@@ -185,13 +190,30 @@ class Field:
         if not len(codes):
             return out
         emit = self.emit[features(codes)].sum(axis=1)
-        spread = 2 * float(max(self.move.max(), self.first.max()) - min(self.move.min(), self.first.min()))
-        open_ = emit[:, OUT] - np.maximum(emit[:, BEGIN], emit[:, INSIDE]) <= spread
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], open_.astype(np.int8), [0]])))
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], ~self._outside(emit), [0]])))
         for start, end in zip(edges[::2], edges[1::2], strict=True):
             out[start:end] = self._viterbi(emit[start:end], start == 0, end == len(codes))
         return out
 
+    def _outside(self, emit: np.ndarray, rounds: int = 16) -> np.ndarray:
+        """Which tokens every best path has outside: none of their other tags can win, however their neighbours turn out."""
+        fixed = np.zeros(len(emit), bool)
+        # what another tag gains over outside by the step before and after it: at most, and beside a fixed token
+        most_before = (self.move - self.move[:, [OUT]]).max(axis=0)
+        most_after = (self.move - self.move[OUT]).max(axis=1)
+        for _ in range(rounds):
+            sure = np.ones(len(emit), bool)
+            for tag in (BEGIN, INSIDE):
+                before = np.where(np.append(False, fixed[:-1]), self.move[OUT, tag] - self.move[OUT, OUT], most_before[tag])
+                before[0] = self.first[tag] - self.first[OUT]
+                after = np.where(np.append(fixed[1:], False), self.move[tag, OUT] - self.move[OUT, OUT], most_after[tag])
+                after[-1] = 0
+                sure &= emit[:, OUT] - emit[:, tag] > before + after + 1e-4
+            if (sure == fixed).all():
+                break
+            fixed |= sure
+        return fixed
+
     def _viterbi(self, emit: np.ndarray, at_start: bool, at_end: bool) -> np.ndarray:
         """The best path of a run whose neighbours, if any, are outside."""
         best = emit[0] + (self.first if at_start else self.move[OUT])
