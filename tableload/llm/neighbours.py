@@ -6,14 +6,20 @@ query takes projected neighbours in increasing distance and verifies each by its
 within the k-th best distance d would, with the asked-for confidence, have been projected nearer than what comes next,
 that is when r^2 >= d^2 * quantile.
 
+Of equal vectors only the k + 1 smallest ids are searched, as ties go to the smaller id and a query leaves out one id, its
+own. Each distinct vector that is asked for is searched once, and its answer given back to all ids that ask for it.
+
 The projected space is divided by a kd-tree whose top is fitted on a bounded sample; every row is dealt to its cell, and
 each cell has a kd-tree of its own below. A query first searches its own cell, which bounds d, and then only the cells
-whose box is nearer than the stopping radius. Each cell is one group: its queries meet its vectors there.
+whose box is nearer than the stopping radius. Cells are counted: one that holds more than twice the rows expected is dealt
+into parts by a hash, each with a kd-tree of its own, and one that many queries need into blocks of queries; every block
+meets every part. So a group is bounded however the vectors lie and however many there are.
 
 Defined cases: vectors that are null or zero, or hold null or non-finite components, take no part; nor do those of
 another length than the most frequent one (the smaller if two are), as no distance is defined; equal distances rank the
 smaller id first; repeated vectors are separate candidates; a query with fewer than k candidates returns them all; an
-empty table gives an empty result. Rows that share a query's id count as its own and are no candidates.
+empty table gives an empty result. Rows that share a query's id count as its own and are no candidates;
+where several rows with one id ask, each brings its candidates, and the k nearest of all are the answer.
 """
 
 from __future__ import annotations
@@ -31,6 +37,10 @@ DIMENSIONS, CONFIDENCE = 8, 0.98
 #: Rows the top of the tree is fitted on at most, vectors of a cell as expected, and of a leaf below it.
 SAMPLE_ROWS, CELL_ROWS, LEAF_ROWS = 50_000, 8_000, 64
 MAX_CELLS = 8_192
+#: Queries that one task answers from a part of a cell, as expected.
+QUERY_ROWS = 8_000
+#: Ids that ask for one vector from which its answer may be broadcast, and vectors whose answers are, at most.
+OFTEN, HOT_VECTORS = 1_000, 1_000
 SEED = 20_240
 
 
@@ -119,38 +129,79 @@ def leaves(points: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def best_of(ids: np.ndarray, times: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """The nearest rows in order, up to the ``k + 1``-th distinct id, and whether there are so many: whichever one id is
+    then left out, the ``k`` nearest others are among them. Of rows with one id, no more than ``k`` are ever needed."""
+    order = np.lexsort((ids, scores))
+    _, first = np.unique(ids[order], return_index=True)
+    full = len(first) > k
+    if full:
+        order = order[: np.partition(first, k)[k] + 1]
+    if len(order) > k + 1:
+        by_id = np.argsort(ids[order], kind="stable")
+        same = ids[order][by_id]
+        late = np.zeros(len(order), bool)
+        late[by_id[k:]] = same[k:] == same[:-k]
+        order = order[~late]
+    return ids[order], times[order], scores[order], full
+
+
 def search_cell(
-    ids: np.ndarray, vectors: np.ndarray, points: np.ndarray, queries: pd.DataFrame, directions: np.ndarray, k: int, quantile: float
-) -> list[tuple[int, int, float]]:
-    """``(query_id, vec_id, distance)`` of the best of this cell for each query, as far as they were verified."""
+    held: pd.DataFrame, vectors: np.ndarray, points: np.ndarray, queries: pd.DataFrame, directions: np.ndarray, k: int, quantile: float
+) -> list[tuple[int, int, int, float]]:
+    """``(query, vec_id, times, score)`` of the best of this part of a cell for each query, as far as they were verified."""
+    ids, times = held["vec_id"].to_numpy(), held["times"].to_numpy()
     found = leaves(points)
     low = np.array([points[x].min(axis=0) for x in found])
     high = np.array([points[x].max(axis=0) for x in found])
     out = []
-    for query_id, vector, bound in zip(queries["query_id"], queries["vector"], queries["bound"], strict=True):
+    for number, vector, bound in zip(queries["query"], queries["vector"], queries["bound"], strict=True):
         query = np.asarray(vector, float)
         at = query @ directions
         gap = (np.maximum(np.maximum(low - at, at - high), 0) ** 2).sum(axis=1)
-        best_ids, best = np.empty(0, np.int64), np.empty(0)
+        best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         worst = bound
         for leaf in np.argsort(gap, kind="stable"):
             if gap[leaf] > quantile * worst**2:
                 break
             some = found[leaf]
             some = some[((points[some] - at) ** 2).sum(axis=1) <= quantile * worst**2]
-            some = some[ids[some] != query_id]
             if not len(some):
                 continue
             distance = np.sqrt(((vectors[some] - query) ** 2).sum(axis=1))
-            best_ids, best = np.concatenate([best_ids, ids[some]]), np.concatenate([best, distance])
-            order = np.lexsort((best_ids, best))[:k]
-            best_ids, best = best_ids[order], best[order]
-            if len(best) == k:
-                worst = min(worst, best[-1])
-        out += [(query_id, int(i), float(d)) for i, d in zip(best_ids, best, strict=True)]
+            joined = [np.concatenate(x) for x in zip(best, (ids[some], times[some], distance), strict=True)]
+            *best, full = best_of(*joined, k)
+            if full:
+                worst = min(worst, best[2][-1])
+        out += [(number, int(i), int(n), float(d)) for i, n, d in zip(*best, strict=True)]
     return out
 
 
+def fewest_copies(rows: DataFrame, k: int) -> DataFrame:
+    """``vec_id, times, vector``: of equal vectors the ``k + 1`` smallest ids, each with how often it has the vector, ``k``
+    at most. No query can have more of them among its nearest. Tasks reduce their rows before both shuffles."""
+    each = rows.groupBy("vector", "vec_id").agg(F.least(F.count("*"), F.lit(k).cast("long")).alias("times"))
+    place = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
+    return each.withColumn("place", place).where(F.col("place") <= k + 1).select("vec_id", "times", "vector")
+
+
+def pieces(rows: DataFrame, size: int, name: str) -> DataFrame:
+    """``cell`` and into how many pieces of about ``size`` its rows are dealt; one row per cell, so it can be broadcast."""
+    return F.broadcast(rows.groupBy("cell").agg(F.ceil(F.count("*") / size).alias(name)))
+
+
+def meet(queries: DataFrame, held: DataFrame, part_rows: int, query_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Queries and vectors with the keys ``cell, part, block`` under which each query meets each vector of its cell once:
+    a cell with too many vectors is dealt into parts, one that too many queries ask into blocks of them."""
+    parts, blocks = pieces(held, part_rows, "parts"), pieces(queries, query_rows, "blocks")
+    dealt = lambda n, *of: F.pmod(F.xxhash64(*of), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    queries, held = (x.join(parts, "cell").join(blocks, "cell") for x in (queries, held))
+    queries = queries.withColumn("block", dealt("blocks", "query")).withColumn("part", each("parts"))
+    held = held.withColumn("part", dealt("parts", "vec_id", "vector")).withColumn("block", each("blocks"))
+    return queries.drop("parts", "blocks"), held.drop("parts", "blocks")
+
+
 def nearest(
     vectors: DataFrame,
     k: int = 10,
@@ -161,14 +212,16 @@ def nearest(
     confidence: float = CONFIDENCE,
     sample_rows: int = SAMPLE_ROWS,
     cell_rows: int = CELL_ROWS,
+    query_rows: int = QUERY_ROWS,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of each row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     ship(spark)
     rows = usable(vectors, id_col, vector_col)
-    total = rows.count()
+    total = rows.agg(F.approx_count_distinct(F.xxhash64("vector"))).first()[0]
     share = int(min(1.0, sample_rows / max(1, total)) * (1 << 30)) + 1
-    sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < share).limit(2 * sample_rows).select("vector").toPandas()
+    sample = rows.where(F.pmod(F.xxhash64("vector"), F.lit(1 << 30)) < share).select("vector").distinct().limit(2 * sample_rows)
+    sample = sample.toPandas()
     points = np.array(sample["vector"].tolist(), float) if len(sample) else np.empty((0, 1))
     width = points.shape[1]
     directions = np.random.default_rng(SEED).standard_normal((width, dimensions))
@@ -176,7 +229,6 @@ def nearest(
     tree = Tree(points @ directions, depth)
     shared = spark.sparkContext.broadcast((tree, directions))
     quantile = chi_square_quantile(confidence, dimensions)
-    dealt_type = "vec_id long, vector array<double>, cell long"
 
     def deal(frames):
         tree, directions = shared.value
@@ -185,24 +237,34 @@ def nearest(
                 frame["cell"] = tree.cells(np.array(frame["vector"].tolist(), float) @ directions)
                 yield frame
 
-    dealt = written(rows.mapInPandas(deal, dealt_type), "vectors")
-    asking = dealt.where(F.pmod("vec_id", F.lit(every)) == 0)
-    first = asking.select(F.col("vec_id").alias("query_id"), "vector", "cell", F.lit(float("inf")).alias("bound"))
+    dealt = fewest_copies(rows, k).mapInPandas(deal, "vec_id long, times long, vector array<double>, cell long")
+    dealt = written(dealt, "vectors")
+    asking = rows.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vector", "vec_id").agg(F.count("*").alias("n"))
+    asking = written(asking.select(F.col("vec_id").alias("query_id"), "n", "vector"), "asking")
+    # each distinct vector is searched once; its number is stored, so it stays the same
+    asked = asking.groupBy("vector").agg(F.count("*").alias("askers")).withColumn("query", F.monotonically_increasing_id())
+    asked = asked.select("query", "askers", "vector")
+    asked = written(asked.mapInPandas(deal, "query long, askers long, vector array<double>, cell long"), "asked")
 
     def search(_key, queries: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or held.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.DataFrame({"query": [], "vec_id": [], "times": [], "score": []})
         _, directions = shared.value
         matrix = np.array(held["vector"].tolist(), float)
-        got = search_cell(held["vec_id"].to_numpy(), matrix, matrix @ directions, queries, directions, k, quantile)
-        return pd.DataFrame(got, columns=["query_id", "vec_id", "score"])
+        got = search_cell(held, matrix, matrix @ directions, queries, directions, k, quantile)
+        return pd.DataFrame(got, columns=["query", "vec_id", "times", "score"])
+
+    def found(queries: DataFrame) -> DataFrame:
+        queries, held = meet(queries.select("query", "vector", "cell", "bound"), dealt, 2 * cell_rows, query_rows)
+        keys = ["cell", "part", "block"]
+        answer = "query long, vec_id long, times long, score double"
+        return queries.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(search, answer)
 
-    answer = "query_id long, vec_id long, score double"
-    here = first.groupBy("cell").cogroup(dealt.groupBy("cell")).applyInPandas(search, answer)
-    here = written(here, "own-cell")
-    bounds = here.groupBy("query_id").agg(F.max("score").alias("worst"), F.count("*").alias("n"))
-    bound = F.when(F.col("n") >= k, F.col("worst")).otherwise(float("inf"))
-    asked = first.drop("bound").join(bounds, "query_id", "left").withColumn("bound", F.coalesce(bound, F.lit(float("inf"))))
+    here = written(found(asked.withColumn("bound", F.lit(float("inf")))), "own-cell")
+    nearer = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))
+    bounds = here.groupBy("query", "vec_id").agg(F.min("score").alias("score")).withColumn("place", nearer)
+    bounds = bounds.where(F.col("place") == k + 1).select("query", F.col("score").alias("bound"))
+    bound = asked.join(bounds, "query", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
 
     def spread(frames):
         tree, directions = shared.value
@@ -210,12 +272,25 @@ def nearest(
             out = []
             for row in frame.itertuples(index=False):
                 cells = tree.near(np.asarray(row.vector, float) @ directions, quantile * row.bound**2)
-                out += [(row.query_id, row.vector, int(c), row.bound) for c in cells if c != row.cell]
-            yield pd.DataFrame(out, columns=["query_id", "vector", "cell", "bound"])
+                out += [(row.query, int(c), row.bound) for c in cells if c != row.cell]
+            yield pd.DataFrame(out, columns=["query", "cell", "bound"])
 
-    columns = asked.select("query_id", "vector", "cell", "bound")
-    further = columns.mapInPandas(spread, "query_id long, vector array<double>, cell long, bound double")
-    there = further.groupBy("cell").cogroup(dealt.groupBy("cell")).applyInPandas(search, answer)
+    further = bound.select("query", "vector", "cell", "bound").mapInPandas(spread, "query long, cell long, bound double")
+    further = written(further, "further-cells").join(asked.select("query", "vector"), "query")
+    # the rows of the k + 1 nearest ids, however many rows these have
+    first = F.min("score").over(Window.partitionBy("query", "vec_id"))
+    place = F.dense_rank().over(Window.partitionBy("query").orderBy("first", "vec_id"))
+    best = here.unionByName(found(further)).withColumn("first", first).withColumn("place", place).where(F.col("place") <= k + 1)
+    best = best.groupBy("query").agg(F.collect_list(F.struct("vec_id", "times", "score")).alias("best"))
+    best = written(asked.join(best, "query").select("vector", "askers", "best"), "answers")
+    # vectors that very many ids ask for, HOT_VECTORS at most, give their answers away by a broadcast
+    often = F.col("askers") > max(OFTEN, asking.count() // HOT_VECTORS)
+    hot = F.broadcast(best.where(often))
+    rest = asking.join(hot.select("vector"), "vector", "left_anti").join(best.where(~often), "vector")
+    given = asking.join(hot, "vector").unionByName(rest)
+    given = given.select("query_id", "n", F.inline("best")).where("vec_id <> query_id")
+    times = F.least(F.col("times") * F.col("n"), F.lit(k).cast("long"))
+    given = given.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), times)))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    best = here.unionByName(there).withColumn("rank", rank).where(F.col("rank") <= k)
-    return best.select("query_id", "rank", "vec_id", "score")
+    given = given.select("query_id", "vec_id", "score").withColumn("rank", rank).where(F.col("rank") <= k)
+    return given.select("query_id", "rank", "vec_id", "score")

@@ -34,6 +34,44 @@ def test_recall_and_exact_scores(spark):
     assert np.mean(recalls) >= 0.9
 
 
+def test_a_third_of_copies_and_a_dense_spot(spark, monkeypatch):
+    """Copies are reduced before they are dealt, and no group of vectors or queries grows with a crowd in one place."""
+    tables, groups = {}, []
+    written, meet = neighbours.written, neighbours.meet
+    monkeypatch.setattr(neighbours, "written", lambda df, label: tables.setdefault(label, written(df, label)))
+    monkeypatch.setattr(neighbours, "meet", lambda *a: groups.append(meet(*a)) or groups[-1])
+    rows = [(k, v) for k, v in clustered(5, 600)]
+    rows += [(600 + k, [1.0 + k * 1e-6] * 24) for k in range(600)]  # distinct, but in one cell
+    rows += [(1200 + k, [0.5] * 24) for k in range(600)]
+    options = dict(every=10, cell_rows=50, sample_rows=64, query_rows=8)
+    found = {}
+    for r in neighbours.nearest(frame_of(spark, rows).repartition(5), **options).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert set(found) == set(range(0, 1800, 10)) and all(len(v) == 10 for v in found.values())
+    copies = range(1200, 1800)
+    for q in range(1200, 1800, 10):
+        assert sorted(found[q]) == [(n + 1, k, 0.0) for n, k in enumerate([k for k in copies if k != q][:10])]
+    assert tables["vectors"].count() == 1200 + 11 and tables["asked"].count() == 120 + 1
+    for queries, held in groups:
+        assert max(r["count"] for r in held.groupBy("cell", "part", "block").count().collect()) <= 2 * 50 * 1.5
+        assert max(r["count"] for r in queries.groupBy("cell", "part", "block").count().collect()) <= 8 * 3
+
+
+def test_repeated_ids_and_answers_by_broadcast(spark, monkeypatch):
+    """Against all pairs of rows: ids with several vectors, rows repeated more than k times, and askers of one vector."""
+    monkeypatch.setattr(neighbours, "OFTEN", 2)
+    rng = np.random.default_rng(8)
+    spots = rng.integers(-3, 4, (9, 3)).astype(float) + 0.5
+    rows = [(int(i), spots[j].tolist()) for i, j in zip(rng.integers(0, 40, 300), rng.integers(0, 9, 300), strict=True)]
+    rows += [(0, spots[0].tolist())] * 15
+    found = {}
+    for r in neighbours.nearest(frame_of(spark, rows), k=4, every=5, confidence=0.999999).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q in {i for i, _ in rows if i % 5 == 0}:
+        pairs = [(float(np.linalg.norm(np.subtract(v, w))), j) for i, v in rows if i == q for j, w in rows if j != q]
+        assert sorted(found[q]) == [(n + 1, j, pytest.approx(d)) for n, (d, j) in enumerate(sorted(pairs)[:4])]
+
+
 def test_quantile():
     assert neighbours.chi_square_quantile(0.95, 8) == pytest.approx(15.507, abs=1e-3)
     assert neighbours.chi_square_quantile(0.99, 2) == pytest.approx(9.2103, abs=1e-3)
