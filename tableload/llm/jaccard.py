@@ -45,6 +45,8 @@ SAMPLE_DOCS, FREQUENT, ORDERED = 32_768, 4, 200_000
 BROADCAST_IDS = 2_000_000
 #: Classes of a signature compared with each other by one task.
 BLOCK = 1_000
+#: Classes that a task remembers at most to give their signatures away once; forgetting them repeats rows, no more.
+SEEN = 1_000_000
 EMPTY_BLOCK = np.uint64(0x6A09E667F3BCC909)
 
 
@@ -173,24 +175,33 @@ def frequent_signatures(source: DataFrame, total: int, sample_docs: int) -> np.n
     return np.sort(np.array([r.signature for r in top], np.int64).view(np.uint64))
 
 
-def neighbours(source: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``signature, x, y``: classes that follow each other, by class, among those that gave the signature away."""
+def given_away(source: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """``signature, y``: the signatures that each class gives away, once per task that holds documents of it."""
     order = source.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
+        seen: set[int] = set()
         for part in slices(batches):
             signatures, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            if len(seen) > SEEN:
+                seen.clear()
             for text in part.column(1).to_pylist():
                 found = shingles(text or "")
-                if len(found):
+                if len(found) and (own := set_hash(found)) not in seen:
+                    seen.add(own)
                     signatures.append(join_signatures(found, order.value))
-                    owners.append(np.full(len(signatures[-1]), set_hash(found), np.int64))
+                    owners.append(np.full(len(signatures[-1]), own, np.int64))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(signatures).view(np.int64)), pa.array(np.concatenate(owners))],
                 names=["signature", "y"],
             )
 
-    given = source.mapInArrow(run, long_schema("signature y"))
+    return source.mapInArrow(run, long_schema("signature y"))
+
+
+def neighbours(source: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """``signature, x, y``: classes that follow each other, by class, among those that gave the signature away."""
+    given = given_away(source, frequent)
     same = Window.partitionBy("signature").orderBy("y")
     return given.withColumn("x", F.lag("y").over(same)).where("x <> y").select("signature", "x", "y")
 

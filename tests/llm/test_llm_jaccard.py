@@ -129,6 +129,14 @@ def test_a_large_group_is_linear(spark):
     assert {r.component_id for r in jaccard.near_duplicates(frame).collect()} == {0}
 
 
+def test_copies_give_signatures_away_once_per_task(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(k, text if k % 3 == 0 else f"{k} {text[k % 50 :]}") for k in range(600)]
+    source = jaccard.two_columns(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "doc_id", "text")
+    given = jaccard.given_away(source, np.empty(0, np.uint64))
+    assert max(r["count"] for r in given.groupBy("signature", "y").count().collect()) <= 3
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(k, k + 1) for k in range(100, 140)] + [(7, k) for k in range(200, 260)] + [(3, 3)]
     found = components.components(spark.createDataFrame(links, "a long, b long"), "a", "b")
