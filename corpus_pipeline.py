@@ -8,7 +8,7 @@ are replaced by a mark, and what is left is packed into windows of tokens.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tableload.llm import jaccard, packing, quality, secrets, toxicity
@@ -28,10 +28,22 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component; of several rows with this id, all with the id are kept."""
-    found = jaccard.near_duplicates(docs)
-    others = found.where("doc_id <> component_id").select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component: that with the smallest id (null after all others), of these the smallest hash of its
+    text, and of equal texts the smallest hash of the row. Rows without shingles are all kept.
+
+    Every row is decided by its id and its text, so rows that share an id may fare differently.
+    """
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64(F.col("text").cast("string")).alias("text"))
+    found = written(jaccard.near_duplicates(docs.select(row.alias("doc_id"), "text")), "near-duplicates")
+    others = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_row")).distinct()
+    kept = docs.withColumn("_row", row).join(others, "_row", "left_anti")
+    repeats = found.where("doc_id = component_id and n_shingles > 0").groupBy(F.col("doc_id").alias("_row")).count()
+    repeats = written(repeats.where("count > 1").select("_row"), "repeated-rows")
+    if repeats.limit(1).count():
+        first = F.row_number().over(Window.partitionBy("_row").orderBy(F.xxhash64(*docs.columns)))
+        one = kept.join(repeats, "_row", "left_semi").withColumn("_first", first).where("_first = 1").drop("_first")
+        kept = kept.join(repeats, "_row", "left_anti").unionByName(one)
+    return kept.select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -100,6 +100,18 @@ def test_pipeline_against_plain_stages(spark):
     assert sorted(map(tuple, run)) == sorted(map(tuple, pieces))
 
 
+def test_one_row_of_each_component(spark):
+    """Rows that share an id are told apart, repeated rows and null ids leave one, texts without words stay."""
+    a, b, c, d, e = (" ".join(f"{name}{k}" for k in range(12)) for name in "abcde")
+    rows = [(5, a), (5, b), (3, b), (None, b), (4, c), (4, c), (4, c), (4, c.upper()), (None, d), (None, d), (9, d), (None, e), (7, ""), (7, ""), (8, None)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, lang string").repartition(4)
+    kept = [(r.doc_id, r.text) for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SF_DIR).collect()]
+    of_c = [t for i, t in kept if i == 4]
+    assert len(of_c) == 1 and of_c[0].lower() == c
+    wanted = [(5, a), (3, b), (9, d), (None, e), (7, ""), (7, ""), (8, None)]
+    assert sorted((k for k in kept if k[0] != 4), key=str) == sorted(wanted, key=str)
+
+
 def test_packing_is_repeatable(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     a = packing.pack(docs, queries.public_tokenizers.path("byte_bpe_50k.json")).collect()
