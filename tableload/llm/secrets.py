@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableload.llm.rows import map_texts, ship, slices, two_columns
+from tableload.llm.rows import map_texts, ship, slices, two_columns, written
 
 # The patterns, in the order of their kinds, and the fewest characters of a match.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -39,7 +39,7 @@ KINDS = ("assign", "access", "hex", "model")
 
 #: Documents that the field is trained on at most, tokens kept on either side of a match, windows without one per document.
 SAMPLE_DOCS, AROUND, QUIET_WINDOWS = 20_000, 8, 1
-#: Training windows at most, passes over them and gradient steps at least, and the penalty on weights.
+#: Training windows at most (distinct ones; half of them each with and without a secret, or what the other kind leaves), passes over them and gradient steps at least, and the penalty on weights.
 MOST_WINDOWS, PASSES, STEPS, PENALTY = 20_000, 12, 800, 1e-4
 WORD_BUCKETS, SHAPES, FILES = 1 << 14, 1 << 12, 64
 CACHED = 200_000
@@ -300,11 +300,13 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id",
                 names=["secret", "rows", "tags"],
             )
 
-    windows = drawn.mapInArrow(run, "secret boolean, rows binary, tags binary")
-    # windows with a secret first; ties by content, so that the same rows are drawn in any order of the input
-    kept = windows.orderBy(F.desc("secret"), F.xxhash64("rows"), "rows", "tags").limit(MOST_WINDOWS).collect()
-    if not any(r.secret for r in kept):
+    windows = written(drawn.mapInArrow(run, "secret boolean, rows binary, tags binary").distinct(), "windows")
+    # by content, so that the same rows are drawn in any order of the input
+    held, quiet = (windows.where(F.col("secret") == x).orderBy(F.xxhash64("rows"), "rows", "tags").limit(MOST_WINDOWS).collect() for x in (True, False))
+    if not held:
         return None
+    half = MOST_WINDOWS // 2
+    kept = held[: max(half, MOST_WINDOWS - len(quiet))] + quiet[: max(half, MOST_WINDOWS - len(held))]
     field = Field()
     field.train([(np.frombuffer(r.rows, "<i4").reshape(-1, 7).astype(np.int64), np.frombuffer(r.tags, "u1")) for r in kept])
     return field

@@ -106,3 +106,17 @@ def test_redacted_texts_hold_no_pattern(edge):
         if r.text is not None:
             assert not plain_base(r.text) and r.n_chars == len(r.text)
         assert r.score == "x"
+
+
+def test_secrets_leave_room_for_quiet_windows(spark, monkeypatch):
+    """Also where secrets alone would fill the limit; repeated windows count once."""
+    monkeypatch.setattr(secrets, "MOST_WINDOWS", 40)
+    trained_on = []
+    monkeypatch.setattr(secrets.Field, "train", lambda self, windows: trained_on.extend(windows))
+    rows = [(k, with_secrets(4 * k)) for k in range(100)] + [(100 + k, with_secrets(4)) for k in range(100)]
+    rows += [(200 + k, with_secrets(4 * k + 1)) for k in range(60)]
+    assert secrets.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sum(tags.any() for _, tags in trained_on) == 20 and len(trained_on) == 40
+    trained_on.clear()
+    assert secrets.fit(spark.createDataFrame(rows[100:230], "doc_id long, text string"))
+    assert len({(r.tobytes(), t.tobytes()) for r, t in trained_on}) == len(trained_on) > 20
