@@ -5,7 +5,7 @@ token of the text as outside, begin or inside of a secret, from the token's shap
 they change), its neighbours' shapes and words, and the whole text (its length, and how dense digits are in it), and the
 best path over the text, by Viterbi, gives further spans. It is trained on a bounded sample of documents, whose pattern
 matches are its labels, by gradient steps on the log-likelihood; so it finds what stands and looks like a secret but has
-another name or form. Its spans that touch none of the patterns' are added under the kind ``model``.
+another name or form. Its spans that do not lie inside the patterns' are added under the kind ``model``.
 
 Most tokens lie so clearly outside that no path through another tag could win: where outside is better by more than the
 neighbours' tags, whatever they may still be, can make up for, the tag is fixed. That bounds the neighbours anew, and after
@@ -313,12 +313,30 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id",
 
 
 def all_spans(text: str, field: Field | None) -> tuple[list[Span], list[Span]]:
-    """The patterns' spans, and those with the model's further ones, each by start and then kind."""
+    """The patterns' spans, and those with the model's further ones, each by start and then kind.
+
+    A span of the model that reaches beyond the patterns' spans is kept whole, as these may end before the secret does.
+    """
     base, _ = base_spans(text)
-    further = [s for s in field.spans(text) if all(s[2] <= a or b <= s[0] for a, _, b in base)] if field else []
+    further, covered = [], merged(base)
+    for span in field.spans(text) if field else []:
+        at = bisect.bisect_right(covered, (span[0], len(text))) - 1
+        if at < 0 or covered[at][1] < span[2]:
+            further.append(span)
     return base, sorted(base + further)
 
 
+def merged(spans: list[Span]) -> list[tuple[int, int]]:
+    """What sorted spans cover, as runs that neither overlap nor touch."""
+    out: list[tuple[int, int]] = []
+    for a, _, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_model`` of every whole text."""
     field = docs.sparkSession.sparkContext.broadcast(fit(docs, sample_docs, id_col, text_col))
