@@ -6,12 +6,12 @@ Filters one, two and three words wide run over the text; the maximum of each ove
 Training is by Adagrad on small batches of labelled documents; the gradient of a maximum reaches only the words under it,
 so one dimension of the embedding starts at how much more often a word's documents are positive than chance has it.
 
-The output is calibrated by language: on documents set aside from training, each language gets the threshold that parts
-its labels best, and the score is the logistic of the output above that threshold, so 0.5 is every language's threshold.
+The output is calibrated by language: on all labelled documents that are neither held out nor trained on, whose outputs
+are counted in fine steps, each language gets the threshold that parts its labels best, and the score is the logistic of the output above that threshold, so 0.5 is every language's threshold.
 The language is read from the text by a naive Bayes table over hashed words; the column is only what that table was
 fitted to and is no input.
 
-The fit uses a bounded sample of labelled documents; every text is scored whole, where it lies, with nothing shuffled.
+The classifier is fitted on a bounded sample of labelled documents; every text is scored whole, where it lies, with nothing shuffled.
 Defined cases: a null or empty text has no word and gets the score of padding; without labelled documents, or with
 labels of one kind only, every score is that kind's (0 without any); a label other than 0 or 1 is not learned from, nor
 are ids twice; a null language counts as the language with the empty name.
@@ -26,6 +26,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tableload.llm.rows import keep_texts, map_texts, ship
 from tableload.llm.samples import labelled
@@ -34,11 +35,14 @@ BITS, WIDTH, FILTERS, SPANS = 18, 12, 8, (1, 2, 3)
 #: Labelled documents that are fitted on at most, passes of the training over them, and its batches.
 TRAIN_ROWS, PASSES, BATCH = 8_000, 3, 16
 MODULUS, HELD_OUT = 5, 0
-#: One in so many documents of the sample is set aside for the thresholds.
+#: One in so many documents of the sample is not trained on, for the thresholds.
 ASIDE = 4
 RATE, POSITIVE_WEIGHT, SHRINK = 0.1, 3.0, 1e-4
+#: Languages told apart at most; beyond, the rarest of the sample are one together.
 LANGUAGE_BITS, MOST_LANGUAGES = 14, 64
-#: Positive and negative documents a language needs among those set aside for a threshold of its own.
+#: Outputs are counted in so many steps per unit, between -LARGEST and LARGEST.
+STEPS, LARGEST = 64, 35
+#: Positive and negative documents a language needs among those not trained on for a threshold of its own.
 LEAST_CASES = 5
 
 _TO_SPACE = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
@@ -183,40 +187,66 @@ class Classifier:
 
     def learn_languages(self, texts: list[str], languages: list[str]) -> list[str]:
         """Fit the table of words by language; the languages in the order of its columns."""
-        names = sorted(set(languages), key=lambda n: (-languages.count(n), n))[:MOST_LANGUAGES]
+        names = sorted(set(languages), key=lambda n: (-languages.count(n), n))
+        column = {name: min(k, MOST_LANGUAGES - 1) for k, name in enumerate(names)}
+        names = names[:MOST_LANGUAGES]
         counts = np.ones((1 << LANGUAGE_BITS, len(names)))
         for text, language in zip(texts, languages, strict=True):
-            if language in names:
-                at = [xxhash.xxh3_64_intdigest(w) & ((1 << LANGUAGE_BITS) - 1) for w in tokens(text)]
-                np.add.at(counts[:, names.index(language)], at, 1)
+            at = [xxhash.xxh3_64_intdigest(w) & ((1 << LANGUAGE_BITS) - 1) for w in tokens(text)]
+            np.add.at(counts[:, column[language]], at, 1)
         self.languages = np.log(counts / counts.sum(axis=0)).astype(np.float32)
         return names
 
-    def calibrate(self, texts: list[str], labels: np.ndarray, languages: int) -> None:
-        margins = np.concatenate([self.outputs(Texts(texts[k : k + 64])) for k in range(0, len(texts), 64)])
-        own = np.concatenate([self.language(Texts(texts[k : k + 64])) for k in range(0, len(texts), 64)])
-        common = best_threshold(margins, labels)
+    def placed(self, texts: list[str]) -> list[tuple[int, int]]:
+        """Language and step of the output of each text."""
+        numbered = Texts(texts)
+        step = np.floor(np.clip(self.outputs(numbered).astype(float), -LARGEST, LARGEST) * STEPS)
+        return list(zip(self.language(numbered).tolist(), step.astype(int).tolist(), strict=True))
+
+    def calibrate(self, own: np.ndarray, margins: np.ndarray, labels: np.ndarray, counts: np.ndarray, languages: int) -> None:
+        """Set the thresholds from the documents counted by language, output and label."""
+        common = best_threshold(margins, labels, counts)
         self.thresholds = np.full(languages, common, np.float32)
         for k in range(languages):
             some = own == k
-            if min(labels[some].sum(), (1 - labels[some]).sum()) >= LEAST_CASES:
-                self.thresholds[k] = best_threshold(margins[some], labels[some])
+            if min((counts * labels)[some].sum(), (counts * (1 - labels))[some].sum()) >= LEAST_CASES:
+                self.thresholds[k] = best_threshold(margins[some], labels[some], counts[some])
 
 
-def best_threshold(margins: np.ndarray, labels: np.ndarray) -> float:
+def best_threshold(margins: np.ndarray, labels: np.ndarray, counts: np.ndarray | None = None) -> float:
     """The middle of the widest gap among the thresholds with the fewest errors."""
     order = np.argsort(margins, kind="stable")
     margins, labels = margins[order].astype(float), labels[order]
+    counts = np.ones(len(labels), np.int64) if counts is None else counts[order]
+    wrong, right = counts * labels, counts * (1 - labels)
     # errors when all from place k on are called positive
-    errors = np.concatenate([[0], np.cumsum(labels)]) + (1 - labels).sum() - np.concatenate([[0], np.cumsum(1 - labels)])
+    errors = np.concatenate([[0], np.cumsum(wrong)]) + right.sum() - np.concatenate([[0], np.cumsum(right)])
     edges = np.concatenate([[margins[0] - 1], margins, [margins[-1] + 1]])
     gaps = edges[1:] - edges[:-1]
     k = max(np.flatnonzero((errors == errors[gaps > 0].min()) & (gaps > 0)), key=lambda k: gaps[k])
     return float((edges[k] + edges[k + 1]) / 2)
 
 
+def not_trained_on(docs: DataFrame, labels: DataFrame, label: str, found: Classifier, trained: list) -> np.ndarray:
+    """``language, step, label, n``: the labelled documents neither held out nor trained on, as rows of counts.
+
+    Texts are scored where they lie; only ids and steps meet the labels, and the rows are bounded by the steps.
+    """
+    spark = docs.sparkSession
+    model = spark.sparkContext.broadcast(found)
+    open_to = F.crc32(F.col("doc_id").cast("string").cast("binary")) % MODULUS != HELD_OUT  # null for a null id
+    placed = map_texts(docs.where(open_to), lambda: model.value.placed, "language int, step int")
+    placed = placed.groupBy("doc_id").agg(F.min(F.struct("step", "language")).alias("at")).select("doc_id", "at.*")
+    wanted = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("label"))
+    done = spark.createDataFrame([(i,) for i in trained], StructType([docs.schema["doc_id"]]))
+    counted = placed.join(F.broadcast(done), "doc_id", "left_anti").join(wanted, "doc_id")
+    counted = counted.groupBy("language", "step", "label").agg(F.count("*").alias("n")).collect()
+    return np.array(sorted(map(tuple, counted)), np.int64).reshape(-1, 4)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows: int = TRAIN_ROWS, passes: int = PASSES) -> Classifier:
-    """A classifier from at most ``train_rows`` labelled documents, none of them held out."""
+    """A classifier from at most ``train_rows`` labelled documents, with thresholds from all others; none is held out."""
+    ship(docs.sparkSession)
     rows = labelled(docs, labels, label, train_rows, MODULUS, HELD_OUT, ["lang"]).collect()
     rows.sort(key=lambda r: r.doc_id)
     found = Classifier()
@@ -232,8 +262,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows: in
     seen = [t for t, a in zip(texts, aside, strict=True) if not a]
     found.start_from(seen, wanted[~aside])
     found.train(seen, wanted[~aside], passes)
-    kept = aside if aside.any() else ~aside
-    found.calibrate([t for t, a in zip(texts, kept, strict=True) if a], wanted[kept], len(names))
+    trained = [r.doc_id for r, a in zip(rows, aside, strict=True) if not a]
+    counted = not_trained_on(docs, labels, label, found, trained)
+    positive = counted[counted[:, 2] == 1, 3].sum()
+    if min(positive, counted[:, 3].sum() - positive) < LEAST_CASES:  # too few others: those trained on
+        placed = [x for k in range(0, len(seen), 64) for x in found.placed(seen[k : k + 64])]
+        counted = np.array([(*x, y, 1) for x, y in zip(placed, wanted[~aside], strict=True)], np.int64)
+    own, step, kind, n = counted.T
+    found.calibrate(own, (step + 0.5) / STEPS, kind, n, len(names))
     return found
 
 

@@ -90,6 +90,27 @@ def test_threshold_parts_the_labels():
     assert toxicity.best_threshold(np.array([1.0, 1.0, 1.0]), np.array([0, 1, 0])) > 1.0
 
 
+def test_thresholds_use_all_labels_outside_training(corpus, monkeypatch):
+    """With a small sample the rarer language still has a threshold from all of its labelled documents."""
+    docs, labels, rows = corpus
+    calls, plain = [], toxicity.best_threshold
+    monkeypatch.setattr(toxicity, "best_threshold", lambda m, t, n: calls.append((int((t * n).sum()), int(n.sum()))) or plain(m, t, n))
+    toxicity.fit(docs, labels, train_rows=150)
+    free = [(lang, toxic) for i, _, lang, _, toxic in rows if zlib.crc32(str(i).encode()) % 5]
+    assert len(free) - 150 <= calls[0][1] < len(free)
+    assert len(calls) == 2 and calls[1][0] == calls[0][0] > 90  # all toxic texts are of one language
+    counts = np.array([1, 4, 2, 5])
+    some = np.array([1.0, 2, 3, 4]), np.array([0, 1, 0, 1])
+    assert plain(*some, counts) == plain(*(np.repeat(x, counts) for x in some)) == 1.5
+
+
+def test_rare_languages_share_a_column(monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_LANGUAGES", 2)
+    classifier = toxicity.Classifier()
+    assert len(classifier.learn_languages(["a b", "a c", "d e", "f g"], ["x", "x", "y", "z"])) == 2
+    assert classifier.language(toxicity.Texts(["a b", "d e", "f g"])).tolist() == [0, 1, 1]
+
+
 def test_maximum_over_the_whole_text():
     """A word counts the same wherever it stands in a long text."""
     classifier = toxicity.Classifier()
