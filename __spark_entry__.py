@@ -20,17 +20,15 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 import tableload as tl  # noqa: E402
 from tableload.plans import jobs  # noqa: E402
 
-try:  # the training-data operators and their pipeline may be left out
+try:  # the training-data operators may be left out, or a package that they need be missing
     from tableload.llm import queries as llm  # noqa: E402
-except ModuleNotFoundError as missing:
-    if missing.name != "tableload.llm":
-        raise
+except ImportError as missing:
+    print(f"without the training-data operators: {missing}", file=sys.stderr)
     llm = None
 try:
     import corpus_pipeline  # noqa: E402
-except ModuleNotFoundError as missing:
-    if missing.name not in ("corpus_pipeline", "tableload.llm"):
-        raise
+except ImportError as missing:
+    print(f"without the corpus pipeline: {missing}", file=sys.stderr)
     corpus_pipeline = None
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -305,8 +303,12 @@ def load_stamp(spark, sf_dir):
 
 
 def projected_view(spark, sf_dir):
-    table(spark, sf_dir, "customer").createOrReplaceTempView("tableload_customer")
-    return tl.project(tl.select_all(tl.scan_view(spark, "tableload_customer")), ["c_mktsegment", "c_name", "c_custkey"])
+    view = f"customer_{uuid.uuid4().hex}"
+    table(spark, sf_dir, "customer").createTempView(view)
+    try:
+        return tl.project(tl.select_all(tl.scan_view(spark, view)), ["c_mktsegment", "c_name", "c_custkey"])
+    finally:
+        spark.catalog.dropTempView(view)
 
 
 USER_SQL = """
@@ -478,6 +480,47 @@ def keyed_table_by_name(spark, sf_dir):
     return found[0].withColumn("kind", F.lit("snapshots")).unionByName(found[1].withColumn("kind", F.lit("partitions")))
 
 
+def upsert_moved_partitions(spark, sf_dir):
+    """Postings by status: a posting whose status changed leaves its old partition, found by the locator."""
+    path, options = tl.scratch_path(spark, "table"), {"unique_across_partitions": True, "locator_buckets": 8}
+    for postings in (order_postings(spark, sf_dir), line_postings(spark, sf_dir)):
+        tl.upsert_partitions(postings, path, POSTING_KEY, POSTING_ORDER, ["status"], **options)
+    return shown(tl.read_partitions(spark, path))
+
+
+def upsert_partitions_new_column(spark, sf_dir):
+    """The second load brings a column of its own; read by path and by name."""
+    path, name = tl.scratch_path(spark, "table"), f"{new_database(spark)}.postings"
+    postings = order_postings(spark, sf_dir), line_postings(spark, sf_dir).withColumn("origin", F.lit("lines"))
+    for batch in postings:
+        batch = batch.withColumn("year", F.year("day"))
+        tl.upsert_partitions(batch, path, POSTING_KEY, POSTING_ORDER, ["year"], table=name)
+    found = [
+        shown(df).select("account", "day", "version", "amount", "status", "origin", F.lit(how).alias("read_by"))
+        for how, df in (("path", tl.read_partitions(spark, path)), ("name", spark.table(name)))
+    ]
+    return found[0].unionByName(found[1])
+
+
+def rows_since_commit(spark, sf_dir):
+    """What the second load has committed, by the range of its commit."""
+    path = tl.scratch_path(spark, "table")
+    for batch_id, postings in enumerate((order_postings(spark, sf_dir), line_postings(spark, sf_dir))):
+        before = 0 if batch_id == 0 else tl.read_partitions(spark, path).agg(F.max("_commit_instant")).first()[0]
+        batch = postings.withColumn("year", F.year("day"))
+        tl.upsert_partitions(batch, path, POSTING_KEY, POSTING_ORDER, ["year"], batch_id=batch_id)
+    return shown(tl.rows_since(spark, path, before).select("account", "day", "version", "amount", "status"))
+
+
+def merge_partitions(spark, sf_dir):
+    """A source without partition columns changes what it matches in a table partitioned by status."""
+    path = tl.scratch_path(spark, "table")
+    tl.overwrite(line_postings(spark, sf_dir), path, partition_by=["status"])
+    source = stored_postings(spark, sf_dir).drop("status")
+    tl.merge_partitions(source, path, POSTING_KEY, ["amount", "version"], ["status"], insert=False)
+    return shown(tl.read_partitions(spark, path))
+
+
 def merge_snapshots(spark, sf_dir):
     path = tl.scratch_path(spark, "table")
     tl.overwrite(line_postings(spark, sf_dir), f"{path}/snapshot=0")
@@ -590,7 +633,7 @@ def rechunk_rows(spark, sf_dir):
 def stream_upsert(spark, sf_dir):
     envelopes = tl.read_envelopes(spark, event_files(spark, sf_dir), files_per_batch=1)
     target = tl.scratch_path(spark, "table")
-    options = {"keep_latest": True, "stamp": None}
+    options = {"keep_latest": True, "stamp": None, "snapshots": True}
     tl.stream_upsert(envelopes, target, EVENT_SCHEMA, ["user_id"], ["ts", "event_id"], **options).awaitTermination()
     return tl.read_snapshot(spark, target)
 
@@ -604,6 +647,22 @@ def stream_upsert_partitions(spark, sf_dir):
     return spark.read.parquet(target).select(*EVENT_SCHEMA.fieldNames())
 
 
+def stream_counts(spark, sf_dir):
+    """What every micro-batch read, kept back, added and replaced, summed over the batches."""
+    payload = F.to_json(F.struct(*EVENT_SCHEMA.fieldNames()))
+    text = F.when(F.col("event_id") % 100 == 0, F.lit("no json")).otherwise(payload)
+    record = F.struct(F.struct(F.base64(F.encode(text, "UTF-8")).alias("data")).alias("kinesis"))
+    source, target, bad, counts = (tl.scratch_path(spark, name) for name in ("envelopes", "table", "bad", "counts"))
+    events = event_records(spark, sf_dir).select(F.to_json(F.struct(F.array(record).alias("Records"))).alias("value"))
+    events.repartition(3).write.text(source)
+    stream, options = tl.read_envelopes(spark, source, files_per_batch=1), {"buckets": 4, "quarantine": bad, "counts": counts}
+    tl.stream_upsert(stream, target, EVENT_SCHEMA, ["user_id"], ["ts"], True, **options).awaitTermination()
+    read = spark.read.parquet(counts)
+    kept = F.sum(F.col("inserted") + F.col("replaced") + F.col("outdated")) <= F.sum("good")
+    sums = [F.sum(c).alias(c) for c in ("read", "good", "bad", "inserted")]
+    return read.agg(*sums, kept.alias("no_more_than_good"), (F.count("*") > 1).alias("several"))
+
+
 def stream_append(spark, sf_dir):
     envelopes = tl.read_envelopes(spark, event_files(spark, sf_dir), files_per_batch=2)
     target = tl.scratch_path(spark, "table")
@@ -663,7 +722,8 @@ def load_csv_to_warehouse(spark, sf_dir):
 def load_events(spark, sf_dir):
     target = tl.scratch_path(spark, "table")
     events = tl.encode_envelope(event_records(spark, sf_dir))
-    jobs.load_events(events, target, ["user_id"], EVENT_SCHEMA, ["ts", "event_id"], tl.scratch_path(spark, "bad"))
+    options = {"quarantine": tl.scratch_path(spark, "bad"), "batch_id": 0, "snapshots": True}
+    jobs.load_events(events, target, ["user_id"], EVENT_SCHEMA, ["ts", "event_id"], **options)
     return tl.read_snapshot(spark, target).select(*EVENT_SCHEMA.fieldNames())
 
 
@@ -680,13 +740,15 @@ def load_events_buckets(spark, sf_dir):
 
 
 def append_then_compact(spark, sf_dir):
-    """Small batches are appended, one of them twice, and compacted to the latest event of each user."""
+    """Small batches are appended, one of them twice, and compacted to the latest event of each user, in two rounds of
+    which the second reads the new batches only."""
     appended, target, bad = (tl.scratch_path(spark, name) for name in ("appended", "table", "bad"))
-    for batch_id in (0, 1, 2, 1):
-        batch = event_records(spark, sf_dir).where(F.pmod("event_id", F.lit(3)) == batch_id)
-        jobs.append_events(tl.encode_envelope(batch), appended, ["user_id"], EVENT_SCHEMA, batch_id, bad)
-    jobs.compact_events(spark, appended, target, ["user_id"], ["ts", "event_id"])
-    return spark.read.parquet(target).select(*EVENT_SCHEMA.fieldNames())
+    for round_of in ((0, 1), (2, 1)):
+        for batch_id in round_of:
+            batch = event_records(spark, sf_dir).where(F.pmod("event_id", F.lit(3)) == batch_id)
+            jobs.append_events(tl.encode_envelope(batch), appended, ["user_id"], EVENT_SCHEMA, batch_id, bad)
+        jobs.compact_events(spark, appended, target, ["user_id"], ["ts", "event_id"], buckets=4)
+    return tl.read_partitions(spark, target).select(*EVENT_SCHEMA.fieldNames())
 
 
 def check_quality(spark, sf_dir):
@@ -753,11 +815,16 @@ def library_queries() -> dict[str, Query]:
         "bulk_load": bulk_load,
         "upsert_incoming_wins": upsert_with(),
         "upsert_incoming_wins_shuffled": upsert_with(max_broadcast_bytes=0),
+        "upsert_incoming_wins_bitmap": upsert_with(max_broadcast_bytes=2 << 20),
+        "upsert_keep_latest_bitmap": upsert_with(keep_latest=True, max_broadcast_bytes=2 << 20),
         "upsert_keep_latest": upsert_with(keep_latest=True),
         "upsert_keep_latest_shuffled": upsert_with(keep_latest=True, max_broadcast_bytes=0),
         "upsert_bucketed_target": upsert_bucketed_target,
         "upsert_snapshots": upsert_snapshots,
         "upsert_touched_partitions": upsert_touched_partitions,
+        "rows_since_commit": rows_since_commit,
+        "upsert_partitions_new_column": upsert_partitions_new_column,
+        "upsert_moved_partitions": upsert_moved_partitions,
         "commit_metadata": commit_metadata,
         "merge_update_insert": merge_with(),
         "merge_update_insert_shuffled": merge_with(max_broadcast_bytes=0),
@@ -771,9 +838,11 @@ def library_queries() -> dict[str, Query]:
         "stream_upsert": stream_upsert,
         "stream_upsert_partitions": stream_upsert_partitions,
         "stream_append": stream_append,
+        "stream_counts": stream_counts,
         "stream_append_quarantine": stream_append_quarantine,
         "keyed_table_by_name": keyed_table_by_name,
         "merge_snapshots": merge_snapshots,
+        "merge_partitions": merge_partitions,
         "non_negative_large": non_negative_large,
         "load_csv": load_csv,
         "load_csv_by_key": load_csv_by_key,
@@ -903,11 +972,23 @@ def library_sql() -> dict[str, str]:
         "bulk_load": f"{POSTINGS} {SHOWN} stored",
         "upsert_incoming_wins": incoming_wins,
         "upsert_incoming_wins_shuffled": incoming_wins,
+        "upsert_incoming_wins_bitmap": incoming_wins,
+        "upsert_keep_latest_bitmap": latest_of_both,
         "upsert_keep_latest": latest_of_both,
         "upsert_keep_latest_shuffled": latest_of_both,
         "upsert_bucketed_target": incoming_wins,
         "upsert_snapshots": incoming_wins,
         "upsert_touched_partitions": latest_of_both,
+        "upsert_moved_partitions": incoming_wins,
+        "upsert_partitions_new_column": f"{POSTINGS}, both_loads AS (SELECT *, 'lines' AS origin FROM batch UNION ALL "
+        "SELECT *, NULL FROM stored s WHERE NOT EXISTS "
+        "(SELECT 1 FROM batch b WHERE b.account = s.account AND b.day = s.day)), "
+        f"shown AS ({SHOWN.replace('status FROM', 'status, origin FROM')} both_loads) "
+        "SELECT *, 'path' AS read_by FROM shown UNION ALL SELECT *, 'name' FROM shown",
+        "rows_since_commit": f"{POSTINGS} {SHOWN} batch",
+        "merge_partitions": f"{POSTINGS} {SHOWN} (SELECT t.account, t.day, coalesce(s.version, t.version) AS version, "
+        "coalesce(s.amount, t.amount) AS amount, t.status FROM line_postings t "
+        "LEFT JOIN stored s ON t.account = s.account AND t.day = s.day)",
         "commit_metadata": "SELECT 'c_mktsegment=' || c_mktsegment AS _partition_path, count(*) AS n_seqnos, "
         "CAST(1 AS BIGINT) AS n_times, count(*) AS n_keys, true AS has_files FROM customer GROUP BY c_mktsegment",
         "merge_update_insert": merged,
@@ -927,6 +1008,10 @@ def library_sql() -> dict[str, str]:
         "stream_upsert": LATEST_EVENTS,
         "stream_upsert_partitions": f"SELECT * FROM ({EVENTS}) QUALIFY row_number() OVER "
         "(PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) = 1",
+        "stream_counts": "SELECT count(*) AS read, count(*) FILTER (event_id % 100 <> 0) AS good, "
+        "count(*) FILTER (event_id % 100 = 0) AS bad, "
+        "count(DISTINCT user_id) FILTER (event_id % 100 <> 0) AS inserted, "
+        "true AS no_more_than_good, true AS several FROM events",
         "stream_append": EVENTS,
         "stream_append_quarantine": "SELECT count(*) FILTER (event_id % 100 <> 0) AS good, "
         "CAST(sum(event_id) FILTER (event_id % 100 <> 0) AS BIGINT) AS id_sum, "

@@ -13,9 +13,12 @@ from tableload.operators.layout import file_sizes, rechunk
 from tableload.operators.publish import (
     drop_snapshots,
     key_bucket,
+    merge_partitions,
     merge_snapshot,
     publish_snapshot,
+    read_partitions,
     read_snapshot,
+    rows_since,
     upsert_partitions,
     upsert_snapshot,
 )
@@ -64,6 +67,6 @@ from tableload.sources.tables import (
     scan_view,
 )
 from tableload.streaming.micro_batch import read_envelopes, stream_append, stream_upsert
-from tableload.workspace import drop_scratch, scratch_path
+from tableload.workspace import LeaseError, drop_scratch, scratch_path, writer
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -12,7 +12,7 @@ from tableload.functions.names import Names, col, cols, names_of
 # Fixed value: name of the load-time column.
 LOAD_COLUMN = "last_upd_timestamp"
 
-COMMIT_COLUMNS = ("_commit_time", "_commit_seqno", "_record_key", "_partition_path")
+COMMIT_COLUMNS = ("_commit_time", "_commit_instant", "_commit_seqno", "_record_key", "_partition_path")
 
 # The folder name of a null partition value, and the characters that folder names have as %XX.
 NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
@@ -65,7 +65,7 @@ def with_commit_metadata(
 ) -> DataFrame:
     """Add when, in which order and under which key and partition a row is committed.
 
-    ``_commit_seqno`` is unique in a commit: batch, task partition and row number in it. A null part of a key has the
+    ``_commit_instant`` is the commit time as a number, by which files can be skipped. ``_commit_seqno`` is unique in a commit: batch, task partition and row number in it. A null part of a key has the
     name that a null partition value has as a folder, and the partition path is escaped as its folders are. The file
     name is not stored; ``with_file_name`` reads it from the files.
     """
@@ -82,8 +82,10 @@ def with_commit_metadata(
         F.spark_partition_id().cast("string"),
         F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).cast("string"),
     )
+    time = F.date_format(F.current_timestamp(), "yyyyMMddHHmmssSSS")
     return df.select(
-        F.date_format(F.current_timestamp(), "yyyyMMddHHmmssSSS").alias("_commit_time"),
+        time.alias("_commit_time"),
+        time.cast("long").alias("_commit_instant"),
         seqno.alias("_commit_seqno"),
         record_key.alias("_record_key"),
         path.alias("_partition_path"),

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -32,6 +34,15 @@ from tableload.workspace import scratch_path
 # less to move than a target that is worth partitioning.
 MAX_BROADCAST_BYTES = 128 << 20
 
+# Bits of the largest bitmap of keys, sent instead of keys that are too large to broadcast: 64 MiB.
+MAX_BITMAP_BITS = 1 << 29
+
+# Bits per key that a bitmap has at least: at most an eighth of the rows without a match then go through the exchange.
+BITS_PER_KEY = 8
+
+# Fixed value: bits of one bitmap of the built-in bitmap functions.
+BITMAP_BITS = 4096 * 8
+
 _INCOMING = "_incoming"
 
 
@@ -137,29 +148,104 @@ def upsert(
     when its ``order`` columns are older; with ``keep_latest`` the greater ones win, and the incoming row on a tie.
 
     The batch is reduced to one row per key and staged. When its keys are small the target is not shuffled: only the
-    keys are sent to the tasks that scan it.
+    keys are sent to the tasks that scan it. When they are not, a bitmap of them is, if it is no larger than
+    ``max_broadcast_bytes``, and only rows that it does not rule out are shuffled.
     """
     if set(batch.columns) != set(target.columns):
         raise ValueError(f"batch columns {batch.columns} differ from target columns {target.columns}")
     staged = stage(dedupe_batch(like(batch, target), key, order, parallelism), "batch", key)
-    kept, changed = upsert_parts(target, staged, key, order, keep_latest, staged.fits(max_broadcast_bytes))
+    small = staged.fits(max_broadcast_bytes)
+    kept, changed = upsert_parts(target, staged, key, order, keep_latest, small, max_broadcast_bytes)
     return changed if kept is None else kept.unionByName(changed)
 
 
-def upsert_parts(
+@dataclass(frozen=True)
+class Changes:
+    """What a keyed write did: rows added, rows replaced, and rows of the batch that were older than the stored ones."""
+
+    inserted: int = 0
+    replaced: int = 0
+    outdated: int = 0
+
+
+def count_changes(
     target: DataFrame, staged: Staged, key: Names, order: Names, keep_latest: bool, small: bool
+) -> Changes:
+    """What an upsert of these rows will do, from the key and order columns of the target alone."""
+    key = names_of(key)
+    rank = F.struct(*cols([c for c in names_of(order) if c not in key] or key))
+    ranked = list(dict.fromkeys([*key, *names_of(order)]))
+    incoming = staged.rows.select(*cols(key), rank.alias(_INCOMING))
+    older = (rank > F.col(_INCOMING)) & F.lit(keep_latest)
+    both = target.select(*cols(ranked)).join(_small_or_shuffled(incoming, small), key)
+    found = both.agg(F.count(F.lit(1)).alias("known"), F.count_if(older).alias("older")).first()
+    return Changes(staged.count - found.known, found.known - found.older, found.older)
+
+
+def bitmap_size(keys: int, max_bytes: int) -> int | None:
+    """Bits of a bitmap for so many keys; None where the largest that fits would be too full to tell rows apart."""
+    bits = max(BITMAP_BITS, 1 << (BITS_PER_KEY * max(keys, 1) - 1).bit_length())
+    while bits > min(MAX_BITMAP_BITS, 8 * max_bytes):
+        bits //= 2
+    return bits if max(2 * keys, BITMAP_BITS) <= bits else None
+
+
+def by_bitmap(
+    target: DataFrame, keys: DataFrame, key: Sequence[str], count: int, max_bytes: int
+) -> tuple[DataFrame, DataFrame] | None:
+    """The rows of ``target`` whose key is surely not among ``count`` keys, and those whose key may be; None when there
+    are too many keys for a bitmap of ``max_bytes``.
+
+    A hash of every key is a bit. The bits, in blocks of 4 KiB, are broadcast: their size is bounded, whatever the keys
+    are. Rows without a bit need no exchange, and stay in the tasks that scan them.
+    """
+    bits = bitmap_size(count, max_bytes)
+    if bits is None:
+        return None
+    block, bit, found = _new_names(target, "_block", "_bit", "_bits")
+    place = F.pmod(F.xxhash64(*cols(key)), F.lit(bits)) + 1
+    places = {block: F.bitmap_bucket_number(place), bit: F.bitmap_bit_position(place)}
+    # brought together first, so that a block is built once and not by every task
+    blocks = keys.select(*[c.alias(n) for n, c in places.items()]).repartition(block)
+    blocks = blocks.groupBy(block).agg(F.bitmap_construct_agg(bit).alias(found))
+    byte = F.substring(found, (F.col(bit) / 8).cast("int") + 1, F.lit(1))
+    is_set = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (F.col(bit) % 8).cast("int")) == 1
+    may_be = F.coalesce(is_set, F.lit(False))
+    marked = target.withColumns(places).join(F.broadcast(blocks), block, "left")
+    return marked.where(~may_be).select(*cols(target.columns)), marked.where(may_be).select(*cols(target.columns))
+
+
+def _new_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until ``df`` has no such column."""
+    known = {c.lower() for c in df.columns}
+    return [name + "_" * next(n for n in range(len(known) + 1) if (name + "_" * n).lower() not in known) for name in names]
+
+
+def upsert_parts(
+    target: DataFrame,
+    staged: Staged,
+    key: Names,
+    order: Names,
+    keep_latest: bool,
+    small: bool,
+    max_bitmap_bytes: int = MAX_BROADCAST_BYTES,
 ) -> tuple[DataFrame | None, DataFrame]:
-    """The result of an upsert in two parts: stored rows as they are, and rows of the batch.
+    """The result of an upsert in two parts: stored rows straight from the scan, and all others.
 
-    With a small batch the first part comes straight from the scan and the second is no larger than the batch. With
-    ``keep_latest`` one scan of the target keeps the stored winners, and one of its key and order columns alone tells
-    which incoming rows lose.
+    With a small batch the second part is no larger than the batch. With ``keep_latest`` one scan of the target keeps the
+    stored winners, and one of its key and order columns alone tells which incoming rows lose. With a large batch the
+    first part is the stored rows that a bitmap of its keys rules out (None without a bitmap); the others are shuffled.
     """
     key, order, columns = names_of(key), names_of(order), target.columns
-    if keep_latest and not small:
-        return None, _newer_of_each(target, staged.rows, key, order)
+    if not small:
+        split = by_bitmap(target, staged.rows, key, staged.count, max_bitmap_bytes)
+        sure, maybe = split or (None, target)
+        if keep_latest:
+            return sure, _newer_of_each(maybe, staged.rows, key, order)
+        rest = maybe.join(staged.rows.select(*cols(key)).hint("merge"), key, "left_anti").select(*cols(columns))
+        return sure, rest.unionByName(staged.rows)
     if not keep_latest:
-        keys = _small_or_shuffled(staged.rows.select(*cols(key)), small)
+        keys = F.broadcast(staged.rows.select(*cols(key)))
         return target.join(keys, key, "left_anti").select(*cols(columns)), staged.rows
     rank = F.struct(*cols([c for c in order if c not in key] or key))
     incoming = F.broadcast(staged.rows.select(*cols(key), rank.alias(_INCOMING)))
@@ -226,34 +312,44 @@ def merge_into(
     All target rows of a matched key are updated, their other columns and all unmatched rows stay. A null key matches
     nothing. Several source rows that match the same target row are an error.
 
-    A small source is broadcast and the target not shuffled. Otherwise both sides of the update are plain shuffled
-    tables, in which the adaptive planner can split a frequent target key; and the keys looked up for the insert are
-    reduced to distinct ones by the tasks that read them.
+    A small source is broadcast and the target not shuffled. Otherwise target rows that a bitmap of the source's keys
+    rules out stay where they are; both sides of the update are plain shuffled tables, in which the adaptive planner can
+    split a frequent target key; and the keys looked up for the insert are reduced to distinct ones by the tasks that read
+    them.
     """
-    return merged(target, source, on, update_columns, insert, max_broadcast_bytes)[0]
+    staged = stage_source(source, target, on, update_columns)
+    return merged(target, staged, on, update_columns, insert, max_broadcast_bytes)[0]
+
+
+def stage_source(source: DataFrame, target: DataFrame, on: Names, update_columns: Names) -> Staged:
+    """The source of a merge as a table of the target's columns."""
+    return stage(like(source, target), "source", list(dict.fromkeys([*names_of(on), *names_of(update_columns)])))
+
+
+def with_key(df: DataFrame, on: Names) -> DataFrame:
+    """The rows that can match: those without a null in ``on``."""
+    return df.where(reduce(and_, [col(name).isNotNull() for name in names_of(on)]))
 
 
 def merged(
-    target: DataFrame, source: DataFrame, on: Names, update_columns: Names, insert: bool, max_broadcast_bytes: int
+    target: DataFrame, staged: Staged, on: Names, update_columns: Names, insert: bool, max_broadcast_bytes: int
 ) -> tuple[DataFrame, list[str]]:
     """What ``merge_into`` returns, and the scratch folders it reads, for a caller that writes it and removes them."""
     on, update_columns = names_of(on), names_of(update_columns)
-    staged = stage(like(source, target), "source", list(dict.fromkeys([*on, *update_columns])))
     small = staged.fits(max_broadcast_bytes)
-    has_key = F.lit(True)
-    for name in on:
-        has_key = has_key & col(name).isNotNull()
-    keyed = staged.rows.where(has_key)
+    keyed = with_key(staged.rows, on)
     _refuse_several_matches(target, keyed, on)
 
     updates = keyed.select(*cols(on), F.struct(*cols(update_columns)).alias("_new"))
     matched = F.col("_new").isNotNull()
-    updated = target.join(_small_or_shuffled(updates, small), on, "left").select(
+    sure, maybe = (None if small else by_bitmap(target, keyed, on, staged.count, max_broadcast_bytes)) or (None, target)
+    updated = maybe.join(_small_or_shuffled(updates, small), on, "left").select(
         *[
             F.when(matched, F.col(f"_new.{quoted(c)}")).otherwise(col(c)).alias(c) if c in update_columns else col(c)
             for c in target.columns
         ]
     )
+    updated = updated if sure is None else sure.unionByName(updated)
     if not insert:
         return updated, [staged.path]
     if small:
@@ -261,10 +357,11 @@ def merged(
         added = staged.rows.join(F.broadcast(known), on, "left_anti").select(*cols(target.columns))
         return updated.unionByName(added), [staged.path]
     # Staged, the known keys are a plain table as well, and broadcast when they turn out few.
-    stored_keys = target.select(*cols(on)).distinct()
+    stored_keys = maybe.select(*cols(on)).distinct()
     known = stage(stored_keys.join(keyed.select(*cols(on)).hint("merge"), on, "left_semi"), "known", on)
     added = keyed.join(_small_or_shuffled(known.rows, known.fits(max_broadcast_bytes)), on, "left_anti")
-    added = added.select(*cols(target.columns)).unionByName(staged.rows.where(~has_key))
+    without_key = staged.rows.where(reduce(or_, [col(name).isNull() for name in on]))
+    added = added.select(*cols(target.columns)).unionByName(without_key)
     return updated.unionByName(added), [staged.path, known.path]
 
 

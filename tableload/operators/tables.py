@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tableload.functions.names import Names, col, cols, names_of, quoted
-from tableload.operators.writes import overwrite_partitions
+from tableload.operators.writes import overwrite, overwrite_partitions
+from tableload.workspace import remove, scratch_path
 
 
 def _table(name: str) -> str:
@@ -61,14 +62,50 @@ def insert_by_name(df: DataFrame, name: str, columns: Names | None = None) -> No
 
 
 def point_table(spark: SparkSession, name: str, schema: StructType, location: str) -> None:
-    """Let an external table show the files at ``location``; one with other columns is created anew."""
-    if spark.catalog.tableExists(name):
-        if [(f.name, f.dataType) for f in spark.table(name).schema] == [(f.name, f.dataType) for f in schema]:
-            spark.sql("ALTER TABLE IDENTIFIER(:name) SET LOCATION :location", {"name": _table(name), "location": location})
-            spark.catalog.refreshTable(_table(name))
-            return
+    """Let an external table show the files at ``location``.
+
+    Columns that the table lacks are added to it, so that readers by name always find it, and its properties stay. Only a
+    table with columns that the files lack or have in another type is created anew.
+    """
+    if not spark.catalog.tableExists(name):
+        create_table(spark, name, schema, location)
+        return
+    if _other_columns(spark, name, schema):
         spark.sql("DROP TABLE IDENTIFIER(:name)", {"name": _table(name)})
-    create_table(spark, name, schema, location)
+        create_table(spark, name, schema, location)
+        return
+    add_columns(spark, name, schema)
+    spark.sql("ALTER TABLE IDENTIFIER(:name) SET LOCATION :location", {"name": _table(name), "location": location})
+    spark.catalog.refreshTable(_table(name))
+
+
+def add_columns(spark: SparkSession, name: str, schema: StructType) -> None:
+    """Add to a table the columns of ``schema`` that it lacks; the others have to be as they are there."""
+    other = _other_columns(spark, name, schema)
+    if other:
+        raise ValueError(f"table {name} has columns {other} that the rows lack or have in another type")
+    stored = set(spark.table(_table(name)).columns)
+    new = StructType([f for f in schema if f.name not in stored])
+    if new.fields:
+        spark.sql(f"ALTER TABLE IDENTIFIER(:name) ADD COLUMNS ({new.toDDL()})", {"name": _table(name)})
+
+
+def _other_columns(spark: SparkSession, name: str, schema: StructType) -> list[str]:
+    """Columns of a table that ``schema`` lacks or has in another type."""
+    given = {f.name: f.dataType for f in schema}
+    return [f.name for f in spark.table(_table(name)).schema if given.get(f.name) != f.dataType]
+
+
+def drop_partitions(spark: SparkSession, name: str, partition_by: Sequence[str], values: list) -> None:
+    """Take partitions whose folders are gone, given by their values as text, out of the table's catalog entry."""
+    if any(v is None for row in values for v in row):
+        spark.sql("MSCK REPAIR TABLE IDENTIFIER(:name) SYNC PARTITIONS", {"name": _table(name)})
+    else:
+        for row in values:
+            args = {"name": _table(name)} | {f"v{i}": v for i, v in enumerate(row)}
+            spec = ", ".join(f"{quoted(c)} = :v{i}" for i, c in enumerate(names_of(partition_by)))
+            spark.sql(f"ALTER TABLE IDENTIFIER(:name) DROP IF EXISTS PARTITION ({spec})", args)
+    spark.catalog.refreshTable(_table(name))
 
 
 def add_partitions(spark: SparkSession, name: str, partition_by: Sequence[str], values: list | None) -> None:
@@ -90,8 +127,8 @@ def add_partitions(spark: SparkSession, name: str, partition_by: Sequence[str],
 def replace_partitions(df: DataFrame, name: str) -> None:
     """Replace, by name, the partitions of a table that ``df`` has rows for; new ones are registered in the catalog.
 
-    The files are written to the table's location, with the mode as an option of this write alone. Columns that ``df``
-    lacks become null. ``df`` must not read the table; ``overwrite_partitions`` on its location may.
+    ``df`` is computed once, into the scratch folder; the files are then written to the table's location, with the mode as
+    an option of this write alone. Columns that ``df`` lacks become null. ``df`` may read the table.
     """
     spark = df.sparkSession
     described = {r.col_name: r.data_type for r in spark.sql("DESCRIBE EXTENDED IDENTIFIER(:name)", {"name": _table(name)}).collect()}
@@ -103,6 +140,12 @@ def replace_partitions(df: DataFrame, name: str) -> None:
     rows = df.select(
         *[(col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
     )
-    overwrite_partitions(rows, described["Location"], partition_by, described["Provider"].lower())
-    values = [list(r) for r in rows.select(*[col(c).cast("string") for c in partition_by]).distinct().collect()]
-    add_partitions(spark, name, partition_by, values)
+    path = scratch_path(spark, "partitions")
+    try:
+        overwrite(rows, path)
+        staged = spark.read.schema(schema).parquet(path)
+        values = [list(r) for r in staged.select(*[col(c).cast("string") for c in partition_by]).distinct().collect()]
+        overwrite_partitions(staged, described["Location"], partition_by, described["Provider"].lower())
+        add_partitions(spark, name, partition_by, values)
+    finally:
+        remove(spark, path)

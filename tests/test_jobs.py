@@ -31,12 +31,12 @@ def test_load_csv(spark, tmp_path, csv_file):
 
 def test_load_csv_by_key(spark, tmp_path, csv_file):
     target = str(tmp_path / "t")
-    jobs.load_csv_by_key(spark, csv_file, target, ["id"], ["price"], ";")
+    jobs.load_csv_by_key(spark, csv_file, target, ["id"], ["price"], ";", snapshots=True)
     (tmp_path / "more.csv").write_text("id;name;price\n1;z;1\n3;y;2\n")
-    jobs.load_csv_by_key(spark, str(tmp_path / "more.csv"), target, ["id"], ["price"], ";")
+    jobs.load_csv_by_key(spark, str(tmp_path / "more.csv"), target, ["id"], ["price"], ";", snapshots=True)
     wanted = [("1", "z", "1"), ("2", "c", "30"), ("3", "y", "2")]
     assert rows(tl.read_snapshot(spark, target), "id", "name", "price") == wanted
-    jobs.load_csv_by_key(spark, csv_file, target, ["id"], ["price"], ";", replace=True)
+    jobs.load_csv_by_key(spark, csv_file, target, ["id"], ["price"], ";", replace=True, snapshots=True)
     assert rows(tl.read_snapshot(spark, target), "id", "name") == [("1", "a"), ("2", "c")]
 
 
@@ -68,14 +68,14 @@ def test_load_events(spark, tmp_path):
         data = [{"kinesis": {"data": base64.b64encode(json.dumps(r).encode()).decode()}} for r in records]
         return spark.createDataFrame([(json.dumps({"Records": data}),)], "value string")
 
-    target = str(tmp_path / "t")
-    jobs.load_events(events({"id": "1", "n": "a"}, {"id": "2", "n": "b"}), target, ["id"])
-    jobs.load_events(events({"id": "2", "n": "c"}, {"n": "lost"}), target, ["id"], quarantine=str(tmp_path / "bad"))
+    target, bad = str(tmp_path / "t"), str(tmp_path / "bad")
+    jobs.load_events(events({"id": "1", "n": "a"}, {"id": "2", "n": "b"}), target, ["id"], snapshots=True)
+    jobs.load_events(events({"id": "2", "n": "c"}, {"n": "lost"}), target, ["id"], quarantine=bad, batch_id=1, snapshots=True)
     assert rows(tl.read_snapshot(spark, target).selectExpr("id", "payload['n'] AS n"), "id", "n") == [("1", "a"), ("2", "c")]
-    jobs.load_events(events({"id": "2", "n": "c"}, {"n": "lost"}), target, ["id"], quarantine=str(tmp_path / "bad"))
-    assert spark.read.parquet(str(tmp_path / "bad")).count() == 1
+    jobs.load_events(events({"id": "2", "n": "c"}, {"n": "lost"}), target, ["id"], quarantine=bad, batch_id=1, snapshots=True)
+    assert spark.read.parquet(bad).count() == 1
     with pytest.raises(Exception, match="cannot be decoded"):
-        jobs.load_events(events({"n": "lost"}, {"id": "1", "n": "x"}), target, ["id"])
+        jobs.load_events(events({"n": "lost"}, {"id": "1", "n": "x"}), target, ["id"], snapshots=True)
 
 
 def test_quality_job_on_both_formats(spark, tmp_path, csv_file):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import tableload as tl
-from tableload.operators.keyed import stage
+from tableload.operators.keyed import bitmap_size, by_bitmap, stage
 
 SCHEMA = "k int, v int, text string"
 BOTH = pytest.mark.parametrize("limit", [128 << 20, 0], ids=["broadcast", "shuffled"])
@@ -263,3 +263,32 @@ def test_one_name_needs_no_list(spark, tmp_path):
     assert rows(tl.read_snapshot(spark, str(tmp_path / "s"))) == wanted
     metrics = tl.run_analyzers(target, [tl.Uniqueness("code"), tl.Uniqueness(["code", "val"])])
     assert [m.value for m in metrics] == [1, 1]
+
+
+@pytest.mark.parametrize("keep_latest", [False, True], ids=["incoming", "latest"])
+def test_a_bitmap_of_a_large_batch_keeps_other_rows_from_the_shuffle(spark, keep_latest):
+    """The keys are too large to broadcast, their bitmap is not; it rules out nearly all rows without a match."""
+    target = numbered(spark, 20_000)
+    batch = numbered(spark, 1_000).withColumn("v", F.lit(-1)).withColumn("k", F.col("k") * 40)
+    staged = stage(batch, "batch", ["k"])
+    limit = 16 << 10
+    assert not staged.fits(limit) and bitmap_size(staged.count, limit) == 32_768
+    sure, maybe = by_bitmap(target, staged.rows, ["k"], staged.count, limit)
+    assert sure.columns == maybe.columns == target.columns
+    matches = target.join(staged.rows.select("k"), "k", "left_semi").count()
+    assert matches <= maybe.count() <= matches + 20_000 // 16 and sure.count() + maybe.count() == 20_000
+    assert sure.join(staged.rows, "k", "left_semi").isEmpty()
+    found = {x: tl.upsert(target, batch, ["k"], ["v"], keep_latest, max_broadcast_bytes=x) for x in (limit, 0, 1 << 20)}
+    rows = {x: sorted(map(tuple, df.collect())) for x, df in found.items()}
+    assert rows[limit] == rows[0] == rows[1 << 20]
+    merge = {x: tl.merge_into(target, batch, ["k"], ["v"], max_broadcast_bytes=x) for x in (limit, 0)}
+    rows = {x: sorted(map(tuple, df.collect())) for x, df in merge.items()}
+    assert rows[limit] == rows[0]
+
+
+def test_bitmaps_have_bounds(spark):
+    assert bitmap_size(1, 1 << 20) == 32_768 and bitmap_size(10, 0) is None
+    assert bitmap_size(1 << 40, 1 << 40) is None and bitmap_size(1 << 28, 1 << 40) == 1 << 29
+    clashing = spark.range(10).selectExpr("id AS k", "1 AS _block", "2 AS _bits", "3 AS _bit")
+    sure, maybe = by_bitmap(clashing, spark.range(3).withColumnRenamed("id", "k"), ["k"], 3, 1 << 20)
+    assert sorted(map(tuple, sure.union(maybe).collect())) == [(k, 1, 2, 3) for k in range(10)]

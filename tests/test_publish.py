@@ -1,11 +1,13 @@
 import glob
 import os
 import shutil
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 import tableload as tl
+from tableload import workspace
 from tableload.operators import publish
 from tableload.operators.publish import snapshots
 
@@ -103,12 +105,32 @@ def test_only_the_batch_is_shuffled_in_place(spark, tmp_path):
     assert spark.read.parquet(path).agg(F.count("*"), F.sum("v")).first()[:] == (40_000, 39_900 + 200)
 
 
-def test_a_partitioned_table_keeps_its_columns(spark, tmp_path):
-    path, batch = str(tmp_path / "t"), frame(spark, [(1, "a", 1)])
-    tl.upsert_partitions(batch, path, ["k"], ["v"], ["p"])
-    for other in (batch.select("k", "p", batch.v.alias("w")), batch.withColumn("w", F.lit(1))):
-        with pytest.raises(ValueError, match="differ"):
-            tl.upsert_partitions(other, path, ["k"], ["k"], ["p"])
+def test_columns_that_only_one_side_of_a_partitioned_table_has(spark, tmp_path):
+    spark.sql("CREATE DATABASE IF NOT EXISTS tests")
+    path, batch = str(tmp_path / "t"), frame(spark, [(1, "a", 1), (2, "b", 1)])
+    tl.upsert_partitions(batch, path, ["k"], ["v"], ["p"], table="tests.grown")
+    spark.sql("ALTER TABLE tests.grown SET TBLPROPERTIES ('made_by' = 'me')")
+    untouched = glob.glob(f"{path}/p=a/*.parquet")
+    tl.upsert_partitions(spark.sql("SELECT 2 AS k, 'b' AS p, 5 AS v, 'x' AS w"), path, ["k"], ["v"], ["p"], table="tests.grown")
+    tl.upsert_partitions(spark.sql("SELECT 3 AS k, 'b' AS p, 2L AS z"), path, ["k"], ["k"], ["p"], table="tests.grown")
+    wanted = [(1, "a", 1, None, None), (2, "b", 5, "x", None), (3, "b", None, None, 2)]
+    for found in (tl.read_partitions(spark, path), spark.table("tests.grown")):
+        assert rows(found.select("k", "p", "v", "w", "z")) == wanted
+    assert glob.glob(f"{path}/p=a/*.parquet") == untouched
+    properties = {r.key: r.value for r in spark.sql("SHOW TBLPROPERTIES tests.grown").collect()}
+    assert properties["made_by"] == "me"
+    spark.sql("DROP TABLE tests.grown")
+
+
+def test_a_published_table_by_name_gets_columns_without_being_dropped(spark, tmp_path):
+    spark.sql("CREATE DATABASE IF NOT EXISTS tests")
+    path = str(tmp_path / "t")
+    tl.upsert_snapshot(spark.sql("SELECT 1 AS k, 1 AS v"), path, ["k"], ["v"], table="tests.wide")
+    spark.sql("ALTER TABLE tests.wide SET TBLPROPERTIES ('made_by' = 'me')")
+    tl.upsert_snapshot(spark.sql("SELECT 2 AS k, 1 AS v, 'x' AS w"), path, ["k"], ["v"], table="tests.wide")
+    assert rows(spark.table("tests.wide").select("k", "v", "w")) == [(1, 1, None), (2, 1, "x")]
+    assert "me" in {r.value for r in spark.sql("SHOW TBLPROPERTIES tests.wide").collect()}
+    spark.sql("DROP TABLE tests.wide")
 
 
 def test_names_with_dots(spark, tmp_path):
@@ -212,3 +234,167 @@ def test_merging_leaves_no_scratch(spark, tmp_path):
     for limit in (0, 1 << 20):
         tl.merge_snapshot(frame(spark, [(1, "x", 9), (2, "n", 9)]), path, ["k"], ["p"], max_broadcast_bytes=limit)
     assert set(os.listdir(scratch)) <= before
+
+
+def test_recovered_partitions_are_in_the_table_by_name(spark, tmp_path, monkeypatch):
+    spark.sql("CREATE DATABASE IF NOT EXISTS tests")
+    path, options = str(tmp_path / "t"), {"table": "tests.recovered"}
+    tl.upsert_partitions(frame(spark, [(1, "a", 1)]), path, ["k"], ["v"], ["p"], **options)
+
+    def dies(*args, **options):
+        raise RuntimeError("driver lost")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(publish, "overwrite_partitions", dies)
+        with pytest.raises(RuntimeError, match="driver lost"):
+            tl.upsert_partitions(frame(spark, [(2, "b", 1)]), path, ["k"], ["v"], ["p"], **options)
+    tl.upsert_partitions(frame(spark, [(3, "c", 1)]), path, ["k"], ["v"], ["p"], **options)
+    wanted = [(1, "a", 1), (2, "b", 1), (3, "c", 1)]
+    assert rows(spark.table("tests.recovered").select("k", "p", "v")) == wanted
+    assert rows(spark.read.parquet(path).select("k", "p", "v")) == wanted
+    spark.sql("DROP TABLE tests.recovered")
+
+
+@pytest.mark.parametrize("limit", [32 << 20, 0], ids=["broadcast", "shuffled"])
+@pytest.mark.parametrize("keep_latest", [False, True], ids=["incoming", "latest"])
+def test_keys_that_move_between_partitions(spark, tmp_path, limit, keep_latest):
+    """Only the partitions a key leaves and enters are rewritten; one that loses its last row goes."""
+    spark.sql("CREATE DATABASE IF NOT EXISTS tests")
+    path, name = str(tmp_path / "t"), f"tests.moved{limit}{keep_latest}".lower()
+    options = {"keep_latest": keep_latest, "max_broadcast_bytes": limit, "unique_across_partitions": True, "table": name}
+    options |= {"locator_buckets": 4}
+    first = {k: (p, 5) for k, p in zip(range(30), "abcde" * 6, strict=True)} | {77: ("lone", 5)}
+    tl.upsert_partitions(frame(spark, [(k, p, v) for k, (p, v) in first.items()]), path, ["k"], ["v"], ["p"], **options)
+    untouched = {p: set(glob.glob(f"{path}/p={p}/*.parquet")) for p in "de"}
+    batch = {0: ("b", 6), 1: ("new", 7), 2: ("a", 4), 77: ("c", 9), 99: ("a", 1)}
+    for _ in range(2):
+        tl.upsert_partitions(frame(spark, [(k, p, v) for k, (p, v) in batch.items()]), path, ["k"], ["v"], ["p"], **options)
+    wanted = first | {k: pv for k, pv in batch.items() if not (keep_latest and k in first and first[k][1] > pv[1])}
+    shown = sorted((k, p, v) for k, (p, v) in wanted.items())
+    assert rows(spark.read.parquet(path).select("k", "p", "v")) == shown
+    assert rows(spark.table(name).select("k", "p", "v")) == shown
+    assert untouched == {p: set(glob.glob(f"{path}/p={p}/*.parquet")) for p in "de"}
+    assert not os.path.exists(f"{path}/p=lone")
+    again = {1: ("d", 8), 77: ("e", 10), 2: ("a", 9)}
+    tl.upsert_partitions(frame(spark, [(k, p, v) for k, (p, v) in again.items()]), path, ["k"], ["v"], ["p"], **options)
+    shown = sorted((k, p, v) for k, (p, v) in (wanted | again).items())
+    assert rows(spark.read.parquet(path).select("k", "p", "v")) == shown
+    with pytest.raises(ValueError, match="unique by"):
+        tl.upsert_partitions(frame(spark, [(1, "a", 1)]), path, ["k"], ["v"], ["p"])
+    spark.sql(f"DROP TABLE {name}")
+
+
+@pytest.mark.parametrize("dies_in", ["overwrite_partitions", "_place", "_show"])
+def test_a_driver_lost_while_keys_move(spark, tmp_path, monkeypatch, dies_in):
+    """Before the copy, before the locator learns of it, and before the catalog does."""
+    spark.sql("CREATE DATABASE IF NOT EXISTS tests")
+    path = str(tmp_path / "t")
+    options = {"unique_across_partitions": True, "table": "tests.lost", "locator_buckets": 2}
+    tl.upsert_partitions(frame(spark, [(1, "a", 1), (2, "b", 1)]), path, ["k"], ["v"], ["p"], **options)
+
+    def dies(*args, **kwargs):
+        raise RuntimeError("driver lost")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(publish, dies_in, dies)
+        with pytest.raises(RuntimeError, match="driver lost"):
+            tl.upsert_partitions(frame(spark, [(1, "c", 2)]), path, ["k"], ["v"], ["p"], **options)
+    tl.upsert_partitions(frame(spark, [(1, "d", 3)]), path, ["k"], ["v"], ["p"], **options)
+    for found in (spark.read.parquet(path), spark.table("tests.lost")):
+        assert rows(found.select("k", "p", "v")) == [(1, "d", 3), (2, "b", 1)]
+    spark.sql("DROP TABLE tests.lost")
+
+
+@pytest.mark.parametrize("limit", [32 << 20, 0], ids=["broadcast", "shuffled"])
+def test_merge_into_partitions(spark, tmp_path, limit, monkeypatch):
+    path, options = str(tmp_path / "t"), {"max_broadcast_bytes": limit}
+    first = [(k, p, 1) for p in "abcd" for k in range(4)] + [(9, "b", 1), (None, "d", 1)]
+    with pytest.raises(ValueError, match="no table|not partitioned|PATH"):
+        tl.merge_partitions(frame(spark, []), path, ["k"], ["v"], ["p"])
+    tl.overwrite(frame(spark, first), path, partition_by=["p"])
+    untouched = {p: set(glob.glob(f"{path}/p={p}/*.parquet")) for p in "acd"}
+    source = spark.sql("SELECT 9 AS k, 5 AS v UNION ALL SELECT 50, 5 UNION ALL SELECT NULL, 7")
+    tl.merge_partitions(source, path, ["k"], ["v"], ["p"], insert=False, **options)
+    wanted = {(k, p): v for k, p, v in first} | {(9, "b"): 5}
+    found = lambda: sorted(map(tuple, spark.read.parquet(path).select("k", "p", "v").collect()), key=str)
+    assert found() == sorted(((k, p, v) for (k, p), v in wanted.items()), key=str)
+    assert untouched == {p: set(glob.glob(f"{path}/p={p}/*.parquet")) for p in "acd"}
+    with pytest.raises(ValueError, match="lacks"):
+        tl.merge_partitions(source, path, ["k"], ["v"], ["p"])
+    with pytest.raises(ValueError, match="does not change"):
+        tl.merge_partitions(source, path, ["k"], ["p"], ["p"], insert=False)
+
+    def dies(*args, **kwargs):
+        raise RuntimeError("driver lost")
+
+    merge = lambda: tl.merge_partitions(frame(spark, [(9, "z", 6), (60, "e", 6), (61, "a", 6)]), path, ["k"], ["v"], ["p"], **options)
+    with monkeypatch.context() as patched:
+        patched.setattr(publish, "overwrite_partitions", dies)
+        with pytest.raises(RuntimeError, match="driver lost"):
+            merge()
+    merge()
+    wanted |= {(9, "b"): 6, (60, "e"): 6, (61, "a"): 6}
+    assert found() == sorted(((k, p, v) for (k, p), v in wanted.items()), key=str)
+    assert untouched["c"] == set(glob.glob(f"{path}/p=c/*.parquet"))
+
+
+def test_rows_since_a_commit_skip_older_files(spark, tmp_path):
+    path = str(tmp_path / "t")
+    instants = []
+    for batch_id, data in enumerate([[(1, "a", 1), (2, "b", 1)], [(2, "b", 2), (3, "c", 2)], [(3, "c", 3)]]):
+        tl.upsert_partitions(frame(spark, data), path, ["k"], ["v"], ["p"], batch_id=batch_id)
+        instants.append(spark.read.parquet(path).agg(F.max("_commit_instant")).first()[0])
+    assert rows(tl.rows_since(spark, path, 0).select("k", "v")) == [(1, 1), (2, 2), (3, 3)]
+    assert rows(tl.rows_since(spark, path, instants[0]).select("k", "v")) == [(2, 2), (3, 3)]
+    assert rows(tl.rows_since(spark, path, instants[0], instants[1]).select("k", "v")) == [(2, 2)]
+    plan = tl.rows_since(spark, path, instants[0])._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(_commit_instant" in plan
+
+
+def test_changes_are_counted(spark, tmp_path):
+    for limit in (32 << 20, 0):
+        for upsert, more in ((tl.upsert_snapshot, {}), (tl.upsert_partitions, {"partition_by": ["p"]})):
+            path = str(tmp_path / f"{upsert.__name__}{limit}")
+            options = {**more, "count": True, "keep_latest": True, "max_broadcast_bytes": limit}
+            first = upsert(frame(spark, [(1, "a", 5), (2, "a", 5), (2, "a", 4)]), path, ["k"], ["v"], **options)
+            second = upsert(frame(spark, [(1, "a", 6), (2, "a", 1), (3, "a", 1), (3, "a", 2)]), path, ["k"], ["v"], **options)
+            assert (first.inserted, first.replaced, first.outdated) == (2, 0, 0)
+            assert (second.inserted, second.replaced, second.outdated) == (1, 1, 1)
+
+
+def test_another_session_is_refused_while_one_writes(spark, tmp_path):
+    path, other = str(tmp_path / "t"), spark.newSession()
+    batch = lambda session: session.createDataFrame([(1, "a", 1)], SCHEMA)
+    with tl.writer(spark, path):
+        tl.upsert_partitions(batch(spark), path, ["k"], ["v"], ["p"])
+        for write in (
+            lambda: tl.upsert_partitions(batch(other), path, ["k"], ["v"], ["p"]),
+            lambda: tl.merge_partitions(batch(other), path, ["k"], ["v"], ["p"]),
+            lambda: tl.upsert_snapshot(batch(other), path, ["k"], ["v"]),
+            lambda: tl.merge_snapshot(batch(other), path, ["k"], ["v"]),
+        ):
+            with pytest.raises(tl.LeaseError, match="another session"):
+                write()
+    tl.upsert_partitions(batch(other), path, ["k"], ["v"], ["p"])
+    assert not os.path.exists(f"{path}.writer")
+
+
+def test_a_stale_lease_is_taken_over_and_a_lost_one_noticed(spark, tmp_path):
+    path, other = str(tmp_path / "t"), spark.newSession()
+    dead = workspace.Lease(other, path, seconds=-1)
+    dead.take()  # its driver dies without a trace
+    with tl.writer(spark, path) as lease:
+        lease.check()
+        with pytest.raises(tl.LeaseError, match="lost"):
+            dead.check()
+    dead.release()
+    with tl.writer(other, path):
+        pass
+
+
+def test_a_lease_is_renewed(spark, tmp_path):
+    path, other = str(tmp_path / "t"), spark.newSession()
+    with tl.writer(spark, path, seconds=1.0):
+        time.sleep(1.6)
+        with pytest.raises(tl.LeaseError):
+            workspace.Lease(other, path).take()

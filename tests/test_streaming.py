@@ -29,7 +29,7 @@ def test_upsert_over_batches_is_upsert_over_all(spark, schema, source, tmp_path)
     target = str(tmp_path / "t")
     for _ in range(2):  # the second run finds nothing new
         query = tl.stream_upsert(
-            tl.read_envelopes(spark, source, 1), target, schema, ["k"], ["v"], keep_latest=True
+            tl.read_envelopes(spark, source, 1), target, schema, ["k"], ["v"], keep_latest=True, snapshots=True
         )
         query.awaitTermination()
     found = tl.read_snapshot(spark, target)
@@ -66,7 +66,7 @@ def test_a_stream_continues_a_loaded_table(spark, schema, source, tmp_path):
     for k in (100, 101, 102):
         tl.upsert_snapshot(spark.createDataFrame([(k, 1, "p")], schema), target, ["k"], ["v"])
     tl.stream_upsert(
-        tl.read_envelopes(spark, source), target, schema, ["k"], ["v"], True, stamp=None
+        tl.read_envelopes(spark, source), target, schema, ["k"], ["v"], True, snapshots=True, stamp=None
     ).awaitTermination()
     assert sorted(r.k for r in tl.read_snapshot(spark, target).collect()) == [*range(20), 100, 101, 102]
 
@@ -77,12 +77,12 @@ def test_bad_records_are_kept_or_fail_the_query(spark, schema, tmp_path):
     stream = tl.read_envelopes(spark, str(tmp_path / "events"))
     quarantine = str(tmp_path / "bad")
     tl.stream_upsert(
-        stream, str(tmp_path / "t"), schema, ["k"], ["v"], quarantine=quarantine
+        stream, str(tmp_path / "t"), schema, ["k"], ["v"], snapshots=True, quarantine=quarantine
     ).awaitTermination()
     assert tl.read_snapshot(spark, str(tmp_path / "t")).count() == 2
     assert [r[0] for r in spark.read.parquet(quarantine).select("_bad_record").collect()] == ["broken"]
     with pytest.raises(Exception, match="cannot be decoded"):
-        tl.stream_upsert(stream, str(tmp_path / "t2"), schema, ["k"], ["v"]).awaitTermination()
+        tl.stream_upsert(stream, str(tmp_path / "t2"), schema, ["k"], ["v"], snapshots=True).awaitTermination()
 
 
 def test_append_loads_every_record_once(spark, schema, source, tmp_path):
@@ -118,6 +118,7 @@ def test_a_batch_whose_commit_was_lost_is_replayed(
             ["v"],
             keep_latest=keep_latest,
             partition_by=["p"] if partitioned else [],
+            snapshots=not partitioned,
             stamp=None,
         )
 
@@ -172,7 +173,7 @@ def test_an_appended_batch_is_replayed(spark, schema, source, tmp_path, monkeypa
 def test_a_second_query_on_a_target_is_refused(spark, schema, source, tmp_path):
     target = str(tmp_path / "t")
     start = lambda: tl.stream_upsert(
-        tl.read_envelopes(spark, source, 1), target, schema, ["k"], ["v"], processingTime="1 hour"
+        tl.read_envelopes(spark, source, 1), target, schema, ["k"], ["v"], snapshots=True, processingTime="1 hour"
     )
     first = start()
     try:
@@ -184,7 +185,7 @@ def test_a_second_query_on_a_target_is_refused(spark, schema, source, tmp_path):
 
 def test_commit_columns_of_a_stream(spark, schema, source, tmp_path):
     target = str(tmp_path / "t")
-    tl.stream_upsert(tl.read_envelopes(spark, source, 1), target, schema, ["k"], ["v"], True, commit=True).awaitTermination()
+    tl.stream_upsert(tl.read_envelopes(spark, source, 1), target, schema, ["k"], ["v"], True, snapshots=True, commit=True).awaitTermination()
     found = tl.read_snapshot(spark, target)
     assert found.where("_record_key = CAST(k AS STRING)").count() == 20
     assert {r._commit_seqno.split("_")[0] for r in found.collect()} <= set("0123")
