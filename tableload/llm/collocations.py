@@ -6,12 +6,13 @@ the shard and of its mirror image, both sorted to the depth of the longest phras
 transform, kept in step: a backward step of all intervals at once is one gather of the transform in the order of its
 symbols, in which the runs of one interval are the intervals of its extensions; the smaller symbols before a run shift the
 interval of the mirror image. So every phrase of a shard comes with its count and with the only word to its left or
-right, if there is just one. Counts are summed over shards.
+right, if there is just one: it lies in a longer phrase only if that one has the same total. Counts are summed over shards.
 
-What is rare as a whole is left out in three rounds, each a sum over shards: words with fewer occurrences than a phrase
-must have end pieces, then so do pairs of words, and only what is left is indexed to full depth. A phrase that occurs
-often enough consists of such words and pairs, so none is lost. Words are named by 64-bit hashes of language and word in
-the first two rounds; phrases are summed under their text.
+What is rare as a whole is left out in rounds, each a sum over shards: pairs of words that are rarer than a phrase must be
+cut the text, and longer phrases are only looked for where both of their parts with one word less are frequent. So none
+that is frequent is lost. In these rounds phrases are named by 64-bit hashes; a shard that learns which of its phrases are
+frequent also learns their totals, and one shard of each says its text. Only the longest phrases are summed under their
+text. Shards stay where they are written, in a table bucketed by shard.
 
 Defined cases: a null text has no words; a null language is ``und``; equal rows count each; languages without a phrase
 that is frequent have no rows; pieces without words separate nothing; a text of any length lies in one shard; an empty
@@ -20,26 +21,28 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tableload.llm.rows import ship, slices, written
+from tableload.llm.rows import hashes, mix, ship, slices, written
+from tableload.workspace import scratch_path
 
 #: Words in the longest phrase, occurrences of a phrase at least, and phrases a language keeps.
 LONGEST, LEAST, TOP = 5, 100, 2_000
-#: Words of a shard as expected.
-SHARD_WORDS = 3_000_000
+#: Words of a shard as expected, and bytes of a word with what parts it from the next.
+SHARD_WORDS, WORD_BYTES = 3_000_000, 6
 UNKNOWN = "und"
 
 # A-Z in lower case; marks and line ends cut pieces, a tab parts words as a space does.
 _BYTES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d\t", b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n\n\n\n ")
 _CUT = b"\n"
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def pieces(text: str) -> list[bytes]:
@@ -83,6 +86,9 @@ class Phrases:
     def __init__(self, words: np.ndarray, low: np.ndarray, mirrored: np.ndarray, count: np.ndarray):
         self.words, self.low, self.mirrored, self.count = words, low, mirrored, count
 
+    def some(self, which: np.ndarray) -> Phrases:
+        return Phrases(self.words[which], self.low[which], self.mirrored[which], self.count[which])
+
 
 def single_words(index: Index) -> Phrases:
     words = np.flatnonzero(np.diff(index.starts))
@@ -186,7 +192,7 @@ def shards(docs: DataFrame, shard_words: int, text_col: str, lang_col: str) -> D
             yield close()
 
     fields = "shard long, symbols binary, words binary, langs array<string>, sizes array<long>"
-    return written(source.mapInArrow(run, fields), "phrase-shards")
+    return source.mapInArrow(run, fields)
 
 
 def _opened(symbols: bytes, words: bytes) -> tuple[np.ndarray, list[bytes]]:
@@ -196,107 +202,193 @@ def _opened(symbols: bytes, words: bytes) -> tuple[np.ndarray, list[bytes]]:
 
 
 def _keys(words: list[bytes]) -> np.ndarray:
-    """Signed 64-bit names of words, each with its language before it."""
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) - (1 << 63) for w in words), np.int64, len(words))
+    """64-bit names of words, each with its language before it."""
+    return hashes(words)
 
 
 def word_counts(found: DataFrame) -> DataFrame:
-    """``shard, word, n``: every distinct word of a shard by its 64-bit name, and its occurrences there."""
+    """``word, n``: every distinct word of a shard by its 64-bit name, and its occurrences there."""
 
     def run(batches):
         for batch in slices(batches, 1):
-            symbols, words = _opened(batch.column(1)[0].as_py(), batch.column(2)[0].as_py())
+            symbols, words = _opened(batch.column(0)[0].as_py(), batch.column(1)[0].as_py())
             count = np.bincount(symbols, minlength=len(words) + 1)[1:]
-            shard = np.full(len(words), batch.column(0)[0].as_py())
-            for a in range(0, len(words), 100_000):
-                part = slice(a, a + 100_000)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard[part]), pa.array(_keys(words[part])), pa.array(count[part])], names=["shard", "word", "n"]
-                )
+            yield from _batches(["word", "n"], [_keys(words).view(np.int64), count])
 
-    return found.mapInArrow(run, "shard long, word long, n long")
+    return found.select("symbols", "words").mapInArrow(run, "word long, n long")
 
 
-def often(counts: DataFrame, names: list[str], least: int) -> DataFrame:
-    """The rows of ``counts`` whose ``n``, summed over the shards of equal names, is ``least`` or more; with the ``total``.
+def _batches(names: list[str], columns: list[np.ndarray], rows: int = 100_000):
+    for a in range(0, len(columns[0]), rows):
+        yield pa.RecordBatch.from_arrays([pa.array(c[a : a + rows], pa.int64()) for c in columns], names=names)
 
-    One shuffle by name: a shard has a name once, so a group is no larger than the number of shards.
-    """
-    total = F.sum("n").over(Window.partitionBy(*names))
-    return counts.withColumn("total", total).where(F.col("total") >= least)
 
+def names_of(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """64-bit names of phrases of equal length, one per row of word numbers, from the names of words."""
+    with np.errstate(over="ignore"):
+        found = keys[words[:, 0]].copy()
+        for k in range(1, words.shape[1]):
+            found = mix(found + _STEP) + keys[words[:, k]]
+    return mix(found).view(np.int64)
 
-def _kept_symbols(row: dict, frequent: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """Ids of a shard with rare words as separators, the words that stay, and their names."""
-    symbols, words = _opened(row["symbols"], row["words"])
-    keys = _keys(words)
-    stays = np.isin(keys, frequent)
-    number = np.concatenate([[0], np.where(stays, np.cumsum(stays), 0)])
-    return number[symbols].astype(np.int32), [w for w, s in zip(words, stays.tolist(), strict=True) if s], keys[stays]
 
+def often(counts: DataFrame, least: int) -> DataFrame:
+    """``shard, key, total, says`` of the rows whose ``n``, summed over all shards with the key, is ``least`` or more;
+    ``says`` holds for one shard of each key.
 
-def pair_counts(found: DataFrame, frequent: DataFrame) -> DataFrame:
-    """``shard, word, next, n``: pairs of frequent words in a shard, by the two words' names."""
-    fields = "shard long, word long, next long, n long"
+    One shuffle by key: a shard has a key once, so a group is no larger than the number of shards.
+    """
+    same = Window.partitionBy("key")
+    found = counts.withColumn("total", F.sum("n").over(same)).withColumn("says", F.col("shard") == F.min("shard").over(same))
+    return found.where(F.col("total") >= least).select("shard", "key", "total", "says")
 
-    def run(key, held: pa.Table, words: pa.Table) -> pa.Table:
-        out = [np.zeros(0, np.int64)] * 4
-        if held.num_rows:
-            symbols, _, keys = _kept_symbols(held.to_pylist()[0], words.column("word").to_numpy())
+
+def pair_counts(found: DataFrame) -> DataFrame:
+    """``shard, key, n``: the pairs of neighbouring words in a shard."""
+
+    def run(batches):
+        for batch in slices(batches, 1):
+            symbols, words = _opened(batch.column(1)[0].as_py(), batch.column(2)[0].as_py())
             index = Index(separated(symbols), 2)
             pairs = extended(index, single_words(index))
-            shard = np.full(len(pairs.count), key[0].as_py())
-            out = [shard, keys[pairs.words[:, 0] - 1], keys[pairs.words[:, 1] - 1], pairs.count.astype(np.int64)]
-        return pa.table([pa.array(c, pa.int64()) for c in out], names=["shard", "word", "next", "n"])
+            shard = np.full(len(pairs.count), batch.column(0)[0].as_py())
+            yield from _batches(["shard", "key", "n"], [shard, names_of(_keys(words), pairs.words - 1), pairs.count])
+
+    return found.mapInArrow(run, "shard long, key long, n long")
+
+
+def only_pairs(symbols: np.ndarray, keys: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The text of frequent pairs: a separator between words that are none, and for words in none."""
+    both = (symbols[:-1] > 0) & (symbols[1:] > 0)
+    at = np.flatnonzero(both)
+    named = names_of(keys, np.stack([symbols[at] - 1, symbols[at + 1] - 1], axis=1))
+    joined = np.zeros(len(symbols) + 1, bool)  # whether a word and the one before it are a frequent pair
+    joined[at[within(named, frequent)] + 1] = True
+    text = np.where(joined[:-1] | joined[1:], symbols, 0)
+    cut = np.flatnonzero((text[:-1] > 0) & (text[1:] > 0) & ~joined[1:-1]) + 1
+    return separated(np.insert(text, cut, 0))
+
+
+def within(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which keys are among the sorted ``some``."""
+    if not len(some):
+        return np.zeros(len(keys), bool)
+    return some[np.minimum(np.searchsorted(some, keys), len(some) - 1)] == keys
+
+
+class Flags:
+    """The frequent phrases of a shard by their names, with their totals, and whether the shard says them."""
+
+    def __init__(self, rows: pa.Table):
+        keys, total, says = (rows.column(c).to_numpy() for c in ("key", "total", "says"))
+        order = np.argsort(keys)
+        self.keys, self.total, self.says = keys[order], total[order], says.astype(bool)[order]
 
-    return found.select("shard", "symbols", "words").groupBy("shard").cogroup(frequent.select("shard", "word").groupBy("shard")).applyInArrow(run, fields)
+    def at(self, keys: np.ndarray) -> np.ndarray:
+        """Where some keys, all of them frequent, are."""
+        return np.searchsorted(self.keys, keys)
 
 
-def phrase_counts(found: DataFrame, pairs: DataFrame, longest: int) -> DataFrame:
-    """Phrases of one to ``longest`` words that consist of frequent pairs, by shard: ``lang, phrase, size, n``, the name of
-    a single word, and the only word on either side."""
+def grown(index: Index, phrases: Phrases, keys: np.ndarray, flags: Flags) -> Phrases:
+    """The extensions, by a word to the left, of frequent phrases that end in a frequent one and begin with one."""
+    found = extended(index, phrases)
+    size = found.words.shape[1]
+    return found if size < 3 else found.some(within(names_of(keys, found.words[:, : size - 1] - 1), flags.keys))
+
+
+def frequent_ones(phrases: Phrases, keys: np.ndarray, flags: Flags) -> tuple[Phrases, np.ndarray]:
+    """Those phrases that are frequent as a whole, and where they are among the flags."""
+    named = names_of(keys, phrases.words - 1)
+    which = within(named, flags.keys)
+    return phrases.some(which), flags.at(named[which])
+
+
+def longer_counts(found: DataFrame, flags: DataFrame, size: int) -> DataFrame:
+    """``shard, key, n``: the phrases of ``size`` words in a shard of which both parts with one word less are frequent."""
+
+    def run(shard, held: pa.Table, rows: pa.Table) -> pa.Table:
+        out = [np.zeros(0, np.int64)] * 3
+        if held.num_rows:
+            symbols, words = _opened(*(held.column(c)[0].as_py() for c in ("symbols", "words")))
+            keys, flags = _keys(words), Flags(rows)
+            index = Index(only_pairs(symbols, keys, flags.keys), size)
+            phrases = single_words(index)
+            for k in range(2, size + 1):
+                phrases = grown(index, phrases, keys, flags)
+                if k < size:
+                    phrases, _ = frequent_ones(phrases, keys, flags)
+            out = [np.full(len(phrases.count), shard[0].as_py()), names_of(keys, phrases.words - 1), phrases.count]
+        return pa.table([pa.array(c, pa.int64()) for c in out], names=["shard", "key", "n"])
+
+    return found.groupBy("shard").cogroup(flags.groupBy("shard")).applyInArrow(run, "shard long, key long, n long")
+
+
+def phrase_counts(found: DataFrame, flags: DataFrame, longest: int) -> DataFrame:
+    """``lang, phrase, size, n``, the name of a single word, and the only word on either side, if there is one.
+
+    Phrases shorter than ``longest`` come from the shard that says them, with their totals, and with their words; those of
+    full length from every shard.
+    """
     fields = "lang string, phrase string, size int, n long, word long, left string, right string"
     names = [f.split(" ")[0] for f in fields.split(", ")]
+    types = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
-    def run(_key, held: pa.Table, pairs: pa.Table) -> pa.Table:
+    def run(_shard, held: pa.Table, rows: pa.Table) -> pa.Table:
         columns: list[list] = [[] for _ in names]
+
+        def say(of: np.ndarray, count: np.ndarray, word: list, left: np.ndarray, right: np.ndarray) -> None:
+            texts = [[words[k] for k in w] for w in (of - 1).tolist()]
+            columns[0] += [w[0].split(b"\t", 1)[0].decode("unicode_escape") for w in texts]
+            columns[1] += [_said(*w) for w in texts]
+            columns[2] += [of.shape[1]] * len(texts)
+            columns[3] += count.tolist()
+            columns[4] += word
+            for column, side in ((columns[5], left), (columns[6], right)):
+                column += [_said(words[k - 1]) if k else None for k in side.tolist()]
+
         if held.num_rows:
-            first, second = pairs.column("word").to_numpy(), pairs.column("next").to_numpy()
-            symbols, words, keys = _kept_symbols(held.to_pylist()[0], np.union1d(first, second))
-            order = np.argsort(keys)
-            rank = lambda x: order[np.searchsorted(keys, x, sorter=order)] + 1
-            frequent = np.unique(rank(first).astype(np.int64) * (len(keys) + 1) + rank(second)) if len(first) else first
-            # a separator between two words that are no frequent pair
-            together = np.isin(symbols[:-1].astype(np.int64) * (len(keys) + 1) + symbols[1:], frequent)
-            cut = np.flatnonzero((symbols[:-1] > 0) & (symbols[1:] > 0) & ~together) + 1
-            index_text = separated(np.insert(symbols, cut, 0))
-            forward, mirror = Index(index_text, longest), Index(index_text[::-1], longest)
-            langs = [w.split(b"\t", 1)[0].decode("unicode_escape") for w in words]
-            texts = [w.split(b"\t", 1)[1] for w in words]
-            phrases = single_words(forward)
-            for size in range(1, longest + 1):
-                if size > 1:
-                    phrases = extended(forward, phrases)
+            symbols, words = _opened(*(held.column(c)[0].as_py() for c in ("symbols", "words")))
+            keys, flags = _keys(words), Flags(rows)
+            text = only_pairs(symbols, keys, flags.keys)
+            forward, mirror = Index(text, longest), Index(text[::-1], longest)
+            phrases, used = single_words(forward), np.zeros(0, np.int32)
+            for size in range(2, longest + 1):
+                phrases = grown(forward, phrases, keys, flags)
+                told, total = phrases, phrases.count
+                if size < longest:
+                    phrases, at = frequent_ones(phrases, keys, flags)
+                    told, total = phrases.some(flags.says[at]), flags.total[at][flags.says[at]]
                 if not len(phrases.count):
                     break
-                left, right = forward.only(phrases.low, phrases.count), mirror.only(phrases.mirrored, phrases.count)
-                of = (phrases.words - 1).tolist()
-                columns[0] += [langs[w[0]] for w in of]
-                columns[1] += [b" ".join([texts[k] for k in w]).decode("utf-8", "replace") for w in of]
-                columns[2] += [size] * len(of)
-                columns[3] += phrases.count.tolist()
-                columns[4] += [int(keys[w[0]]) if size == 1 else None for w in of]
-                for column, side in ((columns[5], left), (columns[6], right)):
-                    column += [texts[s - 1].decode("utf-8", "replace") if s else None for s in side.tolist()]
-        types = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                left, right = forward.only(told.low, told.count), mirror.only(told.mirrored, told.count)
+                say(told.words, total, [None] * len(total), left, right)
+                used = np.union1d(used, told.words)
+            none = np.zeros(len(used), np.int64)
+            say(used[:, None], none, keys.view(np.int64)[used - 1].tolist(), none, none)
         return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    return found.select("shard", "symbols", "words").groupBy("shard").cogroup(pairs.select("shard", "word", "next").groupBy("shard")).applyInArrow(run, fields)
+    return found.groupBy("shard").cogroup(flags.groupBy("shard")).applyInArrow(run, fields)
+
+
+def _said(*words: bytes) -> str:
+    """Words of a shard's dictionary without their languages, as text."""
+    return b" ".join([w.split(b"\t", 1)[1] for w in words]).decode("utf-8", "replace")
 
 
 def _alone(side: str) -> Column:
-    """Whether all shards have one and the same only word on a side."""
-    return (F.count(side) == F.count(F.lit(1))) & (F.min(side) == F.max(side))
+    """The only word on a side in all shards, null if there is none."""
+    same = (F.count(side) == F.count(F.lit(1))) & (F.min(side) == F.max(side))
+    return F.when(same, F.min(side)).alias(side)
+
+
+def outside_longer(phrases: DataFrame) -> DataFrame:
+    """Without the phrases that a longer one by a word to the left or right, of the same total, contains."""
+    longer = phrases.select("lang", F.col("phrase").alias("longer"), F.col("n").alias("total"))
+    sides = [F.concat_ws(" ", "left", "phrase"), F.concat_ws(" ", "phrase", "right")]
+    sides = [F.when(F.col(c).isNotNull(), s) for c, s in zip(("left", "right"), sides, strict=True)]
+    asked = phrases.select("lang", "phrase", "n", F.explode(F.array_compact(F.array(*sides))).alias("longer"))
+    inside = asked.join(longer, ["lang", "longer"]).where(F.col("n") == F.col("total")).select("lang", "phrase").distinct()
+    return phrases.join(inside, ["lang", "phrase"], "left_anti")
 
 
 def collocations(
@@ -313,22 +405,40 @@ def collocations(
     ``a`` are a phrase's occurrences, ``n`` all words of its language, and ``l`` and ``r`` those of its two parts at the cut
     that gives the lowest ``score``, ``floor(1000 a n / (l r))``. Phrases that occur within a longer one only are left out.
     """
-    ship(docs.sparkSession)
-    found = shards(docs, shard_words, text_col, lang_col)
-    of = found.select(F.explode(F.arrays_zip("langs", "sizes")).alias("of"))
+    spark = docs.sparkSession
+    ship(spark)
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
+    # more buckets than shards, so that few of them share one
+    buckets, name = int(min(50_000, 3 * (1 + size // (WORD_BYTES * shard_words)))), f"llm_phrases_{uuid.uuid4().hex}"
+    kept = shards(docs, shard_words, text_col, lang_col).write.bucketBy(buckets, "shard")
+    kept.option("path", scratch_path(spark, "llm-phrases")).option("compression", "uncompressed").saveAsTable(name)
+    try:
+        return _collocations_of(spark.table(name), buckets, longest, least, top)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _collocations_of(table: DataFrame, buckets: int, longest: int, least: int, top: int) -> DataFrame:
+    found = table.select("shard", "symbols", "words")
+    of = table.select(F.explode(F.arrays_zip("langs", "sizes")).alias("of"))
     sizes = of.groupBy(F.col("of.langs").alias("lang")).agg(F.sum("of.sizes").alias("words"))
-    frequent = written(often(word_counts(found), ["word"], least).select("shard", "word", "total"), "frequent-words")
-    pairs = written(often(pair_counts(found, frequent), ["word", "next"], least).select("shard", "word", "next"), "frequent-pairs")
-    by_shard = phrase_counts(found, pairs, longest)
+    sizes = written(sizes, "language-sizes")
+    flags = written(often(pair_counts(found), least), "frequent-pairs")
+    for size in range(3, longest):
+        more = often(longer_counts(found, flags.repartition(buckets, "shard"), size), least)
+        flags = flags.unionByName(written(more, "frequent-phrases"))
+    by_shard = phrase_counts(found, flags.repartition(buckets, "shard"), longest)
     summed = by_shard.groupBy("lang", "phrase", "size").agg(
-        F.sum("n").alias("n"), F.max("word").alias("word"), (_alone("left") | _alone("right")).alias("extended")
+        F.sum("n").alias("n"), F.max("word").alias("word"), _alone("left"), _alone("right")
     )
-    # a single word also occurs where no frequent pair begins or ends, so its count is the first round's
-    totals = frequent.select("word", "total").distinct()
-    joined = summed.join(totals, "word", "left").withColumn("n", F.coalesce("total", "n")).drop("total", "word")
-    phrases = written(joined.where(F.col("n") >= least), "phrases")
-    kept = phrases.where((F.col("size") > 1) & ~((F.col("size") < longest) & F.col("extended")))
-    return ranked(kept, phrases.select("lang", "phrase", "n"), sizes, top)
+    summed = written(summed.where((F.col("size") == 1) | (F.col("n") >= least)), "phrases")
+    # a single word also occurs where no frequent pair does, so its count is that of all its occurrences
+    words = summed.where("size = 1").select("lang", "phrase", "word")
+    totals = word_counts(found).groupBy("word").agg(F.sum("n").alias("n"))
+    singles = written(words.join(totals, "word").select("lang", "phrase", "n"), "single-words")
+    longer = summed.where("size > 1").drop("word")
+    counted = longer.select("lang", "phrase", "n").unionByName(singles)
+    return ranked(outside_longer(longer), counted, sizes, top)
 
 
 def ranked(kept: DataFrame, counted: DataFrame, sizes: DataFrame, top: int) -> DataFrame:
