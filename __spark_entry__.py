@@ -221,6 +221,13 @@ def csv_scan_quoted_texts(spark, sf_dir):
     return tl.scan_csv(spark, path, multiLine=True)
 
 
+def csv_scan_quoted_splits(spark, sf_dir):
+    """The same in splits of 64 KB, which cut values with line breaks."""
+    path = tl.scratch_path(spark, "conversations-csv")
+    tl.write_csv(table(spark, sf_dir, "conversations"), path)
+    return tl.scan_quoted_csv(spark, path, max_partition_bytes=64 << 10)
+
+
 def large_csv_scan(spark, sf_dir):
     path = tl.scratch_path(spark, "lineitem-csv")
     tl.write_csv(lines_as_text(spark, sf_dir), path)
@@ -787,6 +794,7 @@ def library_queries() -> dict[str, Query]:
         "csv_scan_comma": csv_scan_comma,
         "csv_scan_semicolon": csv_scan_semicolon,
         "csv_scan_quoted_texts": csv_scan_quoted_texts,
+        "csv_scan_quoted_splits": csv_scan_quoted_splits,
         "large_csv_scan": large_csv_scan,
         "parquet_declared_schema": parquet_declared_schema,
         "catalog_entry_scan": catalog_entry_scan,
@@ -935,6 +943,7 @@ def library_sql() -> dict[str, str]:
         "csv_scan_semicolon": f"SELECT {_as_text('c_custkey c_name c_nationkey c_mktsegment')}, "
         "CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR) AS c_acctbal FROM customer",
         "csv_scan_quoted_texts": f"SELECT {_as_text('conv_id turn role text')} FROM conversations",
+        "csv_scan_quoted_splits": f"SELECT {_as_text('conv_id turn role text')} FROM conversations",
         "large_csv_scan": LINES_TYPED,
         "parquet_declared_schema": "SELECT c_custkey, CAST(c_nationkey AS BIGINT) AS c_nationkey, "
         "CAST(NULL AS VARCHAR) AS c_comment, c_name FROM customer",

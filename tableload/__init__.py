@@ -49,6 +49,7 @@ from tableload.operators.writes import (
 )
 from tableload.plans.sql import sql_transform
 from tableload.sources.delimited import scan_csv, scan_large_csv
+from tableload.sources.quoted import scan_quoted_csv
 from tableload.sources.records import (
     bad_records,
     decode_envelope,

@@ -1,4 +1,5 @@
 import datetime
+import random
 from decimal import Decimal
 
 import pytest
@@ -192,3 +193,40 @@ def test_sql_leaves_the_callers_views_alone(spark):
     assert result.count() == 18 and spark.table("mine").count() == 3
     assert not spark.catalog.tableExists("other")
     spark.catalog.dropTempView("mine")
+
+
+@pytest.mark.parametrize("split, escape", [(64, '"'), (300, "\\"), (10_000, '"')])
+def test_quoted_line_breaks_in_many_splits(spark, tmp_path, split, escape):
+    """Quotes stay open over none, one or several splits; the splits cut lines, values and line ends."""
+    rng = random.Random(split)
+    alphabet = ["a", "b,", "\n", '"', "\r\n", "\n\n", "é", "\\", "long " * 30, " "]
+    data = [(str(k), "k" + "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 9))) + "x", "end") for k in range(120)]
+    data += [("200", "\n".join(["line of a value that is open for long"] * 40), "end"), ("201", 'x"', "end")]
+    df = spark.createDataFrame(data, "id string, text string, `last one` string")
+    for n in range(3):
+        part = df.where(F.pmod(F.col("id").cast("int"), F.lit(3)) == n).coalesce(1)
+        part.write.mode("append").options(header=True, escape=escape).csv(str(tmp_path / "in"))
+    found = tl.scan_quoted_csv(spark, str(tmp_path / "in"), max_partition_bytes=split, escape=escape)
+    assert sorted(map(tuple, found.collect())) == sorted(data)
+    whole = tl.scan_csv(spark, str(tmp_path / "in"), multiLine=True, escape=escape)
+    assert sorted(map(tuple, whole.collect())) == sorted(data)
+    if split == 64:
+        lines = spark.read.text(str(tmp_path / "in")).count()
+        assert tl.scan_quoted_csv(spark, str(tmp_path / "in"), max_partition_bytes=64, escape=escape).count() == 122 < lines
+
+
+def test_a_quote_open_across_three_splits(spark, tmp_path):
+    (tmp_path / "in.csv").write_text('id,text\n1,"' + "y" * 30 + "\n" * 3 + "z" * 400 + '\nlast"\n2,short\n\n3,"a ""b"""\n')
+    found = tl.scan_quoted_csv(spark, str(tmp_path / "in.csv"), max_partition_bytes=100, escape='"')
+    assert sorted(map(tuple, found.collect())) == [("1", "y" * 30 + "\n" * 3 + "z" * 400 + "\nlast"), ("2", "short"), ("3", 'a "b"')]
+
+
+def test_headers_and_types_of_quoted_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text('k,v\n1,"x\ny"\n')
+    (tmp_path / "in" / "b.csv").write_text("v,k\n2,z\n")
+    schema = StructType.fromDDL("k int, v string")
+    found = tl.scan_quoted_csv(spark, str(tmp_path / "in" / "a.csv"), schema=schema)
+    assert [tuple(r) for r in found.collect()] == [(1, "x\ny")]
+    with pytest.raises(Exception, match="is not"):
+        tl.scan_quoted_csv(spark, str(tmp_path / "in"), schema=schema).collect()
