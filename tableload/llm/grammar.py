@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tableload.llm.rows import ship, slices
+from tableload.llm.rows import ship, slices, written
 from tableload.llm.word_ids import word_ids
 
 #: Tokens of a shard as expected, bytes of text that one task sorts, and tasks at most (their totals are broadcast).
@@ -290,8 +290,9 @@ def read_ranges(spark: SparkSession, path: str, ranges: DataFrame) -> DataFrame:
                 out.append((w.doc_id, w.begin, len(found), found.astype("<u4").tobytes()))
         return pd.DataFrame(out, columns=["doc_id", "begin", "length", "ids"])
 
-    held = shards.join(asked.select("task", "shard").distinct(), ["task", "shard"], "left_semi").select(
-        "task", "shard", "first_rule", "doc_symbols", "symbols", "rules", "lengths"
-    )
+    asked = written(asked, "asked-ranges")
+    needed = asked.select("task", "shard").distinct()
+    held = shards.select("task", "shard", "first_rule", "doc_symbols", "symbols", "rules", "lengths")
+    held = held.join(needed, ["task", "shard"], "left_semi")
     grouped = held.groupBy("task", "shard").cogroup(asked.groupBy("task", "shard"))
     return grouped.applyInPandas(run, f"doc_id {kind}, begin long, length long, ids binary")

@@ -1,0 +1,98 @@
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from edge_texts import edge_rows
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tableload.llm import collocations as c
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def by_hand(rows, longest, least, top):
+    counts, sizes = defaultdict(Counter), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\n-\r]", (text or "").translate(LOWER)):
+            words = [w for w in re.split("[ \t]+", piece) if w]
+            sizes[lang] += len(words)
+            for m in range(1, longest + 1):
+                counts[lang].update(tuple(words[i : i + m]) for i in range(len(words) - m + 1))
+    out = []
+    for lang, found in counts.items():
+        frequent = {p: n for p, n in found.items() if len(p) > 1 and n >= least}
+        inside = {p[a:b] for p, n in frequent.items() for a in range(len(p)) for b in range(a + 2, len(p) + 1) if b - a < len(p) and n >= found[p[a:b]]}
+        scored = []
+        for p, a in frequent.items():
+            if p not in inside:
+                cuts = [(1000 * a * sizes[lang] // (found[p[:k]] * found[p[k:]]), k) for k in range(1, len(p))]
+                score, k = min(cuts)
+                scored.append((-score, -a, " ".join(p).encode(), found[p[:k]], found[p[k:]]))
+        for rank, (score, a, phrase, l, r) in enumerate(sorted(scored)[:top], 1):
+            out.append((lang, rank, phrase.decode(), -a, l, r, sizes[lang], -score))
+    return sorted(out)
+
+
+def mined(spark, rows, **options):
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    found = c.collocations(docs, **options).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return sorted(map(tuple, found.collect()))
+
+
+def corpus(seed):
+    rng = random.Random(seed)
+    words = "a b c D eé f's 汉 x\x85y  , . ! \t \n".split(" ")
+    fixed = ["new york city hall", "in the end of it", "a b a b a b", "Once upon a time there"]
+    texts = []
+    for k in range(60):
+        parts = [rng.choice(fixed) if rng.random() < 0.3 else " ".join(rng.choice(words) for _ in range(rng.randint(1, 12))) for _ in range(9)]
+        texts.append((rng.choice(["en", "de", None, "tab\tlang\n"]), rng.choice([" ", "  ", ". ", "\t"]).join(parts)))
+    return texts + [("en", None), ("en", ""), (None, " .\n, "), ("x", "only once")]
+
+
+@pytest.mark.parametrize("longest, least, top, shard_words", [(5, 4, 2_000, 150), (5, 10, 3, 10**6), (3, 3, 50, 60), (2, 5, 50, 100)])
+def test_phrases_equal_those_counted_by_hand(spark, longest, least, top, shard_words):
+    rows = corpus(longest)
+    wanted = by_hand(rows, longest, least, top)
+    assert len(wanted) > 3
+    assert mined(spark, rows, longest=longest, least=least, top=top, shard_words=shard_words) == wanted
+
+
+def test_edge_texts(spark, edge):
+    rows = [(r[2], r[1]) for r in edge_rows()]
+    found = c.collocations(edge, least=20, shard_words=5_000).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    assert sorted(map(tuple, found.collect())) == by_hand(rows, 5, 20, 2_000)
+
+
+def test_no_documents(spark, nothing):
+    assert c.collocations(nothing).collect() == []
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=60), st.integers(1, 4))
+def test_intervals_of_an_index(symbols, longest):
+    """Every phrase is found with its count, and its interval in the mirror image has the words to its right."""
+    text = c.separated(np.array(symbols, np.int32))
+    forward, mirror = c.Index(text, longest), c.Index(text[::-1], longest)
+    pieces = [p for p in "".join(map(str, text)).split("0") if p]
+    phrases = c.single_words(forward)
+    for size in range(1, longest + 1):
+        if size > 1:
+            phrases = c.extended(forward, phrases)
+        wanted, left, right = Counter(), defaultdict(set), defaultdict(set)
+        for p in pieces:
+            for k in range(len(p) - size + 1):
+                wanted[p[k : k + size]] += 1
+                left[p[k : k + size]].add(p[k - 1] if k else "0")
+                right[p[k : k + size]].add(p[k + size] if k + size < len(p) else "0")
+        names = ["".join(map(str, w)) for w in phrases.words.tolist()]
+        assert dict(zip(names, phrases.count.tolist(), strict=True)) == wanted
+        if not names:
+            break
+        only = lambda index, low: [str(x) for x in index.only(low, phrases.count).tolist()]
+        assert only(forward, phrases.low) == [min(left[p]) if len(left[p]) == 1 else "0" for p in names]
+        assert only(mirror, phrases.mirrored) == [min(right[p]) if len(right[p]) == 1 else "0" for p in names]

@@ -6,12 +6,13 @@ from collections import defaultdict
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 from test_llm_jaccard import all_pairs
 from test_llm_packing import whole
 
 import corpus_pipeline
-from tableload.llm import packing, quality, queries, secrets, toxicity
+from tableload.llm import packing, quality, queries, secrets, token_counts, toxicity
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -26,6 +27,9 @@ COLUMNS = {
     "op8_quality": "doc_id held_out score predicted",
     "op9_toxicity": "doc_id held_out score predicted",
     "op10_exact_top_k": "query_id rank vec_id score",
+    "op11_grammar_files": "doc_id start n_tokens ids_crc32",
+    "op12_collocations": "lang rank phrase a l r n score",
+    "op13_vector_codes": "vec_id code error label_error codebooks_sha256",
 }
 
 
@@ -59,6 +63,17 @@ def test_query_equals_sql(spark, name):
     assert sorted(map(tuple, found.select(names).collect())) == sorted(map(tuple, wanted.fetchall()))
 
 
+def test_id_files_against_the_library(spark):
+    tokenizer = token_counts.library_tokenizer(queries.public_tokenizers.path("word_bpe_49k.json"))
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").orderBy("doc_id").collect()
+    start, wanted = 0, []
+    for r in docs:
+        ids = np.array(tokenizer.encode(r.text or "", add_special_tokens=False).ids + [1], "<u4")
+        wanted.append((r.doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, queries.op11_grammar_files(spark, SF_DIR).collect())) == wanted
+
+
 def test_packed_documents_are_whole(spark):
     texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()]
     whole(queries.op6_packing(spark, SF_DIR).collect(), texts)
