@@ -22,6 +22,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import uuid
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -36,7 +37,7 @@ from tableload.workspace import scratch_path
 #: Words in the longest phrase, occurrences of a phrase at least, and phrases a language keeps.
 LONGEST, LEAST, TOP = 5, 100, 2_000
 #: Words of a shard as expected, and bytes of a word with what parts it from the next.
-SHARD_WORDS, WORD_BYTES = 3_000_000, 6
+SHARD_WORDS, WORD_BYTES = 5_000_000, 6
 UNKNOWN = "und"
 
 # A-Z in lower case; marks and line ends cut pieces, a tab parts words as a space does.
@@ -61,18 +62,18 @@ class Index:
             step = min(known, depth - known)
             pair = rank * (int(rank.max(initial=0)) + 1) + np.roll(rank, -step)
             known += step
-            if known < depth:
-                rank = np.unique(pair, return_inverse=True)[1]
-            else:
-                rank = pair
+            rank = np.unique(pair, return_inverse=True)[1] if known < depth else pair
         order = np.argsort(rank, kind="stable")
+        del rank
         self.bwt = symbols[order - 1] if n else symbols
         #: transform rows in the order of their symbols: row ``by_symbol[j]`` is followed backward by row ``j``
-        self.by_symbol = np.argsort(self.bwt, kind="stable")
+        self.by_symbol = np.argsort(self.bwt, kind="stable").astype(np.int32)
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=size))])
-        self.order = order
-        #: how often the symbol changes before a row, to see whether an interval has just one
-        self.changes = np.concatenate([[0], np.cumsum(self.bwt[1:] != self.bwt[:-1])]) if n else np.zeros(0, np.int64)
+
+    @cached_property
+    def changes(self) -> np.ndarray:
+        """How often the symbol changes before a row, to see whether an interval has just one."""
+        return np.concatenate([[0], np.cumsum(self.bwt[1:] != self.bwt[:-1])])
 
     def only(self, low: np.ndarray, count: np.ndarray) -> np.ndarray:
         """The one word before all occurrences of each interval; 0 where there are several, or a separator."""
@@ -99,8 +100,8 @@ def single_words(index: Index) -> Phrases:
 
 def extended(index: Index, phrases: Phrases) -> Phrases:
     """All extensions of the phrases by one word to the left, with both intervals."""
-    interval = np.full(len(index.bwt), -1, np.int64)
-    ids = np.repeat(np.arange(len(phrases.low)), phrases.count)
+    interval = np.full(len(index.bwt), -1, np.int32)
+    ids = np.repeat(np.arange(len(phrases.low), dtype=np.int32), phrases.count)
     ends = np.cumsum(phrases.count)
     interval[np.arange(len(ids)) + np.repeat(phrases.low - (ends - phrases.count), phrases.count)] = ids
     of = interval[index.by_symbol]
