@@ -630,6 +630,18 @@ def verification_metrics(spark, sf_dir):
 # --- Layout and streams ---------------------------------------------------------------------------------------------
 
 
+def metrics_from_states(spark, sf_dir):
+    """Metrics of the orders from the states of their years, two of which arrive after the first check."""
+    path, states = tl.scratch_path(spark, "table"), tl.scratch_path(spark, "states")
+    orders = table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate"))
+    check = tl.Check("Error", "orders").has_size(lambda n: n > 0).is_complete("o_orderstatus").is_unique("o_orderkey")
+    check = check.is_non_negative("o_totalprice").is_unique("o_custkey")
+    for years in (F.col("year") < 1997, F.col("year") >= 1997):
+        tl.append(orders.where(years), path, partition_by=["year"])
+        verification = tl.check_partitions(spark, path, states, [check])
+    return rounded(verification.metrics_table(spark))
+
+
 def rechunk_rows(spark, sf_dir):
     source, target = tl.scratch_path(spark, "lineitem-csv"), tl.scratch_path(spark, "chunks")
     tl.write_csv(lines_as_text(spark, sf_dir).repartition(3), source)
@@ -842,6 +854,7 @@ def library_queries() -> dict[str, Query]:
         "uniqueness": uniqueness,
         "verification_report": verification_report,
         "verification_metrics": verification_metrics,
+        "metrics_from_states": metrics_from_states,
         "rechunk_rows": rechunk_rows,
         "stream_upsert": stream_upsert,
         "stream_upsert_partitions": stream_upsert_partitions,
@@ -1013,6 +1026,15 @@ def library_sql() -> dict[str, str]:
         "verification_report": CUSTOMER_CHECKS,
         "verification_metrics": "SELECT entity, instance, name, round(value, 4) AS value "
         f"FROM ({CUSTOMER_METRICS})",
+        "metrics_from_states": "SELECT 'Dataset' AS entity, '*' AS instance, 'Size' AS name, "
+        "CAST(count(*) AS DOUBLE) AS value FROM orders "
+        "UNION ALL SELECT 'Column', 'o_orderstatus', 'Completeness', round(count(o_orderstatus) / count(*), 4) FROM orders "
+        "UNION ALL SELECT 'Column', 'o_totalprice is non-negative', 'Compliance', "
+        "round(count(*) FILTER (o_totalprice >= 0) / count(*), 4) FROM orders "
+        "UNION ALL SELECT 'Column', 'o_orderkey', 'Uniqueness', round(count(*) FILTER (n = 1) / sum(n), 4) "
+        "FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderkey) "
+        "UNION ALL SELECT 'Column', 'o_custkey', 'Uniqueness', round(count(*) FILTER (n = 1) / sum(n), 4) "
+        "FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey)",
         "rechunk_rows": lines_text,
         "stream_upsert": LATEST_EVENTS,
         "stream_upsert_partitions": f"SELECT * FROM ({EVENTS}) QUALIFY row_number() OVER "

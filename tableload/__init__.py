@@ -35,6 +35,7 @@ from tableload.operators.quality import (
     verify,
     write_reports,
 )
+from tableload.operators.states import check_partitions, metrics_from_states, write_states
 from tableload.operators.tables import create_table, insert_all, insert_by_name, replace_partitions
 from tableload.operators.writes import (
     Report,

@@ -124,10 +124,13 @@ class NonNegative:
     def columns(self) -> tuple[str, ...]:
         return (self.column,)
 
-    def value(self) -> Column:
+    def matching(self) -> Column:
         # ten digits before the point fit the decimal; the sign of a larger number is right as a double
         exact, wide = (col(self.column).try_cast(kind) for kind in ("decimal(20,10)", "double"))
-        return F.try_divide(F.count_if(F.coalesce(exact >= 0, wide >= 0, F.lit(True))), F.count(F.lit(1)))
+        return F.count_if(F.coalesce(exact >= 0, wide >= 0, F.lit(True)))
+
+    def value(self) -> Column:
+        return F.try_divide(self.matching(), F.count(F.lit(1)))
 
     def __str__(self) -> str:
         return f"Compliance({self.instance},COALESCE(CAST({self.column} AS DECIMAL(20,10)), 0.0) >= 0,None)"
@@ -191,11 +194,15 @@ def run_analyzers(df: DataFrame, analyzers: Sequence[Analyzer]) -> list[Metric]:
     analyzers = list(dict.fromkeys(analyzers))
     known = [a for a in analyzers if set(a.columns) <= set(df.columns)]
     values = {row.position: row.value for row in metric_values(df, known).collect()} if known else {}
-    found = {a: values[i] for i, a in enumerate(known)}
+    return with_problems(analyzers, {a: values[i] for i, a in enumerate(known)}, df.columns)
+
+
+def with_problems(analyzers: Sequence[Analyzer], found: dict[Analyzer, float | None], columns: Sequence[str] = ()) -> list[Metric]:
+    """The metrics of the analyzers, with the reason for those that have no value."""
     metrics = []
     for a in analyzers:
         if a not in found:
-            missing = ", ".join(c for c in a.columns if c not in df.columns)
+            missing = ", ".join(c for c in a.columns if c not in columns)
             metrics.append(Metric(a, None, f"Input data does not include column {missing}!"))
         elif found[a] is None:
             metrics.append(Metric(a, None, f"Empty state for analyzer {a}, all input values were NULL."))
@@ -269,7 +276,11 @@ class Verification:
 
 def verify(df: DataFrame, checks: Sequence[Check]) -> Verification:
     """Evaluate all constraints of all checks on ``df``; a metric several of them need is computed once."""
-    metrics = run_analyzers(df, [c.analyzer for check in checks for c in check.constraints])
+    return judged(run_analyzers(df, [c.analyzer for check in checks for c in check.constraints]), checks)
+
+
+def judged(metrics: Sequence[Metric], checks: Sequence[Check]) -> Verification:
+    """Evaluate all constraints of all checks on metrics that are known."""
     by_analyzer = {m.analyzer: m for m in metrics}
     results = []
     for check in checks:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import hashlib
 import tempfile
 import threading
 import time
@@ -126,6 +127,17 @@ def touch(spark: SparkSession, path: str) -> None:
     fs.create(hadoop_path, True).close()
 
 
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """A hash of the names, lengths and times of all data files at or below ``path``, from the listing alone."""
+    fs, hadoop_path = _hadoop(spark, path)
+    found, files = [], fs.listFiles(hadoop_path, True)
+    while files.hasNext():
+        status = files.next()
+        if not _hidden(status.getPath().getName()):
+            found.append(f"{status.getPath()} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:16]
+
+
 def file_names(spark: SparkSession, path: str) -> set[str]:
     """Names of the files directly below ``path``; empty when it does not exist."""
     fs, hadoop_path = _hadoop(spark, path)

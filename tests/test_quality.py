@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import tableload as tl
+from tableload.operators import states as states_module
 
 DIRTY = [("1", "a", "10"), ("2", "a", "-2"), ("3", None, "abc"), ("3", "b", None), (None, "c", "4.5")]
 
@@ -137,3 +138,55 @@ def test_names_with_dots_and_helper_names(spark):
 def test_large_numbers_keep_their_sign(spark):
     df = spark.createDataFrame([("-20000000000",), ("20000000000",), ("-1e300",), ("x",), (None,), ("-0.5",)], "v string")
     assert tl.run_analyzers(df, [tl.NonNegative("v")])[0].value == 0.5
+
+
+STATE_ANALYZERS = [
+    tl.Size(),
+    tl.Completeness("name"),
+    tl.ApproxCountDistinct("name"),
+    tl.Mean("amount"),
+    tl.NonNegative("amount"),
+    tl.Uniqueness(["id"]),
+    tl.Uniqueness(["id", "name"]),
+]
+
+
+def growing(spark, rows):
+    return spark.createDataFrame(rows, "day string, id int, name string, amount string")
+
+
+def by_metric(metrics):
+    return {str(m.analyzer): None if m.value is None else round(m.value, 9) for m in metrics}
+
+
+def test_merged_states_equal_a_full_run(spark, tmp_path):
+    days = {
+        "d1": [("d1", k, f"n{k % 7}" if k % 5 else None, str(k - 3)) for k in range(40)],
+        "d2": [("d2", k, f"n{k % 11}", "no number" if k % 4 else "2.5") for k in range(30, 60)],
+        "d3": [("d3", None, None, None)] * 3,
+    }
+    for day, rows in days.items():
+        tl.write_states(growing(spark, rows), str(tmp_path), day, STATE_ANALYZERS)
+    found = by_metric(tl.metrics_from_states(spark, str(tmp_path), STATE_ANALYZERS))
+    full = by_metric(tl.run_analyzers(growing(spark, [r for rows in days.values() for r in rows]), STATE_ANALYZERS))
+    assert found.pop("ApproxCountDistinct(name,None)") == full.pop("ApproxCountDistinct(name,None)") == 11
+    assert found == full
+    tl.write_states(growing(spark, []), str(tmp_path / "none"), "d", STATE_ANALYZERS)
+    empty = {m.analyzer: m.problem for m in tl.metrics_from_states(spark, str(tmp_path / "none"), STATE_ANALYZERS)}
+    assert "Empty state" in empty[tl.Mean("amount")] and "Empty state" in empty[tl.Uniqueness(["id"])]
+
+
+def test_a_check_over_a_growing_table_reads_new_partitions_only(spark, tmp_path, monkeypatch):
+    path, states, read = str(tmp_path / "t"), str(tmp_path / "states"), []
+    keep = states_module.write_states
+    monkeypatch.setattr(states_module, "write_states", lambda df, *args: read.append(df.inputFiles()) or keep(df, *args))
+    check = tl.Check("Error", "growing").has_size(lambda n: n == 3).is_unique("id").is_complete("name").is_non_negative("amount")
+    statuses = lambda: [r[4] for r in tl.check_partitions(spark, path, states, [check]).results]
+    tl.append(growing(spark, [("d1", 1, "a", "1"), ("d2", 2, None, "2")]), path, partition_by=["day"])
+    assert statuses() == ["Failure", "Success", "Failure", "Success"] and len(read) == 2
+    tl.append(growing(spark, [("d3", 1, "c", "-1")]), path, partition_by=["day"])
+    assert statuses() == ["Success", "Failure", "Failure", "Failure"] and len(read) == 3 and "day=d3" in read[2][0]
+    full = tl.verify(spark.read.parquet(path), [check])
+    assert [r[4] for r in full.results] == statuses() and len(read) == 3
+    tl.overwrite_partitions(growing(spark, [("d2", 7, "b", "2")]), path, ["day"])
+    assert statuses() == ["Success", "Failure", "Success", "Failure"] and len(read) == 4 and "day=d2" in read[3][0]
