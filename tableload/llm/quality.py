@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableload.llm.rows import hashes, keep_texts, map_texts, mix, ngrams, ship, slices, words
-from tableload.llm.samples import labelled
+from tableload.llm.samples import fitted, labelled
 
 BITS = 20
 #: Labelled documents that the weights are fitted on at most, and passes over them.
@@ -113,9 +113,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), index, value], names=["doc_id", "label", "i", "v"])
 
     kind = sample.schema["doc_id"].dataType.simpleString()
-    rows = sample.mapInArrow(run, f"doc_id {kind}, label int, i binary, v binary").collect()
-    rows.sort(key=lambda r: r.doc_id)
-    return train([(np.frombuffer(r.i, "<i4"), np.frombuffer(r.v, np.float32), r.label) for r in rows], passes)
+
+    def learn(rows: pa.Table) -> tuple[bytes, pa.Array]:
+        examples = [
+            (np.frombuffer(i.as_buffer(), "<i4"), np.frombuffer(v.as_buffer(), np.float32), label)
+            for i, v, label in zip(rows.column("i"), rows.column("v"), rows.column("label").to_pylist(), strict=True)
+        ]
+        weights, intercept = train(examples, passes)
+        return weights.tobytes() + np.float64(intercept).tobytes(), rows.column("doc_id").combine_chunks()
+
+    model, _ = fitted(sample.mapInArrow(run, f"doc_id {kind}, label int, i binary, v binary"), learn)
+    if not model:
+        return train([], passes)
+    return np.frombuffer(model, np.float32, 1 << BITS), float(np.frombuffer(model[-8:], np.float64)[0])
 
 
 def score(text: str, weights: np.ndarray, intercept: float) -> float:

@@ -19,17 +19,18 @@ are ids twice; a null language counts as the language with the empty name.
 
 from __future__ import annotations
 
+import pickle
 import string
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from tableload.llm.rows import keep_texts, map_texts, ship
-from tableload.llm.samples import labelled
+from tableload.llm.rows import keep_texts, map_texts, ship, written
+from tableload.llm.samples import fitted, labelled
 
 BITS, WIDTH, FILTERS, SPANS = 18, 12, 8, (1, 2, 3)
 #: Labelled documents that are fitted on at most, passes of the training over them, and its batches.
@@ -42,6 +43,8 @@ RATE, POSITIVE_WEIGHT, SHRINK = 0.1, 3.0, 1e-4
 LANGUAGE_BITS, MOST_LANGUAGES = 14, 64
 #: Outputs are counted in so many steps per unit, between -LARGEST and LARGEST.
 STEPS, LARGEST = 64, 35
+#: Labelled ids that are sent to the documents, at most: some 50 MB.
+SENT_IDS = 1_000_000
 #: Positive and negative documents a language needs among those not trained on for a threshold of its own.
 LEAST_CASES = 5
 
@@ -227,49 +230,69 @@ def best_threshold(margins: np.ndarray, labels: np.ndarray, counts: np.ndarray |
     return float((edges[k] + edges[k + 1]) / 2)
 
 
-def not_trained_on(docs: DataFrame, labels: DataFrame, label: str, found: Classifier, trained: list) -> np.ndarray:
+def not_trained_on(docs: DataFrame, labels: DataFrame, label: str, found: Classifier, trained: DataFrame) -> np.ndarray:
     """``language, step, label, n``: the labelled documents neither held out nor trained on, as rows of counts.
 
-    Texts are scored where they lie; only ids and steps meet the labels, and the rows are bounded by the steps.
+    The labelled ids are sent to the documents where there are no more than ``SENT_IDS``, so that only their texts are
+    scored; else all are scored where they lie, and ids and steps meet the labels. The rows are bounded by the steps.
     """
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(found)
-    open_to = F.crc32(F.col("doc_id").cast("string").cast("binary")) % MODULUS != HELD_OUT  # null for a null id
-    placed = map_texts(docs.where(open_to), lambda: model.value.placed, "language int, step int")
+    left = F.crc32(F.col("doc_id").cast("string").cast("binary")) % MODULUS  # null for a null id
+    wanted = labels.where(F.col(label).isin(0, 1) & (left != HELD_OUT)).groupBy("doc_id")
+    wanted = wanted.agg(F.min(F.col(label).cast("int")).alias("label"))
+    wanted = written(wanted.join(F.broadcast(trained), "doc_id", "left_anti"), "labels-to-place")
+    texts = docs.where(left != HELD_OUT)
+    if wanted.count() <= SENT_IDS:
+        texts = texts.join(F.broadcast(wanted.select("doc_id")), "doc_id", "left_semi")
+    return counted(texts, wanted, found)
+
+
+def counted(texts: DataFrame, wanted: DataFrame, found: Classifier) -> np.ndarray:
+    """``language, step, label, n`` of the texts whose ids have a label in ``wanted``."""
+    model = texts.sparkSession.sparkContext.broadcast(found)
+    placed = map_texts(texts, lambda: model.value.placed, "language int, step int")
     placed = placed.groupBy("doc_id").agg(F.min(F.struct("step", "language")).alias("at")).select("doc_id", "at.*")
-    wanted = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("label"))
-    done = spark.createDataFrame([(i,) for i in trained], StructType([docs.schema["doc_id"]]))
-    counted = placed.join(F.broadcast(done), "doc_id", "left_anti").join(wanted, "doc_id")
-    counted = counted.groupBy("language", "step", "label").agg(F.count("*").alias("n")).collect()
-    return np.array(sorted(map(tuple, counted)), np.int64).reshape(-1, 4)
+    rows = placed.join(wanted, "doc_id").groupBy("language", "step", "label").agg(F.count("*").alias("n")).collect()
+    model.destroy()
+    return np.array(sorted(map(tuple, rows)), np.int64).reshape(-1, 4)
+
+
+def learned(rows: pa.Table, passes: int) -> tuple[bytes, pa.Array]:
+    """A classifier without thresholds, and the ids of the documents it was trained on."""
+    found, ids = Classifier(), rows.column("doc_id").combine_chunks()
+    wanted = rows.column("label").to_numpy().astype(np.int64)
+    if wanted.min() == wanted.max():
+        found.constant = float(wanted[0])
+        return pickle.dumps((found, 1)), ids
+    texts = [t or "" for t in rows.column("text").to_pylist()]
+    names = found.learn_languages(texts, [n or "" for n in rows.column("lang").to_pylist()])
+    aside = np.array([xxhash.xxh3_64_intdigest(str(i).encode()) % ASIDE == 0 for i in ids.to_pylist()])
+    if min(wanted[~aside].sum(), (1 - wanted[~aside]).sum(), wanted[aside].sum(), (1 - wanted[aside]).sum()) < LEAST_CASES:
+        aside[:] = False
+    seen = [t for t, a in zip(texts, aside, strict=True) if not a]
+    found.start_from(seen, wanted[~aside])
+    found.train(seen, wanted[~aside], passes)
+    return pickle.dumps((found, len(names))), ids.filter(pa.array(~aside))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows: int = TRAIN_ROWS, passes: int = PASSES) -> Classifier:
     """A classifier from at most ``train_rows`` labelled documents, with thresholds from all others; none is held out."""
     ship(docs.sparkSession)
-    rows = labelled(docs, labels, label, train_rows, MODULUS, HELD_OUT, ["lang"]).collect()
-    rows.sort(key=lambda r: r.doc_id)
-    found = Classifier()
-    wanted = np.array([r.label for r in rows], np.int64)
-    if not len(rows) or wanted.min() == wanted.max():
-        found.constant = float(wanted[0]) if len(rows) else 0.0
+    sample = written(labelled(docs, labels, label, train_rows, MODULUS, HELD_OUT, ["lang"]), "labelled-texts")
+    model, trained = fitted(sample, lambda rows: learned(rows, passes))
+    if not model:
+        found = Classifier()
+        found.constant = 0.0
         return found
-    texts = [r.text or "" for r in rows]
-    names = found.learn_languages(texts, [r.lang or "" for r in rows])
-    aside = np.array([xxhash.xxh3_64_intdigest(str(r.doc_id).encode()) % ASIDE == 0 for r in rows])
-    if min(wanted[~aside].sum(), (1 - wanted[~aside]).sum(), wanted[aside].sum(), (1 - wanted[aside]).sum()) < LEAST_CASES:
-        aside[:] = False
-    seen = [t for t, a in zip(texts, aside, strict=True) if not a]
-    found.start_from(seen, wanted[~aside])
-    found.train(seen, wanted[~aside], passes)
-    trained = [r.doc_id for r, a in zip(rows, aside, strict=True) if not a]
-    counted = not_trained_on(docs, labels, label, found, trained)
-    positive = counted[counted[:, 2] == 1, 3].sum()
-    if min(positive, counted[:, 3].sum() - positive) < LEAST_CASES:  # too few others: those trained on
-        placed = [x for k in range(0, len(seen), 64) for x in found.placed(seen[k : k + 64])]
-        counted = np.array([(*x, y, 1) for x, y in zip(placed, wanted[~aside], strict=True)], np.int64)
-    own, step, kind, n = counted.T
-    found.calibrate(own, (step + 0.5) / STEPS, kind, n, len(names))
+    found, languages = pickle.loads(model)
+    if found.constant is not None:
+        return found
+    placed = not_trained_on(docs, labels, label, found, trained)
+    positive = placed[placed[:, 2] == 1, 3].sum()
+    if min(positive, placed[:, 3].sum() - positive) < LEAST_CASES:  # too few others: those trained on
+        used = sample.join(F.broadcast(trained), "doc_id", "left_semi")
+        placed = counted(used, used.select("doc_id", "label"), found)
+    own, step, kind, n = placed.T
+    found.calibrate(own, (step + 0.5) / STEPS, kind, n, languages)
     return found
 
 
