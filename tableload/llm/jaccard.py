@@ -14,9 +14,10 @@ passages that many documents share out of the join. Sketches are kept as the lis
 2^32), and folded to a few bits per shingle where their Hamming distance is computed.
 
 Documents with equal sets are one class and join as one. Within a block signature only neighbours in class order are
-compared at first; what they link becomes connected, and then all pairs of classes that share a signature and are still
-not connected are compared, in blocks of bounded size, by the sketches and then exactly. So the components are exact and
-no group's pairs are all listed.
+compared at first; what they link becomes connected. Classes that share a signature and are still not connected are then
+compared in blocks of bounded size, by the sketches: each block gives as many pairs as would connect what may be linked,
+these are verified exactly, and what they link becomes connected. After two such rounds all pairs that are still in
+different components are compared. So the components are exact, and a group of near copies is joined by a few pairs each.
 
 Defined cases: a null or empty text, or one without words, has no shingles and is linked with nothing; with fewer than
 five words the whole sequence is the one shingle; repeated rows and ids are separate documents of the same class; a null
@@ -26,8 +27,9 @@ sets are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,6 +47,8 @@ SAMPLE_DOCS, FREQUENT, ORDERED = 32_768, 4, 200_000
 BROADCAST_IDS = 2_000_000
 #: Classes of a signature compared with each other by one task.
 BLOCK = 1_000
+#: Rounds in which a block gives a forest of pairs, before all that are left are compared.
+FOREST_ROUNDS = 2
 #: Classes that a task remembers at most to give their signatures away once; forgetting them repeats rows, no more.
 SEEN = 1_000_000
 EMPTY_BLOCK = np.uint64(0x6A09E667F3BCC909)
@@ -263,8 +267,62 @@ def verified(pairs: DataFrame, source: DataFrame, classes: DataFrame) -> DataFra
     return both.mapInArrow(test, long_schema("x y"))
 
 
-def unconnected(chain: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of classes that gave away the same signature, lie in different components and may be linked.
+def groups_of(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Runs of rows that are equal in the first ``keys`` columns, which are whole numbers; rows come sorted by these."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+        if not table.num_rows:
+            continue
+        changes = np.zeros(table.num_rows - 1, bool)
+        for k in range(keys):
+            changes |= np.diff(table.column(k).to_numpy()) != 0
+        edges = [0, *(np.flatnonzero(changes) + 1).tolist()]
+        for start, end in zip(edges, edges[1:], strict=False):
+            yield table.slice(start, end - start)
+        held = table.slice(edges[-1])
+    if held is not None and held.num_rows:
+        yield held
+
+
+def may_be_linked(
+    size: np.ndarray, root: np.ndarray, own: np.ndarray, sketches: list[bytes], first: int, second: int, forest: bool
+) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places, one of block ``first`` and one of ``second``, in different components, whose sketches allow a link.
+
+    With ``forest`` a pair that may be linked counts as linked from then on, so that each component of the rows is given
+    by as many pairs as connect it, and only rows that are still apart are compared.
+    """
+    root, out = root.copy(), []
+    left, right = np.flatnonzero(own == first), np.flatnonzero(own == second)
+    words = np.array([len(x) // 8 for x in sketches])
+    held = {w: np.frombuffer(b"".join([sketches[k] for k in np.flatnonzero(words == w)]), np.uint64).reshape(-1, w) for w in set(words.tolist())}
+    row = np.empty(len(words), np.int64)
+    for w in held:
+        row[words == w] = np.arange((words == w).sum())
+    for width in np.unique(words[left]).tolist():
+        # linked sets differ in size by a third at most, so their sketches by one fold
+        for other in {width // 2, width, 2 * width} & set(words[right].tolist()):
+            some, pool = left[words[left] == width], right[words[right] == other]
+            a, b = folded(held[width][row[some]], min(width, other)), folded(held[other][row[pool]], min(width, other))
+            for k, mine in zip(some.tolist(), a, strict=True):
+                at = np.flatnonzero((root[pool] != root[k]) & (3 * np.maximum(size[pool], size[k]) <= 4 * np.minimum(size[pool], size[k])))
+                if not len(at):
+                    continue
+                distance = np.bitwise_count(b[at] ^ mine).sum(axis=1, dtype=np.int64)
+                at = pool[at[7 * distance <= size[pool[at]] + size[k]]]
+                if forest and len(at):
+                    roots, one = np.unique(root[at], return_index=True)
+                    at = at[one]
+                    root[np.isin(root, roots)] = root[k]
+                out.append((np.full(len(at), k), at))
+    return out
+
+
+def unconnected(chain: DataFrame, roots: DataFrame, classes: DataFrame, forest: bool) -> DataFrame:
+    """Pairs of classes that gave away the same signature, lie in different components and may be linked: all of them, or
+    with ``forest`` as many as would connect those of a block.
 
     ``chain`` has two rows or more for a signature of three classes or more; with two, the one pair was compared before.
     """
@@ -293,32 +351,21 @@ def unconnected(chain: DataFrame, roots: DataFrame, classes: DataFrame) -> DataF
         .withColumn("first", F.least("own", "other"))
         .withColumn("second", F.greatest("own", "other"))
     )
+    keys = ["signature", "first", "second"]
+    ordered = spread.select(*keys, "class", "root", "own", "n_shingles", "sketch")
+    ordered = ordered.repartition(*keys).sortWithinPartitions(*keys, "class")
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        size, root = rows["n_shingles"].to_numpy(), rows["root"].to_numpy()
-        who, own = rows["class"].to_numpy(), rows["own"].to_numpy()
-        left = np.flatnonzero(own == rows["first"].iloc[0])
-        right = np.flatnonzero(own == rows["second"].iloc[0])
-        words = rows["sketch"].str.len().to_numpy() // 8
-        pairs = [np.empty((2, 0), np.int64)]
-        for width in np.unique(words[left]):
-            some = left[words[left] == width]
-            mine = np.frombuffer(b"".join(rows["sketch"].iloc[some]), np.uint64).reshape(len(some), width)
-            # linked sets differ in size by a third at most, so their sketches by one fold
-            for other in {width // 2, width, 2 * width} & set(words[right].tolist()):
-                pool = right[words[right] == other]
-                theirs = np.frombuffer(b"".join(rows["sketch"].iloc[pool]), np.uint64).reshape(len(pool), other)
-                a, b = folded(mine, min(width, other)), folded(theirs, min(width, other))
-                for k, row in zip(some, a, strict=True):
-                    at = np.flatnonzero((root[pool] != root[k]) & (3 * np.maximum(size[pool], size[k]) <= 4 * np.minimum(size[pool], size[k])))
-                    distance = np.bitwise_count(b[at] ^ row).sum(axis=1, dtype=np.int64)
-                    at = pool[at[7 * distance <= size[pool[at]] + size[k]]]
-                    pairs.append(np.stack([np.minimum(who[at], who[k]), np.maximum(who[at], who[k])]))
-        found = np.unique(np.concatenate(pairs, axis=1), axis=1)
-        return pd.DataFrame({"x": found[0], "y": found[1]})
-
-    found = spread.groupBy("signature", "first", "second").applyInPandas(compare, long_schema("x y"))
-    return found.distinct()
+    def compare(batches):
+        for rows in groups_of(batches, 3):
+            who, root, own, size = (rows.column(k).to_numpy() for k in range(3, 7))
+            first, second = (rows.column(k)[0].as_py() for k in (1, 2))
+            found = may_be_linked(size, root, own, rows.column(7).to_pylist(), first, second, forest)
+            if found:
+                a, b = who[np.concatenate([a for a, _ in found])], who[np.concatenate([b for _, b in found])]
+                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["x", "y"])
+
+    return ordered.mapInArrow(compare, long_schema("x y")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
@@ -336,12 +383,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tried = written(near(chain.select("x", "y").distinct(), classes), "tried")
     links = written(verified(tried, source, classes), "links")
     roots = components(links, "x", "y")
-    rest = unconnected(chain, roots, classes).join(tried, ["x", "y"], "left_anti")
-    rest = written(rest, "tried-later")
-    if rest.limit(1).count():
+    for forest in [True] * FOREST_ROUNDS + [False]:
+        rest = unconnected(chain, roots, classes, forest).join(tried, ["x", "y"], "left_anti")
+        rest = written(rest, "tried-later")
+        if not rest.limit(1).count():
+            continue
         more = written(verified(rest, source, classes), "links-later")
+        tried = tried.unionByName(rest)
         if more.limit(1).count():
-            roots = components(links.unionByName(more), "x", "y")
+            links = links.unionByName(more)
+            roots = components(links, "x", "y")
     named = classes.select("class", F.col("doc_id").alias("least")).join(
         roots.withColumnRenamed("class", "member"), F.col("class") == F.col("member"), "left"
     )

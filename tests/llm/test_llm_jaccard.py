@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tableload.llm import components, jaccard
@@ -143,3 +144,75 @@ def test_components_of_a_chain_and_a_star(spark):
     roots = {r["class"]: r.root for r in found.collect()}
     assert {roots.get(k, k) for k in range(100, 141)} == {100}
     assert {roots.get(k, k) for k in [7, *range(200, 260)]} == {7}
+
+
+def test_blocks_give_a_forest_of_what_may_be_linked():
+    """As many pairs as connect the rows, whose ends may be linked; without ``forest`` all such pairs."""
+    rng = np.random.default_rng(7)
+    base = [rng.integers(0, 2**63, 300).astype(np.uint64) for _ in range(4)]
+    sets = [np.unique(np.concatenate([base[k % 4][: 300 - k % 9], rng.integers(0, 2**63, k % 7).astype(np.uint64)])) for k in range(240)]
+    sketches, size = [jaccard.folded_sketch(s) for s in sets], np.array([len(s) for s in sets])
+    own, root = np.arange(240) % 2, np.arange(240)
+    root[:8] = 0  # connected before
+    pairs = lambda forest: {
+        (min(a, b), max(a, b))
+        for first, second in ((0, 0), (0, 1), (1, 1))
+        for x, y in jaccard.may_be_linked(size, root, own, sketches, first, second, forest)
+        for a, b in zip(x.tolist(), y.tolist(), strict=True)
+    }
+    every, few = pairs(False), pairs(True)
+    wanted = {
+        (a, b)
+        for a in range(240)
+        for b in range(a + 1, 240)
+        if root[a] != root[b]
+        and 3 * max(size[a], size[b]) <= 4 * min(size[a], size[b])
+        and 7 * jaccard.folded_distance(sketches[a], sketches[b]) <= size[a] + size[b]
+    }
+    assert every == wanted and few <= every and len(few) < 3 * 240 < len(every)
+
+    def parts(links):
+        of = list(root)
+        for a, b in links:
+            of = [of[b] if x == of[a] else x for x in of]
+        return len(set(of))
+
+    assert parts(few) == parts(every)
+
+
+def test_groups_of_rows_over_batches():
+    rows = [(k // 7, k // 3, k) for k in range(100)]
+    table = pa.table([pa.array(c) for c in zip(*rows, strict=True)], names=["a", "b", "c"])
+    for size in (1, 5, 100):
+        groups = list(jaccard.groups_of(table.to_batches(max_chunksize=size), 2))
+        assert [g.column(2).to_pylist() for g in groups] == [
+            [r[2] for r in rows if r[:2] == key] for key in sorted({r[:2] for r in rows})
+        ]
+    assert list(jaccard.groups_of([], 2)) == []
+
+
+def test_near_copies_that_are_partly_linked(spark):
+    """Two thousand copies in which every fifth word or so changed, neighbours rarely linked: a few pairs each."""
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(2000):
+        words = list(base)
+        at = rng.randrange(120)
+        for j in range(rng.randint(1, 14)):
+            words[(at + j) % 120] = f"x{k % 40}-{j}"
+        rows.append((k, " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    emitted = []
+    verified = jaccard.verified
+    jaccard.verified = lambda pairs, *rest: emitted.append(pairs.count()) or verified(pairs, *rest)
+    try:
+        found = {r.doc_id: r.component_id for r in jaccard.near_duplicates(frame).collect()}
+    finally:
+        jaccard.verified = verified
+    sets = {i: set(jaccard.shingles(t).tolist()) for i, t in rows[:300]}
+    for i in range(0, 300, 7):
+        for j in range(300):
+            if i != j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                assert found[i] == found[j]
+    assert sum(emitted[1:]) < 20 * len(rows)
