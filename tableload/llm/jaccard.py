@@ -16,7 +16,7 @@ passages that many documents share out of the join. Sketches are kept as the lis
 Documents with equal sets are one class and join as one. Within a block signature only neighbours in class order are
 compared at first; what they link becomes connected. Classes that share a signature and are still not connected are then
 compared in blocks of bounded size, by the sketches: each block gives as many pairs as would connect what may be linked,
-these are verified exactly, and what they link becomes connected. After two such rounds all pairs that are still in
+these are verified exactly, and what they link becomes connected. After such a round all pairs that are still in
 different components are compared. So the components are exact, and a group of near copies is joined by a few pairs each.
 
 Defined cases: a null or empty text, or one without words, has no shingles and is linked with nothing; with fewer than
@@ -47,8 +47,8 @@ SAMPLE_DOCS, FREQUENT, ORDERED = 32_768, 4, 200_000
 BROADCAST_IDS = 2_000_000
 #: Classes of a signature compared with each other by one task.
 BLOCK = 1_000
-#: Rounds in which a block gives a forest of pairs, before all that are left are compared.
-FOREST_ROUNDS = 2
+#: Rounds in which a block gives a forest of pairs, before all pairs that are left are compared.
+FOREST_ROUNDS = 1
 #: Classes that a task remembers at most to give their signatures away once; forgetting them repeats rows, no more.
 SEEN = 1_000_000
 EMPTY_BLOCK = np.uint64(0x6A09E667F3BCC909)
@@ -142,20 +142,33 @@ def join_signatures(found: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, class, sketch``: the class is a hash of the set, null without shingles."""
+def sets(docs: DataFrame, frequent: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, class, sketch, signatures``: the class is a hash of the set, null without shingles; the
+    signatures that a class gives away are with the first document of it that a task meets."""
+    order = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def make():
+        seen: set[int] = set()
+
         def work(texts):
             out = []
+            if len(seen) > SEEN:
+                seen.clear()
             for text in texts:
                 found = shingles(text)
-                out.append((len(found), set_hash(found), folded_sketch(found)) if len(found) else (0, None, None))
+                if not len(found):
+                    out.append((0, None, None, None))
+                    continue
+                own, given = set_hash(found), None
+                if own not in seen:
+                    seen.add(own)
+                    given = join_signatures(found, order.value).tobytes()
+                out.append((len(found), own, folded_sketch(found), given))
             return out
 
         return work
 
-    return map_texts(docs, make, "n_shingles long, class long, sketch binary", id_col, text_col)
+    return map_texts(docs, make, "n_shingles long, class long, sketch binary, signatures binary", id_col, text_col)
 
 
 def frequent_signatures(source: DataFrame, total: int, sample_docs: int) -> np.ndarray:
@@ -179,33 +192,22 @@ def frequent_signatures(source: DataFrame, total: int, sample_docs: int) -> np.n
     return np.sort(np.array([r.signature for r in top], np.int64).view(np.uint64))
 
 
-def given_away(source: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``signature, y``: the signatures that each class gives away, once per task that holds documents of it."""
-    order = source.sparkSession.sparkContext.broadcast(frequent)
+def given_away(found: DataFrame) -> DataFrame:
+    """``signature, y``: the signatures that each class gives away, once per task that held documents of it."""
 
     def run(batches):
-        seen: set[int] = set()
         for part in slices(batches):
-            signatures, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-            if len(seen) > SEEN:
-                seen.clear()
-            for text in part.column(1).to_pylist():
-                found = shingles(text or "")
-                if len(found) and (own := set_hash(found)) not in seen:
-                    seen.add(own)
-                    signatures.append(join_signatures(found, order.value))
-                    owners.append(np.full(len(signatures[-1]), own, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(signatures).view(np.int64)), pa.array(np.concatenate(owners))],
-                names=["signature", "y"],
-            )
+            given = [np.frombuffer(g, np.int64) for g in part.column(1).to_pylist()]
+            owners = np.repeat(part.column(0).to_numpy(), [len(g) for g in given])
+            signatures = np.concatenate(given) if given else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(signatures), pa.array(owners)], names=["signature", "y"])
 
-    return source.mapInArrow(run, long_schema("signature y"))
+    return found.where(F.col("signatures").isNotNull()).select("class", "signatures").mapInArrow(run, long_schema("signature y"))
 
 
-def neighbours(source: DataFrame, frequent: np.ndarray) -> DataFrame:
+def neighbours(found: DataFrame) -> DataFrame:
     """``signature, x, y``: classes that follow each other, by class, among those that gave the signature away."""
-    given = given_away(source, frequent)
+    given = given_away(found)
     same = Window.partitionBy("signature").orderBy("y")
     return given.withColumn("x", F.lag("y").over(same)).where("x <> y").select("signature", "x", "y")
 
@@ -373,13 +375,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     ship(spark)
     source = two_columns(docs, id_col, text_col)
-    found = written(sets(source), "sets")
-    total = found.count()
+    found = written(sets(source, frequent_signatures(source, source.count(), sample_docs)), "sets")
     classes = found.where("class is not null").groupBy("class").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")
     )
     classes = written(classes, "classes")
-    chain = written(neighbours(source, frequent_signatures(source, total, sample_docs)), "chain")
+    chain = written(neighbours(found), "chain")
     tried = written(near(chain.select("x", "y").distinct(), classes), "tried")
     links = written(verified(tried, source, classes), "links")
     roots = components(links, "x", "y")

@@ -125,7 +125,7 @@ def test_a_large_group_is_linear(spark):
         rows.append((k, " ".join(words)))
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     source = jaccard.two_columns(frame, "doc_id", "text")
-    pairs = jaccard.neighbours(source, np.empty(0, np.uint64)).select("x", "y").distinct().count()
+    pairs = jaccard.neighbours(jaccard.sets(source, np.empty(0, np.uint64))).select("x", "y").distinct().count()
     assert pairs < 30_000
     assert {r.component_id for r in jaccard.near_duplicates(frame).collect()} == {0}
 
@@ -134,7 +134,7 @@ def test_copies_give_signatures_away_once_per_task(spark):
     text = " ".join(f"w{k}" for k in range(40))
     rows = [(k, text if k % 3 == 0 else f"{k} {text[k % 50 :]}") for k in range(600)]
     source = jaccard.two_columns(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "doc_id", "text")
-    given = jaccard.given_away(source, np.empty(0, np.uint64))
+    given = jaccard.given_away(jaccard.sets(source, np.empty(0, np.uint64)))
     assert max(r["count"] for r in given.groupBy("signature", "y").count().collect()) <= 3
 
 
