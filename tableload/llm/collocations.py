@@ -28,7 +28,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tableload.llm.rows import hashes, mix, ship, slices, written
@@ -36,6 +36,8 @@ from tableload.workspace import scratch_path
 
 #: Words in the longest phrase, occurrences of a phrase at least, and phrases a language keeps.
 LONGEST, LEAST, TOP = 5, 100, 2_000
+#: Numbers for shards per bucket, which deal them evenly, and how far the next shard of a task lies, as a share of all buckets.
+WAVES, STRIDE = 16, 0.618
 #: Words of a shard as expected, and bytes of a word with what parts it from the next.
 SHARD_WORDS, WORD_BYTES = 5_000_000, 6
 UNKNOWN = "und"
@@ -149,16 +151,34 @@ def _decompress(data: bytes) -> bytes:
     return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True) if data else b""
 
 
-def shards(docs: DataFrame, shard_words: int, text_col: str, lang_col: str) -> DataFrame:
+def even_ids(spark: SparkSession, buckets: int) -> np.ndarray:
+    """``WAVES`` whole numbers per bucket, which Spark's hash deals to it: one row per number, one column per bucket.
+
+    Shards are few and large, so a hash of just any numbers would deal several to one task and none to others.
+    """
+    tried = WAVES * 4
+    while True:
+        bucket = F.pmod(F.hash(F.col("id")), F.lit(buckets)).alias("bucket")
+        ids = spark.range(tried * buckets).select("id", bucket).groupBy("bucket").agg(F.collect_list("id").alias("ids"))
+        rows = ids.select("bucket", F.slice(F.array_sort("ids"), 1, WAVES).alias("ids")).collect()
+        if len(rows) == buckets and min(len(r.ids) for r in rows) == WAVES:
+            return np.array([r.ids for r in sorted(rows)], np.int64).T
+        tried *= 2
+
+
+def shards(docs: DataFrame, shard_words: int, text_col: str, lang_col: str, ids: np.ndarray) -> DataFrame:
     """``shard, symbols, words``: ids of words and separators, and the distinct words, each after its language (escaped) and
-    a tab; ``langs, sizes``: the languages of the shard and their words."""
+    a tab; ``langs, sizes``: the languages of the shard and their words. A shard's number is one of ``ids``, by which the
+    n-th shards of all tasks lie in different buckets; beyond these it is any other."""
     source = docs.select(
         F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(UNKNOWN)).alias("lang"),
         F.col(f"`{text_col}`").cast("string").alias("text"),
     )
 
+    dealt = docs.sparkSession.sparkContext.broadcast(ids)
+
     def run(batches):
-        task, number = TaskContext.get().partitionId() << 32, 0
+        task, number = TaskContext.get().partitionId(), 0
         held: dict[str, tuple[Dictionary, list[np.ndarray]]] = {}
         size = 0
 
@@ -174,7 +194,11 @@ def shards(docs: DataFrame, shard_words: int, text_col: str, lang_col: str) -> D
                 before = lang.encode("unicode_escape") + b"\t"
                 words += [before + w for w in list(known)[2:]]
                 base += len(known) - 2
-            row = [task + number, _compress(np.concatenate(symbols).tobytes()), _compress(b"\n".join(words)), list(held), sizes]
+            buckets = dealt.value.shape[1]
+            name = -1 - (task << 32 | number)
+            if number < WAVES and task < buckets:
+                name = int(dealt.value[number, (task + int(number * STRIDE * buckets)) % buckets])
+            row = [name, _compress(np.concatenate(symbols).tobytes()), _compress(b"\n".join(words)), list(held), sizes]
             number += 1
             return pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names=["shard", "symbols", "words", "langs", "sizes"])
 
@@ -409,9 +433,9 @@ def collocations(
     spark = docs.sparkSession
     ship(spark)
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
-    # more buckets than shards, so that few of them share one
-    buckets, name = int(min(50_000, 3 * (1 + size // (WORD_BYTES * shard_words)))), f"llm_phrases_{uuid.uuid4().hex}"
-    kept = shards(docs, shard_words, text_col, lang_col).write.bucketBy(buckets, "shard")
+    # twice as many buckets as shards are expected, as the last one of a task is smaller
+    buckets, name = int(min(50_000, 2 * (1 + size // (WORD_BYTES * shard_words)))), f"llm_phrases_{uuid.uuid4().hex}"
+    kept = shards(docs, shard_words, text_col, lang_col, even_ids(spark, buckets)).write.bucketBy(buckets, "shard")
     kept.option("path", scratch_path(spark, "llm-phrases")).option("compression", "uncompressed").saveAsTable(name)
     try:
         return _collocations_of(spark.table(name), buckets, longest, least, top)
