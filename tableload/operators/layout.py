@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tableload.functions.names import cols
 from tableload.sources.delimited import split_session
+from tableload.sources.quoted import scan_quoted_csv
 from tableload.workspace import exists, move, remove
 
 # Fixed value: bytes per rewritten chunk (128 MiB).
@@ -32,6 +33,7 @@ def rechunk(
     format: str = "csv",
     headroom: float = 0.05,
     splittable: bool = True,
+    quoted: bool = False,
     **options: str | bool,
 ) -> DataFrame:
     """Rewrite header CSV files as chunks of at most ``chunk_bytes``, each with the header; returns their sizes.
@@ -40,9 +42,9 @@ def rechunk(
 
     Each input split of that size, less ``headroom``, becomes one chunk: rows are copied where they are read, without a
     shuffle. The headroom is for the repeated header, for quoting and for the row that crosses the end of a split. A row
-    that is longer than a chunk gets one of its own, which is then larger. Sources that cannot be split (compressed, or
-    with line breaks inside quotes) take ``splittable=False``, which counts their bytes in a pass of its own and deals
-    the rows out evenly.
+    that is longer than a chunk gets one of its own, which is then larger. CSV with line breaks inside quotes takes
+    ``quoted=True``, which puts records that cross a split together first. Sources that cannot be split, as they are
+    compressed, take ``splittable=False``, which counts their bytes in a pass of its own and deals the rows out evenly.
 
     The chunks are written beside the target and measured before they are moved there: a chunk that is too large for
     another reason fails the call, which then has published nothing.
@@ -55,7 +57,11 @@ def rechunk(
     if format == "csv":
         reading = {"header": True, "sep": sep, "nullValue": _NO_VALUE, "emptyValue": ""}
         writing = {"header": True, "sep": sep, "nullValue": "", "emptyValue": '""'}
-    rows = session.read.format(format).options(**{**reading, **options}).load(path)
+    if quoted:
+        reading.pop("header")
+        rows = scan_quoted_csv(spark, path, max_partition_bytes=split_bytes, **{**reading, **options})
+    else:
+        rows = session.read.format(format).options(**{**reading, **options}).load(path)
     row_bytes = sum((F.coalesce(F.octet_length(c), F.lit(0)) + 3 for c in cols(rows.columns)), F.lit(0))
     if not splittable:
         # Counted on the rows, since a compressed file says little about their size.

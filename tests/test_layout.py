@@ -98,3 +98,13 @@ def test_csv_without_a_header(spark, tmp_path):
     sizes = tl.rechunk(spark, str(source), str(tmp_path / "out"), 20_000, sep=";", header=False)
     assert sizes.count() > 3
     assert spark.read.csv(str(tmp_path / "out"), sep=";").count() == 10_000
+
+
+def test_quoted_line_breaks_are_rechunked_in_splits(spark, tmp_path):
+    data = [(str(k), "a line\nand another,\n\n" + "x" * (k % 50) + "\nend", None if k % 3 else "") for k in range(2_000)]
+    df = spark.createDataFrame(data, "id string, text string, note string")
+    df.coalesce(1).write.options(header=True, emptyValue='""').csv(str(tmp_path / "in"))
+    sizes = tl.rechunk(spark, str(tmp_path / "in"), str(tmp_path / "out"), chunk_bytes=20_000, quoted=True)
+    assert sizes.count() > 5 and sizes.agg(F.max("length")).first()[0] <= 20_000
+    found = tl.scan_csv(spark, str(tmp_path / "out"), multiLine=True).select("id", "text")
+    assert sorted(map(tuple, found.collect())) == sorted((i, t) for i, t, _ in data)
