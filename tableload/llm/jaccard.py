@@ -188,8 +188,9 @@ def frequent_signatures(source: DataFrame, total: int, sample_docs: int) -> np.n
             yield pa.RecordBatch.from_arrays([pa.array(signatures)], names=["signature"])
 
     counted = drawn.mapInArrow(run, "signature long").groupBy("signature").agg(F.count("*").alias("n"))
-    top = counted.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "signature").limit(ORDERED).collect()
-    return np.sort(np.array([r.signature for r in top], np.int64).view(np.uint64))
+    top = counted.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "signature").limit(ORDERED)
+    # as an Arrow column, since so many rows as Python objects weigh on a driver
+    return np.sort(top.select("signature").toArrow().column(0).to_numpy().view(np.uint64))
 
 
 def given_away(found: DataFrame) -> DataFrame:
