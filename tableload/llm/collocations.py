@@ -39,7 +39,7 @@ LONGEST, LEAST, TOP = 5, 100, 2_000
 #: Numbers for shards per bucket, which deal them evenly, and how far the next shard of a task lies, as a share of all buckets.
 WAVES, STRIDE = 16, 0.618
 #: Words of a shard as expected, and bytes of a word with what parts it from the next.
-SHARD_WORDS, WORD_BYTES = 5_000_000, 6
+SHARD_WORDS, WORD_BYTES = 2_500_000, 6
 UNKNOWN = "und"
 
 # A-Z in lower case; marks and line ends cut pieces, a tab parts words as a space does.
