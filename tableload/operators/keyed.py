@@ -45,6 +45,9 @@ BITMAP_BITS = 4096 * 8
 
 _INCOMING = "_incoming"
 
+# Commit column by which rows are marked whose commit columns are still to be filled in, and the value that marks them.
+_SEQNO, _TO_COMMIT = "_commit_seqno", ""
+
 
 def _row_bytes(schema: StructType) -> Column | None:
     """Size of a row in memory (header, a word per field, variable parts); None where a type has no simple bound."""
@@ -72,6 +75,12 @@ class Staged:
         return self.bytes is not None and self.bytes <= max_bytes
 
 
+def table_bytes(df: DataFrame, unknown: int) -> int:
+    """Measured size of a table in memory; more than ``unknown`` where its types have no simple bound."""
+    row_bytes = _row_bytes(df.schema)
+    return unknown + 1 if row_bytes is None else df.agg(F.sum(row_bytes)).first()[0] or 0
+
+
 def stage(df: DataFrame, label: str, measured: Sequence[str]) -> Staged:
     """Write ``df`` to the scratch folder, and measure its ``measured`` columns in the same job."""
     spark = df.sparkSession
@@ -290,6 +299,35 @@ def committed(rows: DataFrame, key: Names, partition_by: Names, batch_id: int |
     return with_commit_metadata(rows.drop(*COMMIT_COLUMNS), key, partition_by, batch_id)
 
 
+def to_commit(rows: DataFrame, key: Names, partition_by: Names, order: Names, target: StructType) -> DataFrame | None:
+    """The rows with commit columns that are empty until ``commit_marked`` fills them in, as rows are written: staged and
+    shuffled without them a row is half as wide. None where they are needed before: ordered by, or made from columns
+    that the target has in another type."""
+    given, stored = ({f.name: f.dataType for f in schema} for schema in (rows.schema, target))
+    same = all(c in given and given[c] == stored.get(c) for c in [*names_of(key), *names_of(partition_by)])
+    if set(COMMIT_COLUMNS) & set(names_of(order)) or not same:
+        return None
+    empty = {c: F.lit(None).cast("long" if c == "_commit_instant" else "string") for c in COMMIT_COLUMNS}
+    empty[_SEQNO] = F.lit(_TO_COMMIT)
+    return rows.drop(*COMMIT_COLUMNS).select(*[value.alias(c) for c, value in empty.items()], *cols(_others(rows)))
+
+
+def commit_marked(rows: DataFrame, key: Names, partition_by: Names, batch_id: int | str | None) -> DataFrame:
+    """Fill in the commit columns of rows from ``to_commit``; all others stay."""
+    if batch_id is None:
+        return rows
+    (before,) = _new_names(rows, "_before")
+    known = rows.select(F.struct(*cols(COMMIT_COLUMNS)).alias(before), *cols(_others(rows)))
+    marked = F.col(f"{before}.{_SEQNO}").eqNullSafe(F.lit(_TO_COMMIT))
+    filled = with_commit_metadata(known, key, partition_by, batch_id)
+    chosen = {c: F.when(marked, F.col(c)).otherwise(F.col(f"{before}.{c}")).alias(c) for c in COMMIT_COLUMNS}
+    return filled.select(*[chosen.get(c, col(c)) for c in rows.columns])
+
+
+def _others(rows: DataFrame) -> list[str]:
+    return [c for c in rows.columns if c not in COMMIT_COLUMNS]
+
+
 def bulk_load_table(df: DataFrame, table: str, key: Names, order: Names, buckets: int) -> None:
     """Replace a catalog table by the latest row per key, divided into one sorted file per bucket of the key.
 

@@ -8,6 +8,8 @@ may move between partitions, the partition of every key.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ from tableload.functions.names import Names, col, cols, names_of
 from tableload.operators.keyed import (
     MAX_BROADCAST_BYTES,
     Changes,
+    Staged,
+    commit_marked,
     committed,
     count_changes,
     dedupe_batch,
@@ -24,21 +28,29 @@ from tableload.operators.keyed import (
     merged,
     stage,
     stage_source,
+    table_bytes,
+    to_commit,
     upsert_parts,
     with_key,
 )
 from tableload.operators.tables import add_columns, add_partitions, create_table, drop_partitions, point_table
-from tableload.operators.writes import observe_counts, overwrite, overwrite_partitions, spread_by
-from tableload.workspace import exists, first_file, partition_folders, remove, subfolders, writer
+from tableload.operators.writes import observe_counts, overwrite, spread_by
+from tableload.workspace import exists, first_file, partition_folders, remove, replace_folder, subfolders, touch, writer
 
 # Folders of a partitioned table, hidden from scans: the rewritten partitions of a call until they are moved in, the values
 # of these partitions, the keys whose partition the call sets, the columns of a table that has grown, the partition of
 # every key.
 PENDING, TOUCHED, PLACED, COLUMNS, LOCATOR = "_pending", "_touched", "_placed", "_columns", "_locator"
 
+# File among the rewritten partitions: the partitions that have no row left are gone, so one missing there is moved in.
+CLEARED = "_cleared"
+
 # Divisions of a locator by its keys, unless the first call names another number.
 LOCATOR_BUCKETS = 64
 
+# Touched partitions up to which each task that merges a large batch writes a file to every one of them.
+FEW_PARTITIONS = 16
+
 # Partition column of a locator.
 _BUCKET = "_bucket"
 
@@ -110,20 +122,25 @@ def upsert_snapshot(
     """
     spark = batch.sparkSession
     with writer(spark, path) as lease:
-        rows = committed(dedupe_batch(batch, key, order, parallelism), key, (), batch_id)
+        plain = dedupe_batch(batch, key, order, parallelism)
+        rows = committed(plain, key, (), batch_id)
         target = read_snapshot(spark, path)
         if target is None:
             rows, counted = observe_counts(rows)
             publish_snapshot(rows, path, keep, table)
             return Changes(counted.get["rows"]) if count else None
         target = _with_columns_of(target, rows)
+        late = None if batch_id is None else to_commit(plain, key, (), order, target.schema)
+        rows = rows if late is None else late
         staged = stage(like(_with_columns_of(rows, target), target), "batch", key)
         try:
             changes, small = Changes(), staged.fits(max_broadcast_bytes)
             if staged.count:
                 if count:
                     changes = count_changes(target, staged, key, order, keep_latest, small)
-                kept, changed = upsert_parts(target, staged, key, order, keep_latest, small, max_broadcast_bytes)
+                bitmap_bytes = _bitmap_bytes(target, staged, small, max_broadcast_bytes)
+                kept, changed = upsert_parts(target, staged, key, order, keep_latest, small, bitmap_bytes)
+                changed = changed if late is None else commit_marked(changed, key, (), batch_id)
                 lease.check()
                 publish_snapshot(changed if kept is None else kept.unionByName(changed), path, keep, table)
             return changes if count else None
@@ -131,6 +148,12 @@ def upsert_snapshot(
             remove(spark, staged.path)
 
 
+def _bitmap_bytes(stored: DataFrame, staged: Staged, small: bool, max_bytes: int) -> int:
+    """The bytes that a bitmap of the batch's keys may take: none where the stored rows, counted from the footers of their
+    files, are fewer than the keys, which would all be shuffled for it, and the stored rows scanned twice."""
+    return max_bytes if small or stored.count() > staged.count else 0
+
+
 def merge_snapshot(
     source: DataFrame,
     path: str,
@@ -200,16 +223,36 @@ def upsert_partitions(
     by commit; ``table`` names a catalog table that shows the rows. Repeating a batch leaves the same rows, and an empty
     one writes nothing. With ``count`` the keys of the touched partitions are read once more, and the changes returned.
 
-    The rewritten partitions are first written out in a hidden folder of the table and then copied in, so whatever is
-    lost, no row is: a call that finds such a folder complete finishes that copy first, and drops an incomplete one.
+    The rewritten partitions are first written out in a hidden folder of the table and then moved in, so whatever is
+    lost, no row is: a call that finds such a folder complete finishes that move first, and drops an incomplete one.
     Only the folders that hold touched partitions are listed, and only touched ones scanned. One writer at a time per
     table, which a lease beside it makes sure of.
     """
-    spark = batch.sparkSession
     partition_by, key = names_of(partition_by), names_of(key)
     identity = key if unique_across_partitions else list(dict.fromkeys([*partition_by, *key]))
     batch = _no_empty_text(batch, partition_by)
-    rows = committed(dedupe_batch(batch, identity, order, parallelism), key, partition_by, batch_id)
+    rows = dedupe_batch(batch, identity, order, parallelism)
+    options = (keep_latest, max_broadcast_bytes, batch_id, table, unique_across_partitions, locator_buckets, count)
+    return _upsert_distinct(rows, path, key, identity, order, partition_by, *options)
+
+
+def _upsert_distinct(
+    plain: DataFrame,
+    path: str,
+    key: list[str],
+    identity: list[str],
+    order: Names,
+    partition_by: list[str],
+    keep_latest: bool = False,
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+    batch_id: int | str | None = None,
+    table: str | None = None,
+    unique_across_partitions: bool = False,
+    locator_buckets: int = LOCATOR_BUCKETS,
+    count: bool = False,
+) -> Changes | None:
+    """``upsert_partitions`` of rows that are already one per ``identity``."""
+    spark, rows = plain.sparkSession, committed(plain, key, partition_by, batch_id)
     with writer(spark, path) as lease:
         kinds = StructType([rows.schema[c] for c in partition_by])
         _finish_pending(spark, path, kinds, table)
@@ -218,13 +261,15 @@ def upsert_partitions(
             rows, counted = observe_counts(rows)
             overwrite(rows, path, partition_by=partition_by)
             if unique_across_partitions:
-                _make_locator(spark, path, key, kinds, locator_buckets)
+                _make_locator(spark, path, key, kinds, locator_buckets, distinct=True)
             if table is not None:
                 _show(spark, table, path, rows.schema, partition_by, None)
             return Changes(counted.get["rows"]) if count else None
         _refuse_stray_locator(spark, path, key, kinds, unique_across_partitions)
         schema = _grown(spark, path, stored_columns, rows.schema, kinds)
         empty = spark.createDataFrame([], schema)
+        late = None if batch_id is None else to_commit(plain, key, partition_by, order, schema)
+        rows = rows if late is None else late
         staged = stage(like(_with_columns_of(rows, empty), empty), "batch", identity)
         try:
             if not staged.count:
@@ -233,17 +278,24 @@ def upsert_partitions(
             touched, left = _values(staged.rows, partition_by), []
             if unique_across_partitions:
                 _make_locator(spark, path, key, kinds, locator_buckets)
-                known = _located(spark, path, staged.rows, key, kinds, small)
-                left = [v for v in _values(known, partition_by) if v not in touched]
+                left = _values(_left(spark, path, staged.rows, key, kinds, touched, small, max_broadcast_bytes), partition_by)
             folders = partition_folders(spark, path, partition_by, touched + left)
             stored = spark.read.schema(schema).option("basePath", path).parquet(*folders) if folders else empty
             changes = count_changes(stored, staged, identity, order, keep_latest, small) if count else None
-            kept, changed = upsert_parts(stored, staged, identity, order, keep_latest, small, max_broadcast_bytes)
-            # Stored rows that stay are written by the tasks that scan them; only the others move to their partitions.
-            moving = spread_by(changed, partition_by)
+            bitmap_bytes = _bitmap_bytes(stored, staged, small, max_broadcast_bytes)
+            kept, changed = upsert_parts(stored, staged, identity, order, keep_latest, small, bitmap_bytes)
+            # Stored rows that stay are written by the tasks that scan them; only the others move to their partitions,
+            # and those of a large batch for few partitions are not shuffled once more for it.
+            stay = not small and len(touched) + len(left) <= FEW_PARTITIONS
+            moving = changed if stay else spread_by(changed, partition_by)
+            moving = moving if late is None else commit_marked(moving, key, partition_by, batch_id)
             placed = None
             if unique_across_partitions:
-                won = changed if small else changed.join(staged.rows.select(*cols(key)).hint("merge"), key, "left_semi")
+                won = changed
+                if not keep_latest:
+                    won = staged.rows  # all of them, so they need not be found among the changed rows
+                elif not small:
+                    won = changed.join(staged.rows.select(*cols(key)).hint("merge"), key, "left_semi")
                 placed = won.select(*cols(dict.fromkeys([*key, *partition_by])))
             result = moving if kept is None else kept.unionByName(moving)
             lease.check()
@@ -343,6 +395,10 @@ def _values(df: DataFrame, partition_by: Sequence[str]) -> list[list]:
     return [list(r) for r in df.select(*[col(c).cast("string").alias(c) for c in partition_by]).distinct().collect()]
 
 
+def _texts(columns: Sequence[str]) -> StructType:
+    return StructType([StructField(c, StringType()) for c in columns])
+
+
 def _partition_kinds(spark: SparkSession, path: str, partition_by: Sequence[str]) -> StructType:
     """The partition columns of a stored table with their types."""
     if first_file(spark, path) is None and not exists(spark, f"{path}/{PENDING}/_SUCCESS"):
@@ -386,8 +442,7 @@ def _replace(
     """Make ``result`` the rows of the touched partitions. It is complete in a hidden folder before one of them changes,
     with the list of these partitions, and with the keys whose partition the locator is to learn."""
     partition_by = kinds.names
-    values = StructType([StructField(c, StringType()) for c in partition_by])
-    overwrite(spark.createDataFrame(touched, values), f"{path}/{TOUCHED}")
+    overwrite(spark.createDataFrame(touched, _texts(partition_by)), f"{path}/{TOUCHED}")
     if placed is not None:
         overwrite(placed, f"{path}/{PLACED}")
     if "_commit_instant" in result.columns:
@@ -398,21 +453,16 @@ def _replace(
 
 
 def _finish_pending(spark: SparkSession, path: str, kinds: StructType, table: str | None) -> None:
-    """Copy the partitions that a call has left ready into the table; what is not complete is dropped.
+    """Move the partitions that a call has left ready into the table; what is not complete is dropped.
 
     Partitions without a row left go, the locator and the catalog table learn of the others. Every step can be repeated,
     and the folder goes last.
     """
     pending, partition_by = f"{path}/{PENDING}", kinds.names
     if exists(spark, f"{pending}/_SUCCESS"):
-        touched = [list(r) for r in spark.read.parquet(f"{path}/{TOUCHED}").collect()]
+        touched = [list(r) for r in spark.read.schema(_texts(partition_by)).parquet(f"{path}/{TOUCHED}").collect()]
         schema = _stored_columns(spark, path, kinds) or _pending_columns(spark, pending, kinds)
-        overwrite_partitions(spark.read.schema(schema).parquet(pending), path, partition_by, spread=False)
-        written = {f.removeprefix(pending) for f in partition_folders(spark, pending, partition_by, touched)}
-        there = partition_folders(spark, path, partition_by, touched)
-        for folder in there:
-            if folder.removeprefix(path) not in written:
-                remove(spark, folder)
+        overwrite_partitions(spark, path, partition_by, touched)
         if exists(spark, f"{path}/{PLACED}/_SUCCESS"):
             _place(spark, path, kinds)
         if table is not None:
@@ -421,6 +471,24 @@ def _finish_pending(spark: SparkSession, path: str, kinds: StructType, table: st
     remove(spark, f"{path}/{PLACED}")
 
 
+def overwrite_partitions(spark: SparkSession, path: str, partition_by: Sequence[str], touched: list[list]) -> None:
+    """Put the pending partitions in the place of the touched ones, by renaming their folders: no row is written again.
+
+    Those that have no row left are removed before the first is moved, and the file ``CLEARED`` says so. From then on a
+    touched partition that is not pending has been moved in, by a call that was cut off, and stays.
+    """
+    pending = f"{path}/{PENDING}"
+    ready = [f.removeprefix(pending) for f in partition_folders(spark, pending, partition_by, touched)]
+    if not exists(spark, f"{pending}/{CLEARED}"):
+        staying = set(ready)
+        for folder in partition_folders(spark, path, partition_by, touched):
+            if folder.removeprefix(path) not in staying:
+                remove(spark, folder)
+        touch(spark, f"{pending}/{CLEARED}")
+    for folder in ready:
+        replace_folder(spark, f"{pending}{folder}", f"{path}{folder}")
+
+
 def _pending_columns(spark: SparkSession, pending: str, kinds: StructType) -> StructType:
     """The columns of rewritten partitions, for a table whose only partitions they are."""
     return StructType([*[f for f in spark.read.parquet(pending).schema if f.name not in kinds.names], *kinds.fields])
@@ -470,11 +538,13 @@ def _refuse_stray_locator(spark: SparkSession, path: str, key: list[str], kinds:
         raise ValueError(f"the keys of this table are unique by {known} across partitions; say so in every upsert")
 
 
-def _make_locator(spark: SparkSession, path: str, key: list[str], kinds: StructType, buckets: int) -> None:
-    """Build the partition of every key from the table, when it has none yet."""
+def _make_locator(
+    spark: SparkSession, path: str, key: list[str], kinds: StructType, buckets: int, distinct: bool = False
+) -> None:
+    """Build the partition of every key from the table, when it has none yet; ``distinct`` says that it has each key once."""
     if _locator_folder(spark, path) is None:
         rows = read_partitions(spark, path, kinds).select(*cols(dict.fromkeys([*key, *kinds.names])))
-        _upsert_locator(rows, f"{path}/{LOCATOR}/buckets={buckets}", key, kinds, buckets)
+        _upsert_locator(rows, f"{path}/{LOCATOR}/buckets={buckets}", key, kinds, buckets, distinct)
 
 
 def _place_columns(rows: DataFrame, key: Sequence[str], kinds: StructType, buckets: int) -> DataFrame:
@@ -483,30 +553,53 @@ def _place_columns(rows: DataFrame, key: Sequence[str], kinds: StructType, bucke
     return rows.select(*named, key_bucket(key, buckets).alias(_BUCKET))
 
 
-def _upsert_locator(rows: DataFrame, folder: str, key: Sequence[str], kinds: StructType, buckets: int) -> None:
-    named = [f"key.{c}" for c in key]
-    upsert_partitions(_place_columns(rows, key, kinds, buckets), folder, named, [], [_BUCKET])
+def _upsert_locator(
+    rows: DataFrame, folder: str, key: Sequence[str], kinds: StructType, buckets: int, distinct: bool
+) -> None:
+    named, rows = [f"key.{c}" for c in key], _place_columns(rows, key, kinds, buckets)
+    if distinct:
+        _upsert_distinct(rows, folder, named, [_BUCKET, *named], [], [_BUCKET])
+    else:
+        upsert_partitions(rows, folder, named, [], [_BUCKET])
 
 
 def _place(spark: SparkSession, path: str, kinds: StructType) -> None:
-    """Let the locator learn the partitions of the keys that a call has placed."""
+    """Let the locator learn the partitions of the keys that a call has placed, each of them once."""
     folder, buckets = _locator_folder(spark, path)
     key = _locator_keys(spark, path, kinds)
-    _upsert_locator(spark.read.parquet(f"{path}/{PLACED}"), folder, key, kinds, buckets)
+    _upsert_locator(spark.read.parquet(f"{path}/{PLACED}"), folder, key, kinds, buckets, distinct=True)
 
 
-def _located(
-    spark: SparkSession, path: str, batch: DataFrame, key: list[str], kinds: StructType, small: bool
+def _left(
+    spark: SparkSession,
+    path: str,
+    batch: DataFrame,
+    key: list[str],
+    kinds: StructType,
+    touched: list[list],
+    small: bool,
+    max_broadcast_bytes: int,
 ) -> DataFrame:
-    """The partition columns of the stored rows whose key is in the batch, from the buckets that its keys fall in."""
+    """The partition columns of the stored rows whose key is in the batch and whose partition is not touched anyhow, from
+    the buckets that its keys fall in.
+
+    Where few keys are in such partitions, they are sent to the batch instead of the batch to them.
+    """
     folder, buckets = _locator_folder(spark, path)
-    named = [f"key.{c}" for c in key]
+    named, places = [f"key.{c}" for c in key], [f"in.{c}" for c in kinds.names]
     keys = batch.select(*[col(c).alias(n) for c, n in zip(key, named, strict=True)], key_bucket(key, buckets).alias(_BUCKET))
     fitting = [[str(r[0])] for r in keys.select(_BUCKET).distinct().collect()]
     folders = partition_folders(spark, folder, [_BUCKET], fitting)
     if not folders:
         return batch.select(*cols(kinds.names)).limit(0)
     known = spark.read.option("basePath", folder).parquet(*folders)
-    keys = F.broadcast(keys) if small else keys.hint("merge")
-    found = known.join(keys, [_BUCKET, *named], "left_semi")
-    return found.select(*[col(f"in.{c}").alias(c) for c in kinds.names])
+    seen = spark.createDataFrame(touched, _texts([f"seen.{c}" for c in kinds.names]))
+    same = [col(p).cast("string").eqNullSafe(col(f"seen.{c}")) for p, c in zip(places, kinds.names, strict=True)]
+    elsewhere = known.join(F.broadcast(seen), reduce(and_, same), "left_anti")
+    if small:
+        found = elsewhere.join(F.broadcast(keys), [_BUCKET, *named], "left_semi")
+    elif table_bytes(elsewhere, max_broadcast_bytes) <= max_broadcast_bytes:
+        found = keys.join(F.broadcast(elsewhere), [_BUCKET, *named])
+    else:
+        found = elsewhere.join(keys.hint("merge"), [_BUCKET, *named], "left_semi")
+    return found.select(*[col(p).alias(c) for p, c in zip(places, kinds.names, strict=True)])

@@ -121,6 +121,16 @@ def move(spark: SparkSession, path: str, target: str) -> None:
         raise FileExistsError(f"{path} cannot be moved to {target}")
 
 
+def replace_folder(spark: SparkSession, path: str, target: str) -> None:
+    """Rename a folder this library wrote to ``target``, on the same file system, in the place of any that is there."""
+    fs, hadoop_path = _hadoop(spark, path)
+    place = _hadoop(spark, target)[1]
+    fs.delete(place, True)
+    fs.mkdirs(place.getParent())
+    if not fs.rename(hadoop_path, place):
+        raise FileExistsError(f"{path} cannot be moved to {target}")
+
+
 def touch(spark: SparkSession, path: str) -> None:
     """Create an empty file, or replace one."""
     fs, hadoop_path = _hadoop(spark, path)

@@ -398,3 +398,72 @@ def test_a_lease_is_renewed(spark, tmp_path):
         time.sleep(1.6)
         with pytest.raises(tl.LeaseError):
             workspace.Lease(other, path).take()
+
+
+def test_rewritten_partitions_are_moved_and_a_move_cut_off_is_finished(spark, tmp_path, monkeypatch):
+    """The files that were written out are the ones of the table; the driver dies with one of three partitions moved."""
+    path, options = str(tmp_path / "t"), {"unique_across_partitions": True, "locator_buckets": 2}
+    first = [(k, p, 1) for k, p in enumerate("aabbcd")]
+    tl.upsert_partitions(frame(spark, first), path, ["k"], ["v"], ["p"], **options)
+    batch = frame(spark, [(0, "a", 2), (2, "c", 2), (5, "b", 2)])  # the last row of d goes
+    move, moved, written = publish.replace_folder, [], []
+
+    def dies(spark, folder, target):
+        written.extend(os.path.basename(f) for f in glob.glob(f"{path}/{publish.PENDING}/p=*/*.parquet"))
+        if moved:
+            raise RuntimeError("driver lost")
+        move(spark, folder, target)
+        moved.append(target)
+
+    with monkeypatch.context() as patched:
+        patched.setattr(publish, "replace_folder", dies)
+        with pytest.raises(RuntimeError, match="driver lost"):
+            tl.upsert_partitions(batch, path, ["k"], ["v"], ["p"], **options)
+    assert os.path.exists(moved[0]) and not os.path.exists(f"{path}/p=d")
+    tl.upsert_partitions(frame(spark, []), path, ["k"], ["v"], ["p"], **options)
+    wanted = [(0, "a", 2), (1, "a", 1), (2, "c", 2), (3, "b", 1), (4, "c", 1), (5, "b", 2)]
+    assert rows(spark.read.parquet(path).select("k", "p", "v")) == wanted
+    assert {os.path.basename(f) for f in glob.glob(f"{path}/p=*/*.parquet")} == set(written)
+    tl.upsert_partitions(frame(spark, [(5, "a", 3)]), path, ["k"], ["v"], ["p"], **options)
+    assert rows(spark.read.parquet(path).select("k", "p", "v")) == wanted[:5] + [(5, "a", 3)]
+
+
+@pytest.mark.parametrize("upsert", [tl.upsert_snapshot, tl.upsert_partitions])
+@pytest.mark.parametrize("limit", [32 << 20, 0], ids=["broadcast", "shuffled"])
+def test_commit_columns_are_filled_in_as_rows_are_written(spark, tmp_path, monkeypatch, upsert, limit):
+    """The texts of a batch's commit columns are neither staged nor shuffled."""
+    path = str(tmp_path / "t")
+    options = {"keep_latest": True, "max_broadcast_bytes": limit}
+    options |= {"partition_by": ["p"]} if upsert is tl.upsert_partitions else {}
+    upsert(frame(spark, [(1, "a", 5), (2, "b", 5)]), path, ["k"], ["v"], **options)  # without commit columns
+    upsert(frame(spark, [(3, "a", 5), (4, "b", 5)]), path, ["k"], ["v"], **options, batch_id="x")
+    staged, stage = [], publish.stage
+    monkeypatch.setattr(publish, "stage", lambda *args: staged.append(stage(*args)) or staged[-1])
+    seen, publishes = [], publish.upsert_parts
+    monkeypatch.setattr(publish, "upsert_parts", lambda t, s, *args: seen.extend(s.rows.collect()) or publishes(t, s, *args))
+    upsert(frame(spark, [(2, "b", 6), (3, "a", 4), (4, "b", 5), (9, "a", 1)]), path, ["k"], ["v"], **options, batch_id="y")
+    assert len(seen) == 4 and {(r._record_key, r._partition_path, r._commit_time) for r in seen} == {(None, None, None)}
+    stored = tl.read_snapshot(spark, path) if upsert is tl.upsert_snapshot else tl.read_partitions(spark, path)
+    found = {r.k: (r.v, r._record_key, r._commit_seqno, r._partition_path) for r in stored.collect()}
+    by = {k: None if r[2] is None else r[2].split("_")[0] for k, r in found.items()}
+    assert {k: r[:2] for k, r in found.items()} == {1: (5, None), 2: (6, "2"), 3: (5, "3"), 4: (5, "4"), 9: (1, "9")}
+    assert by == {1: None, 2: "y", 3: "x", 4: "y", 9: "y"}
+    assert len({r[2] for r in found.values()}) == 5
+    assert found[9][3] == ("p=a" if upsert is tl.upsert_partitions else "")
+    assert stored.where("_commit_time <> CAST(_commit_instant AS STRING)").count() == 0
+
+
+def test_keys_elsewhere_are_looked_up_without_the_batch(spark, tmp_path, monkeypatch):
+    """A large batch whose partitions hold most keys: the few others are sent to it, and all is found as before."""
+    path = str(tmp_path / "t")
+    options = {"unique_across_partitions": True, "locator_buckets": 2}
+    tl.upsert_partitions(frame(spark, [(k, "abc"[k % 3], 1) for k in range(30)]), path, ["k"], ["v"], ["p"], **options)
+    looked_up, left = [], publish._left
+    monkeypatch.setattr(publish, "_left", lambda *args: looked_up.append(left(*args)) or looked_up[-1])
+    batch = [(k, "ab"[k % 2], 2) for k in range(5, 40)]
+    monkeypatch.setattr(publish.Staged, "fits", lambda self, limit: False)
+    tl.upsert_partitions(frame(spark, batch), path, ["k"], ["v"], ["p"], **options)
+    assert {r[0] for r in looked_up[0].collect()} == {"c"} or not os.path.exists(f"{path}/p=c")
+    assert "BroadcastHashJoin" in looked_up[0]._jdf.queryExecution().executedPlan().toString()
+    wanted = {k: ("abc"[k % 3], 1) for k in range(5)} | {k: (p, v) for k, p, v in batch}
+    assert rows(spark.read.parquet(path).select("k", "p", "v")) == sorted((k, p, v) for k, (p, v) in wanted.items())
