@@ -156,11 +156,19 @@ LATEST_EVENTS = (
 )
 
 
+# Rows of a file that stands for an input: a hundred megabytes or so.
+FILE_ROWS = 500_000
+
+
+def in_files(df: DataFrame, rows: int, least: int) -> DataFrame:
+    """A table of so many rows dealt out for files of about ``FILE_ROWS`` rows each, ``least`` of them at least."""
+    return df.repartition(max(least, rows // FILE_ROWS))
+
+
 def event_files(spark: SparkSession, sf_dir: str) -> str:
-    """The events as envelopes in text files, about four megabytes of events each and four files at least."""
+    """The events as envelopes in text files, about a hundred megabytes of events each and four files at least."""
     path, events = tl.scratch_path(spark, "envelopes"), event_records(spark, sf_dir)
-    rows = events.count()
-    tl.encode_envelope(events).repartition(max(4, rows // 20_000)).write.text(path)
+    in_files(tl.encode_envelope(events), events.count(), 4).write.text(path)
     return path
 
 
