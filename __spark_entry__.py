@@ -652,7 +652,8 @@ def metrics_from_states(spark, sf_dir):
 
 def rechunk_rows(spark, sf_dir):
     source, target = tl.scratch_path(spark, "lineitem-csv"), tl.scratch_path(spark, "chunks")
-    tl.write_csv(lines_as_text(spark, sf_dir).repartition(3), source)
+    lines = lines_as_text(spark, sf_dir)
+    tl.write_csv(in_files(lines, lines.count(), 3), source)
     tl.rechunk(spark, source, target, chunk_bytes=1 << 20)
     return tl.scan_csv(spark, target)
 
@@ -681,7 +682,7 @@ def stream_counts(spark, sf_dir):
     record = F.struct(F.struct(F.base64(F.encode(text, "UTF-8")).alias("data")).alias("kinesis"))
     source, target, bad, counts = (tl.scratch_path(spark, name) for name in ("envelopes", "table", "bad", "counts"))
     events = event_records(spark, sf_dir).select(F.to_json(F.struct(F.array(record).alias("Records"))).alias("value"))
-    events.repartition(3).write.text(source)
+    in_files(events, events.count(), 3).write.text(source)
     stream, options = tl.read_envelopes(spark, source, files_per_batch=1), {"buckets": 4, "quarantine": bad, "counts": counts}
     tl.stream_upsert(stream, target, EVENT_SCHEMA, ["user_id"], ["ts"], True, **options).awaitTermination()
     read = spark.read.parquet(counts)
@@ -704,7 +705,7 @@ def stream_append_quarantine(spark, sf_dir):
     record = F.struct(F.struct(F.base64(F.encode(text, "UTF-8")).alias("data")).alias("kinesis"))
     source, target, bad = (tl.scratch_path(spark, name) for name in ("envelopes", "table", "bad"))
     events = event_records(spark, sf_dir).select(F.to_json(F.struct(F.array(record).alias("Records"))).alias("value"))
-    events.repartition(3).write.text(source)
+    in_files(events, events.count(), 3).write.text(source)
     stream = tl.read_envelopes(spark, source, files_per_batch=1)
     tl.stream_append(stream, target, EVENT_SCHEMA, ["event_id"], quarantine=bad).awaitTermination()
     good = spark.read.parquet(target).agg(F.count("*").alias("good"), F.sum("event_id").alias("id_sum"))

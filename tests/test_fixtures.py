@@ -20,3 +20,12 @@ def test_fixture_files_are_bounded(spark, monkeypatch):
     dealt = registry.in_files(spark.range(10_000), 10_000, 3)
     assert dealt.rdd.getNumPartitions() == 10
     assert max(dealt.groupBy(F.spark_partition_id()).count().toPandas()["count"]) <= 1_100
+
+
+def test_rechunked_input_grows_in_files(spark, tmp_path, monkeypatch):
+    """The input of the rechunk query was three files of any size."""
+    monkeypatch.setattr(registry, "FILE_ROWS", 1_000)
+    seen, rechunk = [], registry.tl.rechunk
+    monkeypatch.setattr(registry.tl, "rechunk", lambda s, source, *a, **o: seen.append(source) or rechunk(s, source, *a, **o))
+    assert registry.rechunk_rows(spark, "/root/testdata/sf0.001").count() == 6_000
+    assert len(glob.glob(f"{seen[0]}/part-*")) == 6
