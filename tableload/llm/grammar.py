@@ -33,21 +33,22 @@ from tableload.llm.word_ids import word_ids
 SHARD_TOKENS, TASK_BYTES, MOST_TASKS = 1 << 20, 24 << 20, 20_000
 #: How often a pair must occur in a shard to become a rule, which itself takes the place of three symbols.
 LEAST = 16
-_HASH_BITS = 20
+_HASH_BITS = 17
 
 Pairs = np.ndarray
 
 
-def frequent_pairs(symbols: np.ndarray, ends: np.ndarray, least: int) -> tuple[Pairs, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs of neighbours that occur ``least`` times, their counts, and where pairs that may be frequent lie.
+def frequent_pairs(symbols: np.ndarray, at: np.ndarray, least: int) -> tuple[Pairs, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of neighbours that occur ``least`` times at some places, their counts, and where pairs that may be
+    frequent lie.
 
     Pairs are counted by hash first, so only those in a bucket that is full enough are sorted.
     """
-    low = (symbols[:-1] * np.uint32(0x9E3779B1)) ^ (symbols[1:] * np.uint32(0x85EBCA77))
+    left, right = symbols[at], symbols[at + 1]
+    low = (left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77))
     bucket = (low >> np.uint32(32 - _HASH_BITS)).astype(np.int64)
-    full = np.bincount(bucket, minlength=1 << _HASH_BITS) >= least
-    at = np.flatnonzero(full[bucket] & ~ends[:-1])
-    pairs = (symbols[at].astype(np.uint64) << np.uint64(32)) | symbols[at + 1]
+    full = (np.bincount(bucket, minlength=1 << _HASH_BITS) >= least)[bucket]
+    at, pairs = at[full], (left[full].astype(np.uint64) << np.uint64(32)) | right[full]
     ordered = np.sort(pairs)
     first = np.flatnonzero(np.diff(ordered, prepend=ordered[:1] + np.uint64(1)))
     count = np.diff(first, append=len(ordered))
@@ -69,17 +70,24 @@ def compatible(pairs: Pairs, count: np.ndarray) -> Pairs:
 
 
 def compress(symbols: np.ndarray, ends: np.ndarray, first: int, least: int = LEAST):
-    """Symbols after Re-Pair, where documents end among them, and the rules of the symbols from ``first`` on."""
+    """Symbols after Re-Pair, where documents end among them, and the rules of the symbols from ``first`` on.
+
+    A pair that is rare stays so, as a pass only takes occurrences away: after the first pass only the places of pairs
+    that were not rare, and those beside a new symbol, are counted again.
+    """
     symbols, ends, rules = symbols.astype(np.uint32), ends.copy(), [np.empty((0, 2), np.uint32)]
-    free = first
-    while len(symbols) > 1:
-        pairs, count, at, of = frequent_pairs(symbols, ends, least)
+    free, places = first, np.flatnonzero(~ends[:-1])
+    while len(places):
+        pairs, count, at, of = frequent_pairs(symbols, places, least)
         if not len(pairs):
             break
+        counted = np.zeros(len(symbols), bool)
+        counted[at] = True
         taken = compatible(pairs, count)
-        begins = np.zeros(free, bool)
+        begins, follows = np.zeros((2, free), bool)
         begins[(taken >> np.uint64(32)).astype(np.int64)] = True
-        may = begins[symbols[at]]
+        follows[(taken & np.uint64(0xFFFFFFFF)).astype(np.int64)] = True
+        may = begins[symbols[at]] & follows[symbols[at + 1]]
         at, of = at[may], of[may]
         rule = np.minimum(np.searchsorted(taken, of), len(taken) - 1)
         hit = taken[rule] == of
@@ -94,9 +102,13 @@ def compress(symbols: np.ndarray, ends: np.ndarray, first: int, least: int = LEA
         ends[at] = ends[at + 1]
         stays = np.ones(len(symbols), bool)
         stays[at + 1] = False
-        symbols, ends = symbols[stays], ends[stays]
+        counted[at] = True
+        counted[np.maximum(at - 1, 0)] = True
+        counted[at + 1] = False
+        symbols, ends, counted = symbols[stays], ends[stays], counted[stays]
         rules.append(np.stack([taken >> np.uint64(32), taken & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
         free += len(taken)
+        places = np.flatnonzero(counted[:-1] & ~ends[:-1])
     return symbols, ends, np.concatenate(rules)
 
 

@@ -26,7 +26,8 @@ FILE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 
 _LETTERS = "a-zß-öø-ÿ"
-_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
+_PLAIN = "!-~À-ÖØ-öø-ÿ"
+_OTHER = re.compile(f"[^ {_PLAIN}]+")
 #: ``FILE_PATTERN`` for lower-cased plain pre-tokens.
 _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s0-9{_LETTERS}]+")
 _END = "\x01"
@@ -78,16 +79,27 @@ class WordIds:
         self.first, self.count = np.zeros(CACHED, np.int64), np.zeros(CACHED, np.int64)
         self.ids, self.used = np.zeros(4 * CACHED, np.uint32), 0
 
-    def is_plain(self, token: str) -> bool:
-        return _PLAIN.fullmatch(token) is not None and not any(s in token for s in self.special)
+    def others(self, tokens: list[str]) -> set[str]:
+        """Those pre-tokens that are not plain, or hold a special string."""
+        row, end, found = " ".join(tokens), -1, set()
+        for m in _OTHER.finditer(row):
+            if m.start() > end:
+                end = row.find(" ", m.end())
+                end = len(row) if end < 0 else end
+                found.add(row[row.rfind(" ", 0, m.start()) + 1 : end])
+        special = [s for s in self.special if s in row]
+        return found | {t for t in tokens if any(s in t for s in special)} if special else found
 
     def encode_tokens(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """How many ids each pre-token has, and all ids in a row."""
-        plain = [self.is_plain(t) for t in tokens]
+        others = self.others(tokens)
+        plain = [t not in others for t in tokens]
         marked = _PIECE.sub(rf"\g<0>{_END}", " ".join([t for t, p in zip(tokens, plain, strict=True) if p]).lower())
         found = self.encoder.encode_to_numpy(marked.replace(" ", ""))
-        pieces = np.array([t.count(_END) for t in marked.split(" ")])
-        last = np.concatenate([[0], np.flatnonzero(self.ends[found]) + 1])[np.cumsum(pieces)]
+        # plain pre-tokens in lower case are Latin-1: the word ends before each space
+        row = np.frombuffer(marked.encode("latin-1") + b" ", np.uint8)
+        pieces = np.cumsum(row == ord(_END))[row == ord(" ")]
+        last = np.concatenate([[0], np.flatnonzero(self.ends[found]) + 1])[pieces]
         if all(plain):
             return np.diff(last, prepend=0), found
         begin, out = np.concatenate([[0], last[:-1]]), []

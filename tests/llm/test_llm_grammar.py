@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -47,6 +48,54 @@ def shard_of(documents, least):
     return grammar.Shard(short, rules, grammar.expansion_lengths(rules, 100), 100), ends
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3), min_size=1, max_size=60), min_size=1, max_size=8), st.integers(2, 4))
+def test_pairs_counted_again_are_all_that_may_be_frequent(documents, least):
+    """Each pass counts no more places than the one before has left, and finds what a count of all places finds."""
+    symbols = np.array([x for d in documents for x in d], np.uint32)
+    ends = np.zeros(len(symbols), bool)
+    ends[np.cumsum([len(d) for d in documents]) - 1] = True
+    counted, passes = grammar.frequent_pairs, []
+
+    def recorded(symbols, at, least):
+        found = counted(symbols, at, least)
+        passes.append((symbols.copy(), len(at), [x.tolist() for x in found[:2]]))
+        return found
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(grammar, "frequent_pairs", recorded)
+        _, _, rules = grammar.compress(symbols, ends, 100, least)
+    for now, places, found in passes:
+        assert places < len(now)
+        pairs = Counter()
+        # where documents end among the symbols of a pass follows from how many symbols the documents have
+        for d in runs_of(now, documents, rules):
+            pairs.update((a << 32) + b for a, b in zip(d, d[1:], strict=False))
+        assert dict(zip(*found, strict=True)) == {p: n for p, n in pairs.items() if n >= least}
+
+
+def runs_of(symbols, documents, rules):
+    """The symbols of each document."""
+    lengths, at = grammar.expansion_lengths(rules, 100), 0
+    for d in documents:
+        left, run = len(d), []
+        while left:
+            run.append(int(symbols[at]))
+            left -= 1 if symbols[at] < 100 else int(lengths[symbols[at] - 100])
+            at += 1
+        yield run
+
+
+def test_rare_pairs_are_not_counted_again():
+    rng = np.random.default_rng(1)
+    symbols = np.concatenate([rng.permutation(100_000), np.tile([1, 2, 3, 4], 500)]).astype(np.uint32)
+    counted, places = grammar.frequent_pairs, []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(grammar, "frequent_pairs", lambda s, at, least: places.append(len(at)) or counted(s, at, least))
+        grammar.compress(symbols, np.arange(len(symbols)) == len(symbols) - 1, 100_000)
+    assert places[0] == len(symbols) - 1 and max(places[1:]) < 10_000
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 3), min_size=1, max_size=40), min_size=1, max_size=8), st.integers(2, 4))
 def test_grammars_expand_to_the_documents(documents, least):
