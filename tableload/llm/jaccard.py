@@ -31,6 +31,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,16 +79,28 @@ def folded_sketch(found: np.ndarray) -> bytes:
 
 def folded(sketches: np.ndarray, words: int) -> np.ndarray:
     """Sketches, one per row, folded to a length that divides theirs."""
+    if sketches.shape[1] == words:
+        return sketches
     return np.bitwise_xor.reduce(sketches.reshape(len(sketches), -1, words), axis=1)
 
 
 def folded_distance(a: bytes, b: bytes) -> int:
     """Hamming distance of two folded sketches, the longer folded on to the shorter one's length."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    x, y = (x, y) if len(x) <= len(y) else (y, x)
-    if len(x) < len(y):
-        y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
-    return int(np.bitwise_count(x ^ y).sum())
+    return int(folded_distances(pa.array([a]), pa.array([b]))[0])
+
+
+def folded_distances(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Hamming distances of pairs of folded sketches, the longer folded on to the shorter one's length."""
+    left, right = (pc.binary_length(x).to_numpy(zero_copy_only=False) // 8 for x in (a, b))
+    out = np.empty(len(left), np.int64)
+    # sketches of one length at a time, as rows of a matrix
+    lengths = left.astype(np.int64) << 32 | right
+    for both in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == both)
+        width = min(both >> 32, both & 0xFFFFFFFF)
+        x, y = (folded(np.frombuffer(b"".join(s.take(pa.array(at)).to_pylist()), np.uint64).reshape(len(at), -1), width) for s in (a, b))
+        out[at] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def bands(size: int) -> list[tuple[int, int]]:
@@ -223,11 +236,8 @@ def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     def run(batches):
         for part in slices(batches, 4096):
-            close = [
-                7 * folded_distance(sx, sy) <= nx + ny
-                for sx, sy, nx, ny in zip(*(part.column(k).to_pylist() for k in range(2, 6)), strict=True)
-            ]
-            yield part.select([0, 1]).filter(pa.array(close, pa.bool_()))
+            nx, ny = part.column(4).to_numpy(), part.column(5).to_numpy()
+            yield part.select([0, 1]).filter(pa.array(7 * folded_distances(part.column(2), part.column(3)) <= nx + ny))
 
     return both.select("x", "y", "sx", "sy", "nx", "ny").mapInArrow(run, long_schema("x y"))
 

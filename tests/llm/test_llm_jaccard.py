@@ -146,6 +146,48 @@ def test_components_of_a_chain_and_a_star(spark):
     assert {roots.get(k, k) for k in [7, *range(200, 260)]} == {7}
 
 
+def test_a_long_chain_takes_few_steps(spark, monkeypatch):
+    """Tasks contract their links first, so that the steps, each of them several jobs, don't grow with the chain."""
+    written, steps = components.written, []
+    monkeypatch.setattr(components, "written", lambda df, label: steps.append(label) or written(df, label))
+    links = [(k, k + 1) for k in range(3_000)] + [(5_000, 5_000)]
+    random.Random(1).shuffle(links)
+    found = components.components(spark.createDataFrame(links, "a long, b long").repartition(3), "a", "b")
+    assert sorted(map(tuple, found.collect())) == [(k, 0) for k in range(1, 3_001)]
+    assert steps.count("stars") <= 4
+
+
+@pytest.mark.parametrize("run", [3, 10_000])
+def test_contracted_links_connect_the_same(spark, run, monkeypatch):
+    monkeypatch.setattr(components, "RUN", run)
+    rng = random.Random(run)
+    links = [(rng.randrange(-200, 200), rng.randrange(-200, 200)) for _ in range(150)]
+    root = {x: x for link in links for x in link}
+    for _ in links:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    u, v = components.contracted(*np.array(links).T)
+    assert dict(zip(u.tolist(), v.tolist(), strict=True)) == {x: r for x, r in root.items() if x != r}
+    batches = [pa.RecordBatch.from_pylist([{"u": a, "v": b} for a, b in links[k : k + 7]]) for k in range(0, len(links), 7)]
+    kept = [(r["u"], r["v"]) for b in components._contract(batches) for r in b.to_pylist()]
+    found = components.components(spark.createDataFrame(kept, "a long, b long"), "a", "b")
+    assert dict(map(tuple, found.collect())) == {x: r for x, r in root.items() if x != r}
+
+
+def test_sketches_are_compared_as_matrices():
+    rng = np.random.default_rng(2)
+    sketches = [rng.integers(0, 2**63, 1 << int(rng.integers(0, 5)), dtype=np.uint64) for _ in range(80)]
+    wanted = []
+    for x, y in zip(sketches[:40], sketches[40:], strict=True):
+        width = min(len(x), len(y))
+        x, y = (np.bitwise_xor.reduce(z.reshape(-1, width), axis=0) for z in (x, y))
+        wanted.append(int(np.bitwise_count(x ^ y).sum()))
+    a, b = (pa.array([x.tobytes() for x in some]) for some in (sketches[:40], sketches[40:]))
+    assert jaccard.folded_distances(a, b).tolist() == wanted
+    assert jaccard.folded_distances(a.slice(7, 20), b.slice(7, 20)).tolist() == wanted[7:27]
+    assert jaccard.folded_distances(a.slice(0, 0), b.slice(0, 0)).tolist() == []
+
+
 def test_blocks_give_a_forest_of_what_may_be_linked():
     """As many pairs as connect the rows, whose ends may be linked; without ``forest`` all such pairs."""
     rng = np.random.default_rng(7)
