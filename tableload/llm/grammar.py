@@ -22,18 +22,21 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tableload.llm.rows import ship, slices, written
+from tableload.llm.rows import ship, slices, slices_by_size, written
 from tableload.llm.word_ids import word_ids
 
 #: Tokens of a shard as expected, bytes of text that one task sorts, and tasks at most (their totals are broadcast).
 SHARD_TOKENS, TASK_BYTES, MOST_TASKS = 1 << 20, 24 << 20, 20_000
+#: Bytes of text that a task encodes at a time, so that a pre-token frequent among them is looked up once.
+ENCODED = 4 << 20
 #: How often a pair must occur in a shard to become a rule, which itself takes the place of three symbols.
 LEAST = 16
-_HASH_BITS = 17
+_HASH_BITS = 19
 
 Pairs = np.ndarray
 
@@ -47,7 +50,8 @@ def frequent_pairs(symbols: np.ndarray, at: np.ndarray, least: int) -> tuple[Pai
     left, right = symbols[at], symbols[at + 1]
     low = (left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77))
     bucket = (low >> np.uint32(32 - _HASH_BITS)).astype(np.int64)
-    full = (np.bincount(bucket, minlength=1 << _HASH_BITS) >= least)[bucket]
+    # places, as numpy takes by places faster than by flags
+    full = np.flatnonzero((np.bincount(bucket, minlength=1 << _HASH_BITS) >= least)[bucket])
     at, pairs = at[full], (left[full].astype(np.uint64) << np.uint64(32)) | right[full]
     ordered = np.sort(pairs)
     first = np.flatnonzero(np.diff(ordered, prepend=ordered[:1] + np.uint64(1)))
@@ -87,10 +91,12 @@ def compress(symbols: np.ndarray, ends: np.ndarray, first: int, least: int = LEA
         begins, follows = np.zeros((2, free), bool)
         begins[(taken >> np.uint64(32)).astype(np.int64)] = True
         follows[(taken & np.uint64(0xFFFFFFFF)).astype(np.int64)] = True
-        may = begins[symbols[at]] & follows[symbols[at + 1]]
+        may = np.flatnonzero(begins[symbols[at]])
+        at, of = at[may], of[may]
+        may = np.flatnonzero(follows[symbols[at + 1]])
         at, of = at[may], of[may]
         rule = np.minimum(np.searchsorted(taken, of), len(taken) - 1)
-        hit = taken[rule] == of
+        hit = np.flatnonzero(taken[rule] == of)
         at, rule = at[hit], rule[hit]
         # only a pair of equal symbols overlaps with itself: in a run of these every other place counts
         again = np.diff(at, prepend=-2) == 1
@@ -105,6 +111,7 @@ def compress(symbols: np.ndarray, ends: np.ndarray, first: int, least: int = LEA
         counted[at] = True
         counted[np.maximum(at - 1, 0)] = True
         counted[at + 1] = False
+        stays = np.flatnonzero(stays)
         symbols, ends, counted = symbols[stays], ends[stays], counted[stays]
         rules.append(np.stack([taken >> np.uint64(32), taken & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
         free += len(taken)
@@ -226,10 +233,10 @@ def write_ids(
             arrays = [pa.array([v.to_pylist() if isinstance(v, pa.Array) else v], t) for v, t in zip(row, types, strict=True)]
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
-        for part in slices(batches):
-            texts = [t or "" for t in part.column(1).to_pylist()]
-            long = any(len(t) > 1 << 20 for t in texts)
-            found = [encoder.encode_long(t) for t in texts] if long else encoder.encode(texts)
+        for part in slices_by_size(batches, 1, ENCODED):
+            texts = part.column(1).fill_null("")
+            long = pc.max(pc.binary_length(texts)).as_py() > 1 << 20
+            found = [encoder.encode_long(t) for t in texts.to_pylist()] if long else encoder.encode(texts)
             for k, own in enumerate(found):
                 doc_ids.append(part.column(0).slice(k, 1))
                 ids.append(np.append(own, np.uint32(end_id)))

@@ -3,12 +3,13 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from edge_texts import SCHEMA, edge_rows, prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tableload.llm import grammar, word_ids
+from tableload.llm import grammar, rows, word_ids
 from tableload.llm.token_counts import library_tokenizer
 from tableload.workspace import scratch_path
 
@@ -35,6 +36,23 @@ def test_word_ids_equal_the_library(monkeypatch):
     assert small.encode([]) == []
 
 
+def test_a_word_is_looked_up_once_per_batch():
+    class Counted(word_ids.Known):
+        asked = 0
+
+        def __getitem__(self, token):
+            self.asked += 1
+            return super().__getitem__(token)
+
+    encoder = word_ids.WordIds(VOCABULARY)
+    encoder.known = Counted()
+    texts = ["it is\nwhat it is", "is it"] * 500
+    assert [i.tolist() for i in encoder.encode(texts)] == [library_ids(t) for t in texts[:2]] * 500
+    assert encoder.known.asked == 3
+    texts = pa.array(["x", *texts, "", "y"]).slice(1, len(texts) + 1)
+    assert [i.tolist() for i in encoder.encode(texts)] == [library_ids(t) for t in texts.to_pylist()]
+
+
 def test_other_vocabularies_are_refused():
     with pytest.raises(ValueError, match="no vocabulary"):
         word_ids.WordIds(public_tokenizers.path("byte_bpe_50k.json"))
@@ -96,6 +114,12 @@ def test_rare_pairs_are_not_counted_again():
     assert places[0] == len(symbols) - 1 and max(places[1:]) < 10_000
 
 
+def test_few_rare_pairs_are_taken_for_frequent_ones():
+    symbols = np.random.default_rng(2).integers(0, 40_000, 2_000_000).astype(np.uint32)
+    pairs, _, at, of = grammar.frequent_pairs(symbols, np.arange(len(symbols) - 1), grammar.LEAST)
+    assert not len(pairs) and len(at) == len(of) < 10_000
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 3), min_size=1, max_size=40), min_size=1, max_size=8), st.integers(2, 4))
 def test_grammars_expand_to_the_documents(documents, least):
@@ -125,6 +149,13 @@ def written_and_read(spark, docs, **options):
     return path, grammar.read_ids(spark, path).collect()
 
 
+def test_slices_by_the_bytes_of_texts():
+    batch = pa.RecordBatch.from_pydict({"k": list(range(7)), "text": ["aa", None, "é", "x" * 20, "", "abc", "ab"]})
+    parts = list(rows.slices_by_size([batch, batch.slice(0, 0)], 1, 5))
+    assert [p.column(0).to_pylist() for p in parts] == [[0, 1, 2], [3], [4, 5, 6]]
+    assert [p.column(0).to_pylist() for p in rows.slices_by_size([batch.slice(2)], 1, 100)] == [[2, 3, 4, 5, 6]]
+
+
 @pytest.mark.parametrize("shard_tokens", [50, 1 << 20])
 def test_files_hold_every_document_in_order(spark, edge, shard_tokens):
     _, rows = written_and_read(spark, edge.repartition(3), shard_tokens=shard_tokens)
