@@ -2,6 +2,8 @@
 
 Before each step every task replaces the links it reads by one per class, to the smallest class it is connected with by
 these links alone. So paths that lie in one task take no step, and few steps are needed, each of which is several jobs.
+Links that are few enough for one contraction take none: the jobs of a step weigh more than these links do, and most on the
+driver, which holds the plans, threads and shuffles of each.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tableload.llm.rows import long_schema, written
 
-#: Links that a task contracts at a time.
+#: Links that a task contracts at a time, and that are contracted in one task at most.
 RUN = 500_000
 
 
@@ -23,11 +25,14 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """``class, root`` for every class that has a link to another: root is the smallest class of its component.
 
     Each step is two joins over the links and is written to the scratch folder; about log of the longest path many steps
-    are needed. No neighbour list is gathered, so a class with very many links is no larger task than its rows are.
+    are needed, and none for ``RUN`` links or fewer. No neighbour list is gathered, so a class with very many links is no larger task than its rows are.
     """
     links = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
     edges = _contracted(links)
     while True:
+        if edges.count() <= RUN:
+            edges = written(edges.repartition(1).mapInArrow(_contract, long_schema("u v")), "contracted")
+            break
         stars = written(_small_star(_large_star(edges)), "stars")
         # when a step changes nothing, all components are stars
         if _state(stars) == _state(edges):

@@ -157,6 +157,19 @@ def test_a_long_chain_takes_few_steps(spark, monkeypatch):
     assert steps.count("stars") <= 4
 
 
+def test_few_links_take_no_step(spark, monkeypatch):
+    """What a step costs is the driver's memory, not the links; beyond ``RUN`` links there are steps as before."""
+    written, steps = components.written, []
+    monkeypatch.setattr(components, "written", lambda df, label: steps.append(label) or written(df, label))
+    links = spark.createDataFrame([(k, k + 3) for k in range(90)], "a long, b long").repartition(5)
+    for run in (90, 3):
+        monkeypatch.setattr(components, "RUN", run)
+        steps.clear()
+        found = components.components(links, "a", "b")
+        assert sorted(map(tuple, found.collect())) == [(k, k % 3) for k in range(3, 93)]
+        assert ("stars" in steps) == (run == 3)
+
+
 @pytest.mark.parametrize("run", [3, 10_000])
 def test_contracted_links_connect_the_same(spark, run, monkeypatch):
     monkeypatch.setattr(components, "RUN", run)
