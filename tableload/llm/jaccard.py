@@ -333,20 +333,21 @@ def may_be_linked(
     return out
 
 
-def unconnected(chain: DataFrame, roots: DataFrame, classes: DataFrame, forest: bool) -> DataFrame:
-    """Pairs of classes that gave away the same signature, lie in different components and may be linked: all of them, or
-    with ``forest`` as many as would connect those of a block.
+def shared_signatures(chain: DataFrame) -> DataFrame:
+    """``signature, class``: the signatures that three classes or more gave away, and these classes.
 
-    ``chain`` has two rows or more for a signature of three classes or more; with two, the one pair was compared before.
+    ``chain`` has two rows or more for such a signature; of one with two classes, the one pair was compared before.
     """
     many = chain.groupBy("signature").agg(F.count("*").alias("links")).where("links >= 2").select("signature")
-    given = (
-        chain.join(many, "signature", "left_semi")
-        .select("signature", F.explode(F.array("x", "y")).alias("class"))
-        .distinct()
-        .join(roots, "class", "left")
-        .withColumn("root", F.coalesce("root", "class"))
-    )
+    both = F.explode(F.array("x", "y")).alias("class")
+    return chain.join(many, "signature", "left_semi").select("signature", both).distinct()
+
+
+def unconnected(shared: DataFrame, roots: DataFrame, classes: DataFrame, forest: bool) -> DataFrame:
+    """Pairs of classes that gave away the same signature, lie in different components and may be linked: all of them, or
+    with ``forest`` as many as would connect those of a block."""
+    given = shared.join(roots, "class", "left").select("signature", "class", F.coalesce("root", "class").alias("root"))
+    given = written(given, "given")
     # signatures of one component are done, and of those with the same classes one is enough
     groups = given.groupBy("signature").agg(
         F.min("root").alias("least"),
@@ -395,8 +396,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tried = written(near(chain.select("x", "y").distinct(), classes), "tried")
     links = written(verified(tried, source, classes), "links")
     roots = components(links, "x", "y")
+    # once for all rounds, as every exchange of a plan weighs on the driver
+    shared = written(shared_signatures(chain), "shared")
     for forest in [True] * FOREST_ROUNDS + [False]:
-        rest = unconnected(chain, roots, classes, forest).join(tried, ["x", "y"], "left_anti")
+        rest = unconnected(shared, roots, classes, forest).join(tried, ["x", "y"], "left_anti")
         rest = written(rest, "tried-later")
         if not rest.limit(1).count():
             continue

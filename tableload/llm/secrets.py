@@ -301,14 +301,21 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id",
             )
 
     windows = written(drawn.mapInArrow(run, "secret boolean, rows binary, tags binary").distinct(), "windows")
-    # by content, so that the same rows are drawn in any order of the input
-    held, quiet = (windows.where(F.col("secret") == x).orderBy(F.xxhash64("rows"), "rows", "tags").limit(MOST_WINDOWS).collect() for x in (True, False))
-    if not held:
+    size = {r.secret: min(r["count"], MOST_WINDOWS) for r in windows.groupBy("secret").count().collect()}
+    if not size.get(True):
         return None
-    half = MOST_WINDOWS // 2
-    kept = held[: max(half, MOST_WINDOWS - len(quiet))] + quiet[: max(half, MOST_WINDOWS - len(held))]
+    # by content, so that the same rows are drawn in any order of the input
+    kept = [
+        windows.where(F.col("secret") == x)
+        .orderBy(F.xxhash64("rows"), "rows", "tags")
+        .limit(max(MOST_WINDOWS // 2, MOST_WINDOWS - size.get(not x, 0)))
+        .select("rows", "tags")
+        for x in (True, False)
+    ]
+    # no more rows than are trained on, and as Arrow columns, since Python objects weigh on a driver; arrays share their memory
+    found = kept[0].unionByName(kept[1]).toArrow()
     field = Field()
-    field.train([(np.frombuffer(r.rows, "<i4").reshape(-1, 7).astype(np.int64), np.frombuffer(r.tags, "u1")) for r in kept])
+    field.train([(np.frombuffer(a.as_buffer(), "<i4").reshape(-1, 7), np.frombuffer(b.as_buffer(), "u1")) for a, b in zip(found["rows"], found["tags"], strict=True)])
     return field
 
 

@@ -271,3 +271,13 @@ def test_near_copies_that_are_partly_linked(spark):
             if i != j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
                 assert found[i] == found[j]
     assert sum(emitted[1:]) < 20 * len(rows)
+
+
+def test_rounds_share_the_signatures_of_many_classes(spark, monkeypatch):
+    """They are read off the chain once: every exchange of a plan costs the driver memory, also where data is small."""
+    written, plans = jaccard.written, []
+    monkeypatch.setattr(jaccard, "written", lambda df, label: plans.append((label, df)) or written(df, label))
+    rows = corpus(5)
+    found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [label for label, df in plans if any("llm-chain" in f for f in df.inputFiles())] == ["tried", "shared"]
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == all_pairs(rows)

@@ -123,6 +123,19 @@ def test_secrets_leave_room_for_quiet_windows(spark, monkeypatch):
     assert len({(r.tobytes(), t.tobytes()) for r, t in trained_on}) == len(trained_on) > 20
 
 
+def test_only_windows_trained_on_come_to_the_driver(spark, monkeypatch):
+    """And as they are read: the driver holds no copy of them."""
+    monkeypatch.setattr(secrets, "MOST_WINDOWS", 40)
+    monkeypatch.setattr(secrets.Field, "train", lambda self, windows: trained_on.extend(windows))
+    trained_on, came, as_arrow = [], [], type(spark.range(0)).toArrow
+    monkeypatch.setattr(type(spark.range(0)), "toArrow", lambda frame: came.append(as_arrow(frame)) or came[-1])
+    rows = [(k, with_secrets(4 * k)) for k in range(100)] + [(200 + k, with_secrets(4 * k + 1)) for k in range(60)]
+    assert secrets.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [t.num_rows for t in came] == [40] == [len(trained_on)]
+    assert not any(r.flags.owndata or r.base.flags.owndata for r, _ in trained_on)
+    assert secrets.fit(spark.createDataFrame(rows[100:], "doc_id long, text string")) is None and len(came) == 1
+
+
 class Tagged:
     """A field with given spans."""
 
